@@ -42,9 +42,11 @@ def curate(
 
 def collection_progress(curated: DataFrame, universe: DataFrame, max_per_label: int = MAX_PER_LABEL) -> DataFrame:
     """``collected, target_total, labels, complete`` of a curation run."""
-    kept = curated.agg(F.count(F.lit(1)).alias("collected"))
-    target = universe.agg(F.count(F.lit(1)).alias("labels"))
-    both = kept.join(target, F.lit(True))  # one row each
+    both = (
+        curated.select(F.lit(1).alias("kept"), F.lit(0).alias("label"))
+        .unionAll(universe.select(F.lit(0), F.lit(1)))
+        .agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("collected"), F.coalesce(F.sum("label"), F.lit(0)).alias("labels"))
+    )
     return both.select(
         "collected",
         (F.col("labels") * max_per_label).alias("target_total"),

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from vecbank.functions.vectors import as_double, dot, l2_normalize
 from vecbank.operators.knn import knn
-from vecbank.operators.ordered import OrderedRanges, numbered
+from vecbank.operators.ordered import OrderedRanges, numbered, previous_value, running_totals
 from vecbank.settings import COSINE_SCALE, FLUSHES_PER_LOG, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, PARITY_MIN_COS
 
 
@@ -121,13 +121,9 @@ def throughput(flushes: DataFrame, every: int = FLUSHES_PER_LOG) -> DataFrame:
     flushes: ``seq, seconds`` (seconds since the start), one row per processed item or batch, and
     ``items``. The recent rate spans the flushes since the last report.
     """
-    from vecbank.operators.ordered import previous_value, running_totals
-
     counted = running_totals(flushes, ["seq"], flush=F.lit(1), rows=F.col("items"))
-    reports = counted.filter(F.col("flush") % every == 0).withColumn("_all", F.lit(0))
-    reports = previous_value(
-        reports.withColumn("_at", F.struct("rows", "seconds")), ["flush"], ["_all"], "_at", "_before"
-    )
+    reports = counted.filter(F.col("flush") % every == 0).withColumn("_at", F.struct("rows", "seconds"))
+    reports = previous_value(reports, ["flush"], [], "_at", "_before")
     tiny = F.lit(1e-6)
     new_rows = F.col("rows") - F.coalesce(F.col("_before.rows"), F.lit(0))
     new_seconds = F.col("seconds") - F.coalesce(F.col("_before.seconds"), F.lit(0.0))

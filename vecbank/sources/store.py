@@ -48,12 +48,12 @@ class BankStore:
         """The newest version. Call it once per job and keep the row: that pins the snapshot."""
         return self.manifest().orderBy(F.desc("version")).first()
 
-    def _commit(self, previous: Row | None, op: str, new_generation: bool, **changes) -> Row:
+    def _commit(self, previous: Row | None, op: str, new_generation: bool, steps: int = 1, **changes) -> Row:
         row = previous.asDict() if previous else {
             "version": 0, "generation": 0, "base": None, "learned": None, "last_batch": -1,
             "model_id": None, "dim": None, "dtype": None, "rows": 0,
         }
-        row.update(changes, op=op, version=row["version"] + 1, written_at=int(time.time()))
+        row.update(changes, op=op, version=row["version"] + steps, written_at=int(time.time()))
         row["generation"] += int(new_generation)
         fields = [f.split()[0] for f in MANIFEST_SCHEMA.split(", ")]
         line = self.spark.createDataFrame([tuple(row[f] for f in fields)], MANIFEST_SCHEMA)
@@ -106,12 +106,13 @@ class BankStore:
         return bank_union(self.base(version), good, version["rows"])
 
     def append_learned(self, rows: DataFrame, batch: int | None = None) -> Row:
-        """Append ``seq, species, vec``; a repeated batch id replaces itself, so retries add nothing.
+        """Append ``seq, species, vec``; the version rises by one per row.
 
-        The files are complete before the manifest row makes them visible.
+        A batch id that was committed before changes nothing, so retries are harmless. The files are
+        complete before the manifest row makes them visible.
         """
         previous = self.active()
-        if batch is not None and batch < previous["last_batch"]:
+        if batch is not None and batch <= previous["last_batch"]:
             return previous
         batch = previous["last_batch"] + 1 if batch is None else batch
         path = previous["learned"] or f"{self.root}/learned/{uuid.uuid4().hex}"
@@ -120,7 +121,8 @@ class BankStore:
             F.lit(int(time.time())).cast("long").alias("t"),
         )
         stamped.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        return self._commit(previous, "learn", False, learned=path, last_batch=batch)
+        added = self.spark.read.schema(LEARNED_SCHEMA).parquet(f"{path}/batch={batch}").count()
+        return self._commit(previous, "learn", False, steps=added, learned=path, last_batch=batch)
 
     def forget(self, name: str | None = None, last: bool = False, exact: bool = False) -> tuple[Row, DataFrame]:
         """Remove learned rows by name, or the latest one; a name takes precedence over ``last``.

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecbank.operators.quotas import arrival_rank
 from vecbank.plans.identify import identify
 from vecbank.plans.teach import teach
+from vecbank.session import scratch_path
 from vecbank.settings import MAX_PER_LABEL, VAL_PER_LABEL
 from vecbank.sources.store import BankStore
 
@@ -34,9 +35,20 @@ def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int |
 def run_available(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    """Process everything that is there, then stop; the checkpoint remembers what was done."""
+    """Process everything that is there, then stop; the checkpoint remembers what was done.
+
+    A batch is stored and handed over in the caller's session: the session of a stream runs without
+    adaptive execution, which the joins of the batch operators want for skewed keys.
+    """
+    spark = stream.sparkSession
+
+    def stored_batch(rows: DataFrame, batch: int) -> None:
+        path = scratch_path(spark, f"batch-{batch}")
+        rows.write.parquet(path)
+        handle(spark.read.schema(rows.schema).parquet(path), batch)
+
     query = (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(stored_batch)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

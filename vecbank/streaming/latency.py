@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.window import Window
 
 from vecbank.operators.serving import latency_percentiles
 from vecbank.settings import LATENCY_WINDOW
@@ -68,6 +67,5 @@ def rolling_latency(
         else:
             spark.conf.set(_PROVIDER, before)
     emitted = spark.read.schema(f"{_SAMPLES}, batch long").parquet(out)
-    # A key's newest batch holds its whole state. Both sides are bounded by keys x window.
-    newest = emitted.withColumn("_last", F.max("batch").over(Window.partitionBy("kind", "salt")))
-    return latency_percentiles(newest.filter(F.col("batch") == F.col("_last")).drop("_last"), window)
+    newest = emitted.groupBy("kind", "salt").agg(F.max("batch").alias("batch"))  # holds the whole state of a key
+    return latency_percentiles(emitted.join(newest, ["kind", "salt", "batch"]), window)

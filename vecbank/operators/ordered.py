@@ -88,7 +88,7 @@ def previous_value(df: DataFrame, order: list[str], keys: list[str], value: str,
     ranges = OrderedRanges(df, order, keys)
     at = F.struct(*order)
     rows = ranges.with_earlier(
-        ranges.rows, _before=(F.max_by(F.struct(F.col(value).alias("v")), at), lambda c: F.last(c, ignorenulls=True))
+        ranges.rows, _earlier=(F.max_by(F.struct(F.col(value).alias("v")), at), lambda c: F.last(c, ignorenulls=True))
     )
     lagged = F.lag(F.struct(F.col(value).alias("v"))).over(ranges.in_range())
-    return rows.withColumn(name, F.coalesce(lagged, F.col("_before"))["v"]).drop(RANGE, "_before")
+    return rows.withColumn(name, F.coalesce(lagged, F.col("_earlier"))["v"]).drop(RANGE, "_earlier")

@@ -76,10 +76,10 @@ def quota_hot_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "source_priority",
-    """with both as (select 0 as source_rank, s_nationkey as nation, s_suppkey as id from supplier
+    """with sources as (select 0 as source_rank, s_nationkey as nation, s_suppkey as id from supplier
       union all select 1, c_nationkey, c_custkey from customer)
     select nation, source_rank, id, place::bigint as place from (
-      select *, row_number() over (partition by nation order by source_rank, id) as place from both) where place <= 10""",
+      select *, row_number() over (partition by nation order by source_rank, id) as place from sources) where place <= 10""",
 )
 def source_priority(spark: SparkSession, sf: str) -> DataFrame:
     local = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))

@@ -61,10 +61,10 @@ LEARN_SQL = f"""with {E}, {blend_sql('dup', 0.95, 0.05)}, {blend_sql('far', 0.6,
     asked as (
       select row_id as seq, species, vec, 'open' as status from dup
       union all select row_id + {STEP}, species, vec, 'open' from far
-      union all select row_id + 2 * {STEP}, species, vec, 'open' from far
-      union all select row_id + 3 * {STEP}, null, vec, 'unknown' from e
-      union all select row_id + 4 * {STEP}, 'new_' || species, vec, 'open' from e
-      union all select row_id + 5 * {STEP}, null, vec, 'bad_image' from e),
+      union all select row_id + {2 * STEP}, species, vec, 'open' from far
+      union all select row_id + {3 * STEP}, null, vec, 'unknown' from e
+      union all select row_id + {4 * STEP}, 'new_' || species, vec, 'open' from e
+      union all select row_id + {5 * STEP}, null, vec, 'bad_image' from e),
     known as (select -1 as seq, species, vec from e union all select seq, species, vec from asked where status = 'open'),
     near as (select a.seq from asked a join known k on k.species = a.species and k.seq < a.seq
              where a.status = 'open' and list_dot_product(a.vec, k.vec) >= 0.995 group by 1),

@@ -117,7 +117,7 @@ def _picture_folder(spark: SparkSession, sf: str) -> str:
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
 
     rows = table(spark, sf, "benchmark")
-    label = F.lower(F.regexp_extract("text", r"^(\w+)", 1))
+    label = F.concat(F.lit("b"), F.lower(F.regexp_extract("text", r"^(\w+)", 1)))
     good = rows.select(F.concat(label, F.lit("/"), F.col("item_id").cast("string"), F.lit(".png")).alias("path"), "text")
     bad = rows.select(F.concat(label, F.lit("/broken.PNG")).alias("path"), F.lit("").alias("text")).distinct()
     other = rows.select(F.concat(label, F.lit("/notes.txt")).alias("path"), F.lit("").alias("text")).distinct()
@@ -126,7 +126,7 @@ def _picture_folder(spark: SparkSession, sf: str) -> str:
     return root
 
 
-LABEL_SQL = "lower(regexp_extract(text, '^(\\w+)', 1))"
+LABEL_SQL = "'b' || lower(regexp_extract(text, '^(\\w+)', 1))"
 
 
 @query(

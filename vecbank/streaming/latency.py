@@ -29,10 +29,9 @@ class LatestSamples(StatefulProcessor):
         self.samples = handle.getListState("samples", "seq long, ms double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.samples.get()), columns=["seq", "ms"])
+        held = pd.DataFrame(list(self.samples.get()), columns=["seq", "ms"]).astype({"seq": "int64", "ms": "float64"})
         for part in rows:  # trimmed part by part: never more than one batch above the window
             held = pd.concat([held, part[["seq", "ms"]]]).nlargest(self.window, "seq")
-        held = held.astype({"seq": "int64", "ms": "float64"})
         self.samples.put([(int(s), float(m)) for s, m in zip(held["seq"], held["ms"])])
         yield held.assign(kind=key[0], salt=int(key[1]))[["kind", "salt", "seq", "ms"]]
 

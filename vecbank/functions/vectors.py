@@ -6,6 +6,8 @@ The native expressions suit row-wise checks. Anything that multiplies many vecto
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -30,12 +32,27 @@ def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(vec), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound to a lambda variable, so it is computed once per row.
+
+    Written directly into an inner lambda, Catalyst would put the whole expression there and run it
+    again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalize(vec: Column, floor: float = 0.0) -> Column:
-    """``vec / norm``; with ``floor`` a shorter norm counts as 1, as when publishing a bank."""
-    length = norm(vec)
-    safe = F.when(length < floor, F.lit(1.0)).otherwise(length) if floor else length
-    # try_divide: a zero vector turns into nulls instead of failing the job.
-    return F.transform(as_double(vec), lambda x: F.try_divide(x, safe))
+    """``vec / norm``; with ``floor`` a shorter norm counts as 1, as when publishing a bank.
+
+    Without a floor a zero vector becomes a vector of nulls instead of failing the job.
+    """
+
+    def divide(v: Column) -> Column:
+        length = norm(v)
+        safe = F.when(length < floor, F.lit(1.0)).otherwise(length) if floor else F.nullif(length, F.lit(0.0))
+        return let(safe, lambda n: F.transform(v, lambda x: x / n))
+
+    return let(as_double(vec), divide)
 
 
 def is_finite(vec: Column) -> Column:
@@ -53,15 +70,17 @@ def is_usable(vec: Column, dim: int) -> Column:
 
 
 def list_matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
-    """An Arrow list column of equally long vectors as an (n, dim) matrix."""
+    """An Arrow column of equally long vectors (lists, or packed fp32 bytes) as an (n, dim) matrix."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
     if n == 0:
         return np.zeros((0, 0), dtype=dtype)
+    if pa.types.is_binary(column.type):
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + n + 1]
+        flat = np.frombuffer(column.buffers()[2], dtype="<f4", count=(offsets[-1] - offsets[0]) // 4, offset=offsets[0])
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(flat) % n:
         raise ValueError("vectors of different widths in one column")
     return flat.reshape(n, -1).astype(dtype, copy=False)

@@ -19,29 +19,37 @@ from vecbank.operators.blocks import BLOCK_ROWS, blocked_join
 from vecbank.settings import TOP_K
 
 SIM_DECIMALS = 12
-BROADCAST_BYTES = 8 << 20
+BROADCAST_ROWS = 4096
 MAX_PIVOTS = 1024
 _QUERY_CHUNK = 512
+_MARGIN = 1e-11
 _HITS = "query_id long, row_id long, species string, sim double"
 
 
-def top_k_hits(sims: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, row) of the k best rows per query, ties by row id."""
+def top_k_hits(
+    sims: np.ndarray, row_ids: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) positions of the k best rows per query, ties by row id.
+
+    ``floor`` holds similarities that are already beaten k times; rows below it are not looked at.
+    """
     n_rows = sims.shape[1]
-    if n_rows > k:
-        cut = np.partition(sims, n_rows - k, axis=1)[:, n_rows - k]
-        q, r = np.nonzero(sims >= cut[:, None])
-    else:
-        q, r = np.nonzero(np.ones_like(sims, dtype=bool))
-    order = np.lexsort((row_ids[r], -sims[q, r], q))
-    q, r = q[order], r[order]
-    starts = np.searchsorted(q, np.arange(sims.shape[0]))
-    keep = np.arange(len(q)) - starts[q] < k
-    return q[keep], r[keep]
+    if floor is None:
+        floor = np.full(len(sims), -np.inf)
+        if n_rows > k:
+            floor = np.partition(sims, n_rows - k, axis=1)[:, n_rows - k]
+    q, r = np.nonzero(sims >= floor[:, None] - _MARGIN)
+    best = np.round(sims[q, r], SIM_DECIMALS)
+    order = np.lexsort((row_ids[r], -best, q))
+    q, r, best = q[order], r[order], best[order]
+    keep = _rank(q, len(sims)) < k
+    return q[keep], r[keep], best[keep]
 
 
-def _similarities(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    return np.round(queries @ rows.T, SIM_DECIMALS)
+def _rank(sorted_groups: np.ndarray, n_groups: int) -> np.ndarray:
+    """Place from 0 within each group of a sorted array."""
+    starts = np.searchsorted(sorted_groups, np.arange(n_groups))
+    return np.arange(len(sorted_groups)) - starts[sorted_groups]
 
 
 def _hits_batch(q_ids, row_ids, species, sims) -> pa.RecordBatch:
@@ -56,19 +64,18 @@ def _string_array(column) -> pa.Array:
     return column.cast(pa.string())
 
 
-def _scan_bank(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
+def _scan_bank(rows: pa.Table, bank: DataFrame, k: int) -> DataFrame:
     """Few queries: they travel to the bank. The bank is read once and never shuffled."""
-    rows = queries.toArrow()  # at most BROADCAST_BYTES, checked by the caller
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (rows.column("query_id").to_numpy(), list_matrix(rows.column("vec")))
+    shared = bank.sparkSession.sparkContext.broadcast(
+        (rows.column("query_id").to_numpy(), list_matrix(rows.column("q_vec")))
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_matrix = shared.value
-        # The running best of every query: (query position, row id, similarity, label)
-        best_q = np.zeros(0, dtype=np.int64)
-        best_row, best_sim = best_q.copy(), np.zeros(0)
-        best_species = pa.array([], pa.string())
+        # The running best of all queries, and per query the similarity a new row has to reach.
+        best_q, best_row = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        best_sim, best_species = np.zeros(0), pa.array([], pa.string())
+        floor: np.ndarray | None = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -77,18 +84,19 @@ def _scan_bank(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
             species = _string_array(batch.column("species"))
             parts = [(best_q, best_row, best_sim, best_species)]
             for start in range(0, len(q_ids), _QUERY_CHUNK):
-                sims = _similarities(q_matrix[start : start + _QUERY_CHUNK], matrix)
-                q, r = top_k_hits(sims, row_ids, k)
-                parts.append((q + start, row_ids[r], sims[q, r], species.take(pa.array(r))))
-            q = np.concatenate([p[0] for p in parts])
-            row = np.concatenate([p[1] for p in parts])
-            sim = np.concatenate([p[2] for p in parts])
+                stop = start + _QUERY_CHUNK
+                sims = q_matrix[start:stop] @ matrix.T
+                q, r, sim = top_k_hits(sims, row_ids, k, None if floor is None else floor[start:stop])
+                parts.append((q + start, row_ids[r], sim, species.take(pa.array(r))))
+            q, row, sim = (np.concatenate([p[i] for p in parts]) for i in range(3))
             names = pa.concat_arrays([p[3] for p in parts])
             order = np.lexsort((row, -sim, q))
-            starts = np.searchsorted(q[order], np.arange(len(q_ids)))
-            order = order[np.arange(len(order)) - starts[q[order]] < k]
+            place = _rank(q[order], len(q_ids))
+            order, place = order[place < k], place[place < k]
             best_q, best_row, best_sim = q[order], row[order], sim[order]
             best_species = names.take(pa.array(order))
+            floor = np.full(len(q_ids), -np.inf)
+            floor[best_q[place == k - 1]] = best_sim[place == k - 1]
         if len(best_q):
             yield _hits_batch(q_ids[best_q], best_row, best_species, best_sim)
 
@@ -98,7 +106,7 @@ def _scan_bank(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
 def _nearest_pivot(bank: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add to every bank row its nearest pivot and the distance to it."""
     shared = bank.sparkSession.sparkContext.broadcast(pivots)
-    schema = "row_id long, species string, vec array<double>, cell int, distance double"
+    schema = f"row_id long, species string, vec {bank.schema['vec'].dataType.simpleString()}, cell int, distance double"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
@@ -137,7 +145,7 @@ def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, k
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = list_matrix(batch.column("vec"))
+            matrix = list_matrix(batch.column("q_vec"))
             sims = matrix @ centres.T
             ceiling = sims + np.linalg.norm(matrix, axis=1)[:, None] * reach[None, :]
             if sims.shape[1] >= k:
@@ -147,11 +155,11 @@ def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, k
             q, cell = np.nonzero(ceiling >= floor[:, None] - 1e-9)
             picked = batch.take(pa.array(q))
             yield pa.RecordBatch.from_arrays(
-                [picked.column("query_id"), picked.column("vec"), pa.array(cell, pa.int32())],
-                names=["query_id", "vec", "cell"],
+                [picked.column("query_id"), picked.column("q_vec"), pa.array(cell, pa.int32())],
+                names=["query_id", "q_vec", "cell"],
             )
 
-    return queries.mapInArrow(route, "query_id long, vec array<double>, cell int")
+    return queries.mapInArrow(route, "query_id long, q_vec array<double>, cell int")
 
 
 def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, block_rows: int) -> DataFrame:
@@ -170,18 +178,14 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
         q_ids = left.column("query_id").to_numpy()
         row_ids = right.column("row_id").to_numpy()
         rows = list_matrix(right.column("vec"))
-        queries_ = list_matrix(left.column("vec"))
-        species = _string_array(right.column("species"))
+        asked = list_matrix(left.column("q_vec"))
         outs = []
         for start in range(0, len(q_ids), _QUERY_CHUNK):
-            sims = _similarities(queries_[start : start + _QUERY_CHUNK], rows)
-            q, r = top_k_hits(sims, row_ids, k)
-            outs.append((q_ids[start + q], r, sims[q, r]))
-        r = np.concatenate([o[1] for o in outs])
-        return _hits_batch(
-            np.concatenate([o[0] for o in outs]), row_ids[r], species.take(pa.array(r)),
-            np.concatenate([o[2] for o in outs]),
-        )
+            q, r, sim = top_k_hits(asked[start : start + _QUERY_CHUNK] @ rows.T, row_ids, k)
+            outs.append((q_ids[start + q], r, sim))
+        q, r, sim = (np.concatenate([o[i] for o in outs]) for i in range(3))
+        species = _string_array(right.column("species"))
+        return _hits_batch(q, row_ids[r], species.take(pa.array(r)), sim)
 
     return blocked_join(
         routed, cells.drop("distance"), "cell", "query_id", "row_id", kernel, _HITS, block_rows, block_rows
@@ -198,21 +202,22 @@ def knn(
     queries: DataFrame,
     bank: DataFrame,
     k: int = TOP_K,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The k bank rows with the largest dot product, per query.
 
-    queries: ``query_id long, vec array``; bank: ``row_id long, species string, vec array``. Returns
-    ``query_id, row_id, species, sim, rank``. Rows with a null vector are ignored. Vectors are used
-    as they are: normalising is a step of its own. A bank smaller than k gives what it has.
+    queries: ``query_id long, vec array``; bank: ``row_id long, species string, vec`` (an array, or
+    packed fp32 bytes). Returns ``query_id, row_id, species, sim, rank``. Rows with a null vector are
+    ignored. Vectors are used as they are: normalising is a step of its own. A bank smaller than k
+    gives what it has.
+
+    Up to ``broadcast_rows`` queries travel to the bank. The size is checked by fetching no more than
+    one row beyond that bound; larger query sets take the block path and never reach the driver.
     """
-    queries = queries.filter(F.col("vec").isNotNull()).select("query_id", as_double(F.col("vec")).alias("vec"))
-    bank = bank.filter(F.col("vec").isNotNull()).select(
-        "row_id", F.col("species").cast("string").alias("species"), as_double(F.col("vec")).alias("vec")
-    )
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    if size["n"] * (size["dim"] or 0) * 8 <= broadcast_bytes:
-        return top_k(_scan_bank(queries, bank, k), k)
-    bank_rows = bank.count()
-    return top_k(_join_cells(queries, bank, bank_rows, k, block_rows), k)
+    asked = queries.filter(F.col("vec").isNotNull()).select("query_id", as_double(F.col("vec")).alias("q_vec"))
+    bank = bank.filter(F.col("vec").isNotNull()).select("row_id", F.col("species").cast("string").alias("species"), "vec")
+    few = asked.limit(broadcast_rows + 1).toArrow()
+    if few.num_rows <= broadcast_rows:
+        return top_k(_scan_bank(few, bank, k), k)
+    return top_k(_join_cells(asked, bank, bank.count(), k, block_rows), k)

@@ -25,19 +25,19 @@ RESULT = "seq long, status string, species string, examples long, suggestions ar
 def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``item_id, max_sim``: the best dot product of an item with the rows of its own species.
 
-    items: ``item_id, species, vec``; rows: ``row_id, species, vec``. Items whose species has no row
+    items: ``item_id, species, vec``; rows: ``row_id, species, vec`` (or packed bytes). Items whose species has no row
     are absent. Blocks emit one number per item, never a pair.
     """
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
-        best = (list_matrix(left.column("vec")) @ list_matrix(right.column("vec")).T).max(axis=1)
+        best = (list_matrix(left.column("item_vec")) @ list_matrix(right.column("vec")).T).max(axis=1)
         return pa.RecordBatch.from_arrays(
             [left.column("item_id").combine_chunks(), pa.array(best)], names=["item_id", "max_sim"]
         )
 
     partial = blocked_join(
-        items.select("item_id", "species", as_double(F.col("vec")).alias("vec")),
-        rows.select("row_id", "species", as_double(F.col("vec")).alias("vec")),
+        items.select("item_id", "species", as_double(F.col("vec")).alias("item_vec")),
+        rows.select("row_id", "species", "vec"),
         "species", "item_id", "row_id", kernel, "item_id long, max_sim double", block_rows, block_rows,
     )
     return partial.groupBy("item_id").agg(F.max("max_sim").alias("max_sim"))

@@ -12,6 +12,7 @@ from vecbank.operators.embedding import Predict, embed_images
 from vecbank.operators.knn import knn
 from vecbank.operators.serving import ordered_results
 from vecbank.operators.vote import publish_prediction, vote
+from vecbank.session import materialize
 from vecbank.settings import CONFIDENCE_THRESHOLD, MIN_NORM, NEAR_EXACT_SIM, TOP_K
 from vecbank.sources.archives import scan_images
 from vecbank.sources.store import BankStore
@@ -52,7 +53,7 @@ def identify_from_store(store: BankStore, queries: DataFrame, **options) -> Data
     version = store.active()
     if version is None:
         raise EmptyBank("no bank was published")
-    return identify(queries, store.bank(version), bank_version=version["version"], **options)
+    return identify(queries, store.packed_bank(version), bank_version=version["version"], **options)
 
 
 def identify_folder(
@@ -61,4 +62,5 @@ def identify_folder(
     """Pictures of a folder: scan, decode, embed, match, vote. Adds ``path`` to the predictions."""
     pictures = scan_images(spark, root).withColumn("query_id", F.xxhash64("path"))
     vectors = embed_images(pictures, "query_id", make_model).withColumn("query_id", F.col("query_id").cast("long"))
+    vectors = materialize(vectors, "vectors")  # several steps read them; inference runs once
     return pictures.select("query_id", "path").join(identify(vectors, bank, **options), "query_id")

@@ -47,7 +47,7 @@ def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("knn_topk_blocked", TOPK_SQL)
 def knn_topk_blocked(spark: SparkSession, sf: str) -> DataFrame:
     """The path for query sets too large to travel: cells and bounded blocks."""
-    return _ranked(knn(_near(spark, sf), embeddings(spark, sf), broadcast_bytes=0, block_rows=128))
+    return _ranked(knn(_near(spark, sf), embeddings(spark, sf), broadcast_rows=0, block_rows=128))
 
 
 @query(

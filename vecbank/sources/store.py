@@ -23,7 +23,7 @@ MANIFEST_SCHEMA = (
     "version long, generation long, op string, base string, learned string, last_batch long, "
     "model_id string, dim int, dtype string, rows long, written_at long"
 )
-BASE_SCHEMA = "row_id long, species string, vec array<float>"
+BASE_SCHEMA = "row_id long, species string, vec binary"
 LEARNED_SCHEMA = "seq long, species string, vec binary, t long"
 
 
@@ -72,13 +72,13 @@ class BankStore:
         stored = bank.select("row_id", stored_label(F.col("species")).alias("species"), vec.cast("array<float>").alias("vec"))
         if dtype == "fp16":
             stored = stored.withColumn("vec", half_precision(F.col("vec")))
-        stored.write.parquet(path)
+        stored.withColumn("vec", to_bytes(F.col("vec"))).write.parquet(path)
         return self.activate(previous, path, model_id, dim, dtype)
 
     def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str) -> Row:
         """Swap model and base together, after checking the base; on failure the old one stays."""
         checked = self.spark.read.schema(BASE_SCHEMA).parquet(path).agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(F.size("vec") != dim).alias("wrong")
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.octet_length("vec") != 4 * dim).alias("wrong")
         ).first()
         if checked["wrong"]:
             raise DimensionMismatch(f"{checked['wrong']} vectors of {path} do not have {dim} values")
@@ -90,21 +90,25 @@ class BankStore:
         )
 
     def base(self, version: Row) -> DataFrame:
+        """``row_id, species, vec`` with packed vectors: they reach a task as one block of bytes."""
         return self.spark.read.schema(BASE_SCHEMA).parquet(version["base"])
 
     def learned(self, version: Row) -> DataFrame:
-        """``seq, species, vec, t`` visible in a version."""
+        """``seq, species, vec, t`` visible in a version, vectors packed."""
         if not version["learned"]:
-            return self.spark.createDataFrame([], LEARNED_SCHEMA).withColumn("vec", F.lit(None).cast("array<float>"))
+            return self.spark.createDataFrame([], LEARNED_SCHEMA)
         rows = self.spark.read.schema(LEARNED_SCHEMA + ", batch long").parquet(version["learned"])
-        visible = rows.filter(F.col("batch") <= version["last_batch"])
-        return visible.select("seq", "species", from_bytes(F.col("vec")).alias("vec"), "t")
+        return rows.filter(F.col("batch") <= version["last_batch"]).drop("batch")
 
-    def bank(self, version: Row) -> DataFrame:
+    def packed_bank(self, version: Row) -> DataFrame:
         """``row_id, species, vec, origin``: base rows first, then usable learned rows."""
-        good = self.learned(version).filter(row_verdict(F.col("vec"), version["dim"]) == "ok")
+        good = self.learned(version).filter(row_verdict(from_bytes(F.col("vec")), version["dim"]) == "ok")
         return bank_union(self.base(version), good, version["rows"])
 
+    def bank(self, version: Row) -> DataFrame:
+        """The same with vectors as arrays."""
+        return self.packed_bank(version).withColumn("vec", from_bytes(F.col("vec")))
+
     def append_learned(self, rows: DataFrame, batch: int | None = None) -> Row:
         """Append ``seq, species, vec``; the version rises by one per row.
 
@@ -141,8 +145,7 @@ class BankStore:
         if removed.isEmpty():
             return previous, removed
         path = f"{self.root}/learned/{uuid.uuid4().hex}"
-        kept = without(rows, removed).withColumn("vec", to_bytes(F.col("vec")))
-        kept.write.parquet(f"{path}/batch={previous['last_batch']}")
+        without(rows, removed).write.parquet(f"{path}/batch={previous['last_batch']}")
         return self._commit(previous, "forget", True, learned=path), removed
 
 

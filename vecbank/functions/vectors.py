@@ -93,13 +93,21 @@ def matrix_list(matrix: np.ndarray, value_type: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), values)
 
 
+def pack_list(vec: pa.Array) -> pa.Array:
+    """An Arrow list column as fp32 bytes; without nulls in it, the values are moved as one buffer."""
+    values = vec.flatten()
+    if vec.null_count or values.null_count:
+        return pa.array([None if v is None else np.array(v, dtype="<f4").tobytes() for v in vec.to_pylist()], pa.binary())
+    flat = values.to_numpy(zero_copy_only=False).astype("<f4")
+    lengths = vec.value_lengths().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths) * 4]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(vec), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 @F.arrow_udf(T.BinaryType())
 def to_bytes(vec: pa.Array) -> pa.Array:
-    """array<float> -> little-endian fp32 bytes."""
-    return pa.array(
-        [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in vec.to_numpy(zero_copy_only=False)],
-        type=pa.binary(),
-    )
+    """array<float> -> little-endian fp32 bytes. Use it on stored columns; see ``operators.bank.packed``."""
+    return pack_list(vec)
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))

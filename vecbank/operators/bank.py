@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecbank.functions.vectors import from_json_text, has_dim, is_finite, norm, to_bytes
+from vecbank.functions.vectors import from_json_text, has_dim, is_finite, list_matrix, matrix_list, norm, pack_list
 from vecbank.operators.ordered import numbered
 from vecbank.settings import FINGERPRINT_BLOCK, FINGERPRINT_CHARS, MIN_NORM
 
 
+def packed(
+    rows: DataFrame, column: str = "vec", normalize: bool = False, floor: float = 0.0, half: bool = False
+) -> DataFrame:
+    """``rows`` with a vector column as fp32 bytes, optionally brought to unit length or fp16 precision first.
+
+    A plan node of its own instead of a UDF column: the planner may lose a Python UDF whose argument
+    is a higher-order function. Nulls stay null; normalising needs equally long vectors.
+    """
+    schema = T.StructType(
+        [T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in rows.schema.fields]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(column)
+            if batch.num_rows and normalize:
+                matrix = list_matrix(vec)
+                length = np.linalg.norm(matrix, axis=1, keepdims=True)
+                vec = matrix_list(matrix / np.where(length < floor, 1.0, length), pa.float32())
+            if batch.num_rows and half:
+                vec = matrix_list(list_matrix(vec, np.float16), pa.float16())
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, column, pack_list(vec))
+
+    return rows.mapInArrow(run, schema)
+
+
 def bank_union(base: DataFrame, learned: DataFrame, base_rows: int | None = None) -> DataFrame:
     """Base rows first, learned rows after them in ``seq`` order (``row_id = base rows + place``).
 
@@ -60,9 +92,9 @@ def _digest(parts: Column) -> Column:
     return F.sha1(parts.cast("binary"))
 
 
-def row_hash(species: Column, vec: Column) -> Column:
+def row_hash(species: Column, packed_vec: Column) -> Column:
     """Hash of one bank row over its label and the fp32 bytes of its vector."""
-    return F.sha1(F.concat(species.cast("binary"), F.lit("\n").cast("binary"), to_bytes(vec)))
+    return F.sha1(F.concat(species.cast("binary"), F.lit("\n").cast("binary"), packed_vec))
 
 
 def fingerprint_blocks(rows: DataFrame, block: int = FINGERPRINT_BLOCK) -> DataFrame:
@@ -109,7 +141,5 @@ def combine_blocks(blocks: DataFrame, model_id: str, block: int = FINGERPRINT_BL
 
 def migrate_json_vectors(rows: DataFrame) -> DataFrame:
     """``id, species, vec_bytes, accepted``: JSON text vectors as fp32 bytes; broken ones are rejected."""
-    parsed = rows.withColumn("_vec", from_json_text(F.col("vec_text")))
-    return parsed.select(
-        "id", "species", to_bytes(F.col("_vec")).alias("vec_bytes"), F.col("_vec").isNotNull().alias("accepted")
-    )
+    parsed = rows.select("id", "species", from_json_text(F.col("vec_text")).alias("vec_bytes"))
+    return packed(parsed, "vec_bytes").withColumn("accepted", F.col("vec_bytes").isNotNull())

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.functions.vectors import from_base64, has_dim, to_base64
+from vecbank.functions.vectors import from_base64, has_dim
+from vecbank.operators.bank import packed
 from vecbank.operators.ordered import numbered
 
 LINE_SCHEMA = "species string, vec string, t long, _corrupt_record string"
@@ -39,7 +40,7 @@ def read_learned(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 def write_learned(learned: DataFrame, path: str, mode: str = "append") -> None:
     """Append ``species, vec, t`` as lines. Each call adds files, it never rewrites one."""
-    lines = learned.select("species", to_base64(F.col("vec").cast("array<float>")).alias("vec"), "t")
+    lines = packed(learned.select("species", "vec", "t")).withColumn("vec", F.base64("vec"))
     lines.write.mode(mode).json(path)
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vecbank.functions.names import stored_label
-from vecbank.functions.vectors import from_bytes, half_precision, l2_normalize, to_bytes
-from vecbank.operators.bank import bank_union, row_verdict
+from vecbank.functions.vectors import from_bytes
+from vecbank.operators.bank import bank_union, packed, row_verdict
 from vecbank.operators.changes import forget_label, latest_learned, without
 from vecbank.settings import PUBLISH_MIN_NORM
 
@@ -68,11 +68,8 @@ class BankStore:
         """
         previous = self.active()
         path = f"{self.root}/base/{uuid.uuid4().hex}"
-        vec = l2_normalize(F.col("vec"), floor=PUBLISH_MIN_NORM) if normalize else F.col("vec")
-        stored = bank.select("row_id", stored_label(F.col("species")).alias("species"), vec.cast("array<float>").alias("vec"))
-        if dtype == "fp16":
-            stored = stored.withColumn("vec", half_precision(F.col("vec")))
-        stored.withColumn("vec", to_bytes(F.col("vec"))).write.parquet(path)
+        rows = bank.select("row_id", stored_label(F.col("species")).alias("species"), "vec")
+        packed(rows, normalize=normalize, floor=PUBLISH_MIN_NORM, half=dtype == "fp16").write.parquet(path)
         return self.activate(previous, path, model_id, dim, dtype)
 
     def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str) -> Row:
@@ -120,10 +117,7 @@ class BankStore:
             return previous
         batch = previous["last_batch"] + 1 if batch is None else batch
         path = previous["learned"] or f"{self.root}/learned/{uuid.uuid4().hex}"
-        stamped = rows.select(
-            "seq", "species", to_bytes(F.col("vec").cast("array<float>")).alias("vec"),
-            F.lit(int(time.time())).cast("long").alias("t"),
-        )
+        stamped = packed(rows.select("seq", "species", "vec")).withColumn("t", F.lit(int(time.time())).cast("long"))
         stamped.write.mode("overwrite").parquet(f"{path}/batch={batch}")
         added = self.spark.read.schema(LEARNED_SCHEMA).parquet(f"{path}/batch={batch}").count()
         return self._commit(previous, "learn", False, steps=added, learned=path, last_batch=batch)

@@ -57,7 +57,8 @@ def versions(log: DataFrame) -> DataFrame:
     whose label was taught since its last forget. Forgets that count and reloads also start a new
     generation. Nothing here needs a global single-task window.
     """
-    keyed = log.withColumn("_key", F.coalesce(name_key(F.col("species")), F.lit("")))
+    label = F.concat(F.lit("="), F.coalesce(name_key(F.col("species")), F.lit("")))
+    keyed = log.withColumn("_key", F.when(F.col("op") == "reload", "reload").otherwise(label))
     with_previous = previous_value(keyed, ["seq"], ["_key"], "op", "_previous")
     removed = (F.col("op") == "forget") & F.coalesce(F.col("_previous") == "learn", F.lit(False))
     changed = removed | F.col("op").isin("learn", "reload")

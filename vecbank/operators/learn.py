@@ -121,7 +121,6 @@ def learn(
         "seq", strip(F.col("name")).alias("name"), "allow_new", valid.alias("valid"),
         F.when(valid, l2_normalize(F.col("vec"))).alias("vec"),
     ).withColumn("key", name_key(F.col("name")))
-    asked = materialize(asked, "requests")
 
     known = name_index(bank).withColumnRenamed("species", "known")
     # The first admissible request of an unknown key founds the species.
@@ -138,6 +137,8 @@ def learn(
         "status",
         F.when(~F.col("valid"), "bad_image").when(F.col("species").isNull(), "unknown").otherwise("open"),
     )
+    # Stored: several steps below read it, and the names of the bank are scanned only once.
+    resolved = materialize(resolved.select("seq", "name", "species", "status", "vec"), "requests")
     open_items = resolved.filter(F.col("status") == "open").select(F.col("seq").alias("item_id"), "species", "vec")
 
     targets = bank.join(open_items.select("species").distinct(), "species", "left_semi")

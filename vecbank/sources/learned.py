@@ -47,9 +47,9 @@ def write_learned(learned: DataFrame, path: str, mode: str = "append") -> None:
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     """The metadata of a published bank; a missing or broken file gives no row."""
     try:
-        meta = spark.read.schema(META_SCHEMA + ", _corrupt_record string").option("multiLine", True).json(path)
+        meta = spark.read.schema(META_SCHEMA).option("multiLine", True).json(path)
     except Exception as error:  # noqa: BLE001 - the analyzer raises when the path is missing
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], META_SCHEMA)
-    return meta.filter("_corrupt_record is null").drop("_corrupt_record")
+    return meta.filter("rows is not null")  # a broken file parses to nulls

@@ -127,13 +127,13 @@ def prepare_images(images: DataFrame, key: str, epoch: int | None = None) -> Dat
     return source.mapInArrow(run, f"`{key}` string, pixels array<float>")
 
 
-def project(rows: DataFrame, key: str, weights: dict[str, np.ndarray]) -> DataFrame:
-    """Projection head: linear, ReLU, linear, unit length. Returns ``key, vec``.
+def project(rows: DataFrame, weights: dict[str, np.ndarray], keep: list[str]) -> DataFrame:
+    """Projection head: linear, ReLU, linear, unit length. Returns the ``keep`` columns and ``vec``.
 
     The weights (a few MB at most) travel with the task; rows stay where they are.
     """
     shared = rows.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([rows.schema[key], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -143,11 +143,10 @@ def project(rows: DataFrame, key: str, weights: dict[str, np.ndarray]) -> DataFr
             x = list_matrix(batch.column("feat"))
             out = np.maximum(x @ w["w1"].T + w["b1"], 0.0) @ w["w2"].T + w["b2"]
             lengths = np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), matrix_list(out / lengths, pa.float64())], names=[key, "vec"]
-            )
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, matrix_list(out / lengths, pa.float64())], names=[*keep, "vec"])
 
-    return rows.select(key, "feat").mapInArrow(run, schema)
+    return rows.select(*keep, "feat").mapInArrow(run, schema)
 
 
 def feature_dropout(vec: Column, row_id: Column, seed: int, rate: float = HEAD_DROPOUT) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vecbank.functions.vectors import list_matrix
 from vecbank.operators.embedding import project
-from vecbank.operators.quality import head_accuracy, retrieval_accuracy
+from vecbank.operators.quality import retrieval_accuracy
 from vecbank.settings import (
     COSINE_SCALE, HEAD_BATCH, HEAD_DROPOUT, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, HEAD_WEIGHT_DECAY, LABEL_SMOOTHING,
 )
@@ -219,9 +219,26 @@ def _load(path: str) -> tuple[AdamW, Weights, list[dict]] | None:
     return state, {n: saved[f"best_{n}"] for n in NAMES}, list(saved["history"])
 
 
-def _embedded(rows: DataFrame, weights: Weights, labels: DataFrame, key: str) -> DataFrame:
-    named = rows.select("id", "label").join(labels, "label")
-    return project(rows, "id", weights).join(named, "id").select(F.col("id").alias(key), "species", "vec")
+def _embedded(rows: DataFrame, weights: Weights, key: str) -> DataFrame:
+    named = rows.select(F.col("id").alias(key), F.col("label").cast("string").alias("species"), "feat")
+    return project(named, weights, [key, "species"])
+
+
+def _class_accuracy(embedded: DataFrame, classes: np.ndarray) -> float:
+    """Per cent of rows whose nearest class weight is their label; the class table travels to the rows."""
+    shared = embedded.sparkSession.sparkContext.broadcast(
+        classes / np.maximum(np.linalg.norm(classes, axis=1, keepdims=True), 1e-12)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = (list_matrix(batch.column("vec")) @ shared.value.T).argmax(axis=1)
+                own = np.array(batch.column("species").to_pylist(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(own)]), pa.array([int((found == own).sum())])], ["n", "hits"])
+
+    sums = embedded.mapInArrow(run, "n long, hits long").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
+    return 100.0 * (sums["hits"] or 0) / max(sums["n"] or 0, 1)
 
 
 def train_head(
@@ -259,8 +276,6 @@ def train_head(
         if h["improved"]:
             break
         stale += 1
-    labels = train.select("label").union(val.select("label")).distinct()
-    labels = labels.withColumn("species", F.lpad(F.col("label").cast("string"), 10, "0"))
 
     for epoch in range(len(history), epochs):
         if has_val and stale >= patience:
@@ -269,10 +284,10 @@ def train_head(
         state, loss, train_acc = train_epoch(train, state, epoch, rate, batch, dropout)
         val_acc = retrieval = 0.0
         if has_val:
-            queries = _embedded(val, state.weights, labels, "query_id")
-            bank = _embedded(train, state.weights, labels, "row_id")
+            queries = _embedded(val, state.weights, "query_id")
+            bank = _embedded(train, state.weights, "row_id")
             retrieval = retrieval_accuracy(queries, bank).first()["accuracy"]
-            val_acc = head_accuracy(queries, _class_table(train, state.weights, n_classes)).first()["accuracy"]
+            val_acc = _class_accuracy(queries, state.weights["classes"])
         score = retrieval if has_val else float(epoch)
         improved = score > best_score
         if improved:
@@ -286,12 +301,3 @@ def train_head(
         if state_path:
             _save(state_path, state, best, history)
     return best, history
-
-
-def _class_table(rows: DataFrame, weights: Weights, n_classes: int) -> DataFrame:
-    """Class weights as ``species, vec`` (one row per class, bounded by the label dictionary)."""
-    spark = rows.sparkSession
-    return spark.createDataFrame(
-        [(f"{i:010d}", [float(x) for x in weights["classes"][i]]) for i in range(n_classes)],
-        "species string, vec array<double>",
-    )

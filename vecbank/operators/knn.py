@@ -27,31 +27,54 @@ _HITS = "query_id long, row_id long, species string, sim double"
 
 
 def top_k_hits(
-    sims: np.ndarray, row_ids: np.ndarray, k: int, floor: np.ndarray | None = None
+    queries: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, floor: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity) positions of the k best rows per query, ties by row id.
 
-    ``floor`` holds similarities that are already beaten k times; rows below it are not looked at.
+    A single-precision product finds the candidates: everything that its rounding error could still
+    lift over the k-th best. Only those are multiplied in double precision and ranked. ``floor`` holds
+    similarities that are already reached k times; rows below it are not looked at.
     """
-    n_rows = sims.shape[1]
-    if floor is None:
-        floor = np.full(len(sims), -np.inf)
-        if n_rows > k:
-            floor = np.partition(sims, n_rows - k, axis=1)[:, n_rows - k]
-    q, r = np.nonzero(sims >= floor[:, None] - _MARGIN)
-    best = np.round(sims[q, r], SIM_DECIMALS)
+    approx = queries.astype(np.float32) @ rows.astype(np.float32, copy=False).T
+    longest = np.sqrt(np.nanmax(np.einsum("ij,ij->i", rows, rows, dtype=np.float64), initial=0.0))
+    # Bound of the error of a product of dim values, inputs rounded to single precision as well.
+    slack = (queries.shape[1] + 8) * 2.0**-24 * np.linalg.norm(queries, axis=1) * longest + _MARGIN
+    n_rows = approx.shape[1]
+    if floor is not None:
+        least = floor - slack
+    elif n_rows > k:
+        least = np.partition(approx, n_rows - k, axis=1)[:, n_rows - k] - 2 * slack
+    else:
+        least = np.full(len(queries), -np.inf)
+    q, r = np.nonzero(approx >= least.astype(np.float32)[:, None] - np.float32(1e-6))
+    best = np.round(_dots(queries, rows, q, r), SIM_DECIMALS)
     order = np.lexsort((row_ids[r], -best, q))
     q, r, best = q[order], r[order], best[order]
-    keep = _rank(q, len(sims)) < k
+    keep = _rank(q, len(queries)) < k
     return q[keep], r[keep], best[keep]
 
 
+def _dots(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Double-precision dot products of chosen pairs, a bounded number at a time."""
+    out = np.empty(len(q))
+    for a in range(0, len(q), step):
+        part = slice(a, a + step)
+        out[part] = np.einsum("ij,ij->i", queries[q[part]], rows[r[part]], dtype=np.float64)
+    return out
+
+
 def _rank(sorted_groups: np.ndarray, n_groups: int) -> np.ndarray:
     """Place from 0 within each group of a sorted array."""
     starts = np.searchsorted(sorted_groups, np.arange(n_groups))
     return np.arange(len(sorted_groups)) - starts[sorted_groups]
 
 
+def bank_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Bank rows in the precision they are stored in."""
+    wide = pa.types.is_list(column.type) and pa.types.is_float64(column.type.value_type)
+    return list_matrix(column, np.float64 if wide else np.float32)
+
+
 def _hits_batch(q_ids, row_ids, species, sims) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(q_ids, pa.int64()), pa.array(row_ids, pa.int64()), species, pa.array(sims, pa.float64())],
@@ -79,14 +102,14 @@ def _scan_bank(rows: pa.Table, bank: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = list_matrix(batch.column("vec"))
+            matrix = bank_matrix(batch.column("vec"))
             row_ids = batch.column("row_id").to_numpy()
             species = _string_array(batch.column("species"))
             parts = [(best_q, best_row, best_sim, best_species)]
             for start in range(0, len(q_ids), _QUERY_CHUNK):
                 stop = start + _QUERY_CHUNK
-                sims = q_matrix[start:stop] @ matrix.T
-                q, r, sim = top_k_hits(sims, row_ids, k, None if floor is None else floor[start:stop])
+                limit = None if floor is None else floor[start:stop]
+                q, r, sim = top_k_hits(q_matrix[start:stop], matrix, row_ids, k, limit)
                 parts.append((q + start, row_ids[r], sim, species.take(pa.array(r))))
             q, row, sim = (np.concatenate([p[i] for p in parts]) for i in range(3))
             names = pa.concat_arrays([p[3] for p in parts])
@@ -177,11 +200,11 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
     def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
         q_ids = left.column("query_id").to_numpy()
         row_ids = right.column("row_id").to_numpy()
-        rows = list_matrix(right.column("vec"))
+        rows = bank_matrix(right.column("vec"))
         asked = list_matrix(left.column("q_vec"))
         outs = []
         for start in range(0, len(q_ids), _QUERY_CHUNK):
-            q, r, sim = top_k_hits(asked[start : start + _QUERY_CHUNK] @ rows.T, row_ids, k)
+            q, r, sim = top_k_hits(asked[start : start + _QUERY_CHUNK], rows, row_ids, k)
             outs.append((q_ids[start + q], r, sim))
         q, r, sim = (np.concatenate([o[i] for o in outs]) for i in range(3))
         species = _string_array(right.column("species"))

@@ -67,8 +67,7 @@ def train_and_publish(
     train = read_split_features(store.spark, features, "train")
     val = read_split_features(store.spark, features, "val")
     weights, history = train_head(train, val, labels.count(), dim, **options)
-    vectors = project(train, "id", weights)
-    codes = train.select("id", F.col("label").alias("idx"))
-    named = decode_labels(codes, labels.select(F.col("idx").cast("int").alias("idx"), "species"), "idx")
-    bank = numbered(vectors.join(named, "id"), ["id"], name="_n").withColumn("row_id", F.col("_n") - 1)
+    vectors = project(train.withColumnRenamed("label", "idx"), weights, ["id", "idx"])
+    named = decode_labels(vectors, labels.select(F.col("idx").cast("int").alias("idx"), "species"), "idx")
+    bank = numbered(named, ["id"], name="_n").withColumn("row_id", F.col("_n") - 1)
     return store.publish(bank.select("row_id", "species", "vec"), model_id, dim, dtype), weights, history

@@ -280,7 +280,7 @@ def npy_scan(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "npy")
     write_npy(embeddings(spark, sf), out, dtype="fp32", rows_per_shard=200)
     spark.dataSource.register(NpySource)
-    vectors = spark.read.format("npy").option("rowsPerPartition", 64).load(f"{out}/base_features")
+    vectors = spark.read.format("npy").option("rowsPerPartition", 150).load(f"{out}/base_features")
     labels = spark.read.format("npy").load(f"{out}/base_species")
     rows = join_positions(labels, vectors)
     x = F.round(F.get(as_double(F.col("vec")), 6), 6) + F.lit(0.0)

@@ -116,7 +116,7 @@ def toy_weights(in_dim: int) -> dict[str, np.ndarray]:
 )
 def projection_head(spark: SparkSession, sf: str) -> DataFrame:
     rows = embeddings(spark, sf).withColumnRenamed("vec", "feat")
-    out = project(rows, "row_id", toy_weights(64)).select("row_id", F.posexplode("vec").alias("pos", "x"))
+    out = project(rows, toy_weights(64), ["row_id"]).select("row_id", F.posexplode("vec").alias("pos", "x"))
     return out.select("row_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 

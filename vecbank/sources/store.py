@@ -99,6 +99,8 @@ class BankStore:
 
     def packed_bank(self, version: Row) -> DataFrame:
         """``row_id, species, vec, origin``: base rows first, then usable learned rows."""
+        if not version["learned"]:
+            return self.base(version).withColumn("origin", F.lit("base"))
         good = self.learned(version).filter(row_verdict(from_bytes(F.col("vec")), version["dim"]) == "ok")
         return bank_union(self.base(version), good, version["rows"])
 

@@ -74,10 +74,6 @@ def map_sorted_groups(
     return sorted_df.mapInArrow(run, schema)
 
 
-def _with_block_counts(df: DataFrame, group: str, rows: int, name: str) -> DataFrame:
-    return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-
-
 def blocked_join(
     left: DataFrame,
     right: DataFrame,
@@ -88,16 +84,21 @@ def blocked_join(
     schema: str,
     left_rows: int = BLOCK_ROWS,
     right_rows: int = BLOCK_ROWS,
+    right_sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Let all rows that agree on ``group`` meet, block against block.
 
     The group sizes decide into how many blocks either side is salted. A left row is copied once per
     right block of its group and the reverse, which is the least a complete comparison can ship.
     ``kernel(left, right)`` sees two bounded tables and returns reduced rows (a maximum, a top-k),
-    never the pairs. Columns of the two sides are united by name.
+    never the pairs. Columns of the two sides are united by name. ``right_sizes`` (group, ``n``) saves
+    counting a right side whose group sizes are known.
     """
-    sizes = _with_block_counts(left, group, left_rows, "_nl").join(
-        _with_block_counts(right, group, right_rows, "_nr"), group
+    if right_sizes is None:
+        right_sizes = right.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    left_sizes = left.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = left_sizes.select(group, F.ceil(F.col("n") / left_rows).cast("int").alias("_nl")).join(
+        right_sizes.select(group, F.ceil(F.col("n") / right_rows).cast("int").alias("_nr")), group
     )
     salt_left = F.pmod(F.xxhash64(F.col(left_id)), F.col("_nl")).cast("int")
     salt_right = F.pmod(F.xxhash64(F.col(right_id)), F.col("_nr")).cast("int")

@@ -193,8 +193,11 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
     pivots = list_matrix(sample.column("vec"))
     cells = _nearest_pivot(bank, pivots)
     radius = np.zeros(len(pivots))
-    for row in cells.groupBy("cell").agg(F.max("distance").alias("radius")).collect():
+    extents = cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n"))
+    extents = extents.collect()  # one row per pivot
+    for row in extents:
         radius[row["cell"]] = row["radius"]
+    sizes = bank.sparkSession.createDataFrame([(r["cell"], r["n"]) for r in extents], "cell int, n long")
     routed = _route_queries(queries, pivots, radius, k)
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
@@ -211,7 +214,7 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
         return _hits_batch(q, row_ids[r], species.take(pa.array(r)), sim)
 
     return blocked_join(
-        routed, cells.drop("distance"), "cell", "query_id", "row_id", kernel, _HITS, block_rows, block_rows
+        routed, cells.drop("distance"), "cell", "query_id", "row_id", kernel, _HITS, block_rows, block_rows, sizes
     )
 
 

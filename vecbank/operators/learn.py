@@ -101,6 +101,19 @@ def reject_near_duplicates(
         left = materialize(rest.join(near, "item_id", "left_anti"), "undecided")
 
 
+def label_table(bank: DataFrame) -> DataFrame:
+    """``species, row_id, count``: first row and number of rows of every label."""
+    return bank.groupBy("species").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("count"))
+
+
+def _rows_of(bank: DataFrame, species: DataFrame, pushed: int = 500) -> DataFrame:
+    """Bank rows of some species. A short list becomes a filter that a clustered bank can skip files by."""
+    few = [r["species"] for r in species.limit(pushed + 1).collect()]
+    if len(few) <= pushed:
+        return bank.filter(F.col("species").isin(few))
+    return bank.join(species, "species", "left_semi")
+
+
 def learn(
     bank: DataFrame,
     requests: DataFrame,
@@ -109,20 +122,23 @@ def learn(
     head_rows: int = HEAD_ROWS,
     block_rows: int = BLOCK_ROWS,
     with_suggestions: bool = False,
+    labels: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Teach ``requests`` (``seq long, name, vec, allow_new boolean``) in ``seq`` order.
 
     Returns (results, learned). results has one row per request: ``seq, status, species, examples,
     suggestions``; learned holds the rows to append: ``seq, species, vec`` (normalised). The bank
     (``row_id, species, vec``) is the state before the batch; suggestions refer to that state.
+    ``labels`` (see :func:`label_table`) saves scanning the bank for its names and counts.
     """
+    labels = label_table(bank) if labels is None else labels
     valid = is_usable(F.col("vec"), dim) & is_valid_name(F.col("name"))
     asked = requests.select(
         "seq", strip(F.col("name")).alias("name"), "allow_new", valid.alias("valid"),
         F.when(valid, l2_normalize(F.col("vec"))).alias("vec"),
     ).withColumn("key", name_key(F.col("name")))
 
-    known = name_index(bank).withColumnRenamed("species", "known")
+    known = name_index(labels).withColumnRenamed("species", "known")
     # The first admissible request of an unknown key founds the species.
     founders = (
         asked.filter(F.col("valid") & F.col("allow_new"))
@@ -141,14 +157,14 @@ def learn(
     resolved = materialize(resolved.select("seq", "name", "species", "status", "vec"), "requests")
     open_items = resolved.filter(F.col("status") == "open").select(F.col("seq").alias("item_id"), "species", "vec")
 
-    targets = bank.join(open_items.select("species").distinct(), "species", "left_semi")
+    targets = _rows_of(bank, open_items.select("species").distinct())
     in_bank = max_similarity(open_items, targets, block_rows).filter(F.col("max_sim") >= dup_sim)
     remaining = open_items.join(in_bank.select("item_id"), "item_id", "left_anti")
     accepted = reject_near_duplicates(remaining, dup_sim, head_rows, block_rows)
 
     # Examples of the species right after this item was added.
     counted = numbered(accepted, ["item_id"], ["species"], "nth")
-    held = bank.groupBy("species").agg(F.count(F.lit(1)).alias("held"))
+    held = labels.select("species", F.col("count").alias("held"))
     counted = counted.join(held, "species", "left").select(
         F.col("item_id").alias("seq"), (F.col("nth") + F.coalesce("held", F.lit(0))).alias("examples")
     )
@@ -164,7 +180,7 @@ def learn(
     results = results.drop("vec")
     if with_suggestions:
         unknown = results.filter(F.col("status") == "unknown").select("name")
-        close = suggest_names(unknown, bank.select("species"))
+        close = suggest_names(unknown, labels)
         results = results.withColumn("word", new_name(F.col("name"))).join(close, "word", "left")
     else:
         results = results.withColumn("suggestions", F.lit(None).cast("array<string>"))

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecbank.functions.vectors import as_double, dot, l2_normalize
+from vecbank.functions.vectors import as_double, dot, l2_normalize, list_matrix, matrix_list
 from vecbank.operators.knn import knn
 from vecbank.operators.ordered import OrderedRanges, numbered, previous_value, running_totals
 from vecbank.settings import COSINE_SCALE, FLUSHES_PER_LOG, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, PARITY_MIN_COS
 
+_LABELS_IN_TASK = 10000
+
 
 def embedding_parity(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """``n, min_cos, mean_cos, max_abs_diff`` of two embeddings of the same items (``item_id, vec``)."""
@@ -45,12 +50,44 @@ def retrieval_accuracy(queries: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def class_centroids(rows: DataFrame) -> DataFrame:
-    """Mean vector per species as class weights (``idx`` sorted by species).
+    """Mean vector per species as class weights.
 
-    Sums are kept per position, so a hot species is reduced on the map side.
+    Tasks add up their own rows first, so what is shuffled grows with labels and tasks, not with rows,
+    and a hot species costs no more than another.
     """
-    cells = rows.select("species", F.posexplode(as_double(F.col("vec"))).alias("pos", "x"))
-    means = cells.groupBy("species", "pos").agg(F.avg("x").alias("x"))
+
+    def flush(sums: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(sums), pa.string()), pa.array([n for n, _ in sums.values()], pa.int64()),
+                matrix_list(np.stack([total for _, total in sums.values()]), pa.float64()),
+            ],
+            names=["species", "n", "total"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names = batch.column("species").cast(pa.string()).dictionary_encode()
+            codes = names.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            totals = np.add.reduceat(list_matrix(batch.column("vec"))[order], starts, axis=0)
+            counts = np.diff(np.append(starts, len(order)))
+            for name, n, total in zip(names.dictionary.to_pylist(), counts, totals):
+                held = sums.setdefault(name, [0, 0.0])
+                held[0], held[1] = held[0] + int(n), held[1] + total
+            if len(sums) >= _LABELS_IN_TASK:
+                yield flush(sums)
+                sums = {}
+        if sums:
+            yield flush(sums)
+
+    partial = rows.select("species", "vec").mapInArrow(run, "species string, n long, total array<double>")
+    cells = partial.select("species", "n", F.posexplode("total").alias("pos", "x"))
+    means = cells.groupBy("species", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
     # One list entry per vector position.
     return means.groupBy("species").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("vec")

@@ -24,7 +24,7 @@ def embed_distinct(
 ) -> tuple[DataFrame, DataFrame]:
     """Embed every distinct content once and give all its copies the same vector.
 
-    Returns (items with ``hash, vec``, cache rows ``hash, vec``). ``embed`` gets ``hash, content`` rows
+    Returns (items without their content but with ``hash, vec``; cache rows ``hash, vec``). ``embed`` gets ``hash, content`` rows
     and returns ``hash, vec``. Hashes that ``cache`` holds are not embedded again. ``dropDuplicates``
     combines on the map side, so a content with very many copies stays cheap.
     """
@@ -36,7 +36,8 @@ def embed_distinct(
     vectors = embed(distinct)
     if cache is not None:
         vectors = cache.unionByName(vectors)
-    return hashed.join(vectors, "hash", "left"), vectors
+    # The content itself stays out of the join; a very frequent hash is split by the adaptive join.
+    return hashed.drop(content).join(vectors, "hash", "left"), vectors
 
 
 def counters(results: DataFrame) -> DataFrame:

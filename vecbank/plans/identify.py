@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.functions.vectors import is_finite, norm
+from vecbank.functions.vectors import has_dim, is_finite, norm
 from vecbank.operators.embedding import Predict, embed_images
 from vecbank.operators.knn import knn
 from vecbank.operators.serving import ordered_results
@@ -22,10 +22,11 @@ class EmptyBank(RuntimeError):
     """There are queries, but nothing to match them against."""
 
 
-def readable(queries: DataFrame) -> DataFrame:
-    """Queries with a finite vector that is not (almost) zero."""
-    length = norm(F.col("vec"))
-    ok = F.col("vec").isNotNull() & is_finite(F.col("vec")) & (length >= MIN_NORM)
+def readable(queries: DataFrame, dim: int | None = None) -> DataFrame:
+    """Queries with a finite vector that is not (almost) zero, and has ``dim`` values if given."""
+    ok = F.col("vec").isNotNull() & is_finite(F.col("vec")) & (norm(F.col("vec")) >= MIN_NORM)
+    if dim is not None:
+        ok = ok & has_dim(F.col("vec"), dim)
     return queries.filter(F.coalesce(ok, F.lit(False)))
 
 
@@ -36,9 +37,10 @@ def identify(
     near_exact: float | None = NEAR_EXACT_SIM,
     threshold: float = CONFIDENCE_THRESHOLD,
     bank_version: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """One row per query (``query_id, vec``): the published prediction, ``ok`` false if unreadable."""
-    good = readable(queries)
+    good = readable(queries, dim)
     if bank.isEmpty() and not good.isEmpty():
         raise EmptyBank("the feature bank is empty")
     predictions = vote(knn(good, bank, k), near_exact)
@@ -53,7 +55,7 @@ def identify_from_store(store: BankStore, queries: DataFrame, **options) -> Data
     version = store.active()
     if version is None:
         raise EmptyBank("no bank was published")
-    return identify(queries, store.packed_bank(version), bank_version=version["version"], **options)
+    return identify(queries, store.packed_bank(version), bank_version=version["version"], dim=version["dim"], **options)
 
 
 def identify_folder(

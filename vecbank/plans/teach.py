@@ -26,7 +26,9 @@ def teach(
     grow from batch to batch. With ``out`` the results are stored there before the bank changes.
     """
     version = store.active()
-    results, learned = learn(store.packed_bank(version), requests, dim=version["dim"], **options)
+    results, learned = learn(
+        store.packed_bank(version), requests, dim=version["dim"], labels=store.labels(version), **options
+    )
     # Stored before the bank changes: the lazy plan must not see its own additions.
     if out:
         results.write.mode("overwrite").parquet(out)
@@ -41,8 +43,7 @@ def forget(store: BankStore, species: str | None = None, last: bool = False) ->
     """Forget by name (resolved against the bank) or undo; returns (version, removal summary)."""
     target = None
     if species:
-        bank = store.packed_bank(store.active())
-        found = name_index(bank).filter(F.col("key") == name_key(F.lit(species))).first()
+        found = name_index(store.labels(store.active())).filter(F.col("key") == name_key(F.lit(species))).first()
         if found is None:
             raise UnknownSpecies(species)
         target = found["species"]

@@ -172,7 +172,7 @@ EXTENSION = "lower(regexp_extract(regexp_extract(regexp_extract(url, '^[^?#]*'),
 
 
 @query(
-    "extension_filter",
+    "ext_filter",
     f"select page_id, {EXTENSION} as extension, {EXTENSION} in ('.html', '.htm') as accepted from pages",
 )
 def extension_filter(spark: SparkSession, sf: str) -> DataFrame:

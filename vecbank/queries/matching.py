@@ -11,7 +11,7 @@ from vecbank.operators.vote import confident_only, publish_prediction, vote
 from vecbank.plans.identify import identify
 from vecbank.queries import query
 from vecbank.queries.inputs import (
-    DAMAGED, E, MICROS_TEXT, SCALED, VOTE_SQL, as_queries, blend_sql, blended, damaged, embeddings, hits_sql,
+    DAMAGED, DIM, E, MICROS_TEXT, SCALED, VOTE_SQL, as_queries, blend_sql, blended, damaged, embeddings, hits_sql,
     micros, micros_text, scaled,
 )
 from vecbank.session import materialize, scratch_path
@@ -122,28 +122,26 @@ IDENTIFY_SQL = f"""with {E}, {DAMAGED},
           and list_dot_product(vec, vec) > 0),
     {hits_sql('q', 'e', 5)}, {VOTE_SQL}, {NEAR_EXACT}
     select d.row_id as query_id, f.species, round(f.score, 6) as score, f.query_id is not null as ok
-    from damaged d left join final f on f.query_id = d.row_id where len(d.vec) = 64"""
+    from damaged d left join final f on f.query_id = d.row_id"""
 
 
-def _readable_width(spark: SparkSession, sf: str) -> DataFrame:
-    """Damaged vectors without the cut ones: a model never emits another width."""
-    rows = damaged(spark, sf).filter(F.size("vec") == 64)
-    return rows.select(F.col("row_id").alias("query_id"), "vec")
+def _damaged_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return damaged(spark, sf).select(F.col("row_id").alias("query_id"), "vec")
 
 
 @query("identify_batch", IDENTIFY_SQL)
 def identify_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Unreadable inputs keep their place with a null result."""
-    return identify(_readable_width(spark, sf), embeddings(spark, sf)).select("query_id", "species", "score", "ok")
+    return identify(_damaged_queries(spark, sf), embeddings(spark, sf), dim=DIM).select("query_id", "species", "score", "ok")
 
 
 @query("identify_stream", IDENTIFY_SQL)
 def identify_in_stream(spark: SparkSession, sf: str) -> DataFrame:
     source = scratch_path(spark, "queries")
-    _readable_width(spark, sf).repartition(4).write.parquet(source)
+    _damaged_queries(spark, sf).repartition(4).write.parquet(source)
     stream = file_stream(spark, source, "query_id long, vec array<double>", files_per_batch=2)
     out = scratch_path(spark, "identified")
-    identify_stream(stream, embeddings(spark, sf), out, scratch_path(spark, "checkpoint"))
+    identify_stream(stream, embeddings(spark, sf), out, scratch_path(spark, "checkpoint"), dim=DIM)
     return stream_output(spark, out).select("query_id", "species", "score", "ok")
 
 

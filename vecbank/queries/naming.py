@@ -41,10 +41,10 @@ def label_of_folder(spark: SparkSession, sf: str) -> DataFrame:
     return name_variants(spark, sf).select("p_partkey", folder_label(F.col("name")).alias("label"))
 
 
-@query("stored_label", "select doc_id, substr(text, 1, 64) as label from documents")
+@query("stored_label", f"with {VARIANTS} select p_partkey, substr(repeat(name, 10), 1, 64) as label from variants")
 def published_label(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels have a fixed width of 64 characters when published; here any text serves as a label."""
-    return table(spark, sf, "documents").select("doc_id", stored_label(F.col("text")).alias("label"))
+    """Published labels are at most 64 characters long."""
+    return name_variants(spark, sf).select("p_partkey", stored_label(F.repeat("name", F.lit(10))).alias("label"))
 
 
 BANK_NAMES = """bank as (select p_partkey as row_id,

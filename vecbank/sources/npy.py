@@ -112,7 +112,7 @@ def _npy_bytes(array: np.ndarray) -> list[bytes]:
     return [head.getvalue(), np.ascontiguousarray(array).tobytes()]
 
 
-def write_npy(bank: DataFrame, out: str, dtype: str = "fp16", rows_per_shard: int = 262144) -> int:
+def write_npy(bank: DataFrame, out: str, dtype: str = "fp16", rows_per_shard: int = 65536) -> int:
     """Write ``row_id, species, vec`` as shards ``out/base_features/*.npy`` and ``out/base_species/*.npy``.
 
     ``row_id`` has to run from 0 without gaps. Returns the number of rows written.
@@ -125,7 +125,7 @@ def write_npy(bank: DataFrame, out: str, dtype: str = "fp16", rows_per_shard: in
         for a, b in zip(bounds[:-1], bounds[1:]):
             part = table.slice(int(a), int(b - a))
             name = f"part-{part.column('shard')[0].as_py():06d}.npy"
-            vectors = list_matrix(part.column("vec")).astype(value_type)
+            vectors = list_matrix(part.column("vec"), np.float32).astype(value_type)
             labels = np.array(part.column("species").to_pylist(), dtype="U64")
             write_atomically(f"{out}/base_features/{name}", _npy_bytes(vectors), attempt)
             write_atomically(f"{out}/base_species/{name}", _npy_bytes(labels), attempt)

@@ -17,6 +17,7 @@ from vecbank.functions.names import stored_label
 from vecbank.functions.vectors import from_bytes
 from vecbank.operators.bank import bank_union, packed, row_verdict
 from vecbank.operators.changes import forget_label, latest_learned, without
+from vecbank.operators.learn import label_table
 from vecbank.settings import PUBLISH_MIN_NORM
 
 MANIFEST_SCHEMA = (
@@ -24,6 +25,7 @@ MANIFEST_SCHEMA = (
     "model_id string, dim int, dtype string, rows long, written_at long"
 )
 BASE_SCHEMA = "row_id long, species string, vec binary"
+LABEL_SCHEMA = "species string, row_id long, count long"
 LEARNED_SCHEMA = "seq long, species string, vec binary, t long"
 
 
@@ -31,6 +33,10 @@ class DimensionMismatch(RuntimeError):
     """The model and the bank disagree on the vector width; the old version stays active."""
 
 
+def _labels_path(base: str) -> str:
+    return f"{base}-labels"
+
+
 class BankStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -69,7 +75,10 @@ class BankStore:
         previous = self.active()
         path = f"{self.root}/base/{uuid.uuid4().hex}"
         rows = bank.select("row_id", stored_label(F.col("species")).alias("species"), "vec")
-        packed(rows, normalize=normalize, floor=PUBLISH_MIN_NORM, half=dtype == "fp16").write.parquet(path)
+        # Clustered by label (a hot label spans several files), so teaching reads only the files it needs.
+        clustered = rows.repartitionByRange("species", "row_id").sortWithinPartitions("species", "row_id")
+        packed(clustered, normalize=normalize, floor=PUBLISH_MIN_NORM, half=dtype == "fp16").write.parquet(path)
+        label_table(self.spark.read.schema(BASE_SCHEMA).parquet(path)).write.parquet(_labels_path(path))
         return self.activate(previous, path, model_id, dim, dtype)
 
     def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str) -> Row:
@@ -90,6 +99,16 @@ class BankStore:
         """``row_id, species, vec`` with packed vectors: they reach a task as one block of bytes."""
         return self.spark.read.schema(BASE_SCHEMA).parquet(version["base"])
 
+    def labels(self, version: Row) -> DataFrame:
+        """``species, row_id, count`` of a version: stored for the base, counted for the learned rows."""
+        base = self.spark.read.schema(LABEL_SCHEMA).parquet(_labels_path(version["base"]))
+        if not version["learned"]:
+            return base
+        learned = label_table(self.packed_bank(version).filter(F.col("origin") == "learned"))
+        return base.unionByName(learned).groupBy("species").agg(
+            F.min("row_id").alias("row_id"), F.sum("count").alias("count")
+        )
+
     def learned(self, version: Row) -> DataFrame:
         """``seq, species, vec, t`` visible in a version, vectors packed."""
         if not version["learned"]:

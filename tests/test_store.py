@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecbank.functions.vectors import from_bytes
 from vecbank.plans.identify import identify_from_store
+from vecbank.plans.load import export_folder, load_folder
 from vecbank.plans.teach import UnknownSpecies, forget
 from vecbank.sources.files import write_atomically
 from vecbank.sources.jdbc import scan_options
@@ -161,3 +162,32 @@ def test_jdbc_scan_is_range_partitioned():
 def test_write_atomically(tmp_path):
     write_atomically(str(tmp_path / "a" / "b.bin"), [b"1", b"2"], "t0")
     assert (tmp_path / "a" / "b.bin").read_bytes() == b"12" and len(list((tmp_path / "a").iterdir())) == 1
+
+
+def test_exchange_folder(spark, store, tmp_path):
+    store.append_learned(learned(spark, [(5, "abra", [0.0, 1.0]), (3, "mr_mime", [1.0, 0.0])]), batch=0)
+    folder = str(tmp_path / "folder")
+    assert export_folder(store, store.active(), folder) == 3
+    bank, dim = load_folder(spark, folder)
+    rows = [(r.row_id, r.species, r.vec, r.origin) for r in bank.orderBy("row_id").collect()]
+    assert dim == 2 and rows == [(r.row_id, r.species, r.vec, r.origin) for r in store.bank(store.active()).orderBy("row_id").collect()]
+    empty, dim = load_folder(spark, str(tmp_path / "none"))
+    assert dim == 256 and empty.count() == 0
+
+
+def test_single_files_must_agree(spark, tmp_path):
+    np.save(tmp_path / "base_features.npy", np.eye(3, dtype=np.float16))
+    np.save(tmp_path / "base_species.npy", np.array(["a", "b", "c"], dtype="U64"))
+    (tmp_path / "base_meta.json").write_text('{"rows": 3, "dim": 7}')
+    with pytest.warns(UserWarning, match="7 values"):
+        bank, _ = load_folder(spark, str(tmp_path))
+    assert [(r.species, r.vec) for r in bank.orderBy("row_id").collect()][1] == ("b", [0.0, 1.0, 0.0])
+    np.save(tmp_path / "base_species.npy", np.array(["a", "b"], dtype="U64"))
+    with pytest.raises(ValueError, match="differ in length"):
+        load_folder(spark, str(tmp_path))
+
+
+def test_label_table_follows_the_version(spark, store):
+    store.append_learned(learned(spark, [(1, "abra", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
+    got = {r["species"]: (r["row_id"], r["count"]) for r in store.labels(store.active()).collect()}
+    assert got == {"abra": (0, 2), "mr_mime": (1, 1), "x" * 64: (2, 1), "new": (4, 1)}

@@ -15,10 +15,11 @@ from vecbank.operators.bank import (
 )
 from vecbank.operators.changes import learned_rows
 from vecbank.operators.quotas import curate
+from vecbank.plans.load import export_folder, load_folder
 from vecbank.queries import query
 from vecbank.queries.inputs import DAMAGED, DIM, E, MICROS_TEXT, blend_sql, blended, damaged, embeddings, micros_text
 from vecbank.session import materialize, scratch_path, table
-from vecbank.sources.learned import read_learned, scan_learned_lines, write_learned
+from vecbank.sources.learned import read_learned, read_meta, scan_learned_lines, write_learned
 from vecbank.sources.npy import NpySource, write_npy
 from vecbank.sources.store import BankStore, newest_valid, read_split_features, write_split_features
 
@@ -285,3 +286,36 @@ def npy_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = join_positions(labels, vectors)
     x = F.round(F.get(as_double(F.col("vec")), 6), 6) + F.lit(0.0)
     return rows.select("row_id", "species", x.alias("x"), F.size("vec").alias("dim"))
+
+
+@query(
+    "load_exchange_folder",
+    f"""with {E}, {blend_sql('near', 0.95, 0.05)}, bank as (
+      select 'base' as origin, species, vec from e union all select 'learned', species, vec from near)
+    select origin, species, count(*) as n, (select count(*) from e)::bigint as base_rows, 64 as dim,
+           round(sum(vec[7]), 3) + 0.0::DOUBLE as total from bank group by 1, 2""",
+)
+def load_exchange_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Publish, learn, export to vector, label, metadata and learned files, and load them again."""
+    store = _published(spark, sf)
+    store.append_learned(blended(spark, sf, 0.95, 0.05).withColumnRenamed("row_id", "seq"), batch=0)
+    folder = scratch_path(spark, "folder")
+    export_folder(store, store.active(), folder)
+    bank, dim = load_folder(spark, folder)
+    meta = read_meta(spark, f"{folder}/base_meta.json").first()
+    x = F.get(as_double(F.col("vec")), 6)
+    sums = bank.groupBy("origin", "species").agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.sum(x), 3) + F.lit(0.0)).alias("total")
+    )
+    return sums.withColumns({"base_rows": F.lit(meta["rows"]).cast("long"), "dim": F.lit(dim)})
+
+
+@query(
+    "label_table",
+    f"with {UNION} select species, min(row_id) as row_id, count(*) as count from bank group by 1",
+)
+def labels_of_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """First row and example count per label, as the store keeps them."""
+    store = _published(spark, sf)
+    store.append_learned(blended(spark, sf, 0.95, 0.05).withColumnRenamed("row_id", "seq"), batch=0)
+    return store.labels(store.active())

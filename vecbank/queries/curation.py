@@ -19,7 +19,7 @@ from vecbank.operators.quotas import (
 from vecbank.queries import query
 from vecbank.session import scratch_path, table
 from vecbank.sources.archives import expand_archives
-from vecbank.streaming.jobs import curate_stream, file_stream, stream_output
+from vecbank.streaming.jobs import curate_stream, file_stream, finish_curation, is_finished, stream_output
 
 CURATED_SQL = """select species, arrival, place::bigint as place, case when place <= 2 then 'val' else 'train' end as split
     from (select source as species, doc_id as arrival, row_number() over (partition by source order by doc_id) as place
@@ -226,3 +226,19 @@ def _archives(spark: SparkSession, sf: str) -> DataFrame:
 def zip_expand(spark: SparkSession, sf: str) -> DataFrame:
     members = expand_archives(spark, _archives(spark, sf))
     return members.select("label", "file_name", F.md5("content").alias("digest"))
+
+
+@query(
+    "curation_marker",
+    """select sum(least(n, 10))::bigint as collected, count(*) * 10 as target_total, count(*) as labels,
+      sum(least(n, 10)) >= count(*) * 10 as complete, true as finished
+    from (select source, count(*) as n from documents group by 1)""",
+)
+def curation_marker(spark: SparkSession, sf: str) -> DataFrame:
+    """A finished streaming curation leaves a marker."""
+    source, out = scratch_path(spark, "records"), scratch_path(spark, "curated")
+    records = _records(spark, sf)
+    records.repartitionByRange(4, "arrival").write.parquet(source)
+    curate_stream(file_stream(spark, source, records.schema), out, scratch_path(spark, "checkpoint"))
+    marker = finish_curation(spark, out, records.select("species").distinct())
+    return marker.drop("completed_at").withColumn("finished", F.lit(is_finished(spark, out)))

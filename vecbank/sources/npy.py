@@ -6,6 +6,9 @@ whole file. A path may be one file or a folder of shards (read in name order).
     spark.dataSource.register(NpySource)
     spark.read.format("npy").load("bank/base_features.npy")   # row_id long, vec array<float>
     spark.read.format("npy").load("bank/base_species.npy")    # row_id long, species string
+
+With the option ``labels`` the vector scan reads the label file alongside, row range by row range, so the
+positional join of the two needs no shuffle (row_id, species, vec).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from vecbank.sources.files import resolve, write_atomically
 
 VECTOR_SCHEMA = "row_id long, vec array<float>"
 LABEL_SCHEMA = "row_id long, species string"
+BANK_SCHEMA = "row_id long, species string, vec array<float>"
 ROWS_PER_PARTITION = 65536
 _HEADER_BYTES = 4096
 _BATCH_ROWS = 8192
@@ -52,38 +56,68 @@ def _shards(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".npy")]
 
 
+def dense_shape(path: str) -> tuple[int, int]:
+    """(rows, width) of a vector file or folder of shards, from the headers alone."""
+    shapes = [_header(s)[0] for s in _shards(path)]
+    if any(len(shape) != 2 for shape in shapes) or len({shape[1] for shape in shapes}) > 1:
+        raise ValueError(f"{path} is not one 2-D matrix: {shapes}")
+    return sum(shape[0] for shape in shapes), shapes[0][1] if shapes else 0
+
+
+def label_count(path: str) -> int:
+    return sum(_header(s)[0][0] for s in _shards(path))
+
+
 class RowRange(InputPartition):
-    def __init__(self, path: str, first_row: int, start: int, stop: int):
-        self.path, self.first_row, self.start, self.stop = path, first_row, start, stop
+    def __init__(self, path: str, labels: str | None, first_row: int, start: int, stop: int):
+        self.path, self.labels, self.first_row, self.start, self.stop = path, labels, first_row, start, stop
+
+
+def _rows(path: str, start: int, stop: int) -> Iterator[np.ndarray]:
+    """Rows start..stop of one file in batches, reading only their bytes."""
+    shape, dtype, offset = _header(path)
+    width = dtype.itemsize * int(np.prod(shape[1:], dtype=np.int64))
+    fs, name = resolve(path)
+    with fs.open_input_file(name) as f:
+        f.seek(offset + start * width)
+        for a in range(start, stop, _BATCH_ROWS):
+            n = min(_BATCH_ROWS, stop - a)
+            yield np.frombuffer(f.read(n * width), dtype=dtype).reshape(n, *shape[1:])
+
+
+def _column(rows: np.ndarray) -> pa.Array:
+    if rows.dtype.kind == "U":
+        return pa.array(rows.tolist(), pa.string())
+    return matrix_list(rows.astype(np.float32), pa.float32())
 
 
 class NpyReader(DataSourceReader):
-    def __init__(self, path: str, rows_per_partition: int):
-        self.path, self.rows = path, rows_per_partition
+    def __init__(self, path: str, labels: str | None, rows_per_partition: int):
+        self.path, self.labels, self.rows = path, labels, rows_per_partition
 
     def partitions(self) -> list[RowRange]:
+        shards = _shards(self.path)
+        labels = _shards(self.labels) if self.labels else [None] * len(shards)
+        counts = [_header(s)[0][0] for s in shards]
+        if self.labels and counts != [_header(s)[0][0] for s in labels]:
+            raise ValueError("labels and vectors differ in length")
         parts, first = [], 0
-        for shard in _shards(self.path):
-            n = _header(shard)[0][0]
-            parts += [RowRange(shard, first, a, min(a + self.rows, n)) for a in range(0, n, self.rows)]
+        for shard, label, n in zip(shards, labels, counts):
+            parts += [RowRange(shard, label, first, a, min(a + self.rows, n)) for a in range(0, n, self.rows)]
             first += n
         return parts
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
-        shape, dtype, offset = _header(partition.path)
-        width = dtype.itemsize * int(np.prod(shape[1:], dtype=np.int64))
-        fs, name = resolve(partition.path)
-        with fs.open_input_file(name) as f:
-            f.seek(offset + partition.start * width)
-            for a in range(partition.start, partition.stop, _BATCH_ROWS):
-                n = min(_BATCH_ROWS, partition.stop - a)
-                rows = np.frombuffer(f.read(n * width), dtype=dtype).reshape(n, *shape[1:])
-                ids = pa.array(np.arange(a, a + n, dtype=np.int64) + partition.first_row)
-                if dtype.kind == "U":
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(rows.tolist(), pa.string())], ["row_id", "species"])
-                else:
-                    vec = matrix_list(rows.astype(np.float32), pa.float32())
-                    yield pa.RecordBatch.from_arrays([ids, vec], ["row_id", "vec"])
+        p = partition
+        at = p.first_row + p.start
+        names = _rows(p.labels, p.start, p.stop) if p.labels else None
+        for rows in _rows(p.path, p.start, p.stop):
+            ids = pa.array(np.arange(at, at + len(rows), dtype=np.int64))
+            at += len(rows)
+            if names is not None:
+                yield pa.RecordBatch.from_arrays([ids, _column(next(names)), _column(rows)], ["row_id", "species", "vec"])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, _column(rows)], ["row_id", "species" if rows.dtype.kind == "U" else "vec"])
 
 
 class NpySource(DataSource):
@@ -99,11 +133,12 @@ class NpySource(DataSource):
         if dtype.kind == "U" and len(shape) == 1:
             return LABEL_SCHEMA
         if dtype.kind == "f" and len(shape) == 2:
-            return VECTOR_SCHEMA
+            return BANK_SCHEMA if self.options.get("labels") else VECTOR_SCHEMA
         raise ValueError(f"neither a 2-D float matrix nor a 1-D label list: {shape} {dtype}")
 
     def reader(self, schema) -> NpyReader:
-        return NpyReader(self.options["path"], int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION)))
+        rows = int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION))
+        return NpyReader(self.options["path"], self.options.get("labels"), rows)
 
 
 def _npy_bytes(array: np.ndarray) -> list[bytes]:

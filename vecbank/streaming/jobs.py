@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecbank.operators.quotas import arrival_rank
+from vecbank.operators.quotas import arrival_rank, collection_progress
 from vecbank.plans.identify import identify
 from vecbank.plans.teach import teach
 from vecbank.session import scratch_path
@@ -120,3 +120,28 @@ def curate_stream(
 
 def stream_output(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
+
+
+def finish_curation(spark: SparkSession, out: str, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> DataFrame:
+    """Write the completion marker of a curation run next to its output and return it.
+
+    ``collected, target_total, labels, complete, completed_at``. A run that was cut off has no marker;
+    starting it again continues from its checkpoint.
+    """
+    progress = collection_progress(stream_output(spark, out), labels, max_per_label)
+    marked = progress.withColumn("completed_at", F.unix_timestamp())
+    marked.coalesce(1).write.mode("overwrite").parquet(_marker(out))
+    return spark.read.parquet(_marker(out))
+
+
+def _marker(out: str) -> str:
+    return f"{out.rstrip('/')}-complete"
+
+
+def is_finished(spark: SparkSession, out: str) -> bool:
+    try:
+        return not spark.read.parquet(_marker(out)).isEmpty()
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return False

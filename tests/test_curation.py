@@ -97,41 +97,41 @@ def archive(members):
 
 
 def test_archives(spark, tmp_path):
-    one = archive([("top/Mr_Mime/a.png", "1"), ("root.JPG", "2"), ("notes.txt", "3"), ("top/Mr_Mime/deep/b.webp", "4")])
-    two = archive([("Mr Mime/a.png", "5"), ("x/Mr_Mime/a.png", "6")])
+    one = archive([("top/Mr_Vole/a.png", "1"), ("root.JPG", "2"), ("notes.txt", "3"), ("top/Mr_Vole/deep/b.webp", "4")])
+    two = archive([("Mr Vole/a.png", "5"), ("x/Mr_Vole/a.png", "6")])
     rows = spark.createDataFrame([("1.zip", bytearray(one)), ("2.zip", bytearray(two)), ("3.zip", bytearray(b"broken"))], "path string, content binary")
     got = {(r.label, r.file_name): bytes(r.content) for r in expand_archives(spark, rows).collect()}
     assert got == {
-        ("Mr Mime", "a.png"): b"1", ("unknown", "root.JPG"): b"2", ("deep", "b.webp"): b"4",
-        ("Mr Mime", "a_1.png"): b"5", ("Mr Mime", "a_2.png"): b"6",
+        ("Mr Vole", "a.png"): b"1", ("unknown", "root.JPG"): b"2", ("deep", "b.webp"): b"4",
+        ("Mr Vole", "a_1.png"): b"5", ("Mr Vole", "a_2.png"): b"6",
     }
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.ZIP").write_bytes(one)
     assert extract_archives(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 3
-    assert (tmp_path / "out" / "Mr_Mime" / "a.png").read_bytes() == b"1"
+    assert (tmp_path / "out" / "Mr_Vole" / "a.png").read_bytes() == b"1"
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("pictures")
-    for label in ("Mr_Mime", "abra"):
+    for label in ("Mr_Vole", "heron"):
         (root / label).mkdir()
         for i in range(5):
             (root / label / f"{i}.png").write_bytes(_png(f"{label} {i} " * (100 + 30 * i)))
-    (root / "abra" / "broken.PNG").write_bytes(b"no picture")
-    (root / "abra" / "notes.txt").write_text("x")
-    (root / "abra" / "tiny.png").write_bytes(_png("small"))
+    (root / "heron" / "broken.PNG").write_bytes(b"no picture")
+    (root / "heron" / "notes.txt").write_text("x")
+    (root / "heron" / "tiny.png").write_bytes(_png("small"))
     return str(root)
 
 
 def test_image_scans(spark, folder):
     files = scan_image_files(spark, folder)
-    assert files.count() == 12 and {r.label for r in files.select("label").distinct().collect()} == {"mr mime", "abra"}
+    assert files.count() == 12 and {r.label for r in files.select("label").distinct().collect()} == {"mr vole", "heron"}
     images = {r.path.rsplit("/", 2)[-2] + "/" + r.path.rsplit("/", 1)[-1]: r.image for r in scan_images(spark, folder).collect()}
-    assert len(images) == 12 and images["abra/broken.PNG"] is None
-    picture = images["abra/0.png"]
+    assert len(images) == 12 and images["heron/broken.PNG"] is None
+    picture = images["heron/0.png"]
     rgb = to_rgb(picture.height, picture.width, picture.nChannels, bytes(picture.data))
-    text = ("abra 0 " * 100).encode()
+    text = ("heron 0 " * 100).encode()
     assert rgb.reshape(-1)[: len(text)].tobytes() == text
 
 
@@ -156,7 +156,7 @@ def test_augmentation_depends_on_the_seed_only():
 def test_embedding_keeps_bad_images_in_place(spark, folder):
     images = scan_images(spark, folder)
     model = random_projection_model(input_values(), 8)
-    got = {r.path.rsplit("/", 1)[-1]: r.vec for r in embed_images(images, "path", model, chunk=3).filter("path like '%abra%'").collect()}
+    got = {r.path.rsplit("/", 1)[-1]: r.vec for r in embed_images(images, "path", model, chunk=3).filter("path like '%heron%'").collect()}
     assert got["broken.PNG"] is None and all(v is not None for n, v in got.items() if n != "broken.PNG")
     assert np.linalg.norm(got["0.png"]) == pytest.approx(1, abs=1e-5)
     one = {r.path: r.pixels for r in prepare_images(images, "path", epoch=1).collect()}
@@ -173,10 +173,10 @@ def test_dropout_rate_and_scale(spark):
 
 def test_curate_train_publish(spark, folder, scratch):
     local = local_records(scan_images(spark, folder))
-    remote = local.withColumn("species", F.lit("kadabra")).withColumn("arrival", F.concat(F.lit("r"), "arrival"))
+    remote = local.withColumn("species", F.lit("egret")).withColumn("arrival", F.concat(F.lit("r"), "arrival"))
     rows, labels, progress = curate_images(local, remote, max_labels=0, max_per_label=4, val_per_label=1)
     counts = {(r.species, r.split): r["count"] for r in rows.groupBy("species", "split").count().collect()}
-    assert counts == {(s, p): n for s in ("abra", "mr mime", "kadabra") for p, n in (("val", 1), ("train", 3))}
+    assert counts == {(s, p): n for s in ("heron", "mr vole", "egret") for p, n in (("val", 1), ("train", 3))}
     assert progress.first().complete
     path = scratch("features")
     build_features(rows, random_projection_model(input_values(), 16), path)
@@ -184,4 +184,4 @@ def test_curate_train_publish(spark, folder, scratch):
     store = BankStore(spark, scratch("bank"))
     version, _, history = train_and_publish(store, path, labels, "m", dim=8, epochs=2, batch=4)
     assert (version["rows"], version["dim"], len(history)) == (9, 8, 2)
-    assert {r.species for r in store.bank(version).collect()} == {"abra", "mr mime", "kadabra"}
+    assert {r.species for r in store.bank(version).collect()} == {"heron", "mr vole", "egret"}

@@ -14,7 +14,7 @@ from vecbank.sources.learned import read_learned, read_meta, scan_learned_lines,
 from vecbank.sources.npy import NpySource, write_npy
 from vecbank.sources.store import BankStore, DimensionMismatch, read_split_features, write_split_features
 
-BASE = [(0, "abra", [1.0, 0.0]), (1, "mr_mime", [0.0, 2.0]), (2, "x" * 70, [0.6, 0.8])]
+BASE = [(0, "heron", [1.0, 0.0]), (1, "mr_vole", [0.0, 2.0]), (2, "x" * 70, [0.6, 0.8])]
 
 
 @pytest.fixture
@@ -43,21 +43,21 @@ def test_wrong_width_is_refused_and_the_old_version_stays(spark, store):
 
 
 def test_append_forget_undo(spark, store):
-    rows = learned(spark, [(1, "abra", [0.0, 1.0]), (2, "mr_mime", [1.0, 0.0]), (3, "Mr. Mime", [1.0, 1.0])])
+    rows = learned(spark, [(1, "heron", [0.0, 1.0]), (2, "mr_vole", [1.0, 0.0]), (3, "Mr. Vole", [1.0, 1.0])])
     store.append_learned(rows, batch=0)
     store.append_learned(rows, batch=0)  # a retry
-    store.append_learned(learned(spark, [(4, "abra", [0.5, 0.5])]), batch=1)
+    store.append_learned(learned(spark, [(4, "heron", [0.5, 0.5])]), batch=1)
     pinned = store.active()
     assert (pinned["version"], pinned["generation"]) == (5, 1)
     assert [(r.row_id, r.species) for r in store.bank(pinned).orderBy("row_id").collect()][3:] == [
-        (3, "abra"), (4, "mr_mime"), (5, "Mr. Mime"), (6, "abra")
+        (3, "heron"), (4, "mr_vole"), (5, "Mr. Vole"), (6, "heron")
     ]
-    version, summary = forget(store, "MR-MIME")  # by key: both spellings go, base rows stay
-    assert tuple(summary.first()) == (2, ["Mr. Mime", "mr_mime"])
+    version, summary = forget(store, "MR-VOLE")  # by key: both spellings go, base rows stay
+    assert tuple(summary.first()) == (2, ["Mr. Vole", "mr_vole"])
     assert (version["version"], version["generation"]) == (6, 2)
     version, summary = forget(store, last=True)
-    assert tuple(summary.first()) == (1, ["abra"]) and sorted(r.seq for r in store.learned(version).collect()) == [1]
-    again, summary = forget(store, "mr mime")  # nothing left to remove
+    assert tuple(summary.first()) == (1, ["heron"]) and sorted(r.seq for r in store.learned(version).collect()) == [1]
+    again, summary = forget(store, "mr vole")  # nothing left to remove
     assert again["version"] == version["version"] and summary.first().removed == 0
     with pytest.raises(UnknownSpecies):
         forget(store, "nobody")
@@ -66,27 +66,27 @@ def test_append_forget_undo(spark, store):
 
 
 def test_species_takes_precedence_over_last(spark, store):
-    store.append_learned(learned(spark, [(1, "abra", [0.0, 1.0]), (2, "mr_mime", [1.0, 0.0])]), batch=0)
-    _, summary = forget(store, "abra", last=True)
-    assert summary.first().species == ["abra"]
+    store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "mr_vole", [1.0, 0.0])]), batch=0)
+    _, summary = forget(store, "heron", last=True)
+    assert summary.first().species == ["heron"]
 
 
 def test_republish_keeps_learned_rows(spark, store):
-    store.append_learned(learned(spark, [(1, "abra", [0.0, 1.0])]), batch=0)
+    store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0])]), batch=0)
     store.publish(spark.createDataFrame(BASE[:2], "row_id long, species string, vec array<float>"), "m2", 2)
     assert store.bank(store.active()).filter("origin = 'learned'").count() == 1
     assert store.active()["model_id"] == "m2"
 
 
 def test_unusable_learned_rows_are_dropped(spark, store):
-    store.append_learned(learned(spark, [(1, "abra", [0.0, 0.0]), (2, "abra", [1.0]), (3, "abra", [0.0, 1.0])]), batch=0)
+    store.append_learned(learned(spark, [(1, "heron", [0.0, 0.0]), (2, "heron", [1.0]), (3, "heron", [0.0, 1.0])]), batch=0)
     assert [r.vec for r in store.bank(store.active()).filter("origin = 'learned'").collect()] == [[0.0, 1.0]]
 
 
 def test_identify_reports_the_pinned_version(spark, store):
     queries = spark.createDataFrame([(1, [0.9, 0.1])], "query_id long, vec array<double>")
     row = identify_from_store(store, queries).first()
-    assert row.species == "abra" and row.bank_version == 1
+    assert row.species == "heron" and row.bank_version == 1
 
 
 def test_split_features(spark, scratch):
@@ -165,7 +165,7 @@ def test_write_atomically(tmp_path):
 
 
 def test_exchange_folder(spark, store, tmp_path):
-    store.append_learned(learned(spark, [(5, "abra", [0.0, 1.0]), (3, "mr_mime", [1.0, 0.0])]), batch=0)
+    store.append_learned(learned(spark, [(5, "heron", [0.0, 1.0]), (3, "mr_vole", [1.0, 0.0])]), batch=0)
     folder = str(tmp_path / "folder")
     assert export_folder(store, store.active(), folder) == 3
     bank, dim = load_folder(spark, folder)
@@ -188,6 +188,6 @@ def test_single_files_must_agree(spark, tmp_path):
 
 
 def test_label_table_follows_the_version(spark, store):
-    store.append_learned(learned(spark, [(1, "abra", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
+    store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
     got = {r["species"]: (r["row_id"], r["count"]) for r in store.labels(store.active()).collect()}
-    assert got == {"abra": (0, 2), "mr_mime": (1, 1), "x" * 64: (2, 1), "new": (4, 1)}
+    assert got == {"heron": (0, 2), "mr_vole": (1, 1), "x" * 64: (2, 1), "new": (4, 1)}

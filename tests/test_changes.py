@@ -66,7 +66,7 @@ def test_union_puts_base_rows_first(spark):
     base = spark.createDataFrame([(i, "b", [1.0]) for i in range(5)], "row_id long, species string, vec array<float>")
     learned = spark.createDataFrame([(s, "l", [2.0]) for s in (90, 7, 30)], "seq long, species string, vec array<float>")
     rows = bank_union(base, learned).orderBy("row_id").collect()
-    assert [(r.row_id, r.origin) for r in rows] == [(i, "base") for i in range(5)] + [(5 + i, "learned") for i in range(3)]
+    assert [(r.row_id, r.origin) for r in rows] == [(i, "base") for i in range(5)] + [(5 + s, "learned") for s in (7, 30, 90)]
     stats = bank_stats(bank_union(base, learned)).first()
     assert tuple(stats) == (8, 2, 3, 1, False)
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from vecbank.functions.admission import exactly_one, file_extension, has_extension, is_large_enough, parent_folder
 from vecbank.functions.pictures import augment, resize, resize_weights, to_rgb
-from vecbank.operators.embedding import embed_images, feature_dropout, input_values, prepare_images, random_projection_model
-from vecbank.operators.quotas import arrival_rank, by_source, collection_progress, coverage, curate
+from vecbank.operators.embedding import (
+    embed_features, embed_images, feature_dropout, input_values, onnx_model, prepare_images, random_projection_model,
+)
+from vecbank.operators.quotas import arrival_rank, by_source, collection_progress, coverage, curate, hold_out
 from vecbank.plans.train import build_features, curate_images, local_records, train_and_publish
 from vecbank.queries.training import _png
 from vecbank.sources.archives import expand_archives, extract_archives, scan_image_files, scan_images
@@ -43,6 +45,15 @@ def test_quota_and_split(spark, records):
     assert "WindowGroupLimit" in plan
 
 
+def test_large_quotas_and_hold_out(spark, records, monkeypatch):
+    monkeypatch.setattr("vecbank.operators.quotas.GROUP_LIMIT", 5)
+    df = spark.createDataFrame(records, "species string, arrival long").repartition(7)
+    got = curate(df, "species", ["arrival"], 10, 2)
+    assert sorted((r.species, r.arrival, r.split) for r in got.collect()) == replay(records, 10, 2)
+    whole = hold_out(df, "species", ["arrival"], 3)
+    assert sorted((r.species, r.arrival, r.split) for r in whole.collect()) == replay(records, 10**9, 3)
+
+
 def test_stream_in_batches_with_a_restart_equals_batch(spark, records, scratch):
     source, out, checkpoint = scratch("in"), scratch("out"), scratch("checkpoint")
     for part in range(5):
@@ -164,6 +175,42 @@ def test_embedding_keeps_bad_images_in_place(spark, folder):
     assert one == two and len(one) == 11
 
 
+def onnx_bytes(weights):
+    """A model with one matrix product, written field by field (protobuf wire format)."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def number(tag, n):
+        return varint(tag << 3) + varint(n)
+
+    def block(tag, body):
+        body = body.encode() if isinstance(body, str) else body
+        return varint(tag << 3 | 2) + varint(len(body)) + body
+
+    def value(name, *dims):
+        shape = b"".join(block(1, block(2, d) if isinstance(d, str) else number(1, d)) for d in dims)
+        return block(1, name) + block(2, block(1, number(1, 1) + block(2, shape)))
+
+    rows, cols = weights.shape
+    node = block(1, "x") + block(1, "w") + block(2, "y") + block(4, "MatMul")
+    tensor = number(1, rows) + number(1, cols) + number(2, 1) + block(8, "w") + block(9, weights.astype("<f4").tobytes())
+    graph = block(1, node) + block(2, "g") + block(5, tensor) + block(11, value("x", "n", rows)) + block(12, value("y", "n", cols))
+    return number(1, 8) + block(7, graph) + block(8, number(2, 17))
+
+
+def test_onnx_inference(spark, tmp_path):
+    weights = np.random.default_rng(1).normal(size=(3, 4)).astype(np.float32)
+    (tmp_path / "m.onnx").write_bytes(onnx_bytes(weights))
+    rows = spark.createDataFrame([(i, [float(i), 1.0, -2.0]) for i in range(20)], "id int, v array<float>")
+    got = rows.select("id", embed_features(F.col("v"), 3, onnx_model(str(tmp_path / "m.onnx")), batch=8).alias("e")).collect()
+    for r in got:
+        assert r.e == pytest.approx((np.array([r.id, 1.0, -2.0]) @ weights).tolist(), abs=1e-4)
+
+
 def test_dropout_rate_and_scale(spark):
     rows = spark.range(200).select("id", F.array_repeat(F.lit(1.0), 50).alias("v"))
     kept = rows.select(feature_dropout(F.col("v"), F.col("id"), 3, 0.2).alias("v")).collect()

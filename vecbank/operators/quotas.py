@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vecbank.operators.ordered import numbered
 from vecbank.settings import MAX_PER_LABEL, VAL_PER_LABEL
 
+GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
-def arrival_rank(df: DataFrame, label: str, order: list[str | Column], limit: int, name: str = "place") -> DataFrame:
+
+def arrival_rank(df: DataFrame, label: str, order: list[str], limit: int, name: str = "place") -> DataFrame:
     """The first ``limit`` rows per label in arrival order, with their place from 1.
 
     The filter sits on the window, so Spark keeps only ``limit`` rows per label and task before
-    the shuffle; a hot label costs no more than any other.
+    the shuffle; a hot label costs no more than any other. Spark does that up to ``GROUP_LIMIT`` rows;
+    beyond it places come from a two-level scan.
     """
+    if limit > GROUP_LIMIT:
+        return numbered(df, order, [label], name).filter(F.col(name) <= limit)
     window = Window.partitionBy(label).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
 
 
+def hold_out(df: DataFrame, label: str, order: list[str], val_per_label: int = VAL_PER_LABEL) -> DataFrame:
+    """All rows with a ``split``: the first rows of each label are ``val``, the others ``train``.
+
+    Only the last validation row of every label is looked up, so no label is ranked as a whole.
+    """
+    place = F.struct(*order)
+    last = arrival_rank(df.select(label, *order), label, order, val_per_label, "_n")
+    last = last.groupBy(label).agg(F.max(place).alias("_last"))
+    split = F.when(place <= F.col("_last"), "val").otherwise("train")
+    return df.join(last, label, "left").withColumn("split", split).drop("_last")
+
+
 def by_source(sources: list[DataFrame]) -> DataFrame:
     """Union of sources in priority order: earlier frames rank before later ones."""
     ranked = [s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)]
@@ -31,7 +49,7 @@ def by_source(sources: list[DataFrame]) -> DataFrame:
 def curate(
     df: DataFrame,
     label: str,
-    order: list[str | Column],
+    order: list[str],
     max_per_label: int = MAX_PER_LABEL,
     val_per_label: int = VAL_PER_LABEL,
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from vecbank.operators.bank import (
     row_verdict, usable_rows,
 )
 from vecbank.operators.changes import learned_rows
-from vecbank.operators.quotas import curate
+from vecbank.operators.quotas import hold_out
 from vecbank.plans.load import export_folder, load_folder
 from vecbank.queries import query
 from vecbank.queries.inputs import DAMAGED, DIM, E, MICROS_TEXT, blend_sql, blended, damaged, embeddings, micros_text
@@ -243,7 +243,7 @@ def append_and_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 )
 def split_store(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings")
-    curated = curate(rows, "label", ["vec_id"], max_per_label=2**31 - 1)
+    curated = hold_out(rows, "label", ["vec_id"])
     path = scratch_path(spark, "features")
     write_split_features(curated.select("split", "label", F.col("embedding").alias("feat")), path)
     both = [read_split_features(spark, path, s).select("split", "label", "feat") for s in ("train", "val")]

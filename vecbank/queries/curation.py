@@ -88,6 +88,21 @@ def source_priority(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("nation", "source_rank", "id", F.col("place").cast("long").alias("place"))
 
 
+@query(
+    "quota_beyond_group_limit",
+    """select l_linestatus, l_orderkey, l_linenumber, l_partkey, place from (
+      select *, row_number() over (partition by l_linestatus
+             order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as place from lineitem)
+    where place <= 2500""",
+)
+def quota_beyond_group_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """A quota larger than Spark's group limit on labels that hold half of all rows each."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, sf, "lineitem").select("l_linestatus", *order)
+    kept = arrival_rank(rows, "l_linestatus", order, 2500)
+    return kept.select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "place")
+
+
 LABELLED = """universe as (select distinct source || '/' || lang as species from documents),
     curated as (select species, case when place <= 2 then 'val' else 'train' end as split from (
       select source || '/' || lang as species, row_number() over (partition by source, lang order by doc_id) as place

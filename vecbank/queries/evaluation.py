@@ -11,7 +11,7 @@ from vecbank.operators.embedding import project
 from vecbank.operators.quality import (
     class_centroids, cosine_logits, embedding_parity, head_accuracy, require_parity, retrieval_accuracy,
 )
-from vecbank.operators.quotas import curate
+from vecbank.operators.quotas import hold_out
 from vecbank.queries import query
 from vecbank.queries.inputs import E, as_queries, blend_sql, blended, embeddings, hits_sql
 from vecbank.session import table
@@ -29,7 +29,7 @@ SPLIT = """split as (select *, row_number() over (partition by species order by
 )
 def retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """The first two vectors of a label are held out and searched among the others."""
-    rows = curate(embeddings(spark, sf), "species", ["row_id"], max_per_label=2**31 - 1)
+    rows = hold_out(embeddings(spark, sf), "species", ["row_id"])
     val = as_queries(rows.filter(F.col("split") == "val"))
     train = rows.filter(F.col("split") == "train")
     return retrieval_accuracy(val, train).select("n", F.round("accuracy", 6).alias("accuracy"))

@@ -17,7 +17,7 @@ from vecbank.operators.embedding import (
 from vecbank.operators.head import train_head
 from vecbank.operators.ordered import numbered
 from vecbank.operators.quality import cosine_learning_rate, early_stopping
-from vecbank.operators.quotas import curate
+from vecbank.operators.quotas import hold_out
 from vecbank.plans.identify import identify_folder
 from vecbank.queries import query
 from vecbank.queries.inputs import DIM, embeddings
@@ -62,7 +62,7 @@ def learning_rates(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_head")
 def head_training(spark: SparkSession, sf: str) -> DataFrame:
     """Head training over all embeddings as features: one row per epoch."""
-    rows = curate(embeddings(spark, sf), "species", ["row_id"], max_per_label=2**31 - 1)
+    rows = hold_out(embeddings(spark, sf), "species", ["row_id"])
     label = F.regexp_extract("species", r"(\d+)$", 1).cast("int")
     rows = materialize(rows.select(F.col("row_id").alias("id"), label.alias("label"), F.col("vec").alias("feat"), "split"), "features")
     train, val = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "val")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from vecbank.streaming.jobs import run_available
 SALTS = 16
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _SAMPLES = "kind string, salt int, seq long, ms double"
 
 
@@ -39,6 +41,22 @@ class LatestSamples(StatefulProcessor):
         pass
 
 
+@contextmanager
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the start of one query."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def rolling_latency(
     samples: DataFrame, out: str, checkpoint: str, window: int = LATENCY_WINDOW, salts: int = SALTS
 ) -> DataFrame:
@@ -48,23 +66,17 @@ def rolling_latency(
     latest samples of all salts contain the latest samples of the kind.
     """
     spark: SparkSession = samples.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)  # this operator needs the RocksDB state store
-    try:
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    # The state needs RocksDB, and no more partitions than a kind has salts.
+    with _settings(spark, {_PROVIDER: _ROCKSDB, _PARTITIONS: str(salts)}):
         salted = samples.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
         state = salted.groupBy("kind", "salt").transformWithStateInPandas(
             statefulProcessor=LatestSamples(window), outputStructType=_SAMPLES, outputMode="Update", timeMode="None"
         )
-
-        def handle(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
         run_available(state, handle, checkpoint, mode="update")
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
     emitted = spark.read.schema(f"{_SAMPLES}, batch long").parquet(out)
     newest = emitted.groupBy("kind", "salt").agg(F.max("batch").alias("batch"))  # holds the whole state of a key
     return latency_percentiles(emitted.join(newest, ["kind", "salt", "batch"]), window)

@@ -14,7 +14,8 @@ from vecbank.operators.embedding import (
     embed_features, embed_images, feature_dropout, input_values, onnx_model, prepare_images, random_projection_model,
 )
 from vecbank.operators.quotas import arrival_rank, by_source, collection_progress, coverage, curate, hold_out
-from vecbank.plans.train import build_features, curate_images, local_records, train_and_publish
+from vecbank.plans.identify import embed_pictures
+from vecbank.plans.train import build_features, curate_images, local_records, run_training, train_and_publish
 from vecbank.queries.training import _png
 from vecbank.sources.archives import expand_archives, extract_archives, scan_image_files, scan_images
 from vecbank.sources.store import BankStore, read_split_features
@@ -175,6 +176,16 @@ def test_embedding_keeps_bad_images_in_place(spark, folder):
     assert one == two and len(one) == 11
 
 
+def test_equal_pictures_are_embedded_once(spark, folder):
+    images = scan_images(spark, folder)
+    twice = images.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("id", F.concat("path", F.lit("#"), "copy"))
+    vectors, cache = embed_pictures(twice, "id", random_projection_model(input_values(), 8))
+    got = {r.id: r.vec for r in vectors.collect()}
+    single = {r.path: r.vec for r in embed_images(images, "path", random_projection_model(input_values(), 8)).collect()}
+    assert got == {f"{p}#{i}": v for p, v in single.items() for i in (0, 1)}
+    assert cache.count() == 11  # the broken file has no picture
+
+
 def onnx_bytes(weights):
     """A model with one matrix product, written field by field (protobuf wire format)."""
 
@@ -218,6 +229,16 @@ def test_dropout_rate_and_scale(spark):
     assert set(np.round(np.unique(values), 6)) == {0.0, 1.25} and abs((values == 0).mean() - 0.2) < 0.02
 
 
+def test_whole_training_job(spark, folder, scratch):
+    store = BankStore(spark, scratch("bank"))
+    model = random_projection_model(input_values(), 16)
+    version, history, progress = run_training(
+        store, folder, None, model, scratch("features"), "m", 8, max_per_label=5, epochs=1, batch=4
+    )
+    assert tuple(progress.first()) == (10, 10, 2, True) and len(history) == 1
+    assert (version["rows"], version["model_id"]) == (6, "m")
+
+
 def test_curate_train_publish(spark, folder, scratch):
     local = local_records(scan_images(spark, folder))
     remote = local.withColumn("species", F.lit("egret")).withColumn("arrival", F.concat(F.lit("r"), "arrival"))

@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecbank.functions.vectors import from_bytes
 from vecbank.plans.identify import identify_from_store
 from vecbank.plans.load import export_folder, load_folder
 from vecbank.plans.teach import UnknownSpecies, forget

@@ -19,7 +19,6 @@ from vecbank.session import materialize
 from vecbank.settings import DUPLICATE_SIM, MAX_LEARN_BATCH
 
 HEAD_ROWS = 1000  # within the group limit, so heads are cut before the shuffle
-RESULT = "seq long, status string, species string, examples long, suggestions array<string>"
 
 
 def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

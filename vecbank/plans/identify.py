@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecbank.functions.admission import pixel_hash
 from vecbank.functions.vectors import has_dim, is_finite, norm
 from vecbank.operators.embedding import Predict, embed_images
 from vecbank.operators.knn import knn
-from vecbank.operators.serving import ordered_results
+from vecbank.operators.serving import embed_distinct, ordered_results
 from vecbank.operators.vote import publish_prediction, vote
 from vecbank.session import materialize
 from vecbank.settings import CONFIDENCE_THRESHOLD, MIN_NORM, NEAR_EXACT_SIM, TOP_K
@@ -58,11 +59,27 @@ def identify_from_store(store: BankStore, queries: DataFrame, **options) -> Data
     return identify(queries, store.packed_bank(version), bank_version=version["version"], dim=version["dim"], **options)
 
 
+def embed_pictures(
+    pictures: DataFrame, key: str, make_model: Callable[[], Predict], cache: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Embed each distinct picture once: (``key, hash, vec`` for all pictures, cache rows ``hash, vec``).
+
+    Pictures are told apart by shape and pixels. ``cache`` holds vectors of earlier runs.
+    """
+    image = F.col("image")
+    hashed = F.when(image.isNotNull(), pixel_hash(image["width"], image["height"], image["data"]))
+
+    def embed(rows: DataFrame) -> DataFrame:
+        return embed_images(rows.withColumnRenamed("content", "image"), "hash", make_model)
+
+    return embed_distinct(pictures.select(key, "image"), "image", hashed, embed, cache)
+
+
 def identify_folder(
     spark: SparkSession, root: str, bank: DataFrame, make_model: Callable[[], Predict], **options
 ) -> DataFrame:
     """Pictures of a folder: scan, decode, embed, match, vote. Adds ``path`` to the predictions."""
     pictures = scan_images(spark, root).withColumn("query_id", F.xxhash64("path"))
-    vectors = embed_images(pictures, "query_id", make_model).withColumn("query_id", F.col("query_id").cast("long"))
-    vectors = materialize(vectors, "vectors")  # several steps read them; inference runs once
+    vectors, _ = embed_pictures(pictures, "query_id", make_model)
+    vectors = materialize(vectors.select("query_id", "vec"), "vectors")  # several steps read them; inference runs once
     return pictures.select("query_id", "path").join(identify(vectors, bank, **options), "query_id")

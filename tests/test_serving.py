@@ -104,3 +104,16 @@ def test_shared_folder_comes_from_the_session(spark):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session(spark_master="spark://m"))
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_scratch_can_be_dropped(tmp_path):
+    import os
+
+    from vecbank.session import drop_scratch, scratch_path
+
+    session = Session(spark_checkpoint_dir=str(tmp_path), spark_app_id="app-1")
+    os.makedirs(scratch_path(session, "x"))
+    os.makedirs(tmp_path / "vecbank-app-2" / "y")
+    drop_scratch(session)
+    drop_scratch(session)
+    assert os.listdir(tmp_path) == ["vecbank-app-2"]

@@ -64,6 +64,16 @@ def test_append_forget_undo(spark, store):
     assert store.forget()[0]["version"] == version["version"]
 
 
+def test_batches_are_counted_per_source(spark, store):
+    rows = [learned(spark, [(i, "heron", [0.1 * i, 1.0])]) for i in range(4)]
+    store.append_learned(rows[0], batch=0, source="a")
+    store.append_learned(rows[1], batch=0, source="b")
+    store.append_learned(rows[2])
+    store.append_learned(rows[3], batch=0, source="b")  # a retry of b
+    assert sorted(r.seq for r in store.learned(store.active()).collect()) == [0, 1, 2]
+    assert store.is_committed("a", 0) and not store.is_committed("a", 1) and not store.is_committed("c", 0)
+
+
 def test_species_takes_precedence_over_last(spark, store):
     store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "mr_vole", [1.0, 0.0])]), batch=0)
     _, summary = forget(store, "heron", last=True)

@@ -18,7 +18,12 @@ class UnknownSpecies(LookupError):
 
 
 def teach(
-    store: BankStore, requests: DataFrame, batch: int | None = None, out: str | None = None, **options
+    store: BankStore,
+    requests: DataFrame,
+    batch: int | None = None,
+    source: str = "",
+    out: str | None = None,
+    **options,
 ) -> DataFrame:
     """Apply a batch of requests and append what was learned.
 
@@ -35,7 +40,7 @@ def teach(
         results = store.spark.read.schema(results.schema).parquet(out)
     else:
         results = materialize(results, "results")
-    after = store.append_learned(learned, batch)
+    after = store.append_learned(learned, batch, source)
     return results.withColumn("bank_version", F.lit(after["version"]).cast("long"))
 
 

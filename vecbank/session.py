@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from vecbank.sources.files import resolve
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -48,8 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/vecbank/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the part of the shared folder that belongs to this application."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vecbank-{spark.conf.get('spark.app.id', 'local')}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; nothing lazy may still read them."""
+    fs, folder = resolve(_own_folder(spark))
+    if fs.get_file_info(folder).type == pafs.FileType.Directory:
+        fs.delete_dir(folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

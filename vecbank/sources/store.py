@@ -22,7 +22,7 @@ from vecbank.settings import PUBLISH_MIN_NORM
 
 MANIFEST_SCHEMA = (
     "version long, generation long, op string, base string, learned string, last_batch long, "
-    "model_id string, dim int, dtype string, rows long, written_at long"
+    "model_id string, dim int, dtype string, rows long, source string, source_batch long, written_at long"
 )
 BASE_SCHEMA = "row_id long, species string, vec binary"
 LABEL_SCHEMA = "species string, row_id long, count long"
@@ -59,6 +59,7 @@ class BankStore:
             "version": 0, "generation": 0, "base": None, "learned": None, "last_batch": -1,
             "model_id": None, "dim": None, "dtype": None, "rows": 0,
         }
+        row.update(source=None, source_batch=None)
         row.update(changes, op=op, version=row["version"] + steps, written_at=int(time.time()))
         row["generation"] += int(new_generation)
         fields = [f.split()[0] for f in MANIFEST_SCHEMA.split(", ")]
@@ -127,21 +128,30 @@ class BankStore:
         """The same with vectors as arrays."""
         return self.packed_bank(version).withColumn("vec", from_bytes(F.col("vec")))
 
-    def append_learned(self, rows: DataFrame, batch: int | None = None) -> Row:
+    def is_committed(self, source: str, batch: int) -> bool:
+        """Whether a writer (a stream, say) already added its batch."""
+        mine = (F.col("source") == source) & (F.col("source_batch") >= batch)
+        return not self.manifest().filter(mine).isEmpty()
+
+    def append_learned(self, rows: DataFrame, batch: int | None = None, source: str = "") -> Row:
         """Append ``seq, species, vec``; the version rises by one per row.
 
-        A batch id that was committed before changes nothing, so retries are harmless. The files are
-        complete before the manifest row makes them visible.
+        ``batch`` counts the batches of one ``source``. A batch that was committed before changes
+        nothing, so retries are harmless. The files are complete before the manifest row makes them
+        visible, and what a failed attempt left behind is overwritten.
         """
         previous = self.active()
-        if batch is not None and batch <= previous["last_batch"]:
+        if batch is not None and self.is_committed(source, batch):
             return previous
-        batch = previous["last_batch"] + 1 if batch is None else batch
+        number = previous["last_batch"] + 1
         path = previous["learned"] or f"{self.root}/learned/{uuid.uuid4().hex}"
         stamped = packed(rows.select("seq", "species", "vec")).withColumn("t", F.lit(int(time.time())).cast("long"))
-        stamped.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-        added = self.spark.read.schema(LEARNED_SCHEMA).parquet(f"{path}/batch={batch}").count()
-        return self._commit(previous, "learn", False, steps=added, learned=path, last_batch=batch)
+        stamped.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        added = self.spark.read.schema(LEARNED_SCHEMA).parquet(f"{path}/batch={number}").count()
+        return self._commit(
+            previous, "learn", False, steps=added, learned=path, last_batch=number,
+            source=None if batch is None else source, source_batch=batch,
+        )
 
     def forget(self, name: str | None = None, last: bool = False, exact: bool = False) -> tuple[Row, DataFrame]:
         """Remove learned rows by name, or the latest one; a name takes precedence over ``last``.

@@ -79,13 +79,15 @@ def identify_stream(queries: DataFrame, bank: DataFrame, out: str, checkpoint: s
 
 
 def teach_stream(store: BankStore, requests: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Teach a stream of ``seq, name, vec, allow_new``; every batch sees what earlier ones learned."""
+    """Teach a stream of ``seq, name, vec, allow_new``; every batch sees what earlier ones learned.
+
+    The checkpoint names the stream, so several streams can teach one bank, one after the other.
+    """
 
     def handle(rows: DataFrame, batch: int) -> None:
-        version = store.active()
-        if batch <= version["last_batch"]:
+        if store.is_committed(checkpoint, batch):
             return  # learned before a crash; its results were written first
-        teach(store, rows, batch=batch, out=f"{out}/batch={batch}", **options)
+        teach(store, rows, batch, checkpoint, out=f"{out}/batch={batch}", **options)
 
     return run_available(requests, handle, checkpoint)
 

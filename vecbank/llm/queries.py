@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecbank.llm import exact_dedup
+from vecbank.llm import exact_dedup, packing, quality
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,19 @@ SQL["op5_exact_dedup"] = """
     select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
            sha256(coalesce(text, '')) as text_sha256
     from documents window w as (partition by coalesce(text, ''))"""
+
+
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+QUERIES["op7_best_fit_packing"] = op7_best_fit_packing
+
+
+def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    network = quality.fit(docs, table(spark, sf, "labels"))
+    return quality.score(docs, network).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES["op8_quality_classifier"] = op8_quality_classifier

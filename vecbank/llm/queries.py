@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecbank.llm import exact_dedup, packing, quality
+from vecbank.llm import chat, exact_dedup, html, packing, quality, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,37 @@ def op8_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op8_quality_classifier"] = op8_quality_classifier
+
+
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf, "pages"))
+
+
+QUERIES["op10_html_extraction"] = op10_html_extraction
+
+
+def op3_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return topk.search(rows.filter(F.col("vec_id") % 100 == 0), rows)
+
+
+QUERIES["op3_exact_topk"] = op3_exact_topk
+SQL["op3_exact_topk"] = """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) as vec from embeddings
+      where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    hits as (
+      select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec, c.vec)::bigint as score
+      from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+    select query_id, rank, vec_id, score
+    from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from hits)
+    where rank <= 10"""
+
+
+def op9_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.rotate(table(spark, sf, "conversations"))
+
+
+QUERIES["op9_chat_formatting"] = op9_chat_formatting
+SQL["op9_chat_formatting"] = chat.ROTATE_SQL

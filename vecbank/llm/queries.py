@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import chat, exact_dedup, html, packing, quality, topk
+from vecbank.llm import chat, exact_dedup, html, packing, pieces, quality, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,10 @@ def op9_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op9_chat_formatting"] = op9_chat_formatting
 SQL["op9_chat_formatting"] = chat.ROTATE_SQL
+
+
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.digests(table(spark, sf, "documents"))
+
+
+QUERIES["op4_sentencepiece"] = op4_sentencepiece

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import chat, exact_dedup, html, packing, pieces, quality, topk
+from vecbank.llm import chat, exact_dedup, html, packing, pieces, quality, substring_dedup, suffix_dedup, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,55 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op4_sentencepiece"] = op4_sentencepiece
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+QUERIES["op1_suffix_array_dedup"] = op1_suffix_array_dedup
+SQL["op1_suffix_array_dedup"] = """
+    with d as (select doc_id, hex(encode(coalesce(text, ''))) as bytes from documents),
+    w as (select doc_id, bytes, unnest(range(0, greatest(len(bytes) // 2 - 199, 0))) as start from d),
+    k as (select doc_id, start, md5(substr(bytes, 2 * start + 1, 400)) as content from w),
+    repeated as (
+      select doc_id, start from (select *, count(*) over (partition by content) as times from k) where times > 1),
+    spans as (
+      select doc_id, start, coalesce(start - lag(start) over (partition by doc_id order by start) > 200, true) as opens
+      from repeated),
+    runs as (select *, sum(opens::int) over (partition by doc_id order by start rows unbounded preceding) as run from spans),
+    removed as (select doc_id, run, min(start) as first, max(start) + 200 as last from runs group by doc_id, run),
+    gone as (
+      select doc_id, list(first order by first) as firsts, list(last order by first) as lasts, sum(last - first)::bigint as n_removed
+      from removed group by doc_id),
+    kept as (
+      select d.doc_id, bytes, coalesce(n_removed, 0) as n_removed, coalesce(len(firsts), 0) as n_spans,
+             list_prepend(0, coalesce(lasts, [])) as begins, list_append(coalesce(firsts, []), len(bytes) // 2) as ends
+      from d left join gone using (doc_id))
+    select doc_id, len(bytes) // 2 as n_bytes, n_removed, n_spans,
+           sha256(unhex(array_to_string(list_transform(begins, lambda b, i: substr(bytes, 2 * b + 1, 2 * (ends[i] - b))), '')))
+             as kept_sha256
+    from kept"""
+
+
+def op2_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
+QUERIES["op2_substring_dedup"] = op2_substring_dedup
+SQL["op2_substring_dedup"] = r"""
+    with d as (
+      select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    w as (select doc_id, unnest(range(1, greatest(len(words) - 18, 1))) as start, words from d),
+    k as (select doc_id, start, md5(array_to_string(words[start:start + 19], ' ')) as content from w),
+    repeated as (
+      select doc_id, start from (select *, row_number() over (partition by content order by doc_id, start) as nth from k)
+      where nth > 1),
+    gone as (select distinct doc_id, start + i as place from repeated, range(20) t(i)),
+    removed as (select doc_id, list(place) as places from gone group by doc_id),
+    kept as (
+      select doc_id, len(words) as n_words, coalesce(len(places), 0) as n_removed,
+             case when places is null then words
+                  else list_filter(words, lambda x, i: not list_contains(places, i)) end as rest
+      from d left join removed using (doc_id))
+    select doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) as kept_sha256 from kept"""

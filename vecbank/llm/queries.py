@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import chat, exact_dedup, html, packing, pieces, quality, substring_dedup, suffix_dedup, topk
+from vecbank.llm import chat, exact_dedup, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,10 @@ SQL["op2_substring_dedup"] = r"""
                   else list_filter(words, lambda x, i: not list_contains(places, i)) end as rest
       from d left join removed using (doc_id))
     select doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) as kept_sha256 from kept"""
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), size=3, similarity=85)
+
+
+QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecbank.llm.anchors import keyed, mix, partitions, stored, word_symbols
+from vecbank.llm.anchors import keyed, mix, stored, word_symbols
 from vecbank.llm.batches import columns, pieces, record
 from vecbank.operators.blocks import blocked_join
+from vecbank.session import materialize
 
 ROWS = 5
 BITS = 2
@@ -199,14 +200,14 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of contraction: every vertex points to the smallest of itself and its neighbours, pointers are followed to
     their roots by doubling, links are carried over to the roots. Each round at least halves the vertices that are left.
     """
-    edges = stored(links.select("a", "b").filter("a <> b"), "edges")
+    edges = materialize(links.select("a", "b").filter("a <> b"), "edges")
     labels: DataFrame | None = None
     while edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select("a", "to"), "points")
+        points = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).select("a", "to"), "points")
         while True:
             ahead = points.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            jumped = stored(points.join(ahead, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "points")
+            jumped = materialize(points.join(ahead, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "points")
             points = jumped.select("a", "to")
             if not jumped.filter("moved").limit(1).count():
                 break
@@ -214,10 +215,10 @@ def components(links: DataFrame) -> DataFrame:
             labels = points.select(F.col("a").alias("cls"), F.col("to").alias("comp"))
         else:
             step = points.select(F.col("a").alias("comp"), F.col("to").alias("next"))
-            labels = stored(labels.join(step, "comp", "left").select("cls", F.coalesce("next", "comp").alias("comp")), "labels")
+            labels = materialize(labels.join(step, "comp", "left").select("cls", F.coalesce("next", "comp").alias("comp")), "labels")
         root = {s: points.select(F.col("a").alias(s), F.col("to").alias(f"to_{s}")) for s in ("a", "b")}
         moved = edges.join(root["a"], "a").join(root["b"], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        edges = stored(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges = materialize(moved.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if labels is None:
         labels = edges.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
     return labels
@@ -231,7 +232,7 @@ def rivals(rows: DataFrame, hashes: int, least: float, most: int) -> DataFrame:
     """
     counts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = stored(mixed.select("key", "main"), "mixed")
+    mixed = materialize(mixed.select("key", "main"), "mixed")
     open_ = stored(rows.join(mixed, "key"), "open")
     left = open_.filter("comp <> main").select("key", F.col("cls").alias("lid"), F.col("comp").alias("lcomp"), F.col("sig").alias("lsig"))
     right = open_.select("key", F.col("cls").alias("rid"), F.col("comp").alias("rcomp"), F.col("sig").alias("rsig"))
@@ -273,11 +274,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     hashes, least = len(hashing.factor), least_estimate(share, len(hashing.factor))
     rows = stored(signed(texts, size, hashing), "signed")
     some = rows.filter("n > 0")
-    members = stored(some.groupBy("k1", "k2").agg(F.min("d").alias("cls")), "members")
+    members = materialize(some.groupBy("k1", "k2").agg(F.min("d").alias("cls")), "members")
     classes = some.join(members, ["k1", "k2"]).filter(F.col("d") == F.col("cls")).select("cls", "k1", "k2", "keys", "sig")
     classes = stored(classes.dropDuplicates(["cls", "k1", "k2"]), "classes")
     in_bands = classes.select("cls", F.explode("keys").alias("key"))
-    hubs = stored(in_bands.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"), "hubs")
+    hubs = materialize(in_bands.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b"), "hubs")
     bands = stored(in_bands.join(hubs, "key"), "bands")  # key, cls, b: the smallest class of the band
     stars = bands.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
     best = estimated(stars, classes, hashes, least).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
@@ -293,10 +294,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
             if most:
                 continue
             break
-        tested = stored(tested.unionByName(confirmed(new, texts, size, similarity)), "tested")
+        tested = materialize(tested.unionByName(confirmed(new, texts, size, similarity)), "tested")
         labels = components(tested.filter("linked"))
     of_class = members.join(labels, "cls", "left").select("k1", "k2", F.coalesce("comp", "cls").alias("comp"))
-    found = rows.join(stored(of_class, "found"), ["k1", "k2"], "left").withColumn("comp", F.coalesce("comp", "d"))
+    found = rows.join(materialize(of_class, "found"), ["k1", "k2"], "left").withColumn("comp", F.coalesce("comp", "d"))
     # Rows of one doc_id share what any of them reached.
     reached = found.groupBy("d").agg(F.min("comp").alias("comp"))
     result = found.drop("comp").join(reached, "d")

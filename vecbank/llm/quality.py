@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecbank.llm.batches import columns, pieces, record, text_bytes
 
@@ -203,19 +204,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return train([[bytes(c) for c in r["chunks"]] for r in found], np.array([r["label"] for r in found]), seed)
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` with ``score`` (probability of label 1) and ``predicted`` appended; its own columns of these names are replaced.
+def score(docs: DataFrame, network: Network, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
+    """``docs`` with the probability of label 1 and the prediction (1 from 0.5 on) appended; own columns of these names are replaced.
 
-    A null or empty text is scored as zero bytes. Rows are judged one by one, so repeated rows get equal scores.
+    A null or empty text is scored as zero bytes. Rows are judged one by one, so repeated rows get equal scores; further
+    columns are carried along. An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), "score double, predicted int"])
+    kept = [c for c in docs.columns if c not in (score_name, predicted_name)]
+    schema = T.StructType([*docs.select(*kept).schema, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = network.tables()
         for batch in pieces(batches, "__text"):
             found = scores(network, columns(batch, "__text")[0], tables)
             own = [batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*kept, score_name, predicted_name])
 
     return docs.select(*kept, text_bytes().alias("__text")).mapInArrow(run, schema)

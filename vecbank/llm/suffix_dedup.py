@@ -189,6 +189,46 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return whole.unionByName(few).unionByName(crowded)
 
 
+def whole_characters(text: np.ndarray, removed: np.ndarray) -> np.ndarray:
+    """``removed`` widened to all bytes of each UTF-8 character that loses one."""
+    if not len(text):
+        return removed
+    character = np.cumsum((text & 0xC0) != 0x80)
+    return np.bincount(character, weights=removed)[character] > 0
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with its columns, the repeated strings cut out of ``text``, and ``n_chars`` (if there) counted anew.
+
+    A character goes if any of its bytes does, so what stays is text again; a null text becomes the empty one. No row
+    goes, not even one whose whole text was repeated. Cases as in ``remove_repeats``.
+    """
+    spans = anchors.by_document(repeated_spans(anchors.keyed(docs), length, gram))
+    rows = docs.withColumns({
+        "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__text": anchors.text_bytes().alias("__text"),
+    }).withColumn("__t", F.crc32("__text").cast("long"))
+    marked = rows.join(spans.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans")), ["__d", "__t"], "left")
+    names = docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "__text"):
+            texts = []
+            for text, own in zip(*columns(batch, "__text", "__spans"), strict=True):
+                if own:
+                    data = np.frombuffer(text, np.uint8)
+                    text = data[~whole_characters(data, anchors.covered(len(data), own, length))].tobytes()
+                texts.append(text.decode("utf-8", "replace"))
+            own = [batch.column(i) for i in range(len(names))]
+            own[names.index("text")] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                own[names.index("n_chars")] = pa.array([len(t) for t in texts], pa.int64()).cast(own[names.index("n_chars")].type)
+            yield pa.RecordBatch.from_arrays(own, names)
+
+    # The text travels once, as bytes.
+    slim = marked.withColumn("text", F.lit(None).cast("string")).select(*names, "__text", "__spans")
+    return slim.mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_content: bool = False) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, on demand, the
     remaining bytes as ``content``.

@@ -8,11 +8,13 @@ form a stretch; about one stretch begins every ``(window - gram) / 2`` symbols.
 1. ``repeated_grams``: anchors that occur at least twice (a count with map-side aggregation over 8 bytes per stretch).
 2. ``stretches``: the stretches with such anchors, stored.
 3. ``contents``: stretches of equal content are counted; what differs under the same anchor is fetched from the texts.
-4. The operators compare the contents of one anchor in a task; anchors with more than ``GROUP`` contents are compared
-   window by window with aggregations instead (``crowded_windows``), so no group is gathered without bound.
+4. The operators compare the contents of one anchor in a task (``solved``). Anchors with more than ``GROUP`` contents are
+   split first (``refined``): stretches are cut into blocks of fewer windows, and the symbols that all windows of a block
+   share take the place of the anchor. What is unique then drops out, what is equal is settled by counting, and only
+   blocks across which contents begin to differ are cut further. So no group is gathered without bound.
 
-Hashes only say where to look and when contents of stretches are equal (128 bits); windows that differ in any symbol are
-told apart by their symbols, or by 128 bits in crowded groups.
+Hashes only say where to look and when contents are equal (128 bits); windows that differ in any symbol are told apart by
+their symbols.
 """
 
 from __future__ import annotations
@@ -257,16 +259,16 @@ def repeated_stretches(docs: DataFrame, symbols: Symbols, window: int, gram: int
     return stored(stretches_of(docs, symbols, window, gram).join(repeated, "h", "left_semi"), "stretches")
 
 
-def counted(repeated: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, occurrences: str = "count(*)") -> DataFrame:
     """One row per anchor and content, stored: ``h, c, occ`` (occurrences), ``rep`` (the first: d, t, start), ``n, off``, and
     ``kinds``, ``single``: contents of the anchor, and whether one of them occurs once."""
-    rows = stored(
-        repeated.groupBy("h", "c").agg(
-            F.count("*").alias("occ"), F.min(F.struct("d", "t", "start")).alias("rep"), F.min("n").alias("n"), F.min("off").alias("off")
+    kinds = stored(
+        rows.groupBy("h", "c").agg(
+            F.expr(occurrences).alias("occ"), F.min(F.struct("d", "t", "start")).alias("rep"), F.min("n").alias("n"), F.min("off").alias("off")
         ), "kinds",
     )
-    groups = rows.groupBy("h").agg(F.count("*").alias("kinds"), (F.min("occ") == 1).alias("single"))
-    return stored(rows.join(groups, "h"), "contents")
+    groups = kinds.groupBy("h").agg(F.count("*").alias("kinds"), (F.min("occ") == 1).alias("single"))
+    return stored(kinds.join(groups, "h"), "contents")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, cut: Callable, kind: str, name: str) -> DataFrame:
@@ -342,25 +344,65 @@ def solved(contents: DataFrame, solve: Callable[[list[dict]], Iterable[tuple[dic
     return few.repartition(partitions(contents.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPAN)
 
 
-def crowded_windows(contents: DataFrame, symbols: Callable[[object], np.ndarray], window: int) -> DataFrame:
-    """``k1, k2, occ, d, t, start``: every window of contents whose anchor has more than GROUP of them, by 128-bit hash."""
-    schema = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "occ", "d", "t", "start")])
+def refined(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], window: int, block: int) -> DataFrame:
+    """Contents of crowded anchors cut into blocks of ``block`` windows, counted from the anchor: rows like ``contents`` with
+    ``c``, keyed by block and shared symbols (``h``). Stored."""
+    fields = contents.select("h", "occ", "d", "t", "start", "n", "off", "body").schema
+    kind = fields["body"].dataType.simpleString()
+    arrow = pa.schema([
+        ("h", pa.int64()), ("c", pa.int64()), ("occ", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()),
+        ("n", pa.int32()), ("off", pa.int32()), ("body", pa.binary() if kind == "binary" else pa.list_(pa.string())),
+    ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out: dict[str, list] = {n: [] for n in schema.names}
-                for row in part.to_pylist():
-                    values, n = symbols(row["body"]), row["n"]
-                    at = np.arange(n)
-                    for key, which in (("k1", 0), ("k2", 1)):
-                        out[key].append(Hashes(values, which).of(at, at + window).view(np.int64))
-                    out["start"].append(row["start"] + at)
-                    for key in ("occ", "d", "t"):
-                        out[key].append(np.full(n, row[key], np.int64))
-                yield record(schema, {k: np.concatenate(v) for k, v in out.items()})
-
-    return contents.filter(F.col("kinds") > GROUP).mapInArrow(run, "k1 long, k2 long, occ long, d long, t long, start long")
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                out: dict[str, list] = {f.name: [] for f in arrow}
+                rows = part.to_pylist()
+                for row, values in zip(rows, symbols([r["body"] for r in rows]), strict=True):
+                    # Window j begins off - j symbols before the anchor; blocks are aligned to that distance.
+                    distance = row["off"] - np.arange(row["n"])
+                    number = distance // block
+                    first = np.flatnonzero(np.r_[True, np.diff(number) != 0])
+                    size = np.diff(np.r_[first, row["n"]])
+                    seed = np.array([row["h"] & (2**64 - 1)], np.uint64)
+                    # What every window of the whole block holds, whether or not this content has all of them.
+                    nearest = row["off"] - number[first] * block
+                    core = Hashes(values, 0).of(nearest, nearest - block + 1 + window)
+                    whole = Hashes(values, 1).of(first, first + size + window - 1)
+                    out["h"] += mix(core ^ mix(seed ^ number.astype(np.int64)[first].view(np.uint64))).view(np.int64).tolist()
+                    out["c"] += mix(whole ^ mix((size.astype(np.uint64) << np.uint64(32)) | distance[first].astype(np.int64).view(np.uint64))).view(np.int64).tolist()
+                    for at, n in zip(first.tolist(), size.tolist(), strict=True):
+                        for key in ("occ", "d", "t"):
+                            out[key].append(row[key])
+                        out["start"].append(row["start"] + at)
+                        out["n"].append(n)
+                        out["off"].append(row["off"] - at)
+                        out["body"].append(row["body"][at : at + n + window - 1])
+                yield record(arrow, out)
+
+    cut = contents.select(*fields.names).mapInArrow(run, f"h long, c long, occ long, d long, t long, start long, n int, off int, body {kind}")
+    return stored(cut, "blocks")
+
+
+def repeats(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], window: int, blocks: tuple[int, ...],
+            solve: Callable, equal: Callable) -> DataFrame:
+    """Spans of windows that repeat among fetched ``contents``: compared in tasks where an anchor has few of them, after
+    refining where it has many. ``blocks``: windows of a block in each round, below ``window``, the last 1.
+    ``equal(rows, kinds)`` gives the rows that repeat another of equal content as a whole."""
+    spans = solved(contents, solve)
+    for block in blocks:
+        crowded = contents.filter(F.col("kinds") > GROUP)
+        if not crowded.limit(1).count():
+            break
+        rows = refined(crowded, symbols, window, block)
+        kinds = counted(rows, "sum(occ)")
+        spans = spans.unionByName(equal(rows, kinds).select("d", "t", "start", "n"))
+        first = kinds.filter("kinds > 1").select("h", "c", F.col("occ").alias("times"), "kinds", "rep")
+        met = rows.join(first, ["h", "c"]).filter(F.struct("d", "t", "start") == F.col("rep"))
+        contents = stored(met.select("h", F.col("times").alias("occ"), "d", "t", "start", "n", "off", "kinds", "body"), "bodies")
+        spans = spans.unionByName(solved(contents, solve))
+    return spans
 
 
 def by_document(spans: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Reference shards are the contents of one anchor (``anchors.py``): equal windows
 builds the suffix automaton of its shard from the earliest content on and streams every content through it: the
 matching statistics, the longest suffix of what was read that occurred before, come with the automaton as it grows, and
 a window is marked where they reach ``length``. The automata stay in their tasks: the reference is the corpus itself, so
-none of them has a size that would allow to broadcast it. A shard with too many contents is compared window by
-window instead, by aggregation.
+none of them has a size that would allow to broadcast it. A shard with too many contents is split by longer
+shared parts first.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from vecbank.llm.batches import columns, pieces, record
 
 LENGTH = 20
 GRAM = 3
+#: Windows of a block in the rounds that split crowded shards.
+BLOCKS = (8, 3, 1)
 
 
 class SuffixAutomaton:
@@ -105,16 +107,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``d, t, start, n``: n windows of ``length`` words from ``start`` also start earlier. ``docs``: ``d, t, text``."""
     repeated = anchors.repeated_stretches(docs, anchors.word_symbols, length, gram)
     kinds = anchors.counted(repeated)
-    often = anchors.stored(kinds.filter(F.col("occ") > 1).select("h", "c", "rep"), "often")
-    place = F.struct("d", "t", "start")
-    # Every occurrence of a content but its first is a repeat as a whole.
-    whole = repeated.join(often, ["h", "c"]).filter(place > F.col("rep")).select("d", "t", "start", "n")
     contents = anchors.fetched(docs, kinds.filter(F.col("kinds") > 1), lambda text: cut_words(text, length), "array<string>", "bodies")
-    few = anchors.solved(contents, lambda rows: solve(rows, length))
-    windows = anchors.crowded_windows(contents, lambda body: anchors.word_symbols([" ".join(body).encode()])[0], length)
-    first = windows.groupBy("k1", "k2").agg(F.min(place).alias("rep"), F.count("*").alias("times")).filter(F.col("times") > 1)
-    crowded = windows.join(first, ["k1", "k2"]).filter(place > F.col("rep")).select("d", "t", "start", F.lit(1).alias("n"))
-    return whole.unionByName(few).unionByName(crowded)
+    symbols = lambda bodies: anchors.word_symbols([" ".join(b).encode() for b in bodies])
+    found = anchors.repeats(contents, symbols, length, BLOCKS, lambda rows: solve(rows, length), later_whole)
+    return later_whole(repeated, kinds).select("d", "t", "start", "n").unionByName(found)
+
+
+def later_whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows whose content occurs earlier: all but the first of its kind."""
+    often = anchors.stored(kinds.filter(F.col("occ") > 1).select("h", "c", "rep"), "often")
+    return rows.join(often, ["h", "c"]).filter(F.struct("d", "t", "start") > F.col("rep"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:

@@ -24,6 +24,8 @@ LENGTH = 200
 GRAM = 32
 CHARACTER = 8
 SHALLOW = 64
+#: Windows of a block in the rounds that split crowded anchors.
+BLOCKS = (64, 16, 4, 1)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -178,15 +180,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """``d, t, start, n``: n windows of ``length`` bytes from ``start`` occur elsewhere. ``docs``: ``d, t, text``."""
     repeated = anchors.repeated_stretches(docs, anchors.byte_symbols, length, gram)
     kinds = anchors.counted(repeated)
-    often = anchors.stored(kinds.filter(F.col("occ") > 1).select("h", "c"), "often")
-    whole = repeated.join(often, ["h", "c"], "left_semi").select("d", "t", "start", "n")
     open_ = kinds.filter((F.col("kinds") > 1) & F.col("single"))
     contents = anchors.fetched(docs, open_, lambda text: lambda start, n: text[start : start + n + length - 1], "binary", "bodies")
-    few = anchors.solved(contents, lambda rows: solve(rows, length))
-    windows = anchors.crowded_windows(contents, lambda body: anchors.byte_symbols([body])[0], length)
-    shared = windows.groupBy("k1", "k2").agg(F.sum("occ").alias("times")).filter(F.col("times") > 1)
-    crowded = windows.filter(F.col("occ") == 1).join(shared, ["k1", "k2"], "left_semi").select("d", "t", "start", F.lit(1).alias("n"))
-    return whole.unionByName(few).unionByName(crowded)
+    found = anchors.repeats(contents, anchors.byte_symbols, length, BLOCKS, lambda rows: solve(rows, length), repeated_whole)
+    return repeated_whole(repeated, kinds).select("d", "t", "start", "n").unionByName(found)
+
+
+def repeated_whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows whose content occurs at least twice."""
+    often = anchors.stored(kinds.filter(F.col("occ") > 1).select("h", "c"), "often")
+    return rows.join(often, ["h", "c"], "left_semi")
 
 
 def whole_characters(text: np.ndarray, removed: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecbank.llm.batches import columns, pieces, record, text_bytes
-from vecbank.session import materialize
+from vecbank.session import scratch_path
 
 #: Contents of one anchor that are compared in a task.
 GROUP = 1000
@@ -39,7 +39,9 @@ PLACE_BITS = 24
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 WORD_BYTES = 1 << 16
 
+#: Symbols of texts, and a function of a text that gives the bytes of n windows from a start on.
 Symbols = Callable[[list[bytes]], list[np.ndarray]]
+Cut = Callable[[bytes], Callable[[int, int], bytes]]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -210,11 +212,16 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``materialize``, then let the driver's garbage go, with which Spark removes the shuffle files of the finished job."""
-    table = materialize(df, name)
+    """``df`` written to the shared folder and read back, so that a lost executor repeats its own tasks only.
+
+    Afterwards the driver's garbage may go, and with it Spark removes the shuffle files of the finished job.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return table
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -271,18 +278,15 @@ def counted(rows: DataFrame, occurrences: str = "count(*)") -> DataFrame:
     return stored(kinds.join(groups, "h"), "contents")
 
 
-def fetched(docs: DataFrame, wanted: DataFrame, cut: Callable, kind: str, name: str) -> DataFrame:
-    """The contents ``wanted`` (``h, occ, rep, n, off, kinds``) with their symbols as the column ``body``, stored.
-
-    ``cut(text)`` gives a function (start, end) -> body for one text; ``kind`` is the type of ``body``.
-    """
+def fetched(docs: DataFrame, wanted: DataFrame, cut: Cut, name: str) -> DataFrame:
+    """The contents ``wanted`` (``h, occ, rep, n, off, kinds``) with their bytes as the column ``body``, stored."""
     by_doc = wanted.groupBy(F.col("rep.d").alias("d"), F.col("rep.t").alias("t")).agg(
         F.collect_list(F.struct("h", "occ", F.col("rep.start").alias("start"), "n", "off", "kinds")).alias("wanted")
     )
-    schema = f"h long, occ long, d long, t long, start long, n int, off int, kinds long, body {kind}"
+    schema = "h long, occ long, d long, t long, start long, n int, off int, kinds long, body binary"
     arrow = pa.schema([
         ("h", pa.int64()), ("occ", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()), ("n", pa.int32()),
-        ("off", pa.int32()), ("kinds", pa.int64()), ("body", pa.binary() if kind == "binary" else pa.list_(pa.string())),
+        ("off", pa.int32()), ("kinds", pa.int64()), ("body", pa.binary()),
     ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +348,12 @@ def solved(contents: DataFrame, solve: Callable[[list[dict]], Iterable[tuple[dic
     return few.repartition(partitions(contents.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, SPAN)
 
 
-def refined(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], window: int, block: int) -> DataFrame:
+def refined(contents: DataFrame, symbols: Symbols, cut: Cut, window: int, block: int) -> DataFrame:
     """Contents of crowded anchors cut into blocks of ``block`` windows, counted from the anchor: rows like ``contents`` with
     ``c``, keyed by block and shared symbols (``h``). Stored."""
-    fields = contents.select("h", "occ", "d", "t", "start", "n", "off", "body").schema
-    kind = fields["body"].dataType.simpleString()
     arrow = pa.schema([
         ("h", pa.int64()), ("c", pa.int64()), ("occ", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("start", pa.int64()),
-        ("n", pa.int32()), ("off", pa.int32()), ("body", pa.binary() if kind == "binary" else pa.list_(pa.string())),
+        ("n", pa.int32()), ("off", pa.int32()), ("body", pa.binary()),
     ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,21 +374,21 @@ def refined(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], wi
                     whole = Hashes(values, 1).of(first, first + size + window - 1)
                     out["h"] += mix(core ^ mix(seed ^ number.astype(np.int64)[first].view(np.uint64))).view(np.int64).tolist()
                     out["c"] += mix(whole ^ mix((size.astype(np.uint64) << np.uint64(32)) | distance[first].astype(np.int64).view(np.uint64))).view(np.int64).tolist()
+                    body = cut(row["body"])
                     for at, n in zip(first.tolist(), size.tolist(), strict=True):
                         for key in ("occ", "d", "t"):
                             out[key].append(row[key])
                         out["start"].append(row["start"] + at)
                         out["n"].append(n)
                         out["off"].append(row["off"] - at)
-                        out["body"].append(row["body"][at : at + n + window - 1])
+                        out["body"].append(body(at, n))
                 yield record(arrow, out)
 
-    cut = contents.select(*fields.names).mapInArrow(run, f"h long, c long, occ long, d long, t long, start long, n int, off int, body {kind}")
-    return stored(cut, "blocks")
+    rows = contents.select("h", "occ", "d", "t", "start", "n", "off", "body")
+    return stored(rows.mapInArrow(run, "h long, c long, occ long, d long, t long, start long, n int, off int, body binary"), "blocks")
 
 
-def repeats(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], window: int, blocks: tuple[int, ...],
-            solve: Callable, equal: Callable) -> DataFrame:
+def repeats(contents: DataFrame, symbols: Symbols, cut: Cut, window: int, blocks: tuple[int, ...], solve: Callable, equal: Callable) -> DataFrame:
     """Spans of windows that repeat among fetched ``contents``: compared in tasks where an anchor has few of them, after
     refining where it has many. ``blocks``: windows of a block in each round, below ``window``, the last 1.
     ``equal(rows, kinds)`` gives the rows that repeat another of equal content as a whole."""
@@ -395,7 +397,7 @@ def repeats(contents: DataFrame, symbols: Callable[[list], list[np.ndarray]], wi
         crowded = contents.filter(F.col("kinds") > GROUP)
         if not crowded.limit(1).count():
             break
-        rows = refined(crowded, symbols, window, block)
+        rows = refined(crowded, symbols, cut, window, block)
         kinds = counted(rows, "sum(occ)")
         spans = spans.unionByName(equal(rows, kinds).select("d", "t", "start", "n"))
         first = kinds.filter("kinds > 1").select("h", "c", F.col("occ").alias("times"), "kinds", "rep")

@@ -22,7 +22,7 @@ from vecbank.llm import anchors
 from vecbank.llm.batches import columns, pieces, record
 
 LENGTH = 20
-GRAM = 3
+GRAM = 6
 #: Windows of a block in the rounds that split crowded shards.
 BLOCKS = (8, 3, 1)
 
@@ -88,28 +88,24 @@ def solve(rows: list[dict], length: int = LENGTH) -> Iterator[tuple[dict, int, i
         return
     automaton = SuffixAutomaton()
     for row in sorted(rows, key=lambda r: (r["d"], r["t"], r["start"])):
-        known = np.array(automaton.read(row["body"]))
+        known = np.array(automaton.read(row["body"].split()))
         for first, n in anchors.runs(known[length - 1 :] >= length):
             yield row, first, n
 
 
 def cut_words(text: bytes, length: int):
+    """The bytes from the first word of n windows to their last."""
     starts, ends = anchors.word_bounds(np.frombuffer(text, np.uint8))
-
-    def body(start: int, n: int) -> list[str]:
-        last = start + n + length - 1
-        return [text[a:b].decode("utf-8", "replace") for a, b in zip(starts[start:last].tolist(), ends[start:last].tolist(), strict=True)]
-
-    return body
+    return lambda start, n: text[starts[start] : ends[start + n + length - 2]]
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``d, t, start, n``: n windows of ``length`` words from ``start`` also start earlier. ``docs``: ``d, t, text``."""
     repeated = anchors.repeated_stretches(docs, anchors.word_symbols, length, gram)
     kinds = anchors.counted(repeated)
-    contents = anchors.fetched(docs, kinds.filter(F.col("kinds") > 1), lambda text: cut_words(text, length), "array<string>", "bodies")
-    symbols = lambda bodies: anchors.word_symbols([" ".join(b).encode() for b in bodies])
-    found = anchors.repeats(contents, symbols, length, BLOCKS, lambda rows: solve(rows, length), later_whole)
+    cut = lambda text: cut_words(text, length)
+    contents = anchors.fetched(docs, kinds.filter(F.col("kinds") > 1), cut, "bodies")
+    found = anchors.repeats(contents, anchors.word_symbols, cut, length, BLOCKS, lambda rows: solve(rows, length), later_whole)
     return later_whole(repeated, kinds).select("d", "t", "start", "n").unionByName(found)
 
 

@@ -181,8 +181,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     repeated = anchors.repeated_stretches(docs, anchors.byte_symbols, length, gram)
     kinds = anchors.counted(repeated)
     open_ = kinds.filter((F.col("kinds") > 1) & F.col("single"))
-    contents = anchors.fetched(docs, open_, lambda text: lambda start, n: text[start : start + n + length - 1], "binary", "bodies")
-    found = anchors.repeats(contents, anchors.byte_symbols, length, BLOCKS, lambda rows: solve(rows, length), repeated_whole)
+    cut = lambda text: lambda start, n: text[start : start + n + length - 1]
+    contents = anchors.fetched(docs, open_, cut, "bodies")
+    found = anchors.repeats(contents, anchors.byte_symbols, cut, length, BLOCKS, lambda rows: solve(rows, length), repeated_whole)
     return repeated_whole(repeated, kinds).select("d", "t", "start", "n").unionByName(found)
 
 

@@ -46,11 +46,12 @@ def test_quota_and_split(spark, records):
     assert "WindowGroupLimit" in plan
 
 
-def test_large_quotas_and_hold_out(spark, records, monkeypatch):
-    monkeypatch.setattr("vecbank.operators.quotas.GROUP_LIMIT", 5)
+def test_large_quotas_and_hold_out(spark, records):
     df = spark.createDataFrame(records, "species string, arrival long").repartition(7)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", 5)
     got = curate(df, "species", ["arrival"], 10, 2)
     assert sorted((r.species, r.arrival, r.split) for r in got.collect()) == replay(records, 10, 2)
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     whole = hold_out(df, "species", ["arrival"], 3)
     assert sorted((r.species, r.arrival, r.split) for r in whole.collect()) == replay(records, 10**9, 3)
 

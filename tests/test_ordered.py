@@ -61,3 +61,9 @@ def test_a_hot_key_spans_ranges(log):
     _, df = log
     ranges = OrderedRanges(df, ["seq"], ["key"])
     assert ranges.rows.filter("key = 'hot'").select("_range").distinct().count() > 1
+
+
+def test_missing_keys_are_a_key_of_their_own(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(40)], "seq long, key string").repartition(4)
+    got = {r.seq: (r.n, r.before) for r in previous_value(numbered(df, ["seq"], ["key"]), ["seq"], ["key"], "seq", "before").collect()}
+    assert got == {i: (i // 2 + 1, i - 2 if i > 1 else None) for i in range(40)}

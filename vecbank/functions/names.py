@@ -39,7 +39,7 @@ def is_valid_name(name: Column) -> Column:
 
 
 def stored_label(name: Column) -> Column:
-    """Published labels have a fixed width, longer ones are cut."""
+    """Labels of exchange files have a fixed width, longer ones are cut."""
     return F.substring(name, 1, LABEL_CHARS)
 
 

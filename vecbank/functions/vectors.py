@@ -113,10 +113,16 @@ def to_bytes(vec: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def from_bytes(raw: pa.Array) -> pa.Array:
     """fp32 bytes -> array<float>; null when the length is not a multiple of four."""
-    return pa.array(
-        [None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4") for b in raw.to_pylist()],
-        type=pa.list_(pa.float32()),
-    )
+    raw = raw.cast(pa.binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset) if len(raw) else np.zeros(1, np.int32)
+    sizes = np.diff(offsets)
+    good = raw.is_valid().to_numpy(zero_copy_only=False) & (sizes % 4 == 0)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    data = data[offsets[0] : offsets[-1]]
+    if not good.all():
+        data = data[np.repeat(good, sizes)]
+    ends = np.concatenate([[0], np.cumsum(np.where(good, sizes, 0)) // 4]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(data.view("<f4")), mask=pa.array(~good))
 
 
 def to_base64(vec: Column) -> Column:

@@ -75,6 +75,12 @@ def bank_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return list_matrix(column, np.float64 if wide else np.float32)
 
 
+def finite_rows(batch: pa.RecordBatch, matrix: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Without the rows that hold a NaN or an infinity: they have no place in any ranking."""
+    good = np.isfinite(matrix).all(axis=1)
+    return (batch, matrix) if good.all() else (batch.filter(pa.array(good)), matrix[good])
+
+
 def _hits_batch(q_ids, row_ids, species, sims) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(q_ids, pa.int64()), pa.array(row_ids, pa.int64()), species, pa.array(sims, pa.float64())],
@@ -102,7 +108,7 @@ def _scan_bank(rows: pa.Table, bank: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = bank_matrix(batch.column("vec"))
+            batch, matrix = finite_rows(batch, bank_matrix(batch.column("vec")))
             row_ids = batch.column("row_id").to_numpy()
             species = _string_array(batch.column("species"))
             parts = [(best_q, best_row, best_sim, best_species)]
@@ -137,7 +143,7 @@ def _nearest_pivot(bank: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = list_matrix(batch.column("vec"))
+            batch, matrix = finite_rows(batch, list_matrix(batch.column("vec")))
             gaps = squares[None, :] - 2.0 * (matrix @ centres.T)
             cell = gaps.argmin(axis=1)
             distance = np.linalg.norm(matrix - centres[cell], axis=1)
@@ -191,6 +197,9 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
     # Bounded: n_pivots rows reach the driver.
     sample = bank.orderBy(F.xxhash64("row_id"), "row_id").limit(n_pivots).select("vec").toArrow()
     pivots = list_matrix(sample.column("vec"))
+    pivots = pivots[np.isfinite(pivots).all(axis=1)]
+    if not len(pivots):
+        pivots = np.zeros((1, pivots.shape[1]))
     cells = _nearest_pivot(bank, pivots)
     radius = np.zeros(len(pivots))
     extents = cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n"))
@@ -234,8 +243,8 @@ def knn(
     """The k bank rows with the largest dot product, per query.
 
     queries: ``query_id long, vec array``; bank: ``row_id long, species string, vec`` (an array, or
-    packed fp32 bytes). Returns ``query_id, row_id, species, sim, rank``. Rows with a null vector are
-    ignored. Vectors are used as they are: normalising is a step of its own. A bank smaller than k
+    packed fp32 bytes). Returns ``query_id, row_id, species, sim, rank``. Rows with a null vector or a
+    value that is not finite are ignored; such a query has no hits. Vectors are used as they are: normalising is a step of its own. A bank smaller than k
     gives what it has.
 
     Up to ``broadcast_rows`` queries travel to the bank. The size is checked by fetching no more than

@@ -16,7 +16,7 @@ from vecbank.operators.blocks import BLOCK_ROWS, blocked_join, group_bounds, map
 from vecbank.operators.naming import name_index, suggest_names
 from vecbank.operators.ordered import numbered
 from vecbank.session import materialize
-from vecbank.settings import DUPLICATE_SIM, MAX_LEARN_BATCH
+from vecbank.settings import DUPLICATE_SIM
 
 HEAD_ROWS = 1000  # within the group limit, so heads are cut before the shuffle
 
@@ -24,12 +24,16 @@ HEAD_ROWS = 1000  # within the group limit, so heads are cut before the shuffle
 def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``item_id, max_sim``: the best dot product of an item with the rows of its own species.
 
-    items: ``item_id, species, vec``; rows: ``row_id, species, vec`` (or packed bytes). Items whose species has no row
-    are absent. Blocks emit one number per item, never a pair.
+    items: ``item_id, species, vec``; rows: ``row_id, species, vec`` (or packed bytes). Rows with a value that is not finite
+    match nothing; items whose species has no other row are absent. Blocks emit one number per item, never a pair.
     """
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
-        best = (list_matrix(left.column("item_vec")) @ list_matrix(right.column("vec")).T).max(axis=1)
+    def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch | None:
+        bank = list_matrix(right.column("vec"))
+        bank = bank[np.isfinite(bank).all(axis=1)]
+        if not len(bank):
+            return None
+        best = (list_matrix(left.column("item_vec")) @ bank.T).max(axis=1)
         return pa.RecordBatch.from_arrays(
             [left.column("item_id").combine_chunks(), pa.array(best)], names=["item_id", "max_sim"]
         )
@@ -188,16 +192,14 @@ def learn(
     return results.select("seq", "status", "species", "examples", offered.alias("suggestions")), learned
 
 
-def pair_batch(batch: DataFrame, names: str, items: str, limit: int = MAX_LEARN_BATCH) -> DataFrame:
-    """Unfold parallel arrays into ``pos, name, item`` rows; unequal, empty or too long is an error."""
+def pair_batch(batch: DataFrame, names: str, items: str, limit: int | None = None) -> DataFrame:
+    """Unfold parallel arrays into ``pos, name, item`` rows; unequal, empty or more than ``limit`` is an error."""
     n = F.size(names)
-    checked = batch.withColumn(
-        "_ok",
-        F.when(n != F.size(items), F.raise_error(F.lit("names and items must be the same length")))
-        .when(n < 1, F.raise_error(F.lit("no items in batch")))
-        .when(n > limit, F.raise_error(F.lit(f"at most {limit} items per batch")))
-        .otherwise(F.lit(True)),
-    ).filter("_ok")
+    ok = F.when(n != F.size(items), F.raise_error(F.lit("names and items must be the same length")))
+    ok = ok.when(n < 1, F.raise_error(F.lit("no items in batch")))
+    if limit is not None:
+        ok = ok.when(n > limit, F.raise_error(F.lit(f"at most {limit} items per batch")))
+    checked = batch.withColumn("_ok", ok.otherwise(F.lit(True))).filter("_ok")
     pairs = F.arrays_zip(F.col(names).alias("name"), F.col(items).alias("item"))
     kept = [c for c in batch.columns if c not in (names, items)]
     unfolded = checked.select(*kept, F.posexplode(pairs).alias("pos", "pair"))

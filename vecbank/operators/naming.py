@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from vecbank.functions.names import name_key, new_name
 from vecbank.operators.blocks import blocked_join
 from vecbank.operators.ordered import numbered
-from vecbank.settings import MAX_LABELS, SUGGESTION_COUNT, SUGGESTION_CUTOFF
+from vecbank.settings import SUGGESTION_COUNT, SUGGESTION_CUTOFF
 
 
 def name_index(bank: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def label_universe(local: DataFrame, remote: DataFrame) -> DataFrame:
     return numbered(names, ["species"], name="_n").withColumn("idx", F.col("_n") - 1).drop("_n")
 
 
-def cap_labels(universe: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+def cap_labels(universe: DataFrame, max_labels: int = 0) -> DataFrame:
     """At most ``max_labels`` names, local ones first; 0 keeps all. ``idx`` is the place in that list.
 
     Below the cap the plain sorted order is kept. A top-n sort, so no task sees all names.

@@ -8,6 +8,8 @@ and receives the totals of the ranges before it. A hot label just spans more ran
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,11 @@ class OrderedRanges:
         offsets = per_range.select(
             RANGE, *self.keys, *[combine(name).over(before).alias(name) for name, (_, combine) in totals.items()]
         )
-        return rows.join(offsets, [RANGE, *self.keys])
+        # Null-safe: a missing key is a key of its own.
+        theirs = {k: f"_k{i}" for i, k in enumerate([RANGE, *self.keys])}
+        offsets = offsets.withColumnsRenamed(theirs)
+        same = [rows[k].eqNullSafe(offsets[own]) for k, own in theirs.items()]
+        return rows.join(offsets, reduce(and_, same)).drop(*theirs.values())
 
 
 def running_totals(

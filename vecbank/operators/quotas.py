@@ -9,17 +9,17 @@ from pyspark.sql.window import Window
 from vecbank.operators.ordered import numbered
 from vecbank.settings import MAX_PER_LABEL, VAL_PER_LABEL
 
-GROUP_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def arrival_rank(df: DataFrame, label: str, order: list[str], limit: int, name: str = "place") -> DataFrame:
     """The first ``limit`` rows per label in arrival order, with their place from 1.
 
     The filter sits on the window, so Spark keeps only ``limit`` rows per label and task before
-    the shuffle; a hot label costs no more than any other. Spark does that up to ``GROUP_LIMIT`` rows;
-    beyond it places come from a two-level scan.
+    the shuffle; a hot label costs no more than any other. Spark does that up to a limit of its own;
+    beyond it the same places come from a two-level scan. Rows without a label are a label of their own.
     """
-    if limit > GROUP_LIMIT:
+    if limit > int(df.sparkSession.conf.get(GROUP_LIMIT)):
         return numbered(df, order, [label], name).filter(F.col(name) <= limit)
     window = Window.partitionBy(label).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
@@ -34,7 +34,8 @@ def hold_out(df: DataFrame, label: str, order: list[str], val_per_label: int = V
     last = arrival_rank(df.select(label, *order), label, order, val_per_label, "_n")
     last = last.groupBy(label).agg(F.max(place).alias("_last"))
     split = F.when(place <= F.col("_last"), "val").otherwise("train")
-    return df.join(last, label, "left").withColumn("split", split).drop("_last")
+    last = last.withColumnRenamed(label, "_label")
+    return df.join(last, df[label].eqNullSafe(last["_label"]), "left").withColumn("split", split).drop("_last", "_label")
 
 
 def by_source(sources: list[DataFrame]) -> DataFrame:

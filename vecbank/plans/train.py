@@ -17,7 +17,7 @@ from vecbank.operators.ordered import numbered
 from vecbank.operators.quotas import by_source, collection_progress, curate
 from vecbank.plans.identify import embed_pictures
 from vecbank.session import materialize
-from vecbank.settings import IMAGE_COLUMNS, IMAGE_EXTENSIONS, LABEL_COLUMNS, MAX_LABELS, MAX_PER_LABEL, VAL_PER_LABEL
+from vecbank.settings import IMAGE_COLUMNS, IMAGE_EXTENSIONS, LABEL_COLUMNS, MAX_PER_LABEL, VAL_PER_LABEL
 from vecbank.sources.archives import scan_image_files, scan_images
 from vecbank.sources.store import BankStore, read_split_features, write_split_features
 
@@ -38,7 +38,7 @@ def local_records(images: DataFrame) -> DataFrame:
 def curate_images(
     local: DataFrame,
     remote: DataFrame,
-    max_labels: int = MAX_LABELS,
+    max_labels: int = 0,
     max_per_label: int = MAX_PER_LABEL,
     val_per_label: int = VAL_PER_LABEL,
     local_names: DataFrame | None = None,
@@ -85,7 +85,7 @@ def run_training(
     features: str,
     model_id: str,
     dim: int,
-    max_labels: int = MAX_LABELS,
+    max_labels: int = 0,
     max_per_label: int = MAX_PER_LABEL,
     val_per_label: int = VAL_PER_LABEL,
     **options,

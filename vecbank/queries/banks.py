@@ -54,10 +54,10 @@ FINITE = "not list_contains(list_transform(vec, lambda x: isfinite(x)), false)"
 
 @query(
     "drop_zero_vectors",
-    f"with {E}, {DAMAGED} select row_id, species from damaged where sqrt(list_dot_product(vec, vec)) > 1e-6 or not {FINITE}",
+    f"with {E}, {DAMAGED} select row_id, species from damaged where {FINITE} and sqrt(list_dot_product(vec, vec)) > 1e-6",
 )
 def without_zero_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return damaged(spark, sf).filter(norm(F.col("vec")) > 1e-6).select("row_id", "species")
+    return damaged(spark, sf).filter(is_finite(F.col("vec")) & (norm(F.col("vec")) > 1e-6)).select("row_id", "species")
 
 
 @query("finite_vectors", f"with {E}, {DAMAGED} select row_id, {FINITE} as finite from damaged")
@@ -215,6 +215,20 @@ def publish(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "publish_damaged",
+    f"""with {E}, {DAMAGED}, fit as (select * from damaged where len(vec) = {DIM}),
+    sound as (select * from fit where {FINITE} and list_dot_product(vec, vec) > 0)
+    select species, count(*) as rows, 'dropped=' || ((select count(*) from fit) - (select count(*) from sound)) as source
+    from sound group by 1""",
+)
+def publish_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Zero vectors and NaN are left out of a published base and counted."""
+    store = BankStore(spark, scratch_path(spark, "bank"))
+    version = store.publish(damaged(spark, sf).filter(has_dim(F.col("vec"), DIM)), "model-1", DIM, dtype="fp32")
+    return store.labels(version).select("species", F.col("count").alias("rows"), F.lit(version["source"]).alias("source"))
+
+
 @query(
     "append_and_rewrite_learned",
     f"""with {E} select origin, species, count(*) as rows, (1 + (select count(*) from e) + 1)::bigint as version,

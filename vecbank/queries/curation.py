@@ -103,6 +103,25 @@ def quota_beyond_group_limit(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", "place")
 
 
+NULL_LABELS = "select case when l_linestatus = 'F' then l_linestatus end as label, l_orderkey, l_linenumber, l_partkey from lineitem"
+
+
+@query(
+    "quota_null_label",
+    f"""select quota, label, l_orderkey, l_linenumber, l_partkey, place from (
+      select *, row_number() over (partition by label order by l_orderkey, l_linenumber, l_partkey) as place
+      from ({NULL_LABELS})), (values (1000), (1001)) quotas(quota) where place <= quota""",
+)
+def quota_null_label(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a label are a label of their own, below and above Spark's group limit."""
+    rows = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linestatus") == "F", F.col("l_linestatus")).alias("label"), "l_orderkey", "l_linenumber", "l_partkey"
+    )
+    order = ["l_orderkey", "l_linenumber", "l_partkey"]
+    kept = [arrival_rank(rows, "label", order, n).withColumn("quota", F.lit(n)) for n in (1000, 1001)]
+    return kept[0].unionByName(kept[1].select(kept[0].columns)).select("quota", "label", *order, F.col("place").cast("long").alias("place"))
+
+
 LABELLED = """universe as (select distinct source || '/' || lang as species from documents),
     curated as (select species, case when place <= 2 then 'val' else 'train' end as split from (
       select source || '/' || lang as species, row_number() over (partition by source, lang order by doc_id) as place

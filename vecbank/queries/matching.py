@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.functions.vectors import as_double, l2_normalize, norm
+from vecbank.functions.vectors import as_double, has_dim, l2_normalize, norm
 from vecbank.operators.knn import knn
 from vecbank.operators.vote import confident_only, publish_prediction, vote
 from vecbank.plans.identify import identify
@@ -50,6 +50,27 @@ def knn_topk_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(knn(_near(spark, sf), embeddings(spark, sf), broadcast_rows=0, block_rows=128))
 
 
+SOUND = f"len(vec) = {DIM} and not list_contains(list_transform(vec, lambda x: isfinite(x)), false)"
+
+
+@query(
+    "knn_damaged_bank",
+    f"""with {E}, {NEAR}, {DAMAGED}, sound as (select * from damaged where {SOUND}), {hits_sql('q', 'sound', 5)}
+    select path, query_id, rank::bigint as rank, row_id, round(sim, 6) as score
+    from hits, (values ('scan'), ('blocks')) paths(path)""",
+)
+def knn_damaged_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """A bank with zeros and NaN, which must not take hits from sound rows on either path."""
+    bank = damaged(spark, sf).filter(has_dim(F.col("vec"), DIM))
+    paths = [
+        knn(_near(spark, sf), bank, **sizes).withColumn("path", F.lit(path))
+        for path, sizes in (("scan", {}), ("blocks", {"broadcast_rows": 0, "block_rows": 128}))
+    ]
+    return paths[0].unionByName(paths[1]).select(
+        "path", "query_id", F.col("rank").cast("long").alias("rank"), "row_id", F.round("sim", 6).alias("score")
+    )
+
+
 @query(
     "knn_vote",
     f"""{MATCH} select query_id, species, round(best, 6) as score, votes, best >= 0.5 as confident from winners""",

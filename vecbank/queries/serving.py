@@ -13,7 +13,7 @@ from vecbank.operators.quality import throughput
 from vecbank.operators.serving import counters, embed_distinct, latency_percentiles, ordered_results
 from vecbank.queries import query
 from vecbank.session import materialize, scratch_path, table
-from vecbank.settings import MAX_LEARN_BATCH
+from vecbank.settings import REQUEST_ITEMS
 from vecbank.streaming.jobs import file_stream
 from vecbank.streaming.latency import rolling_latency
 
@@ -176,12 +176,12 @@ def prediction_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "batch_pairing",
-    f"""select conv_id, (n - 1) // {MAX_LEARN_BATCH} as chunk, ((n - 1) % {MAX_LEARN_BATCH})::int as pos, role as name, md5(text) as item from (
+    f"""select conv_id, (n - 1) // {REQUEST_ITEMS} as chunk, ((n - 1) % {REQUEST_ITEMS})::int as pos, role as name, md5(text) as item from (
       select *, row_number() over (partition by conv_id order by turn) as n from conversations)""",
 )
 def batch_pairing(spark: SparkSession, sf: str) -> DataFrame:
     """Parallel arrays of at most 64 names and items, paired by position."""
-    turns = chunked(table(spark, sf, "conversations"), ["turn"], MAX_LEARN_BATCH, ["conv_id"])
+    turns = chunked(table(spark, sf, "conversations"), ["turn"], REQUEST_ITEMS, ["conv_id"])
     rows = F.array_sort(F.collect_list(F.struct("slot", "role", "text")))
     batches = turns.groupBy("conv_id", "chunk").agg(rows.alias("rows")).select(
         "conv_id", "chunk", F.col("rows.role").alias("names"), F.col("rows.text").alias("items")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from vecbank.functions.admission import exactly_one
 from vecbank.functions.names import variant_name
-from vecbank.functions.vectors import as_double
+from vecbank.functions.vectors import as_double, has_dim
 from vecbank.operators.changes import (
     forget_label, latest_learned, removal_summary, surviving, upsert_counts, versions, without,
 )
 from vecbank.operators.learn import learn, max_similarity
 from vecbank.operators.ordered import numbered
 from vecbank.queries import query
-from vecbank.queries.inputs import DIM, E, LOG, blend_sql, blended, change_log, embeddings
+from vecbank.queries.inputs import DAMAGED, DIM, E, LOG, blend_sql, blended, change_log, damaged, embeddings
 from vecbank.session import scratch_path, table
 from vecbank.sources.store import BankStore
 from vecbank.streaming.jobs import file_stream, stream_output, teach_stream
@@ -37,6 +37,23 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("item_id", F.round("max_sim", 6).alias("max_sim"), (F.col("max_sim") >= 0.995).alias("duplicate"))
 
 
+@query(
+    "learn_damaged_bank",
+    f"""with {E}, {DAMAGED}, {blend_sql('dup', 0.95, 0.05)},
+    sound as (select * from damaged where len(vec) = {DIM} and not list_contains(list_transform(vec, lambda x: isfinite(x)), false))
+    select d.row_id as seq, case when max(case when s.species = d.species then list_dot_product(d.vec, s.vec) end) >= 0.995
+                          then 'duplicate' else 'new' end as status
+    from dup d cross join sound s group by 1""",
+)
+def learn_damaged_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with NaN in the bank block nothing from being learned."""
+    items = blended(spark, sf, 0.95, 0.05).select(F.col("row_id").alias("item_id"), "species", "vec")
+    bank = damaged(spark, sf).filter(has_dim(F.col("vec"), DIM))
+    found = items.select("item_id").join(max_similarity(items, bank), "item_id", "left")
+    status = F.when(F.col("max_sim") >= 0.995, "duplicate").otherwise("new")
+    return found.select(F.col("item_id").alias("seq"), status.alias("status"))
+
+
 def _requests(spark: SparkSession, sf: str) -> DataFrame:
     """Six passes over the embeddings: near duplicates, new examples, the same again, unknown names, new names, zeros."""
     raw = embeddings(spark, sf).withColumn("vec", as_double(F.col("vec")))

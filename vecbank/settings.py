@@ -17,7 +17,6 @@ SUGGESTION_COUNT = 3
 # Curation
 MAX_PER_LABEL = 10
 VAL_PER_LABEL = 2
-MAX_LABELS = 100
 LABEL_COLUMNS = ("label", "text", "name", "species", "pokemon")
 IMAGE_COLUMNS = ("image", "img", "picture")
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp")
@@ -26,8 +25,7 @@ MIN_LOCAL_SIDE = 11
 MIN_REMOTE_SIDE = 10
 
 # Serving
-MAX_BATCH = 32
-MAX_LEARN_BATCH = 64
+REQUEST_ITEMS = 64  # items of one service request; batches have no limit
 INFER_CHUNK = 8
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 LATENCY_WINDOW = 500
@@ -36,7 +34,7 @@ FINGERPRINT_CHARS = 16
 
 # Publishing
 PUBLISH_MIN_NORM = 1e-9
-LABEL_CHARS = 64
+LABEL_CHARS = 64  # width of a label in the exchange files
 PARITY_MIN_COS = 0.999
 
 # Training

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from vecbank.functions.vectors import list_matrix, matrix_list
 from vecbank.operators.blocks import group_bounds, map_sorted_groups
+from vecbank.settings import LABEL_CHARS
 from vecbank.sources.files import resolve, write_atomically
 
 VECTOR_SCHEMA = "row_id long, vec array<float>"
@@ -161,7 +162,10 @@ def write_npy(bank: DataFrame, out: str, dtype: str = "fp16", rows_per_shard: in
             part = table.slice(int(a), int(b - a))
             name = f"part-{part.column('shard')[0].as_py():06d}.npy"
             vectors = list_matrix(part.column("vec"), np.float32).astype(value_type)
-            labels = np.array(part.column("species").to_pylist(), dtype="U64")
+            names = part.column("species").to_pylist()
+            labels = np.array(names, dtype=f"U{LABEL_CHARS}")
+            if len(set(labels.tolist())) < len(set(names)):
+                raise ValueError(f"labels that differ only beyond {LABEL_CHARS} characters cannot be told apart in this format")
             write_atomically(f"{out}/base_features/{name}", _npy_bytes(vectors), attempt)
             write_atomically(f"{out}/base_species/{name}", _npy_bytes(labels), attempt)
             yield pa.RecordBatch.from_arrays([pa.array([len(labels)], pa.int64())], ["rows"])

@@ -13,8 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.functions.names import stored_label
-from vecbank.functions.vectors import from_bytes
+from vecbank.functions.vectors import from_bytes, is_finite, norm
 from vecbank.operators.bank import bank_union, packed, row_verdict
 from vecbank.operators.changes import forget_label, latest_learned, without
 from vecbank.operators.learn import label_table
@@ -70,19 +69,21 @@ class BankStore:
     def publish(self, bank: DataFrame, model_id: str, dim: int, dtype: str = "fp16", normalize: bool = True) -> Row:
         """Write a new base (``row_id, species, vec``) and make it active; learned rows stay in effect.
 
-        Vectors are normalised once more and rounded to ``dtype``; labels are cut to their fixed
-        width. A base of another width than ``dim`` is refused before anything becomes visible.
+        Rows whose vector is null, zero or not finite are left out; ``source`` of the version tells how
+        many there were. The others are normalised once more and rounded to ``dtype``. A base of
+        another width than ``dim`` is refused before anything becomes visible.
         """
         previous = self.active()
         path = f"{self.root}/base/{uuid.uuid4().hex}"
-        rows = bank.select("row_id", stored_label(F.col("species")).alias("species"), "vec")
+        rows = bank.select("row_id", "species", "vec").filter(is_finite(F.col("vec")) & (norm(F.col("vec")) > PUBLISH_MIN_NORM))
         # Clustered by label (a hot label spans several files), so teaching reads only the files it needs.
         clustered = rows.repartitionByRange("species", "row_id").sortWithinPartitions("species", "row_id")
         packed(clustered, normalize=normalize, floor=PUBLISH_MIN_NORM, half=dtype == "fp16").write.parquet(path)
         label_table(self.spark.read.schema(BASE_SCHEMA).parquet(path)).write.parquet(_labels_path(path))
-        return self.activate(previous, path, model_id, dim, dtype)
+        kept = self.spark.read.schema(BASE_SCHEMA).parquet(path).count()
+        return self.activate(previous, path, model_id, dim, dtype, dropped=bank.count() - kept)
 
-    def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str) -> Row:
+    def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str, dropped: int = 0) -> Row:
         """Swap model and base together, after checking the base; on failure the old one stays."""
         checked = self.spark.read.schema(BASE_SCHEMA).parquet(path).agg(
             F.count(F.lit(1)).alias("rows"), F.count_if(F.octet_length("vec") != 4 * dim).alias("wrong")
@@ -93,7 +94,7 @@ class BankStore:
         last = previous["last_batch"] if learned else -1
         return self._commit(
             previous, "publish", True, base=path, model_id=model_id, dim=dim, dtype=dtype, rows=checked["rows"],
-            learned=learned, last_batch=last,
+            learned=learned, last_batch=last, source=f"dropped={dropped}" if dropped else None,
         )
 
     def base(self, version: Row) -> DataFrame:
@@ -134,7 +135,8 @@ class BankStore:
         return not self.manifest().filter(mine).isEmpty()
 
     def append_learned(self, rows: DataFrame, batch: int | None = None, source: str = "") -> Row:
-        """Append ``seq, species, vec``; the version rises by one per row.
+        """Append ``seq, species, vec``; the version rises by one per row, and by one for an empty batch
+        that has to be remembered as done. Nothing added and nothing to remember changes nothing.
 
         ``batch`` counts the batches of one ``source``. A batch that was committed before changes
         nothing, so retries are harmless. The files are complete before the manifest row makes them
@@ -148,13 +150,18 @@ class BankStore:
         stamped = packed(rows.select("seq", "species", "vec")).withColumn("t", F.lit(int(time.time())).cast("long"))
         stamped.write.mode("overwrite").parquet(f"{path}/batch={number}")
         added = self.spark.read.schema(LEARNED_SCHEMA).parquet(f"{path}/batch={number}").count()
+        if not added and batch is None:
+            return previous
         return self._commit(
-            previous, "learn", False, steps=added, learned=path, last_batch=number,
+            previous, "learn", False, steps=max(added, 1), learned=path, last_batch=number,
             source=None if batch is None else source, source_batch=batch,
         )
 
-    def forget(self, name: str | None = None, last: bool = False, exact: bool = False) -> tuple[Row, DataFrame]:
-        """Remove learned rows by name, or the latest one; a name takes precedence over ``last``.
+    def forget(
+        self, name: str | None = None, last: bool = False, exact: bool = False, everything: bool = False
+    ) -> tuple[Row, DataFrame]:
+        """Remove learned rows by name, or the latest one; a name takes precedence over ``last``. With neither,
+        ``everything`` removes all learned rows (the rule of banks kept in SQL), else nothing goes.
 
         Base rows are never removed. Nothing to remove means no new version. Returns the active
         version and the removed rows.
@@ -166,7 +173,7 @@ class BankStore:
         elif last:
             removed = latest_learned(rows)
         else:
-            removed = rows.limit(0)
+            removed = rows if everything else rows.limit(0)
         if removed.isEmpty():
             return previous, removed
         path = f"{self.root}/learned/{uuid.uuid4().hex}"
@@ -180,8 +187,8 @@ def newest_valid(manifest: DataFrame, dim: int) -> DataFrame:
 
 
 def write_split_features(rows: DataFrame, path: str) -> None:
-    """Append ``split, label, feat`` to the split feature store (one folder per split)."""
-    rows.write.mode("append").partitionBy("split").parquet(path)
+    """Write ``split, label, feat`` as the split feature store (one folder per split); a rerun replaces it."""
+    rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def read_split_features(spark: SparkSession, path: str, split: str) -> DataFrame:

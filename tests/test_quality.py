@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecbank.operators.head import AdamW, initial_weights, loss_and_gradient, train_epoch, train_head
+from vecbank.operators.head import AdamW, in_buckets, initial_weights, loss_and_gradient, train_epoch, train_head
 from vecbank.operators.quality import (
     class_centroids, cosine_learning_rate, early_stopping, embedding_parity, head_accuracy, require_parity,
     retrieval_accuracy, throughput,
@@ -100,29 +100,42 @@ def blobs(spark, n=300, seed=0):
     return spark.createDataFrame(rows, "id long, label int, feat array<float>")
 
 
-def test_one_partition_is_sequential_training(spark):
-    rows = blobs(spark, 50).coalesce(1)
-    order = rows.sortWithinPartitions(F.xxhash64("id", F.lit(4))).collect()
-    state = AdamW(initial_weights(8, 4, 3))
-    expected = AdamW(initial_weights(8, 4, 3))
-    for a in range(0, 50, 16):
-        part = order[a : a + 16]
+def test_steps_equal_training_on_whole_batches(spark):
+    rows = in_buckets(blobs(spark, 50), 3)
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r.bucket, []).append(r)
+    state, expected = AdamW(initial_weights(8, 4, 3)), AdamW(initial_weights(8, 4, 3))
+    for place in np.random.default_rng(4).permutation(len(held)):
+        part = held[sorted(held)[place]]
         x = np.array([r.feat for r in part])
         _, _, gradient = loss_and_gradient(expected.weights, x, np.array([r.label for r in part]))
         expected.step(gradient, 0.01, 0.01)
-    got, _, _ = train_epoch(rows, state, 4, 0.01, batch=16, dropout=0.0)
-    assert got.steps == 4
+    got, _, _ = train_epoch(rows, state, 4, 0.01, dropout=0.0)
+    assert got.steps == len(held) and state.steps == 0
     for name in expected.weights:
         assert np.allclose(got.weights[name], expected.weights[name], atol=1e-12)
 
 
+def test_training_does_not_depend_on_partitions(spark):
+    rows = blobs(spark)
+    histories = [
+        train_head(part.filter("id >= 60"), part.filter("id < 60"), 3, dim=4, epochs=3, lr=0.1, batch=40)[1]
+        for part in (rows.coalesce(1), rows.repartition(8), rows.repartition(64))
+    ]
+    for history in histories[1:]:
+        for one, other in zip(histories[0], history, strict=True):
+            assert all(abs(one[k] - other[k]) < 1e-6 for k in ("loss", "train_acc", "val_acc", "val_retrieval"))
+    assert histories[0][-1]["val_acc"] > 50  # chance is 33
+
+
 def test_training_learns_and_resumes(spark, scratch):
     rows = blobs(spark).repartition(4)
     train, val = rows.filter("id >= 60"), rows.filter("id < 60")
     path = scratch("state") + ".npz"
-    _, first = train_head(train, val, 3, dim=4, epochs=4, lr=0.02, batch=32, state_path=path)
+    _, first = train_head(train, val, 3, dim=4, epochs=4, lr=0.1, batch=32, state_path=path)
     assert first[-1]["loss"] < first[0]["loss"] and first[-1]["val_retrieval"] > 70
-    _, again = train_head(train, val, 3, dim=4, epochs=4, lr=0.02, batch=32, state_path=path)
+    _, again = train_head(train, val, 3, dim=4, epochs=4, lr=0.1, batch=32, state_path=path)
     assert again == first  # nothing left to do
-    _, no_val = train_head(train, val.limit(0), 3, dim=4, epochs=2, lr=0.02, batch=32)
+    _, no_val = train_head(train, val.limit(0), 3, dim=4, epochs=2, lr=0.1, batch=32)
     assert [h["score"] for h in no_val] == [0.0, 1.0] and all(h["improved"] for h in no_val)

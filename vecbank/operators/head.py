@@ -1,13 +1,14 @@
 """Training the projection head and its cosine classifier on frozen features.
 
-Data stays on the executors. In an epoch every partition walks through its rows in seeded random order
-with AdamW mini-batches, starting from the same weights; the partitions' weights and moments are then
-averaged by row count, summed up in a tree of tasks. One partition is plain sequential training.
+Data stays on the executors. Rows fall into buckets by a hash of their id, one bucket is one step: its tasks compute the
+gradient of their rows with the same weights, the sums are added in a tree of tasks, and the driver makes one AdamW
+update. Buckets do not depend on how the rows are partitioned, nor do dropout masks, so neither does the result.
 """
 
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecbank.functions.vectors import list_matrix
 from vecbank.operators.embedding import project
 from vecbank.operators.knn import BROADCAST_ROWS
 from vecbank.operators.quality import retrieval_accuracy
-from vecbank.session import materialize
+from vecbank.session import materialize, scratch_path
 from vecbank.settings import (
     COSINE_SCALE, HEAD_BATCH, HEAD_DROPOUT, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, HEAD_WEIGHT_DECAY, LABEL_SMOOTHING,
 )
@@ -119,92 +121,118 @@ class AdamW:
         return AdamW(*out, steps=steps)
 
 
-def _mini_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Arrow batches regrouped to ``size`` rows."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        while rows >= size:
-            table = pa.Table.from_batches(held)
-            yield table.slice(0, size)
-            held, rows = table.slice(size).to_batches(), rows - size
-    if rows:
-        yield pa.Table.from_batches(held)
+_PARTIAL = "part int, n long, loss double, correct long, blob binary"
 
 
-_PARTIAL = "part int, n long, loss double, correct long, steps long, blob binary"
-
-
-def _partial(part: int, n: int, loss: float, correct: int, steps: int, flat: np.ndarray) -> pa.RecordBatch:
+def _partial(part: int, n: int, loss: float, correct: int, flat: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([loss], pa.float64()),
-         pa.array([correct], pa.int64()), pa.array([steps], pa.int64()), pa.array([flat.tobytes()], pa.binary())],
-        names=["part", "n", "loss", "correct", "steps", "blob"],
-    )
+         pa.array([correct], pa.int64()), pa.array([flat.tobytes()], pa.large_binary())],
+        names=["part", "n", "loss", "correct", "blob"],
+    ).cast(pa.schema([("part", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("correct", pa.int64()), ("blob", pa.binary())]))
 
 
 def _summed(partials: DataFrame) -> DataFrame:
     """Add the partitions' sums in ``_TREE_WIDTH`` tasks, so the driver adds only that many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, blob = None, None
+        numbers, blob = np.zeros(3), None
         for batch in batches:
             for row in batch.to_pylist():
                 flat = np.frombuffer(row["blob"])
-                numbers = np.array([row["n"], row["loss"], row["correct"], row["steps"]], dtype=np.float64)
-                if total is None:
-                    total, blob = numbers, flat.copy()
-                else:
-                    steps = max(total[3], numbers[3])
-                    total, blob = total + numbers, blob + flat
-                    total[3] = steps
-        if total is not None:
-            yield _partial(0, int(total[0]), float(total[1]), int(total[2]), int(total[3]), blob)
+                numbers += [row["n"], row["loss"], row["correct"]]
+                blob = flat.copy() if blob is None else blob + flat
+        if blob is not None:
+            yield _partial(0, int(numbers[0]), float(numbers[1]), int(numbers[2]), blob)
 
     return partials.repartition(_TREE_WIDTH, "part").mapInArrow(run, _PARTIAL)
 
 
-def train_epoch(
-    rows: DataFrame, state: AdamW, epoch: int, lr: float, batch: int = HEAD_BATCH, dropout: float = HEAD_DROPOUT,
-    weight_decay: float = HEAD_WEIGHT_DECAY,
-) -> tuple[AdamW, float, float]:
-    """One epoch over ``id long, label int, feat array``: (new state, mean loss, accuracy in per cent)."""
-    shared = rows.sparkSession.sparkContext.broadcast(state)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def dropout_mask(ids: np.ndarray, width: int, seed: int, rate: float) -> np.ndarray:
+    """Which values stay, drawn from a hash of (id, position, seed)."""
+    row = _mixed(ids.astype(np.int64).view(np.uint64) ^ _mixed(np.array([seed + 1], np.uint64)))
+    draw = _mixed(row[:, None] + np.arange(1, width + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+    return (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= rate
+
+
+def step_count(n: int, batch: int) -> int:
+    return max(1, round(n / batch))
+
+
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """``id, label, feat, bucket`` stored with a folder per bucket, so a step reads its own rows only."""
+    path = scratch_path(rows.sparkSession, "buckets")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    rows.select("id", "label", "feat", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))).write.partitionBy(
+        "bucket"
+    ).parquet(path)
+    schema = rows.select("id", "label", "feat").schema.add("bucket", T.IntegerType())
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
+def train_step(
+    rows: DataFrame, state: AdamW, seed: int, lr: float, dropout: float = HEAD_DROPOUT, weight_decay: float = HEAD_WEIGHT_DECAY
+) -> tuple[int, float, int]:
+    """One AdamW update of ``state`` on all ``rows`` (``id, label, feat``): (rows, sum of losses, hits before the update)."""
+    shared = rows.sparkSession.sparkContext.broadcast(state.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = shared.value
-        local = start.unpacked(start.pack(), start.steps)
-        n, loss_sum, correct = 0, 0.0, 0
-        for table in _mini_batches(batches, batch):
-            x = list_matrix(table.column("feat"))
-            y = table.column("label").to_numpy()
+        weights = shared.value
+        n, loss_sum, correct, total = 0, 0.0, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = list_matrix(batch.column("feat"))
+            y = batch.column("label").to_numpy()
             if dropout:
-                rng = np.random.default_rng([epoch, table.column("id")[0].as_py() & 0xFFFFFFFF])
-                x = x * (rng.random(x.shape) >= dropout) / (1.0 - dropout)
-            loss, hits, gradient = loss_and_gradient(local.weights, x, y)
-            local.step(gradient, lr, weight_decay)
+                x = x * dropout_mask(batch.column("id").to_numpy(), x.shape[1], seed, dropout) / (1.0 - dropout)
+            loss, hits, gradient = loss_and_gradient(weights, x, y)
             n, loss_sum, correct = n + len(y), loss_sum + loss * len(y), correct + hits
+            total = total + np.concatenate([gradient[name].ravel() for name in NAMES]) * len(y)
         if n:
-            part = TaskContext.get().partitionId()
-            yield _partial(part, n, loss_sum, correct, local.steps, local.pack() * n)
-
-    # A local sort by a seeded hash: a new order every epoch without moving rows.
-    order = rows.select("id", "label", "feat").sortWithinPartitions(F.xxhash64("id", F.lit(epoch)))
-    sums = _summed(order.mapInArrow(run, _PARTIAL)).collect()  # _TREE_WIDTH rows
-    if not sums:
-        return state, 0.0, 0.0
+            yield _partial(TaskContext.get().partitionId(), n, loss_sum, correct, total)
+
+    sums = _summed(rows.select("id", "label", "feat").mapInArrow(run, _PARTIAL)).collect()  # _TREE_WIDTH rows
+    shared.destroy()
     n = sum(r["n"] for r in sums)
-    flat = np.sum([np.frombuffer(r["blob"]) for r in sums], axis=0) / n
-    after = state.unpacked(flat, max(r["steps"] for r in sums))
-    return after, sum(r["loss"] for r in sums) / n, 100.0 * sum(r["correct"] for r in sums) / n
+    if n:
+        flat = np.sum([np.frombuffer(r["blob"]) for r in sums], axis=0) / n
+        ends = np.cumsum([state.weights[name].size for name in NAMES])[:-1]
+        parts = dict(zip(NAMES, np.split(flat, ends), strict=True))
+        state.step({name: g.reshape(state.weights[name].shape) for name, g in parts.items()}, lr, weight_decay)
+    return n, sum(r["loss"] for r in sums), sum(r["correct"] for r in sums)
+
+
+def train_epoch(
+    rows: DataFrame, state: AdamW, epoch: int, lr: float, batch: int = HEAD_BATCH, dropout: float = HEAD_DROPOUT,
+    weight_decay: float = HEAD_WEIGHT_DECAY,
+) -> tuple[AdamW, float, float]:
+    """One epoch over ``id long, label int, feat array``: (new state, mean loss, accuracy in per cent).
+
+    A step takes about ``batch`` rows: those of one bucket (:func:`in_buckets`; without the column ``bucket`` it is made here).
+    """
+    if "bucket" not in rows.columns:
+        rows = in_buckets(rows, step_count(rows.count(), batch))
+    buckets = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+    state = state.unpacked(state.pack(), state.steps)
+    n, loss, correct = 0, 0.0, 0
+    for place in np.random.default_rng(epoch).permutation(len(buckets)):
+        part = rows.filter(F.col("bucket") == buckets[place])
+        own, own_loss, hits = train_step(part, state, epoch, lr, dropout, weight_decay)
+        n, loss, correct = n + own, loss + own_loss, correct + hits
+    return (state, loss / n, 100.0 * correct / n) if n else (state, 0.0, 0.0)
 
 
 def _save(path: str, state: AdamW, best: Weights, history: list[dict]) -> None:
     out = io.BytesIO()
     np.savez(
-        out, flat=state.pack(), steps=state.steps, history=np.array(history, dtype=object),
+        out, flat=state.pack(), steps=state.steps, history=np.array(json.dumps(history)),
         **{f"now_{n}": state.weights[n] for n in NAMES}, **{f"best_{n}": best[n] for n in NAMES},
     )
     write_atomically(path, [out.getvalue()], "state")
@@ -215,10 +243,10 @@ def _load(path: str) -> tuple[AdamW, Weights, list[dict]] | None:
     if not fs.get_file_info(name).is_file:
         return None
     with fs.open_input_file(name) as f:
-        saved = np.load(io.BytesIO(f.read()), allow_pickle=True)
+        saved = np.load(io.BytesIO(f.read()))
     weights = {n: saved[f"now_{n}"] for n in NAMES}
     state = AdamW(weights).unpacked(saved["flat"], int(saved["steps"]))
-    return state, {n: saved[f"best_{n}"] for n in NAMES}, list(saved["history"])
+    return state, {n: saved[f"best_{n}"] for n in NAMES}, json.loads(str(saved["history"]))
 
 
 def _embedded(rows: DataFrame, weights: Weights, key: str) -> DataFrame:
@@ -258,13 +286,15 @@ def train_head(
 ) -> tuple[Weights, list[dict]]:
     """Train until ``epochs`` or ``patience`` epochs without a better validation retrieval.
 
-    train and val: ``id long, label int, feat array`` (stored tables: they are read every epoch).
+    train and val: ``id long, label int, feat array`` (stored tables: they are read every epoch). ``batch`` is the number of rows
+    of one update over the whole cluster; on large tables choose it large. The partitions of the tables do not matter.
     Returns the best weights and one record per epoch. Without validation rows all epochs run and
     the last one counts. With ``state_path`` a restarted driver resumes after the last whole epoch.
     """
     first = train.select(F.size("feat").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
+    steps = in_buckets(train, step_count(train.count(), batch))
     n_val = val.count()
     has_val = n_val > 0
     state = AdamW(initial_weights(first["n"], dim, n_classes, seed))
@@ -284,7 +314,7 @@ def train_head(
         if has_val and stale >= patience:
             break
         rate = lr * (1 + np.cos(np.pi * epoch / max(epochs, 1))) / 2
-        state, loss, train_acc = train_epoch(train, state, epoch, rate, batch, dropout)
+        state, loss, train_acc = train_epoch(steps, state, epoch, rate, batch, dropout)
         val_acc = retrieval = 0.0
         if has_val:
             queries = _embedded(val, state.weights, "query_id")

@@ -21,6 +21,10 @@ def write_atomically(path: str, parts: list[bytes], attempt: str) -> None:
     with fs.open_output_stream(temporary) as out:
         for part in parts:
             out.write(part)
-    if fs.get_file_info(target).type == pafs.FileType.File:
-        fs.delete_file(target)  # left by an earlier attempt; not every file system moves over it
-    fs.move(temporary, target)
+    try:
+        fs.move(temporary, target)  # replaces what an earlier attempt left, where the file system can
+    except OSError:
+        if fs.get_file_info(target).type != pafs.FileType.File:
+            raise
+        fs.delete_file(target)
+        fs.move(temporary, target)

@@ -6,10 +6,10 @@ candidates. Agreeing bits, corrected for chance, estimate the similarity; what m
 deviations are allowed for) is confirmed on the full shingle sets.
 
 Links are only needed as far as they join components, so pairs within a group of near copies are never listed: first
-every class is held against the best of the smallest classes of its bands, then classes in a band that are still in
-different components are compared, block against block, with the best partners in each other component, a few more,
-and at last all that remain. A pair is left out only if it is in one component already, was refused on its sets, shares
-no band, or is estimated far below the threshold.
+every class is held against the best of the smallest classes of its bands. Then the components that still share a band
+are compared, block against block; those with a pair that may reach the threshold form a family. At last the classes of a
+family meet with their full sets, in blocks again, and tasks pass on only the links that join components. A pair is left
+out only if it is in one component already, shares no band, or is estimated far below the threshold.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ ROWS = 5
 BITS = 2
 #: The chance that a pair just at the threshold has no band in common.
 MISS = 1e-8
-DEVIATIONS = 6.0
-#: Partners per other component that are tried in each further round; 0 stands for all.
-ROUNDS = (1, 4, 0)
+DEVIATIONS = 5.2
+#: Minima in a signature; the first of them make the bands.
+HASHES = 512
+#: Rows of a block that carry full sets.
+BLOCK_ROWS = 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCK = 1 << 16
 
@@ -68,11 +70,11 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 class Hashing:
-    """``bands * rows`` hash functions on 32 bits: multiply and add, the high half of the shingle's hash."""
+    """``HASHES`` hash functions on 32 bits: multiply and add, the high half of the shingle's hash."""
 
     def __init__(self, bands: int, rows: int = ROWS, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, n = bands, rows, bands * rows
+        self.bands, self.rows, n = bands, rows, max(HASHES, -(-bands * rows // 8) * 8)
         self.factor = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.shift = rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
@@ -100,7 +102,7 @@ class Hashing:
 
     def keys(self, minima: np.ndarray) -> np.ndarray:
         """A 64-bit key per band."""
-        grid = minima.reshape(len(minima), self.bands, self.rows).astype(np.uint64)
+        grid = minima[:, : self.bands * self.rows].reshape(len(minima), self.bands, self.rows).astype(np.uint64)
         key = np.broadcast_to(mix(np.arange(1, self.bands + 1, dtype=np.uint64)), grid.shape[:2])
         for r in range(self.rows):
             key = mix(key ^ grid[:, :, r]) + np.uint64(r + 1)
@@ -170,15 +172,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, hashes: int, least: float) -
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
     """``pairs`` (``a, b``) with ``linked``: whether 100 * intersection >= similarity * union on the full shingle sets. Stored."""
     needed = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
-
-    def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            d, texts = columns(batch, "d", "text")
-            yield record(schema, {"d": d, "shingles": [shingles(t, size).tobytes() for t in texts]})
-
-    texts = docs.select("d", "text").join(needed, "d")
-    sets = stored(texts.mapInArrow(collect, "d long, shingles binary"), "sets")
+    sets = sets_of(docs, needed, size)
     sides = [sets.select(F.col("d").alias(s), F.col("shingles").alias(f"set_{s}")) for s in ("a", "b")]
     both = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
 
@@ -187,7 +181,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: int) ->
             linked = []
             for x, y in zip(*columns(batch, "set_a", "set_b"), strict=True):
                 one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(one, two, assume_unique=True))
+                shared = overlap(one, two)
                 linked.append(100 * shared >= similarity * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
@@ -224,41 +218,114 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def rivals(rows: DataFrame, hashes: int, least: float, most: int) -> DataFrame:
-    """Candidate pairs ``a, b`` (a < b) of classes that share a band but no component. ``rows``: ``key, cls, comp, sig``.
+class Union:
+    """Disjoint sets of numbers; ``join`` tells whether two were apart."""
 
-    Each class outside the largest component of its band meets all of the band, in blocks; per other component it keeps
-    its ``most`` best partners (0: all).
-    """
-    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = materialize(mixed.select("key", "main"), "mixed")
-    open_ = stored(rows.join(mixed, "key"), "open")
+    def __init__(self):
+        self.home: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.home.get(x, x)) != x:
+            self.home[x] = x = self.home.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.home[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _joins(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _mixed(rows: DataFrame, group: str) -> DataFrame:
+    """``group, main``: groups with several components, and the largest of them. Stored."""
+    counts = rows.groupBy(group, "comp").agg(F.count("*").alias("n"))
+    found = counts.groupBy(group).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+    return materialize(found.filter("comps > 1").select(group, "main"), "mixed")
+
+
+def possible_joins(rows: DataFrame, hashes: int, least: float) -> DataFrame:
+    """Pairs ``a, b`` of components that share a band and hold classes whose estimate reaches ``least``; of the pairs within a
+    block only as many as connect the same components. ``rows``: ``key, cls, comp, sig``."""
+    open_ = stored(rows.join(_mixed(rows, "key"), "key"), "open")
     left = open_.filter("comp <> main").select("key", F.col("cls").alias("lid"), F.col("comp").alias("lcomp"), F.col("sig").alias("lsig"))
     right = open_.select("key", F.col("cls").alias("rid"), F.col("comp").alias("rcomp"), F.col("sig").alias("rsig"))
 
     def kernel(one: pa.Table, two: pa.Table) -> pa.RecordBatch | None:
-        ids, comps, sigs = (one.column(c) for c in ("lid", "lcomp", "lsig"))
-        lid, lcomp = ids.to_numpy(), comps.to_numpy()
-        lsig = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(len(lid), -1)
-        rid, rcomp = two.column("rid").to_numpy(), two.column("rcomp").to_numpy()
-        rsig = np.frombuffer(b"".join(two.column("rsig").to_pylist()), np.uint8).reshape(len(rid), -1)
-        a, b = [], []
-        for i in range(len(lid)):
-            est = estimates(lsig[i], rsig, hashes)
-            hit = np.flatnonzero((est >= least) & (rcomp != lcomp[i]))
-            if most and len(hit) > most:
-                order = hit[np.lexsort((rid[hit], -est[hit], rcomp[hit]))]
-                first = np.flatnonzero(np.r_[True, np.diff(rcomp[order]) != 0])
-                nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-                hit = order[nth < most]
-            a.append(np.minimum(lid[i], rid[hit]))
-            b.append(np.maximum(lid[i], rid[hit]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        lcomp, rcomp = one.column("lcomp").to_numpy(), two.column("rcomp").to_numpy()
+        lsig, rsig = _signatures(one.column("lsig")), _signatures(two.column("rsig"))
+        union, found = Union(), []
+        for i in range(len(lcomp)):
+            others = np.flatnonzero(rcomp != lcomp[i])
+            near = others[estimates(lsig[i], rsig[others], hashes) >= least]
+            for comp in np.unique(rcomp[near]).tolist():
+                if union.join(int(lcomp[i]), comp):
+                    found.append((int(lcomp[i]), comp))
+        return _joins(found) if found else None
 
     return blocked_join(left, right, "key", "lid", "rid", kernel, "a long, b long", 1024, 1024).distinct()
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``d, shingles`` (sorted 64-bit hashes) of the documents ``wanted`` (``d``). Stored."""
+    schema = pa.schema([("d", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            d, texts = columns(batch, "d", "text")
+            yield record(schema, {"d": d, "shingles": [shingles(t, size).tobytes() for t in texts]})
+
+    return stored(docs.select("d", "text").join(wanted, "d").mapInArrow(run, "d long, shingles binary"), "sets")
+
+
+def overlap(one: np.ndarray, two: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.searchsorted(two, one)
+    at[at == len(two)] = 0
+    return int((two[at] == one).sum())
+
+
+def confirmed_joins(rows: DataFrame, hashes: int, least: float, similarity: int) -> DataFrame:
+    """Links ``a, b`` between components of a family, confirmed on full sets; of a block only as many as connect the same
+    components. ``rows``: ``family, cls, comp, sig, shingles``."""
+    open_ = stored(rows.join(_mixed(rows, "family"), "family"), "families")
+    left = open_.filter("comp <> main").select(
+        "family", F.col("cls").alias("lid"), F.col("comp").alias("lcomp"), F.col("sig").alias("lsig"), F.col("shingles").alias("lset")
+    )
+    right = open_.select("family", F.col("cls").alias("rid"), F.col("comp").alias("rcomp"), F.col("sig").alias("rsig"), F.col("shingles").alias("rset"))
+
+    def kernel(one: pa.Table, two: pa.Table) -> pa.RecordBatch | None:
+        lcomp, rcomp = one.column("lcomp").to_numpy(), two.column("rcomp").to_numpy()
+        lsig, rsig = _signatures(one.column("lsig")), _signatures(two.column("rsig"))
+        lset, rset = ([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()] for t, c in ((one, "lset"), (two, "rset")))
+        sizes = np.array([len(x) for x in rset])
+        union, found = Union(), []
+        for i in range(len(lcomp)):
+            n = len(lset[i])
+            fit = (rcomp != lcomp[i]) & (100 * np.minimum(sizes, n) >= similarity * np.maximum(sizes, n))
+            others = np.flatnonzero(fit)
+            est = estimates(lsig[i], rsig[others], hashes)
+            for j in others[np.argsort(-est, kind="stable")[: int((est >= least).sum())]].tolist():
+                a, b = int(lcomp[i]), int(rcomp[j])
+                if union.root(a) == union.root(b):
+                    continue
+                shared = overlap(lset[i], rset[j])
+                if 100 * shared >= similarity * (n + len(rset[j]) - shared):
+                    union.join(a, b)
+                    found.append((a, b))
+        return _joins(found) if found else None
+
+    return blocked_join(left, right, "family", "lid", "rid", kernel, "a long, b long", BLOCK_ROWS, BLOCK_ROWS)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_shingles, component_id, kept``.
 
@@ -283,19 +350,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     stars = bands.filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
     best = estimated(stars, classes, hashes, least).groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
     pairs = stored(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    tested = confirmed(pairs, texts, size, similarity)
     # Rows with equal doc_id and different texts are classes of one number: nothing has to link them.
-    labels = components(tested.filter("linked"))
-    for most in ROUNDS:
-        placed = bands.select("key", "cls").join(classes.select("cls", "sig"), "cls").join(labels, "cls", "left")
-        placed = placed.select("key", "cls", F.coalesce("comp", "cls").alias("comp"), "sig")
-        new = stored(rivals(placed, hashes, least, most).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not new.limit(1).count():
-            if most:
-                continue
-            break
-        tested = materialize(tested.unionByName(confirmed(new, texts, size, similarity)), "tested")
-        labels = components(tested.filter("linked"))
+    labels = components(confirmed(pairs, texts, size, similarity).filter("linked"))
+    placed = classes.select("cls", "sig").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed = materialize(placed, "placed")
+    families = components(possible_joins(bands.select("key", "cls").join(placed, "cls"), hashes, least))
+    families = families.select(F.col("cls").alias("comp"), F.col("comp").alias("family"))
+    related = materialize(placed.join(families, "comp"), "related")
+    sets = sets_of(texts, related.select(F.col("cls").alias("d")).distinct(), size)
+    rows_of_families = related.join(sets.withColumnRenamed("d", "cls"), "cls")
+    merged = components(confirmed_joins(rows_of_families, hashes, least, similarity)).select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
+    labels = placed.select("cls", "comp").join(merged, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")).distinct()
     of_class = members.join(labels, "cls", "left").select("k1", "k2", F.coalesce("comp", "cls").alias("comp"))
     found = rows.join(materialize(of_class, "found"), ["k1", "k2"], "left").withColumn("comp", F.coalesce("comp", "d"))
     # Rows of one doc_id share what any of them reached.

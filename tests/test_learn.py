@@ -121,4 +121,4 @@ def test_pair_batch(spark):
     for names, items in ((["a"], []), ([], []), (["a"] * 65, ["x"] * 65)):
         bad = spark.createDataFrame([(1, names, items)], rows.schema)
         with pytest.raises(Exception, match="length|no items|at most"):
-            pair_batch(bad, "names", "items").collect()
+            pair_batch(bad, "names", "items", 64).collect()

@@ -27,10 +27,10 @@ def learned(spark, rows):
     return spark.createDataFrame(rows, "seq long, species string, vec array<double>")
 
 
-def test_publish_normalises_and_cuts_labels(store):
+def test_publish_normalises_and_keeps_whole_labels(store):
     version = store.active()
     rows = {r.row_id: r for r in store.bank(version).collect()}
-    assert rows[1].vec == [0.0, 1.0] and rows[2].species == "x" * 64
+    assert rows[1].vec == [0.0, 1.0] and rows[2].species == "x" * 70
     assert (version["version"], version["generation"], version["rows"], version["dim"]) == (1, 1, 3, 2)
 
 
@@ -102,8 +102,8 @@ def test_split_features(spark, scratch):
     path = scratch("features")
     rows = spark.createDataFrame([("train", 1, [1.0]), ("val", 2, [2.0])], "split string, label int, feat array<float>")
     write_split_features(rows, path)
-    write_split_features(rows, path)
-    assert read_split_features(spark, path, "val").count() == 2
+    write_split_features(rows, path)  # a rerun
+    assert read_split_features(spark, path, "val").count() == 1
 
 
 def test_learned_lines(spark, scratch, tmp_path):
@@ -179,7 +179,7 @@ def test_exchange_folder(spark, store, tmp_path):
     assert export_folder(store, store.active(), folder) == 3
     bank, dim = load_folder(spark, folder)
     rows = [(r.species, r.vec, r.origin) for r in bank.orderBy("row_id").collect()]
-    assert dim == 2 and rows == [(r.species, r.vec, r.origin) for r in store.bank(store.active()).orderBy("row_id").collect()]
+    assert dim == 2 and rows == [(r.species[:64], r.vec, r.origin) for r in store.bank(store.active()).orderBy("row_id").collect()]
     empty, dim = load_folder(spark, str(tmp_path / "none"))
     assert dim == 256 and empty.count() == 0
 
@@ -199,4 +199,32 @@ def test_single_files_must_agree(spark, tmp_path):
 def test_label_table_follows_the_version(spark, store):
     store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
     got = {r["species"]: (r["row_id"], r["count"]) for r in store.labels(store.active()).collect()}
-    assert got == {"heron": (0, 2), "mr_vole": (1, 1), "x" * 64: (2, 1), "new": (5, 1)}
+    assert got == {"heron": (0, 2), "mr_vole": (1, 1), "x" * 70: (2, 1), "new": (5, 1)}
+
+
+def test_publish_leaves_out_what_matches_nothing(spark, scratch):
+    rows = [(0, "a", [1.0, 0.0]), (1, "a", [float("nan"), 1.0]), (2, "b", [0.0, 0.0]), (3, "b", None)]
+    store = BankStore(spark, scratch("bank"))
+    version = store.publish(spark.createDataFrame(rows, "row_id long, species string, vec array<float>"), "m", 2)
+    assert (version["rows"], version["source"]) == (1, "dropped=3")
+
+
+def test_empty_batches(spark, store):
+    before = store.active()
+    nothing = learned(spark, [(1, "heron", [0.0, 1.0])]).limit(0)
+    assert store.append_learned(nothing) == before
+    after = store.append_learned(nothing, batch=0)
+    assert after["version"] == before["version"] + 1 and store.append_learned(nothing, batch=0) == after
+
+
+def test_forget_everything(spark, store):
+    store.append_learned(learned(spark, [(1, "heron", [0.0, 1.0]), (2, "new", [1.0, 0.0])]), batch=0)
+    assert store.forget()[1].count() == 0
+    _, removed = store.forget(everything=True)
+    assert removed.count() == 2 and store.learned(store.active()).count() == 0
+
+
+def test_labels_that_a_file_cannot_tell_apart_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "y" * 64 + "a", [1.0]), (1, "y" * 64 + "b", [1.0])], "row_id long, species string, vec array<float>")
+    with pytest.raises(Exception, match="told apart"):
+        write_npy(rows, str(tmp_path / "out"))

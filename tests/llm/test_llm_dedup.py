@@ -109,6 +109,13 @@ def test_substring_dedup_of_missing_and_repeated_ids(spark):
     assert all(len((r["kept_text"] or "").split()) == r["n_words"] - r["n_removed"] for r in got)
 
 
+def test_repeated_rows_are_one_document():
+    row = {"d": 1, "t": 2, "start": 0, "body": b" ".join(b"w%d" % i for i in range(25))}
+    other = {"d": 9, "t": 2, "start": 4, "body": row["body"] + b" end"}
+    assert list(substring_dedup.solve([dict(row), dict(row)])) == []
+    assert [(r["d"], a, n) for r, a, n in substring_dedup.solve([other, dict(row), dict(row)])] == [(9, 0, 6)]
+
+
 @pytest.mark.parametrize(("size", "similarity"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, size, similarity):
     rng = random.Random(size)

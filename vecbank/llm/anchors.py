@@ -302,9 +302,8 @@ def fetched(docs: DataFrame, wanted: DataFrame, cut: Cut, name: str) -> DataFram
                     out["body"].append(body(row["start"], row["n"]))
             yield record(arrow, out)
 
-    # A document given twice is fetched once.
-    once = docs.join(by_doc, ["d", "t"]).select("d", "t", "text", "wanted")
-    return stored(once.mapInArrow(run, schema), name)
+    texts = docs.join(by_doc, ["d", "t"]).select("d", "t", "text", "wanted")
+    return stored(texts.mapInArrow(run, schema), name)
 
 
 def grouped(rows: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:

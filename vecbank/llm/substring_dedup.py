@@ -86,8 +86,12 @@ def solve(rows: list[dict], length: int = LENGTH) -> Iterator[tuple[dict, int, i
     """Windows of the rows' contents that occurred in an earlier row (by document, check sum and place)."""
     if len(rows) < 2:
         return
-    automaton = SuffixAutomaton()
+    automaton, last = SuffixAutomaton(), None
     for row in sorted(rows, key=lambda r: (r["d"], r["t"], r["start"])):
+        place = row["d"], row["t"], row["start"]
+        if place == last:  # a repeated row of the same document
+            continue
+        last = place
         known = np.array(automaton.read(row["body"].split()))
         for first, n in anchors.runs(known[length - 1 :] >= length):
             yield row, first, n

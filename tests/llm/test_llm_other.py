@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from brute import awkward, data, frame, near_groups
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from unigram import unigram
 
@@ -287,6 +288,18 @@ def test_pipeline_with_awkward_rows(spark, sf, monkeypatch):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count() > 0
 
 
+def test_pipeline_keeps_one_copy_of_repeated_rows(spark, sf):
+    """The row of the largest doc_id stands twice, and so does a row without id; further columns may differ."""
+    rng = random.Random(6)
+    kept, missing = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(2))
+    docs = frame(spark, [(2**41, kept), (49, kept), (2**41, kept), (None, missing), (None, missing), (1, "short"), (1, "short"), (1, None), (1, "")])
+    docs = docs.withColumn("lang", F.when(F.rand(1) < 0.5, "en").otherwise("de"))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+        assert sorted(data(r["text"]) for r in docs.collect()) == sorted([b"", b"short", kept.encode(), missing.encode()]), name
+    assert {r["doc_id"] for r in docs.collect() if r["text"] in (kept, missing)} == {2**41, None}
+
+
 def test_pipeline_of_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -16,7 +16,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecbank.llm.batches import columns, flushed, text_bytes
@@ -171,8 +171,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns unchanged (repeated rows of one doc_id and text all stay)."""
-    kept = groups(docs).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__sha", F.sha2(text_bytes(), 256))
-    on = (rows["__sha"] == kept["__sha"]) & rows["doc_id"].eqNullSafe(kept["__keep"])
-    return rows.join(kept, on, "left_semi").select(*docs.columns)
+    """Exactly one row per distinct text of ``docs``, with its columns unchanged: the row of the largest doc_id.
+
+    Among rows that repeat that doc_id (or, if the text has no other, the missing one) the first by the JSON of their
+    columns stays. Repeats are numbered before the join, so Spark's group limit drops them in the tasks that read them.
+    """
+    keys = ["__sha", "__id", "__none"]
+    key_columns = lambda doc_id: (F.coalesce(doc_id, F.lit(0).cast("long")).alias("__id"), F.isnull(doc_id).alias("__none"))
+    kept = groups(docs).select(F.col("text_sha256").alias("__sha"), *key_columns(F.col("keep_id")))
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    rows = docs.select("*", F.sha2(text_bytes(), 256).alias("__sha"), *key_columns(F.col("doc_id").cast("long")), others.alias("__others"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__others"))
+    rows = rows.withColumn("__place", place).filter("__place = 1")
+    return rows.join(kept, keys, "left_semi").select(*docs.columns)

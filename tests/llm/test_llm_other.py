@@ -255,6 +255,19 @@ def test_templates_of_a_host_go(spark):
     assert html.extract_pages(table.limit(0)).collect() == []
 
 
+def test_templates_need_a_share_of_the_texts_of_a_host(spark):
+    """Never taken: parts of articles, also of near copies, rare parts of a large host, copies of one page."""
+    rows = [(i, f"http://a.org/{i}", f"<article><p>own {i}</p><ul><li>part</ul><section>more</section></article>") for i in range(5)]
+    rows += [(100 + i, f"http://b.org/{i}", f"<div>box</div><p>text number {i}</p>" + "<ul><li>rare</ul>" * (i < 3)) for i in range(20)]
+    rows += [(200 + i, f"http://c.org/p{u}", "<div>all of the text</div><div>and more</div>") for i, u in enumerate(("", "?utm_source=x", "?page=2", "#top"))]
+    rows += [(300 + i, f"http://d.org/{i}", f"<div>box</div><div>long text that several pages share</div><p>{i}</p>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}\n\npart\n\nmore" for i in range(5))
+    assert all(got[100 + i] == f"text number {i}" + "\n\nrare" * (i < 3) for i in range(20))
+    assert all(got[200 + i] == "all of the text\n\nand more" for i in range(4))
+    assert all(got[300 + i] == f"long text that several pages share\n\n{i}" for i in range(4))
+
+
 # Pipeline
 
 

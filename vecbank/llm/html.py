@@ -1,11 +1,11 @@
 """HTML extraction by site template removal.
 
 Pass 1 parses each page and hashes the subtrees of its containers (``nav``, ``div``, ``footer``, ...). Spark counts the
-different articles of each host beside which a subtree occurs; subtrees with many of them are templates, while what
-comes along with copies of one article is not. Pass 2 parses the
-page again, deletes its templates and whatever markup says is no article (menus, forms, scripts, adverts, comments of
-readers), and joins the text blocks of the rest. Counting aggregates before the shuffle, so a host with a third of
-all pages does not meet in one task.
+different texts of each host beside which a subtree occurs; subtrees with a share of all of them are templates, while
+what comes along with copies of one text is not, nor anything inside an article or with most of a page's text. Pass 2
+parses the page again, deletes its templates and whatever markup says is no article (menus, forms, scripts, adverts,
+comments of readers), and joins the text blocks of the rest. Counting aggregates before the shuffle, so a host with a
+third of all pages does not meet in one task.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecbank.llm.batches import columns, pieces, record, text_bytes
+from vecbank.session import materialize
 
-#: A subtree is a template of its host from so many different articles on.
+#: A subtree is a template of its host if it occurs beside so many different texts and beside this share of them.
 TEMPLATE_PAGES = 3
+TEMPLATE_SHARE = 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -133,25 +135,37 @@ def hash_subtrees(root: Node) -> None:
         node.digest = int.from_bytes(own.digest(), "little", signed=True)
 
 
+def mains(root: Node) -> list[Node]:
+    """The elements whose text counts: articles, or else main elements; none if all of the page counts."""
+    return [n for n, leaving in walk(root) if not leaving and n.tag == "article"] or [n for n, leaving in walk(root) if not leaving and n.tag == "main"]
+
+
+def inside(nodes: Iterable[Node]) -> set[int]:
+    """Ids of the elements of some subtrees."""
+    return {id(n) for top in nodes for n, leaving in walk(top) if leaving}
+
+
 def candidates(root: Node) -> set[int]:
-    """Digests of the containers that may be templates: those with content that hold no article and, inside one, stand
-    beside its paragraphs (``aside``, ``div``, lists), never paragraphs or headings themselves."""
-    found: set[int] = set()
-    holds_main = {id(n) for n, leaving in walk(root) if leaving and (n.tag in MAIN or n.tag in ("html", "body", "#root"))}
-    above: set[int] = set()
+    """Digests of the containers that may be templates: those with text that neither hold an article nor lie in one,
+    nor hold most of the page's text; never paragraphs or headings themselves."""
+    found: dict[int, int] = {}
+    above, size = inside(mains(root)), {}
     for node, leaving in walk(root):
-        if leaving and (id(node) in holds_main or any(isinstance(c, Node) and id(c) in above for c in node.children)):
+        if not leaving:
+            continue
+        nodes = [c for c in node.children if isinstance(c, Node)]
+        own = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        size[id(node)] = 0 if is_noise(node, False) else own + sum(size[id(c)] for c in nodes)
+        if node.tag in ("html", "body", "#root") or any(id(c) in above for c in nodes):
             above.add(id(node))
-    for node, leaving in walk(root):
-        if leaving and node.tag in CONTAINERS and id(node) not in above and node.children:
-            found.add(node.digest)
-    return found
+        elif node.tag in CONTAINERS and id(node) not in above and node.children:
+            found[node.digest] = size[id(node)]
+    return {digest for digest, n in found.items() if 0 < 2 * n <= size[id(root)]}
 
 
-def main_digest(root: Node) -> int | None:
-    """Digest of the page's article elements; None without any."""
-    found = [n.digest for n, leaving in walk(root) if not leaving and n.tag in MAIN]
-    return hash(tuple(found)) if found else None
+def text_digest(root: Node) -> int:
+    """Digest of the page's text by markup alone, so copies under several urls count once."""
+    return int.from_bytes(hashlib.blake2b(extract(root).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def is_noise(node: Node, in_main: bool) -> bool:
@@ -173,7 +187,8 @@ def is_noise(node: Node, in_main: bool) -> bool:
 
 def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> str:
     """Text blocks of what is left, joined by blank lines. With an article (or main) element only its text counts."""
-    mains = [n for n, leaving in walk(root) if not leaving and n.tag == "article"] or [n for n, leaving in walk(root) if not leaving and n.tag == "main"]
+    tops = mains(root)
+    protected = inside(tops) if templates else set()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -198,7 +213,7 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
             if isinstance(child, str):
                 held.append(child)
                 continue
-            if child is not top and (is_noise(child, in_main) or child.digest in templates) or child is top and not in_main and is_noise(child, False):
+            if child is not top and (is_noise(child, in_main) or child.digest in templates and id(child) not in protected) or child is top and not in_main and is_noise(child, False):
                 if child.tag in BLOCKS:
                     close()
                 continue
@@ -210,11 +225,11 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
             opened.append(child)
         close()
 
-    if mains:
+    if tops:
         inner: set[int] = set()
-        for node in mains:
+        for node in tops:
             if id(node) not in inner and not is_noise(node, True):
-                inner |= {id(n) for n, leaving in walk(node) if leaving}
+                inner |= inside([node])
                 read(node, True)
     else:
         read(root, False)
@@ -227,10 +242,9 @@ def host_hash(url: Column) -> Column:
     return F.xxhash64(host)
 
 
-def template_hashes(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """``page_id, templates``: digests of subtrees of the page that occur beside at least ``least`` articles of its host.
-
-    A page without article element counts as an article of its own. Pages without a template have no row.
+def template_hashes(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """``page_id, templates``: digests of subtrees of the page that occur beside at least ``least`` different texts of its
+    host, and beside ``share`` of them. Pages without a template have no row.
     """
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.int64()), ("main", pa.int64()), ("digest", pa.int64())])
 
@@ -239,15 +253,18 @@ def template_hashes(pages: DataFrame, least: int = TEMPLATE_PAGES) -> DataFrame:
             out: dict[str, list] = {name: [] for name in schema.names}
             for page_id, host, html in zip(*columns(batch, "page_id", "host", "html"), strict=True):
                 hash_subtrees(root := parse(html.decode("utf-8", "replace")))
-                found, main = candidates(root), main_digest(root)
+                found = [None, *candidates(root)]  # the row without digest counts the texts of the host
                 out["page_id"] += [page_id] * len(found)
-                out["main"] += [page_id if main is None else main] * len(found)
+                out["main"] += [text_digest(root)] * len(found)
                 out["host"] += [host] * len(found)
                 out["digest"] += found
             yield record(schema, out)
 
     subtrees = pages.select("page_id", host_hash(F.col("url")).alias("host"), text_bytes("html")).mapInArrow(run, "page_id long, host long, main long, digest long")
-    often = subtrees.groupBy("host", "digest").agg(F.count_distinct("main").alias("n")).filter(F.col("n") >= least).select("host", "digest")
+    counts = subtrees.groupBy("host", "digest").agg(F.count_distinct("main").alias("n"))
+    counts = materialize(counts.filter(F.isnull("digest") | (F.col("n") >= least)), "html_counts")
+    texts = counts.filter(F.isnull("digest")).select("host", F.col("n").alias("texts"))
+    often = counts.filter(F.isnotnull("digest")).join(texts, "host").filter(F.col("n") >= share * F.col("texts")).select("host", "digest")
     return subtrees.drop("main").join(often, ["host", "digest"]).groupBy("page_id").agg(F.collect_set("digest").alias("templates"))
 
 

@@ -236,6 +236,14 @@ def test_rotation(spark):
     ('<a href="x>y</a><p>t</p>', "y\n\nt"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\n\nc"), ("<p>1 &lt; 2 <!-- c --> x</p", "1 < 2 x"),
     ('<body><nav>m</nav><article><header><h1>T</h1></header><p>x</p><div class="comments">c</div><ul><li>1<li>2</ul></article><footer>f</footer>', "T\n\nx\n\n1\n\n2"),
     ("<div>" * 3000 + "deep", "deep"), ("<script>if (a<b) '</p>'</script><p hidden>h</p><form>f</form><p>ok", "ok"),
+    # articles that are not the page's own do not displace it
+    ('<main><p>post</p></main><section class="comments"><article><p>c</p></article></section>', "post"),
+    ('<main><p>post</p><article class="comment">c</article><article class="comment-body">d</article></main>', "post"),
+    ('<div><p>post</p></div><article class="comment"><p>c</p></article><aside><article>t</article></aside>', "post"),
+    ('<main><h1>T</h1><p>post</p><article><p>more</p></article></main><article class="teaser">t</article>', "T\n\npost\n\nmore"),
+    ('<main><nav>m</nav><article class="post category-search"><p>x</p><article class="comment">c</article></article></main><div>box</div>', "x"),
+    ('<main><p>post</p></main><div id="comments"><article>c</article></div><article>more</article>', "post\n\nmore"),
+    ('<div class="content-sidebar-wrap"><article><p>x</p></article><article><p>y</p></article></div>', "x\n\ny"),
 ])
 def test_extraction(page, text):
     assert html.extract(html.parse(page)) == text

@@ -52,6 +52,11 @@ NOISE = re.compile(
     r"comments?|comment-list|disqus|respond|replies|search|login|signup|skip|hidden|contentinfo|complementary|dialog|alert)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Articles are not the page's own beneath or with a name of such words, besides words that boxes are made of
+#: (``comment-list``, but not ``category-sidebar``).
+ASIDE_WORD = re.compile(r"ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|sidebar|nav|navigation|menu|footer|related|recommended|teasers?|comments?|disqus|respond|repl(?:y|ies)")
+BOX_WORD = re.compile(r"\d*|list|area|box|section|wrap|wrapper|container|body|block|widget|posts?|articles?|items?|links?|buttons?|bar|thread|form|slot|unit")
+ASIDE = DROPPED - {"form"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
@@ -135,9 +140,58 @@ def hash_subtrees(root: Node) -> None:
         node.digest = int.from_bytes(own.digest(), "little", signed=True)
 
 
-def mains(root: Node) -> list[Node]:
-    """The elements whose text counts: articles, or else main elements; none if all of the page counts."""
-    return [n for n, leaving in walk(root) if not leaving and n.tag == "article"] or [n for n, leaving in walk(root) if not leaving and n.tag == "main"]
+def aside_name(token: str) -> bool:
+    words = re.split(r"[-_]+", token.lower())
+    return any(ASIDE_WORD.fullmatch(w) for w in words) and all(ASIDE_WORD.fullmatch(w) or BOX_WORD.fullmatch(w) for w in words)
+
+
+def is_aside(node: Node) -> bool:
+    """Whether an element around or of an article says that it is not the page's own: by its tag or a whole name."""
+    if node.tag in ASIDE:
+        return True
+    if not node.attributes or node.tag in ("main", "html", "body"):
+        return False
+    names = {name.lower(): unescape(value.strip("\"'")) for name, value in ATTRIBUTE.findall(node.attributes)}
+    tokens = [t for name in ("class", "role") for t in names.get(name, "").split()] + [names.get("id", "")] * (node.tag != "article")
+    return any(aside_name(t) for t in tokens)
+
+
+def main_parts(root: Node) -> tuple[list[Node], list[Node]]:
+    """The elements whose text counts (none: all of the page), and the articles among or in them, where nothing is a template.
+
+    Articles that are asides or lie in one (comments, related) do not count, nor do articles within others. Where a main
+    element holds text of its own beside its articles, it counts as a whole.
+    """
+    order: list[tuple[Node, Node | None]] = []  # mains and articles with the main around them
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        node, main = stack.pop()
+        if node is not root and is_aside(node):
+            continue
+        if node.tag == "article" or node.tag == "main" and main is None:
+            order.append((node, main))
+        if node.tag != "article":
+            inner = node if node.tag == "main" and main is None else main
+            stack.extend((c, inner) for c in reversed(node.children) if isinstance(c, Node))
+    articles = [n for n, _ in order if n.tag == "article"]
+    if not articles:
+        mains = [n for n, _ in order]
+        return mains, mains
+    whole = {id(n) for n, _ in order if n.tag == "main" and own_text(n)}
+    return [n for n, main in order if (id(n) in whole if n.tag == "main" else id(main) not in whole)], articles
+
+
+def own_text(main: Node) -> bool:
+    """Whether a main element has text outside its articles and of what is noise."""
+    stack = [main]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                if unescape(child).strip():
+                    return True
+            elif child.tag != "article" and not is_noise(child, True):
+                stack.append(child)
+    return False
 
 
 def inside(nodes: Iterable[Node]) -> set[int]:
@@ -149,13 +203,16 @@ def candidates(root: Node) -> set[int]:
     """Digests of the containers that may be templates: those with text that neither hold an article nor lie in one,
     nor hold most of the page's text; never paragraphs or headings themselves."""
     found: dict[int, int] = {}
-    above, size = inside(mains(root)), {}
+    tops, articles = main_parts(root)
+    above, size = inside(articles), {}
+    above |= {id(t) for t in tops}
+    in_main = inside(tops)
     for node, leaving in walk(root):
         if not leaving:
             continue
         nodes = [c for c in node.children if isinstance(c, Node)]
         own = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        size[id(node)] = 0 if is_noise(node, False) else own + sum(size[id(c)] for c in nodes)
+        size[id(node)] = 0 if is_noise(node, id(node) in in_main) else own + sum(size[id(c)] for c in nodes)
         if node.tag in ("html", "body", "#root") or any(id(c) in above for c in nodes):
             above.add(id(node))
         elif node.tag in CONTAINERS and id(node) not in above and node.children:
@@ -172,6 +229,8 @@ def is_noise(node: Node, in_main: bool) -> bool:
     """Whether markup alone says that an element is no part of an article."""
     if node.tag in DROPPED or node.tag == "header" and not in_main:
         return True
+    if node.tag == "article" and is_aside(node):
+        return True
     if not node.attributes or node.tag in MAIN or node.tag in ("html", "body"):
         return False
     for name, value in ATTRIBUTE.findall(node.attributes):
@@ -186,9 +245,9 @@ def is_noise(node: Node, in_main: bool) -> bool:
 
 
 def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text blocks of what is left, joined by blank lines. With an article (or main) element only its text counts."""
-    tops = mains(root)
-    protected = inside(tops) if templates else set()
+    """Text blocks of what is left, joined by blank lines. With an article (or main) element of the page's own only its text counts."""
+    tops, articles = main_parts(root)
+    protected = inside(articles) if templates else set()
     blocks: list[str] = []
     held: list[str] = []
 
@@ -226,11 +285,8 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
         close()
 
     if tops:
-        inner: set[int] = set()
         for node in tops:
-            if id(node) not in inner and not is_noise(node, True):
-                inner |= inside([node])
-                read(node, True)
+            read(node, True)
     else:
         read(root, False)
     return "\n\n".join(blocks)

@@ -243,6 +243,12 @@ def test_rotation(spark):
     ('<main><h1>T</h1><p>post</p><article><p>more</p></article></main><article class="teaser">t</article>', "T\n\npost\n\nmore"),
     ('<main><nav>m</nav><article class="post category-search"><p>x</p><article class="comment">c</article></article></main><div>box</div>', "x"),
     ('<main><p>post</p></main><div id="comments"><article>c</article></div><article>more</article>', "post\n\nmore"),
+    # slugs are no noise
+    ('<article><h2 id="search-engines">S</h2><section id="social-history"><h2>H</h2><p id="notice-of-1912">n</p></section><section id="related-work">r</section></article>',
+     "S\n\nH\n\nn\n\nr"),
+    ('<article><section id="search">s</section><h3 class="related">t</h3><div class="category-search">u</div><div class="comments-area">c</div><div role="search">d</div></article>',
+     "s\n\nt\n\nu"),
+    ('<h2 id="search">S</h2><section id="related-work">r</section><div id="comments">c</div>', "S\n\nr"),
     ('<div class="content-sidebar-wrap"><article><p>x</p></article><article><p>y</p></article></div>', "x\n\ny"),
 ])
 def test_extraction(page, text):

@@ -45,7 +45,7 @@ ENDS_AT = {
     "th": {"td", "th", "tr"}, "option": {"option"},
 }
 LISTS = frozenset(("ul", "ol", "dl", "table", "menu"))
-#: Words in class, id or role of elements that hold no article text.
+#: Words in class or role of elements outside articles that hold no article text.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
     r"sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|pagination|pager|toolbar|share|sharing|social|related|recommended|"
@@ -56,6 +56,13 @@ NOISE = re.compile(
 #: (``comment-list``, but not ``category-sidebar``).
 ASIDE_WORD = re.compile(r"ads?|adverts?|advertisement|sponsor(?:ed)?|promo(?:tion)?|sidebar|nav|navigation|menu|footer|related|recommended|teasers?|comments?|disqus|respond|repl(?:y|ies)")
 BOX_WORD = re.compile(r"\d*|list|area|box|section|wrap|wrapper|container|body|block|widget|posts?|articles?|items?|links?|buttons?|bar|thread|form|slot|unit")
+#: The same for what is dropped within an article (``comments-area``, but not ``social-history``).
+NOISE_WORD = re.compile(
+    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|sidebar|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|pagination|pager|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|"
+    r"replies|search|login|signup|skip|hidden|contentinfo|complementary|dialog|alert"
+)
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption blockquote pre".split())
 ASIDE = DROPPED - {"form"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
@@ -140,9 +147,10 @@ def hash_subtrees(root: Node) -> None:
         node.digest = int.from_bytes(own.digest(), "little", signed=True)
 
 
-def aside_name(token: str) -> bool:
+def named(token: str, kind: re.Pattern) -> bool:
+    """Whether a whole name consists of words of a kind, besides words of boxes."""
     words = re.split(r"[-_]+", token.lower())
-    return any(ASIDE_WORD.fullmatch(w) for w in words) and all(ASIDE_WORD.fullmatch(w) or BOX_WORD.fullmatch(w) for w in words)
+    return any(kind.fullmatch(w) for w in words) and all(kind.fullmatch(w) or BOX_WORD.fullmatch(w) for w in words)
 
 
 def is_aside(node: Node) -> bool:
@@ -153,7 +161,7 @@ def is_aside(node: Node) -> bool:
         return False
     names = {name.lower(): unescape(value.strip("\"'")) for name, value in ATTRIBUTE.findall(node.attributes)}
     tokens = [t for name in ("class", "role") for t in names.get(name, "").split()] + [names.get("id", "")] * (node.tag != "article")
-    return any(aside_name(t) for t in tokens)
+    return any(named(t, ASIDE_WORD) for t in tokens)
 
 
 def main_parts(root: Node) -> tuple[list[Node], list[Node]]:
@@ -226,7 +234,11 @@ def text_digest(root: Node) -> int:
 
 
 def is_noise(node: Node, in_main: bool) -> bool:
-    """Whether markup alone says that an element is no part of an article."""
+    """Whether markup alone says that an element is no part of an article.
+
+    Ids are often made from headings: within an article they say nothing, nor do names of headings, paragraphs and other
+    text elements, and the names of containers count as whole names. Elsewhere an id counts as a whole name.
+    """
     if node.tag in DROPPED or node.tag == "header" and not in_main:
         return True
     if node.tag == "article" and is_aside(node):
@@ -237,7 +249,12 @@ def is_noise(node: Node, in_main: bool) -> bool:
         name, value = name.lower(), unescape(value.strip("\"'"))
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and NOISE.search(value):
+        if name in ("class", "role"):
+            if not in_main and NOISE.search(value):
+                return True
+            if in_main and node.tag in CONTAINERS and any(named(t, NOISE_WORD) for t in value.split()):
+                return True
+        if name == "id" and not in_main and node.tag not in TEXTUAL and named(value, NOISE_WORD):
             return True
         if name == "style" and HIDDEN.search(value):
             return True

@@ -152,6 +152,12 @@ def test_estimates_are_close():
     assert (hashing.minima([a[:70], a[70:]]).min(axis=0) == hashing.minima([a])[0]).all()
 
 
+def test_estimates_may_be_six_deviations_low():
+    agree = 0.85 + 0.15 / 4
+    deviation = (agree * (1 - agree) / near_dedup.HASHES) ** 0.5 / 0.75
+    assert near_dedup.least_estimate(0.85, near_dedup.HASHES) <= 0.85 - 5.99 * deviation
+
+
 def test_empty_tables(spark):
     docs = frame(spark, awkward()).limit(0)
     for result in (

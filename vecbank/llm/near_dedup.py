@@ -32,7 +32,7 @@ ROWS = 5
 BITS = 2
 #: The chance that a pair just at the threshold has no band in common.
 MISS = 1e-8
-DEVIATIONS = 5.2
+DEVIATIONS = 6.0
 #: Minima in a signature; the first of them make the bands.
 HASHES = 512
 #: Rows of a block that carry full sets.

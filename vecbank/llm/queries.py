@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import chat, exact_dedup, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
+from vecbank.llm import chat, exact_dedup, fingerprints, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup
+
+
+def op13_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf, "documents"))
+
+
+QUERIES["op13_document_fingerprints"] = op13_document_fingerprints
+SQL["op13_document_fingerprints"] = fingerprints.FINGERPRINT_SQL

@@ -64,7 +64,7 @@ def digests(texts: list[bytes]) -> np.ndarray:
     """A row per text: length code, then the buckets' quartiles, four to a byte."""
     counts = triplet_counts(texts)
     limits = np.sort(counts, axis=1)[:, [BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
-    codes = (counts[:, :, None] > limits[:, None, :]).sum(axis=2).astype(np.uint8).reshape(len(texts), -1, 4)
+    codes = (counts[:, :, None] > limits[:, None, :]).sum(axis=2).astype(np.uint8).reshape(len(texts), BUCKETS // 4, 4)
     packed = codes[:, :, 0] << 6 | codes[:, :, 1] << 4 | codes[:, :, 2] << 2 | codes[:, :, 3]
     return np.concatenate([np.array([length_code(len(t)) for t in texts], np.uint8).reshape(-1, 1), packed], axis=1)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import chat, exact_dedup, fingerprints, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
+from vecbank.llm import alignment, chat, exact_dedup, fingerprints, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,10 @@ def op13_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op13_document_fingerprints"] = op13_document_fingerprints
 SQL["op13_document_fingerprints"] = fingerprints.FINGERPRINT_SQL
+
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"))
+
+
+QUERIES["op11_cross_tokenizer_alignment"] = op11_cross_tokenizer_alignment

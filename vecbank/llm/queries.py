@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm import alignment, chat, exact_dedup, fingerprints, html, near_dedup, packing, pieces, quality, substring_dedup, suffix_dedup, topk
+from vecbank.llm import alignment, chat, exact_dedup, fingerprints, html, near_dedup, negatives, packing, pieces, quality, substring_dedup, suffix_dedup, topk
 from vecbank.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,31 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op11_cross_tokenizer_alignment"] = op11_cross_tokenizer_alignment
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf, "embeddings").select("vec_id", shifted.alias("label"), F.col("embedding").alias("vec"))
+    return negatives.mine(rows.filter(F.col("vec_id") % 100 == 0), rows)
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
+SQL["op12_hard_negatives"] = """
+    with v as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as vec from embeddings
+      where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+    s as (
+      select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.vec, c.vec)::bigint as score
+      from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+    p as (
+      select anchor_id, vec_id as positive_id, score as positive_score
+      from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as nth from s where same) where nth <= 5)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+    from (
+      select p.*, s.vec_id as negative_id, s.score as negative_score,
+             row_number() over (partition by anchor_id, positive_id order by score desc, s.vec_id)::int as rank
+      from p join s using (anchor_id)
+      where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+    where rank <= 5"""

@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,9 @@ class Aligner:
         ]
         self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        # Every id with the sign after it: between tokens of a group, after its A tokens, after its B tokens.
+        self.signed = [f"{i}{sign}" for i in range(len(self.a_bytes)) for sign in ",|"]
+        self.signed += [f"{i}{sign}" for i in range(len(names)) for sign in ",;"]
         self.forget()
 
     def forget(self) -> None:
@@ -71,61 +75,63 @@ class Aligner:
     def b_of(self, keys: np.ndarray) -> np.ndarray:
         return keys % len(self.b_bytes)
 
-    def _a_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _a_ids(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, and how many each has. Units that begin with one space are encoded together."""
-        sizes = np.array([len(u.encode()) for u in units], np.int64)
         plain = np.array([len(u) > 1 and not u[1].isspace() for u in units], bool)
-        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
         joint = np.flatnonzero(plain)
-        ids = np.array(self.bpe.encode_ordinary("".join([units[i] for i in joint])), np.int64)
-        cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum(sizes[joint]), side="right")
-        for i, part in zip(joint.tolist(), np.split(ids, cuts[:-1]), strict=True) if len(joint) else ():
-            found[i] = part
+        ids = np.array(self.bpe.encode_ordinary("".join([units[i] for i in joint.tolist()])), np.int64)
+        owner = joint[np.searchsorted(np.cumsum(sizes[joint]), np.cumsum(self.a_sizes[ids]))] if len(joint) else joint
         for i in np.flatnonzero(~plain).tolist():
-            found[i] = np.array(self.bpe.encode_ordinary(units[i]), np.int64)
-        return np.concatenate(found), np.array([len(f) for f in found], np.int64)
+            alone = np.array(self.bpe.encode_ordinary(units[i]), np.int64)
+            ids, owner = np.r_[ids, alone], np.r_[owner, np.full(len(alone), i)]
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(units))
 
-    def learn(self, new: list[str]) -> np.ndarray:
-        """Align new units (without their leading space) and return the keys of their links."""
-        units = [" " + u for u in new]
+    def learn(self, new: list[str]) -> None:
+        """Align new units, given without their leading space."""
         spelled = self.model.encode(new)
-        good = np.array(
-            [b"".join(map(self.b_bytes.__getitem__, s)) == u.encode() for u, s in zip(units, spelled, strict=True)], bool
-        )
+        raw = [b" " + u.encode() for u in new]
+        good = np.ones(len(new), bool)
+        b = np.fromiter(chain.from_iterable(spelled), np.int64)
+        sizes, n_b = np.array(list(map(len, raw)), np.int64), np.array(list(map(len, spelled)), np.int64)
+        b_owner = np.repeat(np.arange(len(new)), n_b)
+        same_sizes = (np.bincount(b_owner, self.b_sizes[b], len(new)) == sizes).all()
+        if not same_sizes or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != b"".join(raw):
+            good = np.array([b"".join(map(self.b_bytes.__getitem__, s)) == r for r, s in zip(raw, spelled, strict=True)], bool)
+            b, n_b, sizes = b[good[b_owner]], n_b[good], sizes[good]
         stats = np.zeros((len(new), 5), np.int64)
         stats[:, 4] = good
-        groups, keys, owner = [""] * len(new), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        fine = np.flatnonzero(good)
+        groups, fine = [""] * len(new), np.flatnonzero(good)
+        keys = owner = np.zeros(0, np.int64)
         if len(fine):
-            a, n_a = self._a_ids([units[i] for i in fine])
-            b = np.concatenate([np.array(spelled[i], np.int64) for i in fine])
-            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-            n_b = np.array([len(spelled[i]) for i in fine], np.int64)
-            unit_ends = a_ends[np.cumsum(n_a) - 1]
+            a, n_a = self._a_ids([" " + new[i] for i in fine.tolist()], sizes)
+            a_ends, b_ends, unit_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), np.cumsum(sizes)
             ends = np.union1d(a_ends, b_ends)
             keys = self.key_of(a[np.searchsorted(a_ends, ends)], b[np.searchsorted(b_ends, ends)])
             place = np.searchsorted(unit_ends, ends)
             owner = fine[place]
             both = np.intersect1d(a_ends, b_ends, assume_unique=True)
-            group_owner = np.searchsorted(unit_ends, both)
             stats[fine, 0], stats[fine, 1] = n_a, n_b
-            stats[fine, 2] = np.bincount(group_owner, minlength=len(fine))
+            stats[fine, 2] = np.bincount(np.searchsorted(unit_ends, both), minlength=len(fine))
             stats[fine, 3] = np.bincount(place, minlength=len(fine))
-            a_cut, b_cut = (np.r_[0, np.searchsorted(e, both, side="right")].tolist() for e in (a_ends, b_ends))
-            a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            texts = [
-                ",".join(a_text[a_cut[g] : a_cut[g + 1]]) + "|" + ",".join(b_text[b_cut[g] : b_cut[g + 1]]) for g in range(len(both))
-            ]
-            last = np.r_[0, np.cumsum(stats[fine, 2])].tolist()
-            for n, i in enumerate(fine.tolist()):
-                groups[i] = ";".join(texts[last[n] : last[n + 1]])
+            # Tokens of both sides in the order of their groups, A before B, each with the sign that follows it.
+            a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+            order = np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")
+            closing = np.r_[np.diff(a_group, append=-1) != 0, np.diff(b_group, append=-1) != 0]
+            signed = np.r_[2 * a, 2 * (b + len(self.a_bytes))] + closing
+            texts = list(map(self.signed.__getitem__, signed[order].tolist()))
+            last = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+            for i, at, end in zip(fine.tolist(), last, last[1:], strict=False):
+                groups[i] = "".join(texts[at:end])
         base = len(self.groups)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
         self.stats = np.concatenate([self.stats, stats])
         self.groups += groups
         self.pairs.append(keys)
         self.owners.append(owner + base)
-        return keys
+
+    def printed(self, numbers: np.ndarray) -> str:
+        """The groups of these units."""
+        return "".join(map(self.groups.__getitem__, numbers.tolist()))[:-1]
 
     def units(self, raw: bytes) -> list[str] | None:
         """The units of a text with a space in front, each without its leading space; None if there is nothing to align."""
@@ -273,7 +279,7 @@ def looked_up(docs: DataFrame, table: Counts, most: np.ndarray, paths: tuple[str
             for doc_id, numbers, row in zip(doc_ids, placed, rows, strict=True):
                 digest, values = "", [0] * 6
                 if numbers is not None:
-                    digest = hashlib.sha256(";".join(map(own.groups.__getitem__, numbers.tolist())).encode()).hexdigest()
+                    digest = hashlib.sha256(own.printed(numbers).encode()).hexdigest()
                     values = [*own.stats[numbers, :4].sum(axis=0).tolist(), *gains[numbers].sum(axis=0).tolist()]
                 for name, value in zip(ALIGNED.names, (doc_id, *values, digest, row), strict=True):
                     out[name].append(value)

@@ -42,37 +42,31 @@ class CoverTree:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, matrix: np.ndarray, leaf: int = LEAF):
         squares = (matrix**2).sum(axis=1)
         self.most = float(squares.max())
-        augmented = np.column_stack([matrix, np.sqrt(np.maximum(self.most - squares, 0.0))])
+        extra = np.sqrt(self.most - squares)  # the component that puts all points on one sphere
+
+        def distances(some: np.ndarray, centres: np.ndarray) -> np.ndarray:
+            """Between augmented points; the part of the whole numbers is exact."""
+            square = squares[some, None] + squares[centres] - 2 * (matrix[some] @ matrix[centres].T)
+            return np.sqrt(square + (extra[some, None] - extra[centres]) ** 2)
+
         order = np.argsort(ids, kind="stable")
-        nodes: list[tuple[int, int, int, float]] = []  # first point, end, centre (a point), radius
-        children: list[tuple[int, int]] = []
+        root = int(order[0])
+        nodes = [(0, len(ids), root, float(distances(order, order[:1]).max()))]  # first point, end, centre, radius
+        children = [(0, 0)]
         points = np.empty(len(ids), np.int64)
-        distance = np.sqrt(((augmented[order] - augmented[order[0]]) ** 2).sum(axis=1))
-        waiting = [(order, int(order[0]), float(distance.max()), 0, 0)]  # members, centre, radius, level, first place
-        nodes.append((0, len(ids), int(order[0]), float(distance.max())))
-        children.append((0, 0))
-        at = 0
-        while at < len(waiting):
-            members, centre, radius, level, first = waiting[at]
+        waiting = [(order, root, nodes[0][3], 0, 0)]  # members, centre, radius, level, first place
+        for members, centre, radius, level, first in waiting:  # grows while it is read
             points[first : first + len(members)] = members
-            if len(members) > leaf and radius > 0 and level < LEVELS:
-                children[at] = len(nodes), len(nodes)
-                left, begin, reach = members, first, radius / 2
-                while len(left):
-                    # The centre stays a centre of the next level; every further one is farther than the reach from all before.
-                    own = centre if begin == first else int(left[0])
-                    away = np.sqrt(((augmented[left] - augmented[own]) ** 2).sum(axis=1))
-                    near = away <= reach
-                    if begin == first:
-                        near[left == own] = True
-                    taken = left[near]
-                    nodes.append((begin, begin + len(taken), own, float(away[near].max())))
-                    children.append((0, 0))
-                    waiting.append((taken, own, float(away[near].max()), level + 1, begin))
-                    left, begin = left[~near], begin + len(taken)
-                children[at] = children[at][0], len(nodes)
-            waiting[at] = (np.zeros(0, np.int64), 0, 0.0, 0, 0)
-            at += 1
+            if len(members) <= leaf or radius == 0 or level == LEVELS:
+                children.append((0, 0))
+                continue
+            begin, start = first, len(nodes)
+            for own, taken, reach in covers(np.r_[centre, members[members != centre]], radius / 2, distances):
+                nodes.append((begin, begin + len(taken), own, reach))
+                waiting.append((taken, own, reach, level + 1, begin))
+                begin += len(taken)
+            children.append((start, len(nodes)))
+        del children[0]
         self.ids, self.labels, self.matrix = ids[points], labels[points], matrix[points]
         first, end, centre, radius = (np.array(x) for x in zip(*nodes, strict=True))
         self.first, self.end, self.centres, self.radius = first, end, matrix[centre], radius * (1 + 1e-9)
@@ -127,6 +121,24 @@ class CoverTree:
         return ids, scores
 
 
+def covers(members: np.ndarray, reach: float, distances: Callable) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(centre, members within reach of it, the farthest of them): the first member left is the next centre.
+
+    Distances are taken to the first members left at once; those covered by one before them are no centres.
+    """
+    while len(members):
+        away = distances(members, members[:BEAM])
+        near = away <= reach
+        np.fill_diagonal(near, True)
+        taken_by = np.full(len(members), -1)
+        for n in range(near.shape[1]):
+            if taken_by[n] < 0:
+                own = near[:, n] & (taken_by < 0)
+                taken_by[own] = n
+                yield int(members[n]), members[own], float(away[own, n].max())
+        members = members[taken_by < 0]
+
+
 def spread(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges first..end, one range after another."""
     sizes = end - first

@@ -19,7 +19,8 @@ from vecbank.plans.train import build_features, curate_images, local_records, ru
 from vecbank.queries.training import _png
 from vecbank.sources.archives import expand_archives, extract_archives, scan_image_files, scan_images
 from vecbank.sources.store import BankStore, read_split_features
-from vecbank.streaming.jobs import curate_stream, file_stream, stream_output
+from vecbank.streaming.jobs import file_stream, stream_output
+from vecbank.streaming.keyed import curate_stream, first_of_each
 
 
 @pytest.fixture(scope="module")

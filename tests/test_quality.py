@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecbank.operators.head import AdamW, in_buckets, initial_weights, loss_and_gradient, train_epoch, train_head
+from vecbank.operators.head import AdamW, bucket_count, in_order, initial_weights, loss_and_gradient, train_epoch, train_head
 from vecbank.operators.quality import (
     class_centroids, cosine_learning_rate, early_stopping, embedding_parity, head_accuracy, require_parity,
     retrieval_accuracy, throughput,
@@ -100,27 +100,43 @@ def blobs(spark, n=300, seed=0):
     return spark.createDataFrame(rows, "id long, label int, feat array<float>")
 
 
-def test_steps_equal_training_on_whole_batches(spark):
-    rows = in_buckets(blobs(spark, 50), 3)
+@pytest.mark.parametrize("buckets,batch", [(1, 16), (3, 7)])
+def test_epoch_averages_local_steps(spark, buckets, batch):
+    rows = blobs(spark, 50)
     held = {}
-    for r in rows.collect():
+    for r in in_order(rows.coalesce(1), buckets, 4).collect():
         held.setdefault(r.bucket, []).append(r)
-    state, expected = AdamW(initial_weights(8, 4, 3)), AdamW(initial_weights(8, 4, 3))
-    for place in np.random.default_rng(4).permutation(len(held)):
-        part = held[sorted(held)[place]]
-        x = np.array([r.feat for r in part])
-        _, _, gradient = loss_and_gradient(expected.weights, x, np.array([r.label for r in part]))
-        expected.step(gradient, 0.01, 0.01)
-    got, _, _ = train_epoch(rows, state, 4, 0.01, dropout=0.0)
-    assert got.steps == len(held) and state.steps == 0
-    for name in expected.weights:
-        assert np.allclose(got.weights[name], expected.weights[name], atol=1e-12)
+    assert len(held) == buckets
+    ends, sizes = [], []
+    for part in held.values():
+        local = AdamW(initial_weights(8, 4, 3))
+        for at in range(0, len(part), batch):
+            some = part[at : at + batch]
+            _, _, gradient = loss_and_gradient(local.weights, np.array([r.feat for r in some]), np.array([r.label for r in some]))
+            local.step(gradient, 0.01, 0.01)
+        ends.append(local.pack())
+        sizes.append(len(part))
+    state = AdamW(initial_weights(8, 4, 3))
+    got, _, _ = train_epoch(rows.repartition(6), state, 4, 0.01, buckets, batch, dropout=0.0)
+    assert state.steps == 0 and got.steps == round(sum(n * -(-n // batch) for n in sizes) / 50)
+    assert np.allclose(got.pack(), np.average(ends, axis=0, weights=sizes), atol=1e-12)
+
+
+def test_jobs_of_an_epoch_do_not_grow_with_rows(spark):
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (60, 1200):
+        spark.sparkContext.setJobGroup(f"epoch-{n}", "one epoch")
+        train_epoch(blobs(spark, n), AdamW(initial_weights(8, 4, 3)), 0, 0.01, bucket_count(n, 10, 2), 10)
+        jobs.append(len(tracker.getJobIdsForGroup(f"epoch-{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert bucket_count(1200, 10, 2) == 60 and jobs[0] == jobs[1] > 0
 
 
 def test_training_does_not_depend_on_partitions(spark):
     rows = blobs(spark)
     histories = [
-        train_head(part.filter("id >= 60"), part.filter("id < 60"), 3, dim=4, epochs=3, lr=0.1, batch=40)[1]
+        train_head(part.filter("id >= 60"), part.filter("id < 60"), 3, dim=4, epochs=3, lr=0.1, batch=20, local_steps=2)[1]
         for part in (rows.coalesce(1), rows.repartition(8), rows.repartition(64))
     ]
     for history in histories[1:]:

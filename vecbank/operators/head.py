@@ -1,8 +1,11 @@
 """Training the projection head and its cosine classifier on frozen features.
 
-Data stays on the executors. Rows fall into buckets by a hash of their id, one bucket is one step: its tasks compute the
-gradient of their rows with the same weights, the sums are added in a tree of tasks, and the driver makes one AdamW
-update. Buckets do not depend on how the rows are partitioned, nor do dropout masks, so neither does the result.
+Data stays on the executors. Rows fall into buckets by a hash; an epoch is one job, in which every bucket starts from the
+shared weights and moments, makes AdamW steps of its own on one mini-batch after another, and hands on where it ended. The
+ends are averaged, weighted by rows, in a tree of tasks. Buckets hold a bounded number of mini-batches, so larger tables
+have more of them and not longer tasks; a table of one bucket is trained as on a single machine. Buckets, the order
+within them and dropout masks do not depend on how the rows are partitioned, nor does the order of sums, so neither does
+the result.
 """
 
 from __future__ import annotations
@@ -14,16 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vecbank.functions.vectors import list_matrix
 from vecbank.operators.embedding import project
 from vecbank.operators.knn import BROADCAST_ROWS
 from vecbank.operators.quality import retrieval_accuracy
-from vecbank.session import materialize, scratch_path
+from vecbank.session import materialize
 from vecbank.settings import (
     COSINE_SCALE, HEAD_BATCH, HEAD_DROPOUT, HEAD_EPOCHS, HEAD_LR, HEAD_PATIENCE, HEAD_WEIGHT_DECAY, LABEL_SMOOTHING,
 )
@@ -32,6 +33,8 @@ from vecbank.sources.files import resolve, write_atomically
 NAMES = ("w1", "b1", "w2", "b2", "classes")
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-8
 _TREE_WIDTH = 8
+#: Mini-batches that a bucket trains on before its weights are averaged with those of the others.
+LOCAL_STEPS = 64
 
 Weights = dict[str, np.ndarray]
 
@@ -132,20 +135,24 @@ def _partial(part: int, n: int, loss: float, correct: int, flat: np.ndarray) ->
     ).cast(pa.schema([("part", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("correct", pa.int64()), ("blob", pa.binary())]))
 
 
-def _summed(partials: DataFrame) -> DataFrame:
-    """Add the partitions' sums in ``_TREE_WIDTH`` tasks, so the driver adds only that many."""
+def _summed(partials: DataFrame, width: int = _TREE_WIDTH) -> DataFrame:
+    """Add the buckets' sums in ``width`` groups, each in the order of its buckets, so the driver adds only that many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, blob = np.zeros(3), None
+        group, numbers, blob = None, np.zeros(3), None
         for batch in batches:
             for row in batch.to_pylist():
-                flat = np.frombuffer(row["blob"])
+                if row["part"] % width != group:
+                    if blob is not None:
+                        yield _partial(group, int(numbers[0]), float(numbers[1]), int(numbers[2]), blob)
+                    group, numbers, blob = row["part"] % width, np.zeros(3), 0.0
                 numbers += [row["n"], row["loss"], row["correct"]]
-                blob = flat.copy() if blob is None else blob + flat
+                blob = blob + np.frombuffer(row["blob"])
         if blob is not None:
-            yield _partial(0, int(numbers[0]), float(numbers[1]), int(numbers[2]), blob)
+            yield _partial(group, int(numbers[0]), float(numbers[1]), int(numbers[2]), blob)
 
-    return partials.repartition(_TREE_WIDTH, "part").mapInArrow(run, _PARTIAL)
+    group = F.col("part") % width
+    return partials.repartition(width, group).sortWithinPartitions(group, "part").mapInArrow(run, _PARTIAL)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -161,72 +168,76 @@ def dropout_mask(ids: np.ndarray, width: int, seed: int, rate: float) -> np.ndar
     return (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 >= rate
 
 
-def step_count(n: int, batch: int) -> int:
-    return max(1, round(n / batch))
+def bucket_count(n: int, batch: int, local_steps: int = LOCAL_STEPS) -> int:
+    """How many buckets of about ``local_steps`` mini-batches ``n`` rows make."""
+    return max(1, -(-n // (batch * local_steps)))
 
 
-def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    """``id, label, feat, bucket`` stored with a folder per bucket, so a step reads its own rows only."""
-    path = scratch_path(rows.sparkSession, "buckets")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    rows.select("id", "label", "feat", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))).write.partitionBy(
-        "bucket"
-    ).parquet(path)
-    schema = rows.select("id", "label", "feat").schema.add("bucket", T.IntegerType())
-    return rows.sparkSession.read.schema(schema).parquet(path)
+def in_order(rows: DataFrame, buckets: int, epoch: int) -> DataFrame:
+    """``bucket, id, label, feat`` with the rows of a bucket together, in an order of this epoch."""
+    bucket = F.pmod(F.xxhash64("id", "feat"), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = rows.select(bucket, "id", "label", "feat").repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", F.xxhash64("id", "feat", F.lit(epoch)), "id", "label")
 
 
-def train_step(
-    rows: DataFrame, state: AdamW, seed: int, lr: float, dropout: float = HEAD_DROPOUT, weight_decay: float = HEAD_WEIGHT_DECAY
-) -> tuple[int, float, int]:
-    """One AdamW update of ``state`` on all ``rows`` (``id, label, feat``): (rows, sum of losses, hits before the update)."""
-    shared = rows.sparkSession.sparkContext.broadcast(state.weights)
+def mini_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Table]]:
+    """(bucket, up to ``size`` of its rows) from rows sorted by bucket; only the last of a bucket is smaller."""
+    held: pa.Table | None = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        own = held.column("bucket").to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(own)) + 1, len(own)]
+        at = 0
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            closed = end < len(own)
+            while end - start >= size or (closed and start < end):
+                taken = min(size, end - start)
+                yield int(own[start]), held.slice(start, taken)
+                start += taken
+            at = start
+        held = held.slice(at)
+    if held is not None and held.num_rows:
+        yield int(held.column("bucket")[0].as_py()), held
+
+
+def train_epoch(
+    rows: DataFrame, state: AdamW, epoch: int, lr: float, buckets: int = 1, batch: int = HEAD_BATCH, dropout: float = HEAD_DROPOUT,
+    weight_decay: float = HEAD_WEIGHT_DECAY,
+) -> tuple[AdamW, float, float]:
+    """One epoch over ``id long, label int, feat array``: (new state, mean loss, accuracy in per cent). One job, whatever the size."""
+    shared = rows.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        n, loss_sum, correct, total = 0, 0.0, 0, 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = list_matrix(batch.column("feat"))
-            y = batch.column("label").to_numpy()
+        start = shared.value
+        now, own, n, loss_sum, correct = None, None, 0, 0.0, 0
+
+        def told() -> pa.RecordBatch:
+            # Steps are averaged along with weights and moments.
+            return _partial(own, n, loss_sum, correct, np.r_[now.pack(), now.steps] * n)
+
+        for bucket, part in mini_batches(batches, batch):
+            if bucket != own:
+                if now is not None:
+                    yield told()
+                now, own, n, loss_sum, correct = start.unpacked(start.pack(), start.steps), bucket, 0, 0.0, 0
+            x, y = list_matrix(part.column("feat").combine_chunks()), part.column("label").to_numpy()
             if dropout:
-                x = x * dropout_mask(batch.column("id").to_numpy(), x.shape[1], seed, dropout) / (1.0 - dropout)
-            loss, hits, gradient = loss_and_gradient(weights, x, y)
+                x = x * dropout_mask(part.column("id").to_numpy(), x.shape[1], epoch, dropout) / (1.0 - dropout)
+            loss, hits, gradient = loss_and_gradient(now.weights, x, y)
+            now.step(gradient, lr, weight_decay)
             n, loss_sum, correct = n + len(y), loss_sum + loss * len(y), correct + hits
-            total = total + np.concatenate([gradient[name].ravel() for name in NAMES]) * len(y)
-        if n:
-            yield _partial(TaskContext.get().partitionId(), n, loss_sum, correct, total)
+        if now is not None:
+            yield told()
 
-    sums = _summed(rows.select("id", "label", "feat").mapInArrow(run, _PARTIAL)).collect()  # _TREE_WIDTH rows
+    sums = _summed(in_order(rows, buckets, epoch).mapInArrow(run, _PARTIAL)).collect()  # _TREE_WIDTH rows
     shared.destroy()
+    sums.sort(key=lambda r: r["part"])
     n = sum(r["n"] for r in sums)
-    if n:
-        flat = np.sum([np.frombuffer(r["blob"]) for r in sums], axis=0) / n
-        ends = np.cumsum([state.weights[name].size for name in NAMES])[:-1]
-        parts = dict(zip(NAMES, np.split(flat, ends), strict=True))
-        state.step({name: g.reshape(state.weights[name].shape) for name, g in parts.items()}, lr, weight_decay)
-    return n, sum(r["loss"] for r in sums), sum(r["correct"] for r in sums)
-
-
-def train_epoch(
-    rows: DataFrame, state: AdamW, epoch: int, lr: float, batch: int = HEAD_BATCH, dropout: float = HEAD_DROPOUT,
-    weight_decay: float = HEAD_WEIGHT_DECAY,
-) -> tuple[AdamW, float, float]:
-    """One epoch over ``id long, label int, feat array``: (new state, mean loss, accuracy in per cent).
-
-    A step takes about ``batch`` rows: those of one bucket (:func:`in_buckets`; without the column ``bucket`` it is made here).
-    """
-    if "bucket" not in rows.columns:
-        rows = in_buckets(rows, step_count(rows.count(), batch))
-    buckets = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
-    state = state.unpacked(state.pack(), state.steps)
-    n, loss, correct = 0, 0.0, 0
-    for place in np.random.default_rng(epoch).permutation(len(buckets)):
-        part = rows.filter(F.col("bucket") == buckets[place])
-        own, own_loss, hits = train_step(part, state, epoch, lr, dropout, weight_decay)
-        n, loss, correct = n + own, loss + own_loss, correct + hits
-    return (state, loss / n, 100.0 * correct / n) if n else (state, 0.0, 0.0)
+    if not n:
+        return state, 0.0, 0.0
+    flat = np.sum([np.frombuffer(r["blob"]) for r in sums], axis=0) / n
+    return state.unpacked(flat[:-1], round(flat[-1])), sum(r["loss"] for r in sums) / n, 100.0 * sum(r["correct"] for r in sums) / n
 
 
 def _save(path: str, state: AdamW, best: Weights, history: list[dict]) -> None:
@@ -283,18 +294,19 @@ def train_head(
     dropout: float = HEAD_DROPOUT,
     seed: int = 0,
     state_path: str | None = None,
+    local_steps: int = LOCAL_STEPS,
 ) -> tuple[Weights, list[dict]]:
     """Train until ``epochs`` or ``patience`` epochs without a better validation retrieval.
 
     train and val: ``id long, label int, feat array`` (stored tables: they are read every epoch). ``batch`` is the number of rows
-    of one update over the whole cluster; on large tables choose it large. The partitions of the tables do not matter.
-    Returns the best weights and one record per epoch. Without validation rows all epochs run and
+    of one step, ``local_steps`` that of steps between two averages; an epoch is a fixed number of jobs. The partitions of the
+    tables do not matter. Returns the best weights and one record per epoch. Without validation rows all epochs run and
     the last one counts. With ``state_path`` a restarted driver resumes after the last whole epoch.
     """
     first = train.select(F.size("feat").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
-    steps = in_buckets(train, step_count(train.count(), batch))
+    buckets = bucket_count(train.count(), batch, local_steps)
     n_val = val.count()
     has_val = n_val > 0
     state = AdamW(initial_weights(first["n"], dim, n_classes, seed))
@@ -314,7 +326,7 @@ def train_head(
         if has_val and stale >= patience:
             break
         rate = lr * (1 + np.cos(np.pi * epoch / max(epochs, 1))) / 2
-        state, loss, train_acc = train_epoch(steps, state, epoch, rate, batch, dropout)
+        state, loss, train_acc = train_epoch(train, state, epoch, rate, buckets, batch, dropout)
         val_acc = retrieval = 0.0
         if has_val:
             queries = _embedded(val, state.weights, "query_id")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecbank.operators.ordered import numbered
+from vecbank.session import materialize
 from vecbank.settings import MAX_PER_LABEL, VAL_PER_LABEL
 
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -74,6 +75,40 @@ def collection_progress(curated: DataFrame, universe: DataFrame, max_per_label:
     )
 
 
+def collect_until_full(
+    spark: SparkSession, files: list[str], schema: str, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, at_first: int = 1
+) -> tuple[DataFrame, int]:
+    """Quota over files (``species, arrival``) in their given order, without reading on once every label is full.
+
+    Returns (``species, arrival, place``, files read). Files are read in runs that double in size, so a job is spent per
+    doubling and at most about twice the files needed are read. A label of ``labels`` (``species``) that never fills up makes all
+    files be read; rows of labels that are not among them are left out. The order is that of the files and, within one, of
+    ``arrival``; the outcome is that of a scan of all files.
+    """
+    held = labels.select("species", F.lit(0).cast("long").alias("held")).distinct()
+    kept: DataFrame | None = None
+    at = 0
+    while at < len(files):
+        some = files[at : at + max(at_first, at)]
+        name = F.col("_metadata.file_name")
+        rows = spark.read.schema(schema).parquet(*some).select("species", "arrival", name.alias("file"))
+        first = arrival_rank(rows, "species", ["file", "arrival"], max_per_label)
+        told = held.withColumnRenamed("species", "_label")
+        placed = first.join(told, first["species"].eqNullSafe(told["_label"])).select(
+            "species", "arrival", (F.col("place") + F.col("held")).cast("long").alias("place")
+        )
+        fresh = materialize(placed.filter(F.col("place") <= max_per_label), "collected")
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        both = held.unionByName(fresh.groupBy("species").agg(F.count(F.lit(1)).alias("held")))
+        held = materialize(both.groupBy("species").agg(F.sum("held").alias("held")), "held")
+        at += len(some)
+        if held.filter(F.col("held") < max_per_label).isEmpty():
+            break
+    if kept is None:
+        kept = spark.createDataFrame([], "species string, arrival long, place long")
+    return kept, at
+
+
 def coverage(universe: DataFrame, curated: DataFrame) -> DataFrame:
     """Every label with its number of train rows; 0 means it cannot be learned."""
     train = curated.filter(F.col("split") == "train").groupBy("species").agg(F.count(F.lit(1)).alias("train_rows"))

@@ -21,7 +21,7 @@ from vecbank.queries.inputs import DAMAGED, DIM, E, MICROS_TEXT, blend_sql, blen
 from vecbank.session import materialize, scratch_path, table
 from vecbank.sources.learned import read_learned, read_meta, scan_learned_lines, write_learned
 from vecbank.sources.npy import NpySource, write_npy
-from vecbank.sources.store import BankStore, newest_valid, read_split_features, write_split_features
+from vecbank.sources.store import BankStore, DimensionMismatch, newest_valid, read_split_features, write_split_features
 
 UNION = f"""{E}, {blend_sql('near', 0.95, 0.05)}, bank as (
       select row_id, species, vec, 'base' as origin from e union all
@@ -156,14 +156,28 @@ def codecs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("half_precision", "select vec_id, true as close, true as coarser from embeddings")
+@query(
+    "half_precision",
+    """with x as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::DOUBLE * 0.001 ** (vec_id % 3) as x from embeddings),
+    s as (select *, case when x = 0 then 1.0 else 2.0 ** (greatest(floor(log2(abs(x::FLOAT::DOUBLE))), -14) - 10) end as step,
+                 x::FLOAT::DOUBLE as single from x)
+    select vec_id, round(sum(abs(round_even(single / step, 0) * step - single)) * 1000000, 6) as micro_error,
+           round(max(abs(round_even(single / step, 0) * step)), 9) as largest, count(*) filter (round_even(single / step, 0) * step = single) as exact
+    from s group by 1""",
+)
 def halves(spark: SparkSession, sf: str) -> DataFrame:
-    """fp16 keeps 11 significant bits."""
-    rows = embeddings(spark, sf).withColumn("half", half_precision(F.col("vec")))
-    gap = F.zip_with(as_double(F.col("vec")), as_double(F.col("half")), lambda a, b: F.abs(a - b) - F.abs(a) / 2048)
-    return rows.select(
-        F.col("row_id").alias("vec_id"), (F.array_max(gap) <= 1e-7).alias("close"),
-        (F.col("vec") != F.col("half")).alias("coarser"),
+    """fp16 keeps 11 significant bits down to 2^-14, and steps of 2^-24 below: the error of every vector, two thirds of them scaled down."""
+    scale = F.pow(F.lit(0.001), F.col("vec_id") % 3)
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: (x.cast("double") * scale).cast("float")).alias("vec")
+    )
+    both = rows.select("vec_id", as_double(F.col("vec")).alias("vec"), as_double(half_precision(F.col("vec"))).alias("half"))
+    gaps = F.zip_with("vec", "half", lambda a, b: F.abs(a - b))
+    total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
+    largest = F.array_max(F.transform("half", F.abs))
+    return both.select(
+        "vec_id", F.round(total * 1000000, 6).alias("micro_error"), F.round(largest, 9).alias("largest"),
+        F.size(F.filter(gaps, lambda x: x == 0.0)).cast("long").alias("exact"),
     )
 
 
@@ -229,6 +243,28 @@ def publish_damaged(spark: SparkSession, sf: str) -> DataFrame:
     return store.labels(version).select("species", F.col("count").alias("rows"), F.lit(version["source"]).alias("source"))
 
 
+@query(
+    "publish_refused",
+    """select 'label_' || label as species, count(*) as rows, 64 as dim, 1::bigint as version, 1::bigint as versions,
+      count(*) filter (vec_id % 3 = 0) > 0 as refused from embeddings group by 1""",
+)
+def publish_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """A base in which some vectors have another width is refused: the version before stays active, and no other one is listed."""
+    store = _published(spark, sf)
+    narrow = F.when(F.col("row_id") % 3 == 0, F.slice("vec", 1, DIM - 1)).otherwise(F.col("vec"))
+    wrong = embeddings(spark, sf).withColumn("vec", narrow)
+    try:
+        store.publish(wrong, "model-2", DIM, dtype="fp32")
+        refused = F.lit(False)
+    except DimensionMismatch:
+        refused = F.count_if(F.col("row_id") % 3 == 0) > 0
+    version = store.active()
+    rows = store.bank(version).groupBy("species").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("vec")).alias("dim"), refused.alias("refused")
+    )
+    return rows.withColumns({"version": F.lit(version["version"]).cast("long"), "versions": F.lit(store.manifest().count()).cast("long")})
+
+
 @query(
     "append_and_rewrite_learned",
     f"""with {E} select origin, species, count(*) as rows, (1 + (select count(*) from e) + 1)::bigint as version,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,15 @@ from vecbank.functions.admission import file_extension, has_extension, is_large_
 from vecbank.operators.blocks import group_bounds, map_sorted_groups
 from vecbank.operators.ordered import chunked, stride_sample
 from vecbank.operators.quotas import (
-    arrival_rank, by_source, collection_progress, coverage, curate, missing_labels, shuffled,
+    arrival_rank, by_source, collect_until_full, collection_progress, coverage, curate, missing_labels, shuffled,
 )
 from vecbank.queries import query
 from vecbank.session import scratch_path, table
 from vecbank.sources.archives import expand_archives
-from vecbank.streaming.jobs import curate_stream, file_stream, finish_curation, is_finished, stream_output
+from vecbank.sources.files import move_files
+from vecbank.sources.shards import run_until_read, shard_stream
+from vecbank.streaming.jobs import file_stream, finish_curation, is_finished, stream_output
+from vecbank.streaming.keyed import curate_stream
 
 CURATED_SQL = """select species, arrival, place::bigint as place, case when place <= 2 then 'val' else 'train' end as split
     from (select source as species, doc_id as arrival, row_number() over (partition by source order by doc_id) as place
@@ -49,6 +53,94 @@ def curate_in_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _placed(stream_output(spark, out))
 
 
+#: Every third document has no label; every fifth arrives late, with the last wave.
+WAVES = """select case when doc_id % 3 <> 0 then source end as species, doc_id as arrival,
+      case when doc_id % 5 = 4 then 2 else doc_id % 2 end as wave from documents"""
+WAVES_SQL = f"""select species, arrival, place::bigint as place, case when place <= 2 then 'val' else 'train' end as split
+    from (select *, row_number() over (partition by species order by wave, arrival) as place from ({WAVES})) where place <= 10"""
+
+
+def _waves(spark: SparkSession, sf: str) -> list[DataFrame]:
+    arrival = F.col("arrival")
+    species = F.when(arrival % 3 != 0, F.col("species")).alias("species")
+    wave = F.when(arrival % 5 == 4, 2).otherwise(arrival % 2)
+    rows = _records(spark, sf)
+    return [rows.filter(wave == n).select(species, "arrival") for n in range(3)]
+
+
+@query("curate_stream_waves", WAVES_SQL)
+def curate_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Three micro-batches, each of a run of its own, with missing labels and late records."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("records", "curated", "checkpoint"))
+    for wave in _waves(spark, sf):
+        wave.repartition(4).write.mode("append").parquet(source)
+        curate_stream(file_stream(spark, source, wave.schema), out, checkpoint)
+    return _placed(stream_output(spark, out))
+
+
+class Interrupted(Exception):
+    pass
+
+
+def _stop_at(batch: int) -> Callable[[int], None]:
+    def check(stored: int) -> None:
+        if stored == batch:
+            raise Interrupted(f"batch {batch}")
+
+    return check
+
+
+@query("curate_resumed", f"select *, 1::bigint as interruptions from ({WAVES_SQL})")
+def curate_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, cut off after the second batch was stored but before the stream took note of it, then started again."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("records", "curated", "checkpoint"))
+    cut = 0
+    for n, wave in enumerate(_waves(spark, sf)):
+        wave.repartition(4).write.mode("append").parquet(source)
+        if n == 1:
+            try:
+                curate_stream(file_stream(spark, source, wave.schema), out, checkpoint, on_batch=_stop_at(1))
+            except StreamingQueryException:
+                cut += 1
+        curate_stream(file_stream(spark, source, wave.schema), out, checkpoint)
+    return _placed(stream_output(spark, out)).withColumn("interruptions", F.lit(cut).cast("long"))
+
+
+FILES = 16
+
+
+@query(
+    "early_finish",
+    """select species, arrival, place::bigint as place, true as files_left from (
+      select source as species, doc_id as arrival, row_number() over (partition by source order by doc_id) as place from documents)
+    where place <= 2""",
+)
+def early_finish(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan ends with files left once every label has its two rows; they are those of the whole scan."""
+    source = scratch_path(spark, "records")
+    records = _records(spark, sf)
+    records.repartitionByRange(FILES, "arrival").sortWithinPartitions("arrival").write.parquet(source)
+    files = sorted(spark.read.parquet(source).inputFiles())
+    kept, n = collect_until_full(spark, files, "species string, arrival long", records.select("species"), 2)
+    return kept.withColumn("files_left", F.lit(n < len(files)))
+
+
+@query("sharded_stream", "select doc_id, source, md5(text) as digest, 3::bigint as batches from documents")
+def sharded_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve files in four reader shards, one file of each shard in a batch; the stream is stopped and started again in between."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", "text")
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("documents", "read", "checkpoint"))
+    batches = 0
+    for part in range(3):
+        half = rows.filter(F.pmod("doc_id", F.lit(3)) == part).repartition(4)
+        # Names that sort behind those of the files before.
+        half.write.parquet(f"{source}-{part}")
+        move_files(f"{source}-{part}", source, prefix=f"{part}-")
+        stream = shard_stream(spark, source, rows.schema, f"{checkpoint}-progress.json")
+        batches += run_until_read(stream, out, checkpoint)
+    return stream_output(spark, out).select("doc_id", "source", F.md5("text").alias("digest"), F.lit(batches).cast("long").alias("batches"))
+
+
 @query(
     "quota_per_label",
     """select o_custkey, o_orderkey, place::bigint as place from (

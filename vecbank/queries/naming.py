@@ -10,7 +10,7 @@ from vecbank.functions.names import (
 )
 from vecbank.operators.naming import (
     cap_labels, decode_labels, encode_labels, known_only, label_universe, name_index, remote_only, resolve_names,
-    suggest_names,
+    suggest_names, suggestion_candidates,
 )
 from vecbank.queries import query
 from vecbank.queries.inputs import VARIANTS, name_variants
@@ -132,15 +132,34 @@ def candidate_columns(spark: SparkSession, sf: str) -> DataFrame:
     return outs[0].union(outs[1])
 
 
-@query("suggest_names")
-def suggested_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Misspelt part names against the real ones (the ratio has no SQL form; tested against difflib)."""
+def _misspelt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     name = F.col("p_name")
     at = (F.col("p_partkey") % 5).cast("int")
     misspelt = F.concat(F.substring(name, F.lit(1), at + 1), F.substring(name, at + 3, F.length(name)))
     asked = table(spark, sf, "part").select(misspelt.alias("name"))
-    labels = table(spark, sf, "part").select(F.translate("p_name", " ", "_").alias("species"))
-    found = suggest_names(asked, labels)
+    return asked, table(spark, sf, "part").select(F.translate("p_name", " ", "_").alias("species"))
+
+
+@query(
+    "suggestion_candidates",
+    """with words as (
+      select distinct replace(substr(p_name, 1, p_partkey % 5 + 1) || substr(p_name, p_partkey % 5 + 3), ' ', '_') as word from part),
+    labels as (select distinct replace(p_name, ' ', '_') as label from part),
+    w as (select word, c, count(*) as n from (select word, unnest(string_split(word, '')) as c from words) group by 1, 2),
+    l as (select label, c, count(*) as n from (select label, unnest(string_split(label, '')) as c from labels) group by 1, 2),
+    shared as (select word, label, sum(least(w.n, l.n)) as m from w join l using (c) group by 1, 2)
+    select word, count(label) as candidates from words left join (
+      select * from shared where 2.0 * m / (length(word) + length(label)) >= 0.6) using (word) group by 1""",
+)
+def candidates_for_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that the index of characters lets through, against counting the characters of all pairs."""
+    return suggestion_candidates(*_misspelt(spark, sf))
+
+
+@query("suggest_names")
+def suggested_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Misspelt part names against the real ones (the ratio has no SQL form; tested against difflib)."""
+    found = suggest_names(*_misspelt(spark, sf))
     return found.select("word", F.array_join("suggestions", ",").alias("suggestions"))
 
 

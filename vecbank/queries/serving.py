@@ -14,7 +14,7 @@ from vecbank.operators.serving import counters, embed_distinct, latency_percenti
 from vecbank.queries import query
 from vecbank.session import materialize, scratch_path, table
 from vecbank.settings import REQUEST_ITEMS
-from vecbank.streaming.jobs import file_stream
+from vecbank.streaming.jobs import file_stream, observed_counts, stream_output
 from vecbank.streaming.latency import rolling_latency
 
 LATENCY_SQL = """select kind, count(*) as n, round(quantile_cont(ms, 0.5), 2) as p50, round(quantile_cont(ms, 0.95), 2) as p95
@@ -174,6 +174,22 @@ def prediction_counters(spark: SparkSession, sf: str) -> DataFrame:
     return counters(ordered_results(*_answers(spark, sf), ["conv_id", "turn"]))
 
 
+@query(
+    "counters_observed",
+    """with c as (select count(*) filter (role = 'assistant') as predictions, count(*) filter (role <> 'assistant') as unreadable
+      from conversations)
+    select 'observed' as origin, * from c union all select 'stored', * from c""",
+)
+def counters_in_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted by the running stream, three files a batch, and from what it stored."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("results", "served", "checkpoint"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("ok"))
+    turns.repartition(7).write.parquet(source)
+    seen = observed_counts(file_stream(spark, source, turns.schema, files_per_batch=3), out, checkpoint)
+    observed = spark.createDataFrame([("observed", seen["predictions"], seen["unreadable"])], "origin string, predictions long, unreadable long")
+    return observed.unionByName(counters(stream_output(spark, out)).withColumn("origin", F.lit("stored")))
+
+
 @query(
     "batch_pairing",
     f"""select conv_id, (n - 1) // {REQUEST_ITEMS} as chunk, ((n - 1) % {REQUEST_ITEMS})::int as pos, role as name, md5(text) as item from (

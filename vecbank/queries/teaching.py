@@ -17,6 +17,7 @@ from vecbank.queries import query
 from vecbank.queries.inputs import DAMAGED, DIM, E, LOG, blend_sql, blended, change_log, damaged, embeddings
 from vecbank.session import scratch_path, table
 from vecbank.sources.store import BankStore
+from vecbank.streaming import keyed
 from vecbank.streaming.jobs import file_stream, stream_output, teach_stream
 
 STEP = 10**9  # room for one pass over the embeddings in the sequence numbers
@@ -113,6 +114,21 @@ def learn_in_stream(spark: SparkSession, sf: str) -> DataFrame:
     return stream_output(spark, out).select("seq", "status", "species", "examples")
 
 
+@query("learn_stream_stateful", LEARN_SQL)
+def learn_in_keyed_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The same requests in two runs of a stream whose state holds the bank; the second one starts from the checkpoint alone."""
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("requests", "taught", "checkpoint"))
+    requests = _requests(spark, sf)
+    for run in range(2):
+        half = requests.filter((F.col("seq") >= 3 * STEP) == F.lit(run == 1))
+        half.repartitionByRange(2, "seq").write.mode("append").parquet(source)
+        stream = file_stream(spark, source, "seq long, name string, vec array<double>, allow_new boolean")
+        bank = embeddings(spark, sf)
+        # Only the first batch reads the bank.
+        keyed.learn_stream(stream, bank if run == 0 else bank.limit(0), out, checkpoint, DIM)
+    return stream_output(spark, out).select("seq", "status", "species", "examples")
+
+
 @query(
     "forget_by_log",
     f"""with {LOG} select seq, species from log l where op = 'learn' and not exists (

@@ -7,22 +7,24 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecbank.functions.vectors import norm
 from vecbank.operators.embedding import (
     embed_features, embed_images, feature_dropout, input_values, prepare_images, random_projection_model,
 )
-from vecbank.operators.head import train_head
+from vecbank.operators.head import bucket_count, train_head
 from vecbank.operators.ordered import numbered
 from vecbank.operators.quality import cosine_learning_rate, early_stopping
 from vecbank.operators.quotas import hold_out
 from vecbank.plans.identify import identify_folder
+from vecbank.plans.train import build_features, curate_images, local_records
 from vecbank.queries import query
 from vecbank.queries.inputs import DIM, embeddings
 from vecbank.session import materialize, scratch_path, table
 from vecbank.sources.archives import scan_image_files, scan_images, write_files
+from vecbank.sources.store import read_split_features
 
 EPOCHS = """runs as (select user_id as run, row_number() over (partition by user_id order by ts, event_id) as epoch,
       value as score from events)"""
@@ -75,21 +77,34 @@ def head_training(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("train_head_partitions", "select count(distinct label) >= 2 as learned, 1::bigint as outcomes from embeddings")
+@query(
+    "train_head_partitions",
+    """with places as (select row_number() over (partition by label order by vec_id) as place from embeddings),
+    sizes as (select count(*) filter (place > 2) as train_rows, count(*) filter (place <= 2) as val_rows from places)
+    select epoch::int as epoch, train_rows, val_rows, ceil(train_rows / 256.0)::bigint as local_runs,
+           round(0.05 * (1 + cos(pi() * (epoch - 1) / 2)), 6) as lr, 1::bigint as outcomes, true as learned
+    from sizes, range(1, 3) e(epoch)""",
+)
 def head_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Two epochs on 1, 8 and 64 partitions of the same rows: one outcome, and a falling loss."""
+    """Two epochs of averaged local runs on 8 and 64 partitions of the same rows, laid out differently: one outcome, a falling loss."""
     rows = hold_out(embeddings(spark, sf), "species", ["row_id"])
     label = F.regexp_extract("species", r"(\d+)$", 1).cast("int")
     rows = materialize(rows.select(F.col("row_id").alias("id"), label.alias("label"), F.col("vec").alias("feat"), "split"), "features")
     classes = rows.agg(F.max("label") + 1).first()[0]
-    outcomes, learned = set(), True
-    for parts in (rows.coalesce(1), rows.repartition(8, "id"), rows.repartition(64, "id")):
-        _, history = train_head(
-            parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val"), classes, dim=32, epochs=2, lr=0.1, batch=64, seed=1
-        )
-        outcomes.add(tuple(round(h[k], 6) for h in history for k in ("loss", "train_acc", "val_acc")))
-        learned &= history[-1]["loss"] < history[0]["loss"]
-    return spark.createDataFrame([(learned, len(outcomes))], "learned boolean, outcomes long")
+    sizes = rows.groupBy("split").count().collect()
+    n = {r["split"]: r["count"] for r in sizes}
+    histories = [
+        train_head(parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val"), classes, dim=32, epochs=2, lr=0.1,
+                   batch=64, seed=1, local_steps=4)[1]
+        for parts in (rows.repartition(8, "id"), rows.repartition(64, "feat"))
+    ]
+    told = [[tuple(round(e[k], 6) for k in ("loss", "train_acc", "val_acc")) for e in h] for h in histories]
+    learned = all(h[-1]["loss"] < h[0]["loss"] for h in histories)
+    return spark.createDataFrame(
+        [(e["epoch"], n["train"], n["val"], bucket_count(n["train"], 64, 4), round(e["lr"], 6), len({t[i] for t in told}), learned)
+         for i, e in enumerate(histories[0])],
+        "epoch int, train_rows long, val_rows long, local_runs long, lr double, outcomes long, learned boolean",
+    )
 
 
 @query("embed_batch", "select vec_id, 16 as dim, round(1.0::DOUBLE, 4) as norm from embeddings")
@@ -116,6 +131,12 @@ def _png(text: str) -> bytes:
     data = text.encode()
     height = max(1, -(-len(data) // (3 * WIDTH)))
     data = data.ljust(3 * WIDTH * height, b"\0")
+    return _png_of(data)
+
+
+def _png_of(data: bytes) -> bytes:
+    """RGB rows of WIDTH pixels as a PNG file."""
+    height = len(data) // (3 * WIDTH)
     lines = b"".join(b"\0" + data[i * 3 * WIDTH : (i + 1) * 3 * WIDTH] for i in range(height))
 
     def chunk(kind: bytes, body: bytes) -> bytes:
@@ -171,13 +192,69 @@ def image_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("image_prep", f"select item_id, {3 * 224 * 224}::bigint as n_values, true as in_range from benchmark")
+def _striped_folder(spark: SparkSession, sf: str) -> str:
+    """A picture per benchmark text whose columns have grey levels in steps of 56, so that a resize to 224 hits whole levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for item in batch.column("item_id").to_pylist():
+                line = bytes(56 * (x * (item + c) % 5) for x in range(WIDTH) for c in range(3))
+                content.append(_png_of(line * (5 + item % 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], ["path", "content"])
+
+    path = F.concat(F.lit("striped/"), F.col("item_id").cast("string"), F.lit(".png")).alias("path")
+    root = scratch_path(spark, "pictures")
+    write_files(table(spark, sf, "benchmark").select(path, "item_id").mapInArrow(run, "path string, content binary"), root)
+    return root
+
+
+SIDE = 224
+
+
+@query(
+    "image_prep",
+    f"""with levels as (select item_id, c, x, 56 * (x * (item_id + c) % 5) as level from benchmark, range(3) t(c), range({WIDTH}) u(x)),
+    weights as (select o, x, greatest(0, 1 - abs(x + 0.5 - (o + 0.5) * {WIDTH} / {SIDE})) as w from range({SIDE}) t(o), range({WIDTH}) u(x)),
+    resized as (select item_id, c, o, floor(sum(w * level) / sum(w) + 0.5) as level from levels join weights using (x) where w > 0 group by 1, 2, 3)
+    select item_id, {3 * SIDE * SIDE}::bigint as n_values, round(avg(level) filter (c = 0) / 255, 6) as red,
+           round(avg(level) filter (c = 1) / 255, 6) as green, round(avg(level) filter (c = 2) / 255, 6) as blue,
+           round(max(level) / 255, 6) as brightest from resized group by 1""",
+)
 def image_prep(spark: SparkSession, sf: str) -> DataFrame:
-    images = scan_images(spark, _picture_folder(spark, sf))
+    """Means of the channels after the resize, and the brightest value."""
+    pixels = prepare_images(scan_images(spark, _striped_folder(spark, sf)), "path")
     item = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
-    pixels = prepare_images(images, "path")
-    inside = (F.array_min("pixels") >= 0) & (F.array_max("pixels") <= 1)
-    return pixels.select(item.alias("item_id"), F.size("pixels").cast("long").alias("n_values"), inside.alias("in_range"))
+
+    def mean(channel: int) -> Column:
+        own = F.slice("pixels", channel * SIDE * SIDE + 1, SIDE * SIDE)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda s, x: s + F.round(x.cast("double") * 255)) / (SIDE * SIDE) / 255, 6)
+
+    return pixels.select(
+        item.alias("item_id"), F.size("pixels").cast("long").alias("n_values"), mean(0).alias("red"), mean(1).alias("green"), mean(2).alias("blue"),
+        F.round(F.array_max("pixels").cast("double"), 6).alias("brightest"),
+    )
+
+
+@query(
+    "feature_pass",
+    f"""with files as (select {LABEL_SQL} as species, item_id || '.png' as name, greatest(1, ceil(strlen(text) / (3.0 * {WIDTH})))::bigint as height
+      from benchmark),
+    placed as (select *, row_number() over (partition by species order by name) as place from files where height >= 11)
+    select species, case when place <= 2 then 'val' else 'train' end as split, count(*) as rows, 32 as dim, count(*) as distinct_ids
+    from placed where place <= 10 group by 1, 2""",
+)
+def feature_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Scan, curate, embed every kept picture once with the frozen backbone, store by split, read back."""
+    local = local_records(scan_images(spark, _picture_folder(spark, sf)))
+    rows, labels, _ = curate_images(local, local.limit(0))
+    path = scratch_path(spark, "features")
+    build_features(materialize(rows, "curated"), random_projection_model(input_values(), 32, seed=2), path)
+    parts = [read_split_features(spark, path, split) for split in ("train", "val")]
+    named = parts[0].unionByName(parts[1]).join(labels.select(F.col("idx").alias("label"), "species"), "label")
+    return named.groupBy("species", "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("feat")).alias("dim"), F.count_distinct("id").alias("distinct_ids")
+    )
 
 
 @query("image_augment")

@@ -28,3 +28,13 @@ def write_atomically(path: str, parts: list[bytes], attempt: str) -> None:
             raise
         fs.delete_file(target)
         fs.move(temporary, target)
+
+
+def move_files(folder: str, into: str, prefix: str) -> None:
+    """Move the Parquet files of a folder into another one, their names behind ``prefix``."""
+    fs, source = resolve(folder)
+    _, target = resolve(into)
+    fs.create_dir(target, recursive=True)
+    for found in fs.get_file_info(pafs.FileSelector(source)):
+        if found.is_file and found.path.endswith(".parquet"):
+            fs.move(found.path, f"{target}/{prefix}{found.base_name}")

@@ -1,24 +1,22 @@
-"""Streaming identification, teaching and curation.
+"""Streams that run batch operators: identification, and teaching into a store.
 
 Each micro-batch runs the batch operator and writes its own folder, named by the batch id: a replayed
-batch replaces its folder, so results are exactly-once. What earlier batches left is read from the
-folders with smaller ids, which makes the stored output the state: it survives restarts, and a hot
-label is handled by the same skew-safe operators as in batch.
+batch replaces its folder, so results are exactly-once. Streams with state of their own are in ``keyed.py``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecbank.operators.quotas import arrival_rank, collection_progress
+from vecbank.operators.quotas import collection_progress
 from vecbank.plans.identify import identify
 from vecbank.plans.teach import teach
 from vecbank.session import scratch_path
-from vecbank.settings import MAX_PER_LABEL, VAL_PER_LABEL
+from vecbank.settings import MAX_PER_LABEL
 from vecbank.sources.store import BankStore
 
 
@@ -58,15 +56,19 @@ def run_available(
     return query
 
 
-def _stored(spark: SparkSession, out: str, schema: str, batch: int) -> DataFrame:
-    """Rows written by the batches before ``batch``."""
-    try:
-        rows = spark.read.schema(f"{schema}, batch long").parquet(out)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-    return rows.filter(F.col("batch") < batch).drop("batch")
+def observed_counts(results: DataFrame, out: str, checkpoint: str) -> dict[str, int]:
+    """Store a stream of results carrying ``ok`` and return ``predictions, unreadable`` as Spark observed them on the way.
+
+    The counts come with the progress of every micro-batch, so nothing is read again to know them.
+    """
+    watched = results.observe("served", F.count_if("ok").alias("predictions"), F.count_if(~F.col("ok")).alias("unreadable"))
+    query = (
+        watched.writeStream.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}"))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = [p.observedMetrics["served"] for p in query.recentProgress if "served" in p.observedMetrics]
+    return {name: sum(r[name] for r in rows) for name in ("predictions", "unreadable")}
 
 
 def identify_stream(queries: DataFrame, bank: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
@@ -92,34 +94,6 @@ def teach_stream(store: BankStore, requests: DataFrame, out: str, checkpoint: st
     return run_available(requests, handle, checkpoint)
 
 
-CURATED = "species string, arrival long, place long, split string"
-
-
-def curate_stream(
-    records: DataFrame, out: str, checkpoint: str, max_per_label: int = MAX_PER_LABEL,
-    val_per_label: int = VAL_PER_LABEL, keep: Callable[[DataFrame], Column] | None = None,
-) -> StreamingQuery:
-    """Quota and split over a stream of ``species, arrival`` in arrival order.
-
-    The state is one count per label, taken from the rows kept so far (at most the quota each).
-    """
-
-    def handle(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        if keep is not None:
-            rows = rows.filter(keep(rows))
-        held = _stored(spark, out, CURATED, batch).groupBy("species").agg(F.count(F.lit(1)).alias("held"))
-        first = arrival_rank(rows.select("species", "arrival"), "species", ["arrival"], max_per_label)
-        placed = first.join(held, "species", "left").select(
-            "species", "arrival", (F.col("place") + F.coalesce("held", F.lit(0))).cast("long").alias("place")
-        )
-        split = F.when(F.col("place") <= val_per_label, "val").otherwise("train")
-        kept = placed.filter(F.col("place") <= max_per_label).withColumn("split", split)
-        kept.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    return run_available(records, handle, checkpoint)
-
-
 def stream_output(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from vecbank.operators.serving import latency_percentiles
 from vecbank.settings import LATENCY_WINDOW
 from vecbank.streaming.jobs import run_available
+from vecbank.streaming.keyed import state_settings
 
 SALTS = 16
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PARTITIONS = "spark.sql.shuffle.partitions"
 _SAMPLES = "kind string, salt int, seq long, ms double"
 
 
@@ -41,22 +38,6 @@ class LatestSamples(StatefulProcessor):
         pass
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
-    """Session settings for the start of one query."""
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
 def rolling_latency(
     samples: DataFrame, out: str, checkpoint: str, window: int = LATENCY_WINDOW, salts: int = SALTS
 ) -> DataFrame:
@@ -71,7 +52,7 @@ def rolling_latency(
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     # The state needs RocksDB, and no more partitions than a kind has salts.
-    with _settings(spark, {_PROVIDER: _ROCKSDB, _PARTITIONS: str(salts)}):
+    with state_settings(spark, salts):
         salted = samples.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
         state = salted.groupBy("kind", "salt").transformWithStateInPandas(
             statefulProcessor=LatestSamples(window), outputStructType=_SAMPLES, outputMode="Update", timeMode="None"

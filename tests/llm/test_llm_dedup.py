@@ -179,8 +179,61 @@ def test_stretches_cover_every_window_of_sliced_sequences(monkeypatch):
     assert set(seen) == {(i, p) for i, v in enumerate(values) for p in range(max(len(v) - 19, 0))} and set(seen.values()) == {1}
 
 
-def test_long_words_hash_alike_everywhere(monkeypatch):
-    monkeypatch.setattr(anchors, "WORD_BYTES", 8)
-    long = b"0123456789abcdefghij"
-    first, second = anchors.word_symbols([b"x " + long + b" y", b"a b c d e " + long + b"\n" + long[:-1]])
-    assert first[1] == second[5] != second[6]
+def test_words_are_told_apart_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(anchors, "REMEMBERED_WORDS", 3)
+    long = b"0123456789abcdefghij" * 1000
+    first, second = anchors.word_symbols([b"x " + long + b" y", b"a b c d e " + long + b"\n" + long[:-1] + b"\x0b\x0c \x1c\xc2\xa0"])
+    assert first[1] == second[5] != second[6] and len(second) == 8
+
+
+def thue_morse(length, first="a", second="b"):
+    """Two texts that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(length)]
+    return "".join((first, second)[b] for b in bits), "".join((second, first)[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(2048)
+    texts = [" ".join(f"w{i}" if i != 11 else word for i in range(23)) for word in (one, two)]
+    docs = frame(spark, [(1, texts[0]), (2, texts[1])])
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("group", [1000, 1])
+def test_long_strings_that_polynomials_confuse(spark, monkeypatch, group):
+    monkeypatch.setattr(anchors, "GROUP", group)
+    rng = random.Random(7)
+    one, two = thue_morse(4096, *(chr(c) for c in (97, 98)))
+    around = "".join(rng.choices("cdefghij", k=5000))
+    rows = [(1, around + one + around[::-1]), (2, around + two + around[::-1]), (3, "k" + around + one[:100])]
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, rows), length=6000).collect()))
+    assert got == sorted((d, *x) for (d, _), x in zip(rows, repeated_bytes(rows, 6000), strict=True))
+
+
+def test_shared_passages_are_settled_by_runs(spark):
+    """A passage in many documents makes a row per document, not one per stretch; documents that share only parts lose those."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, other = (" ".join(word() for _ in range(400)) for _ in range(2))
+    rows = [(i, f"{word()} {passage} {word()}") for i in range(30)] + [(40, f"{word()} {passage[500:1500]} {word()} {other}"), (41, other[:900])]
+    docs = frame(spark, rows)
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    assert got == sorted((d, *x) for (d, _), x in zip(rows, repeated_bytes(rows, 200), strict=True))
+    keyed = anchors.keyed(docs)
+    repeated = anchors.repeated_stretches(keyed, anchors.byte_symbols, 200, 32)
+    spans = suffix_dedup.repeated_runs(repeated, anchors.counted(repeated)).filter("d < 30").groupBy("d").count().collect()
+    assert repeated.filter("d = 0").count() > 20 and all(r["count"] == 1 for r in spans)
+
+
+def test_near_copies_without_ids_are_told_apart(spark):
+    rng = random.Random(9)
+    x, y = (" ".join("".join(rng.choices("abcdef", k=5)) for _ in range(60)) for _ in range(2))
+    docs = frame(spark, [(None, x), (None, y), (3, x), (9, y), (None, y + " end"), (None, None), (12, "alone here")])
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 3, 85).collect()]
+    assert (3, None, False) in got and (9, None, False) in got and (12, 12, True) in got
+    assert sum(k for _, _, k in got) == 4  # x, one of y and its near copy, the empty text, the last
+    left = near_dedup.without_near_duplicates(docs, 3, 85)
+    assert left.columns == docs.columns
+    texts = [r["text"] for r in left.collect()]
+    assert len(texts) == 4 and x in texts and (y in texts) != (y + " end" in texts)

@@ -13,13 +13,14 @@ form a stretch; about one stretch begins every ``(window - gram) / 2`` symbols.
    share take the place of the anchor. What is unique then drops out, what is equal is settled by counting, and only
    blocks across which contents begin to differ are cut further. So no group is gathered without bound.
 
-Hashes only say where to look and when contents are equal (128 bits); windows that differ in any symbol are told apart by
-their symbols.
+Rolling hashes, which are polynomials modulo 2^64, only say where to look. Contents count as equal by BLAKE2b digests of their
+symbols, and the symbol of a word is a BLAKE2b digest of its bytes; contents that differ are compared symbol by symbol.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,8 @@ GROUP = 1000
 #: Symbols hashed at once; longer documents are cut into slices that overlap by a window.
 SLICE = 1 << 20
 PLACE_BITS = 24
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-WORD_BYTES = 1 << 16
+MULTIPLIER = 0x9E3779B97F4A7C15
+REMEMBERED_WORDS = 500_000
 
 #: Symbols of texts, and a function of a text that gives the bytes of n windows from a start on.
 Symbols = Callable[[list[bytes]], list[np.ndarray]]
@@ -70,19 +71,16 @@ class Powers:
         return self.up, self.down
 
 
-POWERS = tuple(Powers(m) for m in MULTIPLIERS)
+POWERS = Powers(MULTIPLIER)
 
 
 class Hashes:
-    """Hashes of ranges of a sequence of 64-bit values, equal for equal ranges wherever they lie."""
+    """Rolling hashes of a sequence of 64-bit values, equal for equal grams wherever they lie."""
 
-    def __init__(self, values: np.ndarray, which: int):
-        up, self.down = POWERS[which].upto(len(values) + 1)
+    def __init__(self, values: np.ndarray):
+        up, self.down = POWERS.upto(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(mix(values ^ np.uint64(MULTIPLIERS[which])) * up[: len(values)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        np.cumsum(mix(values ^ np.uint64(MULTIPLIER)) * up[: len(values)], out=self.sums[1:])
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
@@ -123,7 +121,7 @@ def stretch(values: list[np.ndarray], window: int, gram: int, with_content: bool
     if total < window:
         return Found(*[empty] * 6)
     buffer = np.concatenate(values)
-    hashes = Hashes(buffer, 0)
+    hashes = Hashes(numbers(buffer))
     grams = hashes.grams(gram)
     places = np.arange(len(grams), dtype=np.uint64)
     low = np.uint64((1 << PLACE_BITS) - 1)
@@ -142,8 +140,7 @@ def stretch(values: list[np.ndarray], window: int, gram: int, with_content: bool
     end = start + windows + window - 1
     content = empty
     if with_content:
-        shape = (windows.astype(np.uint64) << np.uint64(32)) | (anchor - start).astype(np.uint64)
-        content = mix(Hashes(buffer, 1).of(start, end) ^ mix(shape)).view(np.int64)
+        content = digests(buffer, start, end, windows, anchor - start)
     return Found(sequence, start - first[sequence], windows, anchor - start, grams[anchor].view(np.int64), content)
 
 
@@ -168,7 +165,24 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CD
 
 
 def byte_symbols(texts: list[bytes]) -> list[np.ndarray]:
-    return [BYTE_VALUES[np.frombuffer(t, np.uint8)] for t in texts]
+    return [np.frombuffer(t, np.uint8) for t in texts]
+
+
+def numbers(symbols: np.ndarray) -> np.ndarray:
+    """Symbols as 64-bit values; bytes become them only here, a bounded buffer at a time."""
+    return BYTE_VALUES[symbols] if symbols.dtype == np.uint8 else symbols
+
+
+def digests(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, *shape: np.ndarray) -> np.ndarray:
+    """64-bit digests of the ranges start..end together with the numbers of their shape."""
+    size, data = symbols.itemsize, memoryview(np.ascontiguousarray(symbols)).cast("B")
+    told = np.column_stack([s.astype("<i8") for s in shape]).tobytes()
+    width = 8 * len(shape)
+    found = b"".join(
+        hashlib.blake2b(data[a:b], digest_size=8, salt=told[i : i + width][:16]).digest()
+        for i, a, b in zip(range(0, len(told), width), (start * size).tolist(), (end * size).tolist(), strict=True)
+    )
+    return np.frombuffer(found, "<i8")
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,37 +192,26 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+_words: dict[bytes, int] = {}
+
+
 def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
-    """64-bit hash of each word of each text."""
+    """64-bit digest of each word of each text; a bounded number of words is remembered in a Python worker."""
     out = []
     for text in texts:
-        data = np.frombuffer(text, np.uint8)
-        starts, ends = word_bounds(data)
-        values = np.zeros(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):  # in parts, so that powers of bounded size do
-            end = max(int(np.searchsorted(ends, starts[at] + 4 * WORD_BYTES, side="right")), at + 1)
-            low = int(starts[at])
-            long = ends[at:end] - starts[at:end] > WORD_BYTES
-            if not long.any():
-                values[at:end] = Hashes(BYTE_VALUES[data[low : ends[end - 1]]], 0).of(starts[at:end] - low, ends[at:end] - low)
-            else:  # a word that fills a part by itself, in pieces
-                for i in range(at, end):
-                    word = data[starts[i] : ends[i]]
-                    value = np.zeros(1, np.uint64)
-                    for p in range(0, len(word), WORD_BYTES):
-                        piece = BYTE_VALUES[word[p : p + WORD_BYTES]]
-                        value = Hashes(piece, 0).of(np.zeros(1, np.int64), np.array([len(piece)])) ^ (mix(value) if p else value)
-                    values[i] = value[0]
-            at = end
-        out.append(values)
+        words = text.split()  # at the same bytes as ``word_bounds``
+        if len(_words) > REMEMBERED_WORDS:
+            _words.clear()
+        for word in set(words) - _words.keys():
+            _words[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
     return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, d, t, text``: the id (missing: the least long) and a check sum of the text, which tell documents apart, and the bytes."""
+    """``doc_id, d, t, text``: the id (missing: the least long) and a hash of the text, which tell documents apart, and the bytes."""
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), text_bytes())
-    return rows.select("doc_id", "d", F.crc32("text").cast("long").alias("t"), "text")
+    return rows.select("doc_id", "d", F.xxhash64("text").alias("t"), "text")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -369,10 +372,9 @@ def refined(contents: DataFrame, symbols: Symbols, cut: Cut, window: int, block:
                     seed = np.array([row["h"] & (2**64 - 1)], np.uint64)
                     # What every window of the whole block holds, whether or not this content has all of them.
                     nearest = row["off"] - number[first] * block
-                    core = Hashes(values, 0).of(nearest, nearest - block + 1 + window)
-                    whole = Hashes(values, 1).of(first, first + size + window - 1)
-                    out["h"] += mix(core ^ mix(seed ^ number.astype(np.int64)[first].view(np.uint64))).view(np.int64).tolist()
-                    out["c"] += mix(whole ^ mix((size.astype(np.uint64) << np.uint64(32)) | distance[first].astype(np.int64).view(np.uint64))).view(np.int64).tolist()
+                    core = digests(values, nearest, nearest - block + 1 + window, number[first]).view(np.uint64)
+                    out["h"] += mix(core ^ mix(seed)).view(np.int64).tolist()
+                    out["c"] += digests(values, first, first + size + window - 1, size, distance[first]).tolist()
                     body = cut(row["body"])
                     for at, n in zip(first.tolist(), size.tolist(), strict=True):
                         for key in ("occ", "d", "t"):

@@ -334,6 +334,7 @@ def template_hashes(pages: DataFrame, least: int = TEMPLATE_PAGES, share: float
             yield record(schema, out)
 
     subtrees = pages.select("page_id", host_hash(F.col("url")).alias("host"), text_bytes("html")).mapInArrow(run, "page_id long, host long, main long, digest long")
+    subtrees = materialize(subtrees, "html_subtrees")  # read twice, parsed once
     counts = subtrees.groupBy("host", "digest").agg(F.count_distinct("main").alias("n"))
     counts = materialize(counts.filter(F.isnull("digest") | (F.col("n") >= least)), "html_counts")
     texts = counts.filter(F.isnull("digest")).select("host", F.col("n").alias("texts"))

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecbank.llm.anchors import keyed, mix, stored, word_symbols
@@ -326,16 +326,41 @@ def confirmed_joins(rows: DataFrame, hashes: int, least: float, similarity: int)
     return blocked_join(left, right, "family", "lid", "rid", kernel, "a long, b long", BLOCK_ROWS, BLOCK_ROWS)
 
 
+#: Rows without doc_id are numbered by their text, below this number.
+NUMBERED = -(1 << 62)
+
+
+def number_of(doc_id: Column, text: Column) -> Column:
+    """The doc_id, or for a missing one a number from the bytes of the text, below all ids from ``NUMBERED`` on."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NUMBERED) - 1 - F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when the Jaccard similarity of their distinct ``size``-word shingles is at least ``similarity`` percent.
     A shorter text is one shingle; a null text or one without words has none and is linked with nothing. The document
     with the smallest doc_id of a component is kept. Rows with equal doc_id are one document: they share all links, and
-    all are kept if it is. A missing doc_id comes before all others. An empty table gives an empty result. Further
+    all are kept if it is. Rows without doc_id are one document per text and come before all others; a component that
+    holds one has no component_id. Ids below -2^62 are taken by those. An empty table gives an empty result. Further
     columns are not looked at.
     """
-    texts = keyed(docs)
+    return grouped_documents(docs, size, similarity).drop("d")
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    kept = grouped_documents(docs, size, similarity).filter("kept").select("d").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no column can clash with ours
+    rows = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(n)]) for n in ("doc_id", "text"))
+    rows = rows.withColumn("d", number_of(doc_id, F.coalesce(text.cast("binary"), F.lit(b""))))
+    return rows.join(kept, "d", "left_semi").select(*names).toDF(*docs.columns)
+
+
+def grouped_documents(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """What ``near_duplicates`` tells, with the number ``d`` of each row."""
+    texts = keyed(docs).withColumn("d", number_of(F.col("doc_id"), F.col("text")))
     share = similarity / 100
     hashing = Hashing(bands_for(share))
     hashes, least = len(hashing.factor), least_estimate(share, len(hashing.factor))
@@ -366,6 +391,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: int = 80) -> Dat
     # Rows of one doc_id share what any of them reached.
     reached = found.groupBy("d").agg(F.min("comp").alias("comp"))
     result = found.drop("comp").join(reached, "d")
-    missing = F.col("comp") == F.lit(-(1 << 63))
-    component = F.when(~missing, F.col("comp"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))
+    component = F.when(F.col("comp") >= NUMBERED, F.col("comp"))
+    return result.select("d", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("d") == F.col("comp")).alias("kept"))

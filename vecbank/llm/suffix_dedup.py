@@ -184,7 +184,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     cut = lambda text: lambda start, n: text[start : start + n + length - 1]
     contents = anchors.fetched(docs, open_, cut, "bodies")
     found = anchors.repeats(contents, anchors.byte_symbols, cut, length, BLOCKS, lambda rows: solve(rows, length), repeated_whole)
-    return repeated_whole(repeated, kinds).select("d", "t", "start", "n").unionByName(found)
+    return repeated_runs(repeated, kinds).unionByName(found)
 
 
 def repeated_whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -193,6 +193,57 @@ def repeated_whole(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return rows.join(often, ["h", "c"], "left_semi")
 
 
+UNIT = "d long, t long, u long, start long, n int, h long, c long"
+UNIT_ARROW = pa.schema([
+    ("d", pa.int64()), ("t", pa.int64()), ("u", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("h", pa.int64()), ("c", pa.int64()),
+])
+
+
+def in_runs(rows: DataFrame) -> DataFrame:
+    """Stretches (``h, c, d, t, start, n``) of each document that follow each other without a gap, as runs: a row with the digest
+    ``u`` for the inside of a run of several, then a row without one for each of its stretches. Stored.
+
+    A passage that many documents share is a run in each. Its first and last stretch reach into what stands around it, so
+    the inside alone is told by one digest.
+    """
+    listed = rows.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("start", "n", "h", "c"))).alias("own"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for d, t, own in zip(*columns(batch.slice(at, 256), "d", "t", "own"), strict=True):
+                    first = 0
+                    for i in range(len(own)):
+                        if i + 1 < len(own) and own[i + 1]["start"] == own[i]["start"] + own[i]["n"]:
+                            continue
+                        inside = own[first + 1 : i]
+                        if len(inside) > 1:
+                            told = b"".join(x.to_bytes(8, "little", signed=True) for s in inside for x in (s["h"], s["c"], s["n"]))
+                            unit = int.from_bytes(hashlib.blake2b(told, digest_size=8).digest(), "little", signed=True)
+                            out.append((d, t, unit, inside[0]["start"], sum(s["n"] for s in inside), None, None))
+                        else:
+                            unit = None
+                        # The inside of a unit waits for it; the others stand alone.
+                        out += [(d, t, unit if 0 < j - first and j < i else None, s["start"], s["n"], s["h"], s["c"])
+                                for j, s in enumerate(own[first : i + 1], first)]
+                        first = i + 1
+                if out:
+                    yield record(UNIT_ARROW, dict(zip(UNIT_ARROW.names, zip(*out, strict=True), strict=True)))
+
+    return anchors.stored(listed.mapInArrow(run, UNIT), "runs")
+
+
+def repeated_runs(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``d, t, start, n`` of what occurs at least twice as a whole: insides of runs, one row each, and stretches beside them."""
+    runs = in_runs(rows)
+    units = runs.filter(F.isnull("h") & F.isnotnull("u"))
+    often = anchors.stored(units.groupBy("u").count().filter("count > 1").select("u"), "units")
+    alone = runs.filter(F.isnotnull("h")).join(often, "u", "left_anti")
+    whole = units.join(often, "u", "left_semi").select("d", "t", "start", "n")
+    return whole.unionByName(repeated_whole(alone, kinds).select("d", "t", "start", "n"))
+
+
 def whole_characters(text: np.ndarray, removed: np.ndarray) -> np.ndarray:
     """``removed`` widened to all bytes of each UTF-8 character that loses one."""
     if not len(text):
@@ -210,7 +261,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spans = anchors.by_document(repeated_spans(anchors.keyed(docs), length, gram))
     rows = docs.withColumns({
         "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__text": anchors.text_bytes().alias("__text"),
-    }).withColumn("__t", F.crc32("__text").cast("long"))
+    }).withColumn("__t", F.xxhash64("__text"))
     marked = rows.join(spans.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans")), ["__d", "__t"], "left")
     names = docs.columns
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecbank.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
 from vecbank.session import materialize, table
@@ -24,8 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs, NEAR_WORDS, NEAR_SIMILARITY).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return near_dedup.without_near_duplicates(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

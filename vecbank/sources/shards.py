@@ -1,7 +1,7 @@
 """A stream over a folder of Parquet files in reader shards: every shard takes every n-th file and moves on at its own offset.
 
-``spark.readStream.format("vecbank_shards")`` with the options ``path``, ``progress`` (a file that remembers what was
-processed), ``shards`` and ``files_per_batch`` (files a shard may take in one micro-batch). A task reads the files of one shard.
+``spark.readStream.format("vecbank_shards")`` with the options ``path``, ``progress`` (a file that remembers how far the shards
+were offered), ``shards`` and ``files_per_batch`` (files a shard may take in one micro-batch). A task reads the files of one shard.
 Files are taken in the order of their names; new ones have to sort behind those that are there.
 """
 
@@ -35,15 +35,18 @@ class ShardReader(DataSourceStreamReader):
         self.path, self.progress = options["path"], options["progress"]
         self.shards, self.at_once = int(options.get("shards", 4)), int(options.get("files_per_batch", 1))
         self.columns = columns
-        self.offered = self._processed()
+        self.offered = self._known()
 
     def _names(self) -> list[str]:
         fs, folder = resolve(self.path)
         found = fs.get_file_info(pafs.FileSelector(folder))
         return sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
 
-    def _processed(self) -> dict:
-        """Offsets that an earlier run of the stream told to be processed: Spark does not hand them to the source."""
+    def _known(self) -> dict:
+        """What an earlier run of the stream offered, as Spark does not tell the source where it stands.
+
+        Spark's own log says where a batch starts. An offer that a crash kept from that log only makes the next batch larger.
+        """
         fs, name = resolve(self.progress)
         if fs.get_file_info(name).is_file:
             with fs.open_input_file(name) as file:
@@ -55,10 +58,12 @@ class ShardReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """One step further for every shard that has files left."""
-        n = len(self._names())
+        n, before = len(self._names()), dict(self.offered)
         for s in range(self.shards):
             held = len(range(s, n, self.shards))
-            self.offered[str(s)] = max(self.offered[str(s)], min(self.offered[str(s)] + self.at_once, held))
+            self.offered[str(s)] = max(before[str(s)], min(before[str(s)] + self.at_once, held))
+        if self.offered != before:
+            write_atomically(self.progress, [json.dumps(self.offered).encode()], "offer")
         return dict(self.offered)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -71,9 +76,6 @@ class ShardReader(DataSourceStreamReader):
             with fs.open_input_file(name) as file:
                 yield from pq.ParquetFile(file).iter_batches(BATCH_ROWS, columns=self.columns)
 
-    def commit(self, end: dict) -> None:
-        write_atomically(self.progress, [json.dumps(end).encode()], "commit")
-
 
 class Shards(DataSource):
     @classmethod

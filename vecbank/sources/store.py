@@ -75,13 +75,17 @@ class BankStore:
         """
         previous = self.active()
         path = f"{self.root}/base/{uuid.uuid4().hex}"
-        rows = bank.select("row_id", "species", "vec").filter(is_finite(F.col("vec")) & (norm(F.col("vec")) > PUBLISH_MIN_NORM))
+        usable = is_finite(F.col("vec")) & (norm(F.col("vec")) > PUBLISH_MIN_NORM)
+        found = bank.agg(F.count(F.lit(1)).alias("rows"), F.count_if(usable & (F.size("vec") != dim)).alias("wrong")).first()
+        if found["wrong"]:
+            raise DimensionMismatch(f"{found['wrong']} vectors do not have {dim} values")
+        rows = bank.select("row_id", "species", "vec").filter(usable)
         # Clustered by label (a hot label spans several files), so teaching reads only the files it needs.
         clustered = rows.repartitionByRange("species", "row_id").sortWithinPartitions("species", "row_id")
         packed(clustered, normalize=normalize, floor=PUBLISH_MIN_NORM, half=dtype == "fp16").write.parquet(path)
         label_table(self.spark.read.schema(BASE_SCHEMA).parquet(path)).write.parquet(_labels_path(path))
         kept = self.spark.read.schema(BASE_SCHEMA).parquet(path).count()
-        return self.activate(previous, path, model_id, dim, dtype, dropped=bank.count() - kept)
+        return self.activate(previous, path, model_id, dim, dtype, dropped=found["rows"] - kept)
 
     def activate(self, previous: Row | None, path: str, model_id: str, dim: int, dtype: str, dropped: int = 0) -> Row:
         """Swap model and base together, after checking the base; on failure the old one stays."""

@@ -3,9 +3,12 @@ import os
 import random
 import time
 import zipfile
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vecbank.functions.admission import exactly_one, file_extension, has_extension, is_large_enough, parent_folder
@@ -13,12 +16,17 @@ from vecbank.functions.pictures import augment, resize, resize_weights, to_rgb
 from vecbank.operators.embedding import (
     embed_features, embed_images, feature_dropout, input_values, onnx_model, prepare_images, random_projection_model,
 )
-from vecbank.operators.quotas import arrival_rank, by_source, collection_progress, coverage, curate, hold_out
+from vecbank.operators.quotas import (
+    arrival_rank, by_source, collect_until_full, collection_progress, coverage, curate, hold_out,
+)
 from vecbank.plans.identify import embed_pictures
 from vecbank.plans.train import build_features, curate_images, local_records, run_training, train_and_publish
 from vecbank.queries.training import _png
 from vecbank.sources.archives import expand_archives, extract_archives, scan_image_files, scan_images
+from vecbank.sources.files import move_files
+from vecbank.sources.shards import run_until_read, shard_stream
 from vecbank.sources.store import BankStore, read_split_features
+from vecbank.streaming import keyed
 from vecbank.streaming.jobs import file_stream, stream_output
 from vecbank.streaming.keyed import curate_stream, first_of_each
 
@@ -71,6 +79,89 @@ def test_stream_in_batches_with_a_restart_equals_batch(spark, records, scratch):
     assert got.select("batch").distinct().count() <= 5
 
 
+@pytest.fixture
+def quiet_state(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stream_with_missing_labels_late_records_and_a_crash(spark, scratch, quiet_state):
+    """Three batches; labels are missing in each, numbers come late, and the second batch is cut off after it was stored."""
+    rng = random.Random(4)
+    waves = [[(rng.choice([None, "", "a", "b", "None"]), n) for n in rng.sample(range(k, 600, 3), 70)] for k in (1, 2, 0)]
+    source, out, checkpoint = scratch("in"), scratch("out"), scratch("checkpoint")
+
+    def stop(batch):
+        if batch == 1:
+            raise RuntimeError("cut off")
+
+    for n, wave in enumerate(waves):
+        rows = spark.createDataFrame([*wave, ("a", None)], "species string, arrival long")
+        rows.repartition(3).write.mode("append").parquet(source)
+        if n == 1:
+            with pytest.raises(StreamingQueryException):
+                curate_stream(file_stream(spark, source, rows.schema), out, checkpoint, 12, 3, on_batch=stop)
+        curate_stream(file_stream(spark, source, rows.schema), out, checkpoint, 12, 3)
+    expected, count = [], Counter()
+    for label, arrival in [r for wave in waves for r in sorted(wave, key=lambda r: r[1])]:
+        count[label] += 1
+        if count[label] <= 12:
+            expected.append((label, arrival, count[label], "val" if count[label] <= 3 else "train"))
+    got = [(r.species, r.arrival, r.place, r.split) for r in stream_output(spark, out).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_tasks_pass_on_no_more_than_the_quota(monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), n) for n in rng.sample(range(5000), 1000)]
+    batches = [pa.RecordBatch.from_pydict({"species": [r[0] for r in rows[i : i + 100]], "arrival": [r[1] for r in rows[i : i + 100]]}) for i in range(0, 1000, 100)]
+    told = [r for b in first_of_each(7)(batches) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert len(told) == 21
+    assert all(sorted(a for x, a in told if x == label) == sorted(a for x, a in rows if x == label)[:7] for label in ("hot", None, "b"))
+    monkeypatch.setattr(keyed, "HELD_ROWS", 10)  # more travel, none is lost
+    more = [r for b in first_of_each(7)(batches) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert set(told) <= set(more) and len(more) < 300
+
+
+def test_collection_stops_when_every_label_is_full(spark, scratch):
+    rng = random.Random(6)
+    records = [(rng.choice("aaaab"), n) for n in range(400)] + [("c", 37), ("c", 350)]
+    files = []
+    for i in range(20):
+        path = scratch(f"f{i:02d}")
+        part = spark.createDataFrame([r for r in records if r[1] // 20 == i], "species string, arrival long")
+        part.coalesce(1).write.parquet(path)
+        files += spark.read.parquet(path).inputFiles()
+    # Names within one folder, in the order of arrival.
+    target = scratch("all")
+    for i, name in enumerate(files):
+        move_files(os.path.dirname(name), target, prefix=f"{i:02d}-")
+    names = sorted(spark.read.parquet(target).inputFiles())
+    for labels, most, read in ((["a", "b"], 3, 4), (["a", "b", "c"], 1, 2), (["a", "b", "c"], 2, 20), (["a", "z"], 1, 20)):
+        universe = spark.createDataFrame([(x,) for x in labels], "species string")
+        kept, n = collect_until_full(spark, names, "species string, arrival long", universe, most)
+        assert n <= read and (n == 20) == (read == 20)
+        expected = {(x, a) for x in labels for a in sorted(a for y, a in records if y == x)[:most]}
+        assert {(r.species, r.arrival) for r in kept.collect()} == expected
+    none, n = collect_until_full(spark, [], "species string, arrival long", universe)
+    assert (none.count(), n) == (0, 0)
+
+
+def test_shards_read_every_file_once(spark, scratch):
+    source, out, checkpoint = scratch("in"), scratch("out"), scratch("checkpoint")
+    batches = 0
+    for part in range(2):
+        rows = spark.range(part * 100, part * 100 + 100).repartition(5)
+        rows.write.parquet(f"{source}-{part}")
+        move_files(f"{source}-{part}", source, prefix=f"{part}-")
+        stream = shard_stream(spark, source, "id long", f"{checkpoint}-progress.json", shards=3, files_per_batch=1)
+        batches += run_until_read(stream, out, checkpoint)
+    got = stream_output(spark, out)
+    assert sorted(r.id for r in got.collect()) == list(range(200)) and batches == 4
+
+
 def test_local_before_remote(spark):
     local = spark.createDataFrame([("a", 9), ("a", 8)], "species string, id int")
     remote = spark.createDataFrame([("a", 1), ("b", 2)], "species string, id int")

@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
 from helpers import brute_learn, unit
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vecbank.operators.learn import learn, pair_batch, reject_near_duplicates
 from vecbank.plans.teach import teach
 from vecbank.sources.store import BankStore
+from vecbank.streaming import keyed
 from vecbank.streaming.jobs import file_stream, stream_output, teach_stream
 
 DIM = 4
@@ -115,6 +117,31 @@ def test_batches_and_stream_equal_one_by_one(spark, scratch):
     assert two.active()["last_batch"] == 1
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_stream_with_keyed_state_equals_one_by_one(spark, scratch, seed):
+    """Three runs; only the first one is given the bank, and the second is cut off after its batch was stored."""
+    bank, requests = scenario(n=90, seed=seed)
+    rows, asked = frames(spark, bank, requests)
+    expected = [e[:4] for e in brute_learn(bank, requests, DIM)]
+    out, source, checkpoint = scratch("out"), scratch("in"), scratch("checkpoint")
+
+    def stop(batch):
+        raise RuntimeError("cut off")
+
+    for run in range(3):
+        part = asked.filter((F.col("seq") >= run * 90) & (F.col("seq") < run * 90 + 90))
+        part.repartition(2).write.mode("append").parquet(source)
+        stream = file_stream(spark, source, asked.schema)
+        known = rows if run == 0 else rows.limit(0)
+        if run == 1:
+            with pytest.raises(StreamingQueryException):
+                keyed.learn_stream(stream, known, out, checkpoint, DIM, on_batch=stop)
+        keyed.learn_stream(stream, known, out, checkpoint, DIM)
+    got = stream_output(spark, out).orderBy("seq").collect()
+    assert [(r.seq, r.status, r.species, r.examples) for r in got] == expected
+    assert all((r.vec is not None) == (r.status == "learned") for r in got)
+
+
 def test_pair_batch(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"])], "id int, names array<string>, items array<string>")
     assert [(r.pos, r["name"], r.item) for r in pair_batch(rows, "names", "items").collect()] == [(0, "a", "x"), (1, "b", "y")]

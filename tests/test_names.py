@@ -10,7 +10,7 @@ from vecbank.functions.names import (
     variant_name,
 )
 from vecbank.operators.naming import (
-    cap_labels, close_names, decode_labels, label_universe, name_index, resolve_names, suggest_names,
+    CharacterIndex, cap_labels, close_names, decode_labels, label_universe, name_index, resolve_names, sharing_enough, suggest_names,
 )
 from vecbank.settings import IMAGE_COLUMNS, LABEL_COLUMNS
 
@@ -86,3 +86,19 @@ def test_suggestions_equal_difflib(spark, block_rows):
     found = {r.word: r.suggestions for r in got.collect()}
     for name in asked:
         assert found.get(canonical(name), []) == difflib.get_close_matches(canonical(name), labels, n=3, cutoff=0.6)
+
+
+def test_index_of_characters_loses_no_pair():
+    rng = random.Random(7)
+    names = sorted({"".join(rng.choice("aabcdeé_") for _ in range(rng.randint(1, 16))) for _ in range(160)})
+    common = {"a1 ": 90, "b1 ": 40, "e1 ": 40}
+    index = CharacterIndex(common, 0.6)
+    lengths = sorted({len(n) for n in names})
+    keys = {n: (set(index.keys(n, lengths, True)), set(index.keys(n, lengths, False))) for n in names}
+    for word in names:
+        near = set(dict(sharing_enough([word], names, 0.6))[word])
+        for label in names:
+            shared = keys[word][0] & keys[label][1]
+            assert shared or label not in near
+            assert sum(index.meets_here(k, word, label) for k in shared) == bool(shared)
+    assert max(len(k) for pair in keys.values() for k in pair) < 60 * len(lengths)

@@ -255,6 +255,37 @@ def test_extraction(page, text):
     assert html.extract(html.parse(page)) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    # frames around the page are none of the things their names speak of
+    ('<div class="layout has-sidebar"><h1>T</h1><p>text</p></div>', "T\n\ntext"),
+    ('<body><form id="aspnetForm"><h1>T</h1><p>long text of a page</p><div class="sidebar">s</div></form></body>', "T\n\nlong text of a page"),
+    ('<div role="main" class="promo-page"><p>text</p></div><div>other</div>', "text"),
+    ('<div class="nav-page"><p>all of the text</p><div class="nav">menu</div></div><div>x</div>', "all of the text\n\nx"),
+    # remarks and notices stay out, however long
+    ('<p>short</p><div class="comments">remarks that are much longer than the text</div>', "short"),
+    ('<p>short</p><div class="cookie-notice">words about cookies, many of them</div>', "short"),
+    ('<p>short</p><form><p>a form with much more text in its labels</p></form><p>and more of the page than in the form</p>',
+     "short\n\nand more of the page than in the form"),
+])
+def test_frames_and_noise(page, text):
+    assert html.extract(html.parse(page)) == text
+
+
+def test_templates_decide_where_markup_says_nothing(spark):
+    """Neither article nor menu elements, nor telling names: boxes that come with every text of the host go, also those in
+    a frame with an odd name; menus count as templates, too."""
+    box = lambda i: f'<div class="x1"><ul><li>Home<li>News</ul></div><div class="has-sidebar"><div>p{i}</div><p>own text number {i}</p></div><div>imprint</div>'
+    rows = [(i, f"https://a.org/{i}", box(i)) for i in range(6)] + [(10, "https://b.org/1", box(10))]
+    rows += [(20 + i, f"https://c.org/{i}", f"<nav>menu</nav><p>text {i}</p><div>unlike {i}</div>") for i in range(4)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(table).collect()}
+    assert all(got[i] == f"p{i}\n\nown text number {i}" for i in range(6))
+    assert got[10] == "Home\n\nNews\n\np10\n\nown text number 10\n\nimprint"
+    assert all(got[20 + i] == f"text {i}\n\nunlike {i}" for i in range(4))
+    found = {r["page_id"]: len(r["templates"]) for r in html.template_hashes(table).collect()}
+    assert set(found) == {*range(6), *range(20, 24)} and found[20] == 1
+
+
 def test_templates_of_a_host_go(spark):
     page = lambda i, box: f"<body><div>{box}</div><p>text {i}</p><div><p>own {i}</p></div></body>"
     rows = [(i, f"https://U@a.org:80/{i}", page(i, "box")) for i in range(4)]

@@ -3,7 +3,7 @@
 Pass 1 parses each page and hashes the subtrees of its containers (``nav``, ``div``, ``footer``, ...). Spark counts the
 different texts of each host beside which a subtree occurs; subtrees with a share of all of them are templates, while
 what comes along with copies of one text is not, nor anything inside an article or with most of a page's text. Pass 2
-parses the page again, deletes its templates and whatever markup says is no article (menus, forms, scripts, adverts,
+parses the page again, deletes its templates first and then whatever markup says is no article (menus, forms, scripts, adverts,
 comments of readers), and joins the text blocks of the rest. Counting aggregates before the shuffle, so a host with a
 third of all pages does not meet in one task.
 """
@@ -62,6 +62,8 @@ NOISE_WORD = re.compile(
     r"nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|pagination|pager|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|"
     r"replies|search|login|signup|skip|hidden|contentinfo|complementary|dialog|alert"
 )
+#: Names that never stand around most of a page's own text; others (``has-sidebar``) may, and then do not make it noise.
+NEVER_OWN = re.compile(r"comments?|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|popup|modal|newsletter|subscribe", re.IGNORECASE)
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption figcaption blockquote pre".split())
 ASIDE = DROPPED - {"form"}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -147,6 +149,32 @@ def hash_subtrees(root: Node) -> None:
         node.digest = int.from_bytes(own.digest(), "little", signed=True)
 
 
+def is_main(node: Node) -> bool:
+    """A main element, or one that says it has that role."""
+    return node.tag == "main" or bool(node.attributes) and "main" in attribute(node, "role").lower().split()
+
+
+def attribute(node: Node, wanted: str) -> str:
+    return next((unescape(v.strip("\"'")) for n, v in ATTRIBUTE.findall(node.attributes) if n.lower() == wanted), "")
+
+
+def text_sizes(root: Node) -> dict[int, int]:
+    """Characters of text in each element, by its id; scripts, styles and the like have none."""
+    size: dict[int, int] = {}
+    for node, leaving in walk(root):
+        if leaving:
+            own = 0 if node.tag in RAW else sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+            size[id(node)] = own + sum(size[id(c)] for c in node.children if isinstance(c, Node))
+    return size
+
+
+def holds_the_page(node: Node, sizes: dict[int, int], total: int) -> bool:
+    """Whether an element that its name or a form tag makes noise holds most of the page's text, so that it is only a frame."""
+    if 2 * sizes[id(node)] <= total or node.tag in DROPPED - {"form"}:
+        return False
+    return not any(NEVER_OWN.search(attribute(node, n)) for n in ("class", "role", "id"))
+
+
 def named(token: str, kind: re.Pattern) -> bool:
     """Whether a whole name consists of words of a kind, besides words of boxes."""
     words = re.split(r"[-_]+", token.lower())
@@ -157,7 +185,7 @@ def is_aside(node: Node) -> bool:
     """Whether an element around or of an article says that it is not the page's own: by its tag or a whole name."""
     if node.tag in ASIDE:
         return True
-    if not node.attributes or node.tag in ("main", "html", "body"):
+    if not node.attributes or node.tag in ("html", "body") or is_main(node):
         return False
     names = {name.lower(): unescape(value.strip("\"'")) for name, value in ATTRIBUTE.findall(node.attributes)}
     tokens = [t for name in ("class", "role") for t in names.get(name, "").split()] + [names.get("id", "")] * (node.tag != "article")
@@ -176,17 +204,18 @@ def main_parts(root: Node) -> tuple[list[Node], list[Node]]:
         node, main = stack.pop()
         if node is not root and is_aside(node):
             continue
-        if node.tag == "article" or node.tag == "main" and main is None:
+        opens = node.tag != "article" and main is None and is_main(node)
+        if node.tag == "article" or opens:
             order.append((node, main))
         if node.tag != "article":
-            inner = node if node.tag == "main" and main is None else main
+            inner = node if opens else main
             stack.extend((c, inner) for c in reversed(node.children) if isinstance(c, Node))
     articles = [n for n, _ in order if n.tag == "article"]
     if not articles:
         mains = [n for n, _ in order]
         return mains, mains
-    whole = {id(n) for n, _ in order if n.tag == "main" and own_text(n)}
-    return [n for n, main in order if (id(n) in whole if n.tag == "main" else id(main) not in whole)], articles
+    whole = {id(n) for n, _ in order if n.tag != "article" and own_text(n)}
+    return [n for n, main in order if (id(main) not in whole if n.tag == "article" else id(n) in whole)], articles
 
 
 def own_text(main: Node) -> bool:
@@ -208,24 +237,20 @@ def inside(nodes: Iterable[Node]) -> set[int]:
 
 
 def candidates(root: Node) -> set[int]:
-    """Digests of the containers that may be templates: those with text that neither hold an article nor lie in one,
-    nor hold most of the page's text; never paragraphs or headings themselves."""
-    found: dict[int, int] = {}
+    """Digests of the containers that may be templates: those with text that neither hold an article nor lie in one, nor hold
+    most of the page's text; never paragraphs or headings themselves. Menus and footers count as well as boxes without a name."""
     tops, articles = main_parts(root)
-    above, size = inside(articles), {}
-    above |= {id(t) for t in tops}
-    in_main = inside(tops)
+    above = inside(articles) | {id(t) for t in tops}
+    sizes = text_sizes(root)
+    found: dict[int, int] = {}
     for node, leaving in walk(root):
         if not leaving:
             continue
-        nodes = [c for c in node.children if isinstance(c, Node)]
-        own = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        size[id(node)] = 0 if is_noise(node, id(node) in in_main) else own + sum(size[id(c)] for c in nodes)
-        if node.tag in ("html", "body", "#root") or any(id(c) in above for c in nodes):
+        if node.tag in ("html", "body", "#root") or any(isinstance(c, Node) and id(c) in above for c in node.children):
             above.add(id(node))
         elif node.tag in CONTAINERS and id(node) not in above and node.children:
-            found[node.digest] = size[id(node)]
-    return {digest for digest, n in found.items() if 0 < 2 * n <= size[id(root)]}
+            found[node.digest] = sizes[id(node)]
+    return {digest for digest, n in found.items() if 0 < 2 * n <= sizes[id(root)]}
 
 
 def text_digest(root: Node) -> int:
@@ -243,7 +268,7 @@ def is_noise(node: Node, in_main: bool) -> bool:
         return True
     if node.tag == "article" and is_aside(node):
         return True
-    if not node.attributes or node.tag in MAIN or node.tag in ("html", "body"):
+    if not node.attributes or node.tag in MAIN or node.tag in ("html", "body") or is_main(node):
         return False
     for name, value in ATTRIBUTE.findall(node.attributes):
         name, value = name.lower(), unescape(value.strip("\"'"))
@@ -265,6 +290,7 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
     """Text blocks of what is left, joined by blank lines. With an article (or main) element of the page's own only its text counts."""
     tops, articles = main_parts(root)
     protected = inside(articles) if templates else set()
+    sizes = {} if tops else text_sizes(root)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -273,6 +299,11 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
             blocks.append(text)
         held.clear()
 
+    def drops(node: Node, top: Node, in_main: bool) -> bool:
+        if node is top and in_main or not is_noise(node, in_main):
+            return False
+        return in_main or not holds_the_page(node, sizes, sizes[id(root)])
+
     def read(top: Node, in_main: bool) -> None:
         stack: list = [iter((top,))]
         opened: list[Node | None] = [None]
@@ -289,7 +320,7 @@ def extract(root: Node, templates: set[int] | frozenset[int] = frozenset()) -> s
             if isinstance(child, str):
                 held.append(child)
                 continue
-            if child is not top and (is_noise(child, in_main) or child.digest in templates and id(child) not in protected) or child is top and not in_main and is_noise(child, False):
+            if child.digest in templates and child is not top and id(child) not in protected or drops(child, top, in_main):
                 if child.tag in BLOCKS:
                     close()
                 continue

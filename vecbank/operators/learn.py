@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vecbank.functions.names import is_valid_name, name_key, new_name, strip
 from vecbank.functions.vectors import as_double, is_usable, l2_normalize, list_matrix
 from vecbank.operators.blocks import BLOCK_ROWS, blocked_join, group_bounds, map_sorted_groups
 from vecbank.operators.naming import name_index, suggest_names
 from vecbank.operators.ordered import numbered
-from vecbank.session import materialize
+from vecbank.operators.quotas import arrival_rank
+from vecbank.session import materialize, scratch_path
 from vecbank.settings import DUPLICATE_SIM
 
-HEAD_ROWS = 1000  # within the group limit, so heads are cut before the shuffle
+#: Items of a label that the first round settles in order; every round takes twice as many, up to the larger number.
+HEAD_ROWS, MOST_HEAD_ROWS = 1000, 8000
 
 
 def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -79,29 +81,31 @@ def reject_near_duplicates(
 ) -> DataFrame:
     """Items that one-at-a-time teaching accepts: ``item_id, species`` (ids give the order).
 
-    Sequential by nature, but not in one task. Every round settles the earliest ``head_rows`` items
-    of each species in order, then removes, in parallel blocks, the later items that are too close
-    to a newly accepted one. Whatever is left meets the next round with nothing earlier near it, so
-    the outcome equals the sequential one. Species no longer than a head need one round. Exact
+    Sequential by nature, but not in one task. The first round settles the earliest ``head_rows`` items
+    of each species in order, every later one twice as many; a round then removes, in parallel blocks,
+    the later items that are too close to a newly accepted one. Whatever is left meets the next round with nothing earlier near
+    it, so the outcome equals the sequential one. Species no longer than a head need one round. Exact
     copies of an earlier item can never be accepted and are dropped before the first round.
     """
+    spark = items.sparkSession
     left = items.select("item_id", "species", as_double(F.col("vec")).alias("vec"))
     if dup_sim < 1.0 - 1e-6:
         left = left.groupBy("species", "vec").agg(F.min("item_id").alias("item_id"))
-    accepted: DataFrame | None = None
-    order = Window.partitionBy("species").orderBy("item_id")
+    path = scratch_path(spark, "accepted")
     left = materialize(left.select("item_id", "species", "vec"), "undecided")
-    while True:
-        heads = left.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= head_rows)
+    for turn in itertools.count():
+        heads = arrival_rank(left, "species", ["item_id"], min(head_rows << turn, max(head_rows, MOST_HEAD_ROWS)), "_n")
         settled = materialize(_greedy_heads(heads, dup_sim), "settled")
-        fresh = settled.filter("accepted").select("item_id", "species", "vec")
-        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        # Stored per round: neither the plan nor what a lost executor repeats grows with the rounds.
+        settled.filter("accepted").select("item_id", "species", "vec").write.parquet(f"{path}/turn={turn}")
         rest = left.join(settled.select("item_id"), "item_id", "left_anti")
         if rest.isEmpty():
-            return accepted.select("item_id", "species")
+            return spark.read.schema("item_id long, species string").parquet(path).select("item_id", "species")
+        fresh = spark.read.schema("item_id long, species string, vec array<double>").parquet(f"{path}/turn={turn}")
         near = max_similarity(rest, fresh.withColumnRenamed("item_id", "row_id"), block_rows)
         near = near.filter(F.col("max_sim") >= dup_sim).select("item_id")
         left = materialize(rest.join(near, "item_id", "left_anti"), "undecided")
+    raise AssertionError("rounds end when nothing is left")
 
 
 def label_table(bank: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from helpers import brute_topk, brute_vote, unit
 
 from vecbank.operators.bank import packed
-from vecbank.operators.knn import knn
+from vecbank.operators.knn import PivotTree, knn
 from vecbank.operators.vote import confident_only, publish_prediction, vote
 from vecbank.plans.identify import EmptyBank, identify
 
@@ -37,7 +37,7 @@ def collected(hits):
 
 @pytest.mark.parametrize("options", [
     {}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "block_rows": 17}, {"broadcast_rows": 0, "block_rows": 64},
-    {"broadcast_rows": 40},
+    {"broadcast_rows": 40}, {"broadcast_rows": 0, "block_rows": 5, "pivots": 4},
 ])
 @pytest.mark.parametrize("k", [1, 5])
 def test_equals_brute_force(spark, options, k):
@@ -50,6 +50,21 @@ def test_equals_brute_force(spark, options, k):
         assert [h[2] for h in got[q]] == pytest.approx([h[2] for h in hits], abs=1e-11)
 
 
+def test_two_levels_of_pivots():
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(500, 4))
+    sample = np.concatenate([rows[:60], rows[:5]])  # with copies
+    tree = PivotTree(sample, 7)
+    assert (len(tree.tops), len(tree.leaves)) == (7, 60) and tree.first[-1] == 60
+    cell = tree.assign(rows)
+    top = ((rows[:, None, :] - tree.tops) ** 2).sum(axis=2).argmin(axis=1)
+    for i in range(len(rows)):
+        own = slice(tree.first[top[i]], tree.first[top[i] + 1])
+        assert cell[i] == own.start + ((tree.leaves[own] - rows[i]) ** 2).sum(axis=1).argmin()
+    alone = PivotTree(np.zeros((1, 4)), 7)
+    assert (alone.assign(rows) == 0).all()
+
+
 def test_small_bank_null_vectors_and_packed(spark):
     bank = [(0, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0])]
     q, b = frames(spark, [(1, [1.0, 0.5])], bank)

@@ -20,8 +20,9 @@ from vecbank.settings import TOP_K
 
 SIM_DECIMALS = 12
 BROADCAST_ROWS = 4096
-MAX_PIVOTS = 1024
-_QUERY_CHUNK = 512
+#: Top pivots, and leaves per top pivot on average.
+MAX_PIVOTS, LEAVES = 1024, 32
+_QUERY_CHUNK, _ROUTE_CHUNK = 512, 256
 _MARGIN = 1e-11
 _HITS = "query_id long, row_id long, species string, sim double"
 
@@ -132,21 +133,50 @@ def _scan_bank(rows: pa.Table, bank: DataFrame, k: int) -> DataFrame:
     return bank.mapInArrow(scan, _HITS)
 
 
-def _nearest_pivot(bank: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add to every bank row its nearest pivot and the distance to it."""
-    shared = bank.sparkSession.sparkContext.broadcast(pivots)
+class PivotTree:
+    """Pivots in two levels: a row goes to its nearest top pivot and, below that, to the nearest of its leaves.
+
+    So there may be many more cells than pivots a row is held against. Any assignment gives right results, as the radius of a
+    cell is that of the rows it got.
+    """
+
+    def __init__(self, sample: np.ndarray, tops: int):
+        _, first = np.unique(sample, axis=0, return_index=True)
+        sample = sample[np.sort(first)]
+        self.tops = sample[:tops]
+        parent = np.concatenate([self._nearest(self.tops, sample[i : i + BLOCK_ROWS]) for i in range(0, len(sample), BLOCK_ROWS)])
+        order = np.argsort(parent, kind="stable")
+        self.leaves = sample[order]
+        self.first = np.searchsorted(parent[order], np.arange(len(self.tops) + 1))
+
+    @staticmethod
+    def _nearest(pivots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return ((pivots**2).sum(axis=1)[None, :] - 2.0 * (rows @ pivots.T)).argmin(axis=1)
+
+    def assign(self, rows: np.ndarray) -> np.ndarray:
+        top = self._nearest(self.tops, rows)
+        cell = self.first[top]
+        for t in np.unique(top).tolist():
+            own = self.leaves[self.first[t] : self.first[t + 1]]
+            if len(own) > 1:
+                at = np.flatnonzero(top == t)
+                cell[at] = self.first[t] + self._nearest(own, rows[at])
+        return np.minimum(cell, len(self.leaves) - 1)
+
+
+def _nearest_pivot(bank: DataFrame, tree: PivotTree) -> DataFrame:
+    """Add to every bank row its cell and the distance to the pivot of that."""
+    shared = bank.sparkSession.sparkContext.broadcast(tree)
     schema = f"row_id long, species string, vec {bank.schema['vec'].dataType.simpleString()}, cell int, distance double"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
-        squares = (centres**2).sum(axis=1)
+        own = shared.value
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             batch, matrix = finite_rows(batch, list_matrix(batch.column("vec")))
-            gaps = squares[None, :] - 2.0 * (matrix @ centres.T)
-            cell = gaps.argmin(axis=1)
-            distance = np.linalg.norm(matrix - centres[cell], axis=1)
+            cell = own.assign(matrix) if batch.num_rows else np.zeros(0, np.int64)
+            distance = np.linalg.norm(matrix - own.leaves[cell], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row_id"),
@@ -165,49 +195,62 @@ def _route_queries(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, k
     """Copy every query to the cells that can still hold one of its k best rows.
 
     A row x of a cell with pivot c satisfies q.x <= q.c + |q| * radius. The pivots are bank rows, so
-    the k-th best pivot is a floor for the k-th best row; a cell below that floor is skipped.
+    the k-th best pivot is a floor for the k-th best row; a cell below that floor, or without rows (radius < 0), is skipped.
     """
     shared = queries.sparkSession.sparkContext.broadcast((pivots, radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, reach = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = list_matrix(batch.column("q_vec"))
-            sims = matrix @ centres.T
-            ceiling = sims + np.linalg.norm(matrix, axis=1)[:, None] * reach[None, :]
-            if sims.shape[1] >= k:
-                floor = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-            else:
-                floor = np.full(len(sims), -np.inf)
-            q, cell = np.nonzero(ceiling >= floor[:, None] - 1e-9)
-            picked = batch.take(pa.array(q))
-            yield pa.RecordBatch.from_arrays(
-                [picked.column("query_id"), picked.column("q_vec"), pa.array(cell, pa.int32())],
-                names=["query_id", "q_vec", "cell"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROUTE_CHUNK):
+                batch = whole.slice(at, _ROUTE_CHUNK)
+                matrix = list_matrix(batch.column("q_vec"))
+                sims = matrix @ centres.T
+                if sims.shape[1] >= k:
+                    floor = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                else:
+                    floor = np.full(len(sims), -np.inf)
+                ceiling = sims + np.linalg.norm(matrix, axis=1)[:, None] * reach[None, :]
+                q, cell = np.nonzero((ceiling >= floor[:, None] - 1e-9) & (reach >= 0))
+                picked = batch.take(pa.array(q))
+                yield pa.RecordBatch.from_arrays(
+                    [picked.column("query_id"), picked.column("q_vec"), pa.array(cell, pa.int32())],
+                    names=["query_id", "q_vec", "cell"],
+                )
 
     return queries.mapInArrow(route, "query_id long, q_vec array<double>, cell int")
 
 
-def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, block_rows: int) -> DataFrame:
-    """Many queries: rows of both sides meet cell by cell, in blocks of bounded size."""
-    n_pivots = int(min(MAX_PIVOTS, max(1, -(-bank_rows // block_rows))))
-    # Bounded: n_pivots rows reach the driver.
-    sample = bank.orderBy(F.xxhash64("row_id"), "row_id").limit(n_pivots).select("vec").toArrow()
-    pivots = list_matrix(sample.column("vec"))
-    pivots = pivots[np.isfinite(pivots).all(axis=1)]
-    if not len(pivots):
-        pivots = np.zeros((1, pivots.shape[1]))
-    cells = _nearest_pivot(bank, pivots)
-    radius = np.zeros(len(pivots))
+def _in_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, block_rows: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries copied to the cells they have to see, bank rows with their cell, and ``cell, n``."""
+    n_leaves = int(min(pivots * LEAVES, max(1, -(-bank_rows // block_rows))))
+    # Bounded: at most pivots * LEAVES rows reach the driver, a row is held against pivots + about LEAVES of them.
+    sample = bank.orderBy(F.xxhash64("row_id"), "row_id").limit(n_leaves).select("vec").toArrow()
+    rows = list_matrix(sample.column("vec"))
+    rows = rows[np.isfinite(rows).all(axis=1)]
+    tree = PivotTree(rows if len(rows) else np.zeros((1, rows.shape[1])), pivots)
+    cells = _nearest_pivot(bank, tree)
+    radius = np.full(len(tree.leaves), -1.0)
     extents = cells.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n"))
-    extents = extents.collect()  # one row per pivot
+    extents = extents.collect()  # one row per leaf
     for row in extents:
         radius[row["cell"]] = row["radius"]
     sizes = bank.sparkSession.createDataFrame([(r["cell"], r["n"]) for r in extents], "cell int, n long")
-    routed = _route_queries(queries, pivots, radius, k)
+    return _route_queries(queries, tree.leaves, radius, k), cells.drop("distance"), sizes
+
+
+def compared_share(queries: DataFrame, bank: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS, pivots: int = MAX_PIVOTS) -> float:
+    """The part of all pairs of ``queries`` (``query_id, vec``) and bank rows that the cells leave to be compared."""
+    asked = queries.select("query_id", as_double(F.col("vec")).alias("q_vec"))
+    rows = bank.count()
+    routed, _, sizes = _in_cells(asked, bank.select("row_id", "species", "vec"), rows, k, block_rows, pivots)
+    pairs = routed.groupBy("cell").count().join(sizes, "cell").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    return (pairs or 0) / max(1, rows * asked.count())
+
+
+def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, block_rows: int, pivots: int) -> DataFrame:
+    """Many queries: rows of both sides meet cell by cell, in blocks of bounded size."""
+    routed, cells, sizes = _in_cells(queries, bank, bank_rows, k, block_rows, pivots)
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.RecordBatch:
         q_ids = left.column("query_id").to_numpy()
@@ -223,7 +266,7 @@ def _join_cells(queries: DataFrame, bank: DataFrame, bank_rows: int, k: int, blo
         return _hits_batch(q, row_ids[r], species.take(pa.array(r)), sim)
 
     return blocked_join(
-        routed, cells.drop("distance"), "cell", "query_id", "row_id", kernel, _HITS, block_rows, block_rows, sizes
+        routed, cells, "cell", "query_id", "row_id", kernel, _HITS, block_rows, block_rows, sizes
     )
 
 
@@ -239,6 +282,7 @@ def knn(
     k: int = TOP_K,
     broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
+    pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """The k bank rows with the largest dot product, per query.
 
@@ -255,4 +299,4 @@ def knn(
     few = asked.limit(broadcast_rows + 1).toArrow()
     if few.num_rows <= broadcast_rows:
         return top_k(_scan_bank(few, bank, k), k)
-    return top_k(_join_cells(asked, bank, bank.count(), k, block_rows), k)
+    return top_k(_join_cells(asked, bank, bank.count(), k, block_rows, pivots), k)

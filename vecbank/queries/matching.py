@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecbank.functions.vectors import as_double, has_dim, l2_normalize, norm
-from vecbank.operators.knn import knn
+from vecbank.operators.knn import compared_share, knn
 from vecbank.operators.vote import confident_only, publish_prediction, vote
 from vecbank.plans.identify import identify
 from vecbank.queries import query
@@ -50,6 +50,24 @@ def knn_topk_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(knn(_near(spark, sf), embeddings(spark, sf), broadcast_rows=0, block_rows=128))
 
 
+@query(
+    "knn_clustered",
+    f"""with {E}, c as (
+      select row_id, species, list_transform(vec, lambda x, i: x * 0.05 + (i = right(species, 1)::int + 1)::int) as vec from e),
+    q as (select * from c where row_id % 5 = 0), {hits_sql('q', 'c', 5)}
+    select query_id, rank::bigint as rank, row_id, species, round(sim, 6) as score, true as pruned from hits""",
+)
+def knn_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Pivots in two levels on vectors around a centre per label: exact, with less than half of the pairs compared."""
+    place = F.substring("species", -1, 1).cast("int")
+    near = F.transform(as_double(F.col("vec")), lambda x, i: x * 0.05 + F.when(i == place, 1).otherwise(0))
+    bank = materialize(embeddings(spark, sf).withColumn("vec", near), "clustered")
+    asked = bank.filter("row_id % 5 = 0").select(F.col("row_id").alias("query_id"), "vec")
+    share = compared_share(asked, bank, 5, block_rows=8, pivots=8)
+    hits = knn(asked, bank, 5, broadcast_rows=0, block_rows=8, pivots=8)
+    return _ranked(hits).withColumn("pruned", F.lit(share < 0.5))
+
+
 SOUND = f"len(vec) = {DIM} and not list_contains(list_transform(vec, lambda x: isfinite(x)), false)"
 
 

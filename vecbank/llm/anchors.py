@@ -202,7 +202,7 @@ def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
         words = text.split()  # at the same bytes as ``word_bounds``
         if len(_words) > REMEMBERED_WORDS:
             _words.clear()
-        for word in set(words) - _words.keys():
+        for word in {w for w in words if w not in _words}:
             _words[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
     return out

@@ -3,15 +3,16 @@
 Only the histogram of piece lengths (at most ``seq_len`` numbers) reaches the driver. There a branch-and-bound fills one
 sequence after another around the largest piece left, with undominated completions only, prunes by the waste that
 the best solution so far allows, and starts from a best-fit solution. A filling is used as often as the histogram
-allows, which uses up one length each time; so the plan has at most ``seq_len`` fillings and its size is bounded.
+allows, and less often later in the search. The size of the plan is bounded by ``seq_len`` or the number of branches.
 Pieces are then numbered within their length by Spark and look up their place in that plan.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,8 @@ from vecbank.session import materialize
 
 SEQ_LEN = 1024
 END_OF_TEXT = 2
-#: Fillings tried in all, and completions kept for one sequence.
-NODES = 2_500
-COMPLETIONS = 4
+#: Fillings looked at, and branches taken, in all.
+NODES = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -97,83 +97,130 @@ def dominated(one: tuple[int, ...], other: tuple[int, ...]) -> bool:
     return True
 
 
-def completions(left: Counter, largest: int, seq_len: int, most: int = COMPLETIONS, steps: int = 400) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room beside ``largest``, least waste first."""
-    free = Counter(left)
+def completions(left: Counter, largest: int, seq_len: int, allowed: Callable[[], int], steps: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated ways ``(waste, lengths)`` to fill the room beside ``largest``, least waste first, larger pieces first.
+
+    They are listed one by one on demand. Sets of attainable sums (bits of a number) lead straight to fillings of a given
+    waste; the end comes at the first waste above ``allowed()`` or when ``steps[0]`` fillings were looked at.
+    """
+    room, free = seq_len - largest, Counter(left)
     free[largest] -= 1
-    lengths = np.array(sorted((k for k, v in free.items() if v), reverse=True))
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [steps]
-
-    def fill(room: int, at: int, taken: tuple[int, ...]) -> None:
-        at = max(at, int(np.searchsorted(-lengths, -room)))
-        closed = True
-        while at < len(lengths) and budget[0] > 0 and sum(w == 0 for w, _ in found) < most:
-            length = int(lengths[at])
-            if taken.count(length) < free[length]:
-                closed = False
-                budget[0] -= 1
-                fill(room - length, at, (*taken, length))
+    lengths = sorted((k for k, v in free.items() if v and k <= room), reverse=True)
+    within = (1 << (room + 1)) - 1
+    sums = [1]  # of the lengths from a place on
+    for length in reversed(lengths):
+        bits, copies, share = sums[-1], min(free[length], room // length), 1
+        while copies > 0:
+            bits |= bits << min(share, copies) * length & within
+            copies, share = copies - share, 2 * share
+        sums.append(bits)
+    sums.reverse()
+
+    def exact(at: int, target: int) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield ()
+            return
+        at = max(at, bisect_left(lengths, -target, key=lambda k: -k))
+        while at < len(lengths) and sums[at] >> target & 1:
+            length = lengths[at]
+            for copies in range(min(free[length], target // length), 0, -1):
+                if sums[at + 1] >> (target - copies * length) & 1:
+                    for rest in exact(at + 1, target - copies * length):
+                        yield (length,) * copies + rest
             at += 1
-        if closed:
-            found.append((room, taken))
 
-    fill(seq_len - largest, 0, ())
-    found.sort(key=lambda f: (f[0], len(f[1])))
     kept: list[tuple[int, ...]] = []
-    for _, taken in found:
-        if taken not in kept and not any(dominated(taken, k) for k in kept):
-            kept.append(taken)
-            if len(kept) == most:
-                break
-    return kept
+    for waste in range(room + 1):
+        if waste > allowed() or steps[0] <= 0:
+            return
+        for taken in exact(0, room - waste):
+            steps[0] -= 1
+            if not any(dominated(taken, k) for k in kept):
+                kept.append(taken)
+                yield waste, taken
+            if steps[0] <= 0:
+                return
+
+
+def branches(left: Counter, seq_len: int, allowed: Callable[[], int], steps: list[int]) -> Iterator[tuple[int, dict[int, int], int]]:
+    """``(waste, filling, times)`` around the largest length left: each filling as often as possible, then less often."""
+    here, met = Counter(left), []
+    largest = max(here)
+    for waste, taken in completions(here, largest, seq_len, allowed, steps):
+        filling = Counter((largest, *taken))
+        most = min(here[k] // n for k, n in filling.items())
+        met.append((waste, filling, most))
+        yield waste, filling, most
+    for waste, filling, most in met:
+        for times in range(most - 1, 0, -1):
+            yield waste, filling, times
+
+
+def fewest(counts: dict[int, int], seq_len: int) -> int:
+    """A lower bound of the number of sequences: pieces above half a sequence share none, and for each smallest length
+    looked at, what lies between it and half a sequence has to fit beside them or into further ones."""
+    pieces = np.zeros(seq_len + 1, np.int64)
+    for length, n in counts.items():
+        pieces[length] += n
+    mass = pieces * np.arange(seq_len + 1)
+    half = seq_len // 2
+    best = -(-int(mass.sum()) // seq_len)
+    for least in range(half + 1):
+        alone, beside = pieces[seq_len - least + 1 :].sum(), slice(half + 1, seq_len - least + 1)
+        room = seq_len * pieces[beside].sum() - mass[beside].sum()
+        over = max(int(mass[least : half + 1].sum() - room), 0)
+        best = max(best, int(alone + pieces[beside].sum()) - (-over // seq_len))
+    return best
 
 
 def plan_bins(counts: dict[int, int], seq_len: int = SEQ_LEN, nodes: int = NODES) -> list[tuple[dict[int, int], int]]:
-    """Fillings ({length: pieces}, times used) that hold every piece, in as few sequences as the search finds."""
+    """Fillings ({length: pieces}, times used) that hold every piece, in as few sequences as the search finds.
+
+    ``nodes`` bounds both the fillings looked at and the branches taken; a search that ends before it is exhaustive, so its
+    plan has the fewest sequences possible.
+    """
     total = sum(k * v for k, v in counts.items())
     best = best_fit(counts, seq_len)
     bins = sum(times for _, times in best)
-    least = -(-total // seq_len)
+    least = fewest(counts, seq_len)
     left = Counter({k: v for k, v in counts.items() if v})
-    # Depth-first with an explicit stack: each level holds the completions not tried yet and what undoing needs.
-    stack: list[list] = []
+    # Depth-first with an explicit stack: each level holds its branches not tried yet; the plan says what undoing needs.
+    stack: list[Iterator] = []
     plan: list[tuple[dict[int, int], int]] = []
     used = waste = 0
+    steps = [nodes]
 
-    def level() -> list:
-        largest = max(left)
-        return [largest, completions(left, largest, seq_len)[::-1]]
+    def allowed() -> int:
+        return (bins - 1) * seq_len - total - waste
 
     if left and bins > least:
-        stack.append(level())
+        stack.append(branches(left, seq_len, allowed, steps))
     while stack and nodes > 0 and bins > least:
-        largest, options = stack[-1]
         if len(plan) == len(stack):  # back at this level: undo its filling
             filling, times = plan.pop()
             for k, n in filling.items():
                 left[k] += n * times
             used -= times
             waste -= times * (seq_len - sum(k * n for k, n in filling.items()))
-        if not options:
+        spent, filling, times = next(stack[-1], (0, None, 0))
+        if filling is None:
             stack.pop()
             continue
         nodes -= 1
-        filling = Counter((largest, *options.pop()))
-        times = min(left[k] // n for k, n in filling.items())
-        spent = times * (seq_len - sum(k * n for k, n in filling.items()))
-        if waste + spent > (bins - 1) * seq_len - total:
+        if spent * times > allowed():
             continue
         for k, n in filling.items():
             left[k] -= n * times
             if not left[k]:
                 del left[k]
         plan.append((dict(filling), times))
-        used, waste = used + times, waste + spent
+        used, waste = used + times, waste + spent * times
         if not left:
             best, bins = list(plan), used
+            # The level without branches lets the loop undo this filling.
+            stack.append(iter(()))
             continue
-        stack.append(level())
+        stack.append(branches(left, seq_len, allowed, steps))
     return best
 
 

@@ -147,9 +147,89 @@ def test_plans_hold_every_piece_and_beat_best_fit():
     assert packing.dominated((3, 2), (5,)) and not packing.dominated((5,), (3, 2))
 
 
+def fewest_by_trying(counts, size):
+    """The fewest sequences, by putting every piece into every room."""
+    items = sorted(Counter(counts).elements(), reverse=True)
+    best = len(items)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            rest = list(rooms)
+            rest.remove(room)
+            place(i + 1, [*rest, room - items[i]])
+        place(i + 1, [*rooms, size - items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_search_that_ends_finds_the_fewest_sequences():
+    rng = random.Random(11)
+    cases = [(size, Counter(rng.randint(1, size) for _ in range(rng.randint(1, 11)))) for size in (10, 20, 37) for _ in range(60)]
+    harder = [(20, Counter({10: 1, 9: 3, 8: 2, 6: 1, 5: 2, 4: 1, 3: 2})), (20, Counter({10: 3, 8: 4, 7: 1, 4: 2, 3: 1})), (30, Counter({15: 1, 12: 2, 10: 2, 7: 1, 6: 1, 4: 3, 3: 2}))]
+    for size, counts in harder:
+        assert sum(t for _, t in packing.best_fit(counts, size)) > sum(t for _, t in packing.plan_bins(counts, size, nodes=10**6))
+    for size, counts in cases + harder:
+        least = fewest_by_trying(counts, size)
+        assert packing.fewest(counts, size) <= least == sum(t for _, t in packing.plan_bins(counts, size, nodes=10**6))
+
+
+def test_completions_are_all_undominated_fillings():
+    left = Counter({6: 1, 4: 2, 3: 2, 2: 1, 1: 1})
+    found = list(packing.completions(left, 6, 10, lambda: 4, [1000]))
+    assert found == [(0, (4,))]  # every other filling fits into that room
+    found = list(packing.completions(Counter({6: 1, 3: 2, 2: 3}), 6, 12, lambda: 6, [1000]))
+    assert found == [(0, (3, 3)), (0, (2, 2, 2))] and list(packing.completions(Counter({6: 1, 3: 1}), 6, 12, lambda: 2, [1000])) == []
+
+
 # Classifier
 
 
+def plain_score(network, content):
+    """Every window of a text met by every filter in plain form."""
+    data = np.frombuffer(content.ljust(quality.WIDTH, b"\0"), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(data, quality.WIDTH)
+    answers = np.tensordot(network.embedding[windows].astype(np.float64), network.filters.astype(np.float64), axes=([1, 2], [0, 1])) + network.bias
+    chunks = [np.maximum(answers[s : s + quality.CHUNK].max(axis=0), 0) for s in range(0, len(answers), quality.CHUNK)]
+    full = chunks[:-1] if len(answers) % quality.CHUNK and len(chunks) > 1 else chunks
+    features = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0), np.min(full, axis=0)])
+    return 1 / (1 + np.exp(-(features @ network.out[:-1] + network.out[-1])))
+
+
+def test_query_against_plain_scores_of_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    network = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in entry.queries()["op8_quality_classifier"](spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        wanted = plain_score(network, data(r["text"]))
+        assert abs(got[r["doc_id"]]["score"] - wanted) < 1e-4
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_sample_of_the_classifier(spark):
+    assert quality.within([(1, 5), (2, 9), (3, 4), (4, 1)], 10) == [1, 3, 4]
+    text = bytes(range(256)) * 3
+    chunks = quality.chunked(text)
+    windows = [c[i : i + quality.WIDTH] for c in chunks for i in range(len(c) - quality.WIDTH + 1)]
+    assert windows == [text[i : i + quality.WIDTH] for i in range(len(text) - quality.WIDTH + 1)]
+    # Ids with both labels teach nothing, and of repeated rows one text is read, whatever the order.
+    docs = [(d, f"{'good' if d % 2 else 'bad'} text {d} " * 30) for d in range(40)] + [(3, "zz other text")]
+    marks = [(d, d % 2) for d in range(40)]
+    one, other, both = (quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(m, "doc_id long, quality int"))
+                        for rows, m in ((docs, marks), (docs[::-1], marks[::-1]), (docs, marks + [(d, 1 - d % 2) for d in range(40)])))
+    assert all(np.array_equal(a, b) for a, b in zip(one.weights(), other.weights(), strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(both.weights(), quality.Network(0).weights(), strict=True))
+
+
 def test_gradients_against_finite_differences():
     rng = np.random.default_rng(1)
     chunks = rng.integers(0, 256, (7, quality.CHUNK + quality.WIDTH - 1)).astype(np.uint8)

@@ -5,8 +5,8 @@ by chunks that overlap by ``WIDTH - 1`` bytes, so every window of bytes lies in
 per chunk; the largest, the mean and the smallest maximum over the chunks of a document go into one logistic unit (the
 smallest shows stretches with little variety; a shorter last chunk counts for it only if it is the only one).
 
-Training happens on the driver, on a sample whose size is bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_CHUNKS``
-chunks of each; scoring reads every byte of every text, in tasks.
+Training happens on the driver, on a sample bounded by ``SAMPLE_DOCS`` documents of each class and ``SAMPLE_BYTES`` in
+all; training and scoring both pool over every byte of a text. Scoring runs in tasks.
 """
 
 from __future__ import annotations
@@ -19,18 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecbank.llm.batches import columns, pieces, record, text_bytes
+from vecbank.llm.batches import columns, pieces, text_bytes
+from vecbank.session import materialize
 
 CHUNK = 256
 WIDTH = 5
 FILTERS = 16
 EMBEDDING = 8
-#: Training rows of each class at most, and evenly spaced chunks of each of them.
+#: Training rows of each class at most, and bytes of all their texts.
 SAMPLE_DOCS = 1200
-SAMPLE_CHUNKS = 8
+SAMPLE_BYTES = 1 << 24
 EPOCHS = 12
 BATCH_DOCS = 64
 BLOCK = 1 << 14
+#: Rows of chunks that training answers at once.
+ROWS = 512
 
 
 class Network:
@@ -104,12 +107,15 @@ def gradients(network: Network, chunks: np.ndarray, owner: np.ndarray, labels: n
     """Gradients of the weighted log loss and the loss. ``chunks``: rows of CHUNK + WIDTH - 1 bytes, those of one document
     together; ``owner``: their document; ``whole``: chunks that count for the smallest maximum."""
     docs, n = len(labels), CHUNK
-    flat = network.responses(chunks.reshape(-1), network.tables())
-    # Positions whose window runs over the end of a row are left out of the maximum.
-    stride = chunks.shape[1]
-    flat = np.concatenate([flat, np.full((WIDTH - 1, FILTERS), -np.inf, np.float32)]).reshape(len(chunks), stride, FILTERS)[:, :n]
-    at = flat.argmax(axis=1)
-    pooled = np.maximum(np.take_along_axis(flat, at[:, None], axis=1)[:, 0], 0)
+    tables, stride = network.tables(), chunks.shape[1]
+    at, pooled = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), np.float32)
+    for s in range(0, len(chunks), ROWS):
+        block = chunks[s : s + ROWS]
+        flat = network.responses(block.reshape(-1), tables)
+        # Positions whose window runs over the end of a row are left out of the maximum.
+        flat = np.concatenate([flat, np.full((WIDTH - 1, FILTERS), -np.inf, np.float32)]).reshape(len(block), stride, FILTERS)[:, :n]
+        at[s : s + ROWS] = flat.argmax(axis=1)
+        pooled[s : s + ROWS] = np.maximum(np.take_along_axis(flat, at[s : s + ROWS, None], axis=1)[:, 0], 0)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     size = np.diff(np.r_[first, len(owner)])
     top, mean = np.maximum.reduceat(pooled, first), np.add.reduceat(pooled, first) / size[:, None]
@@ -166,13 +172,20 @@ def train(texts: list[list[bytes]], labels: np.ndarray, seed: int = 0, epochs: i
     return network
 
 
-def sample_chunks(content: bytes, most: int = SAMPLE_CHUNKS) -> list[bytes]:
-    """At most ``most`` chunks, evenly spaced over the whole text."""
+def chunked(content: bytes) -> list[bytes]:
+    """All chunks of a text."""
     content = padded(content)
-    starts = chunk_starts(len(content))
-    if len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
-    return [content[s : s + CHUNK + WIDTH - 1] for s in starts]
+    return [content[s : s + CHUNK + WIDTH - 1] for s in chunk_starts(len(content)).tolist()]
+
+
+def within(lengths: list[tuple[int, int]], most: int) -> list[int]:
+    """Of (id, bytes) in this order those whose sum stays within ``most``; what does not fit any more is passed over."""
+    chosen, total = [], 0
+    for doc_id, size in lengths:
+        if total + size <= most:
+            chosen.append(doc_id)
+            total += size
+    return chosen
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -180,28 +193,26 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS, seed: int = 0) -> Network:
-    """A network trained on up to ``sample`` labelled documents of each class that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE_DOCS, seed: int = 0, most: int = SAMPLE_BYTES) -> Network:
+    """A network trained on up to ``sample`` labelled documents of each class that are not held out, whole texts of ``most``
+    bytes in all.
 
-    The sample is drawn by a hash of the id. Labels other than 0 and 1, null ids and null labels are left out; without any
-    labelled row the network keeps its initial weights.
+    The sample is drawn by a hash of the id; a text that does not fit into what is left of ``most`` is passed over. Labels
+    other than 0 and 1, null ids, null labels and ids with both labels are left out; of rows that repeat an id the smallest
+    text is read. Without any labelled row the network keeps its initial weights.
     """
-    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).alias("__label")).dropDuplicates(["doc_id"])
+    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("__label"), F.max(label).alias("__most"))
+    usable = usable.filter("__label = __most").select("doc_id", "__label")
     chosen = [usable.filter(F.col("__label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     wanted = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 x sample rows of two numbers
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("chunks", pa.list_(pa.binary()))])
-        for batch in batches:
-            ids, texts, marks = columns(batch, "doc_id", "text", "__label")
-            yield record(schema, {"doc_id": ids, "label": marks, "chunks": [sample_chunks(t) for t in texts]})
-
-    rows = docs.select("doc_id", text_bytes()).join(wanted, "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, label int, chunks array<binary>").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["label"], [bytes(c) for c in r["chunks"]]))
+    rows = docs.select("doc_id", text_bytes()).join(wanted, "doc_id").groupBy("doc_id", "__label").agg(F.min("text").alias("text"))
+    rows = materialize(rows, "labelled")  # at most 2 x sample texts
+    lengths = rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids = within([(r["doc_id"], r["size"]) for r in lengths], most)
+    found = sorted(rows.filter(F.col("doc_id").isin(ids)).collect(), key=lambda r: r["doc_id"]) if ids else []
     if not found:
         return Network(seed)
-    return train([[bytes(c) for c in r["chunks"]] for r in found], np.array([r["label"] for r in found]), seed)
+    return train([chunked(bytes(r["text"])) for r in found], np.array([r["__label"] for r in found]), seed)
 
 
 def score(docs: DataFrame, network: Network, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:

@@ -73,3 +73,14 @@ def brute_learn(bank, requests, dim, dup_sim=0.995):
         rows.append((species, vec))
         out.append((seq, "learned", species, sum(s == species for s, _ in rows), []))
     return out
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
-from helpers import brute_topk, brute_vote, unit
+from helpers import brute_topk, brute_vote, shuffled_rows, unit
 
 from vecbank.operators.bank import packed
-from vecbank.operators.knn import PivotTree, knn
+from vecbank.operators.knn import Cells, PivotTree, knn
 from vecbank.operators.vote import confident_only, publish_prediction, vote
 from vecbank.plans.identify import EmptyBank, identify
 
@@ -87,6 +87,44 @@ def test_blocks_prune_and_group_limit_is_planned(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("shard_values", [1, 6 * 20, 6 * 90])
+def test_shards(spark, shard_values):
+    """Cells that share a shard and a cell of copies that spans several."""
+    queries, bank = clustered(300, 40, seed=2)
+    got = collected(knn(*frames(spark, queries, bank), k=4, broadcast_rows=0, block_rows=9, pivots=5, shard_values=shard_values))
+    expected = brute_topk(queries, bank, 4)
+    assert {q: [h[:2] for h in hits] for q, hits in got.items()} == {q: [h[:2] for h in hits] for q, hits in expected.items()}
+
+
+def test_cells_are_dealt_to_bounded_shards():
+    cells = Cells.dealt(PivotTree(np.arange(7.0)[:, None], 7), np.ones(7), np.array([3, 3, 0, 25, 4, 6, 2]), 10)
+    assert cells.slot_shard.tolist() == [0, 0, 1, 2, 3, 4, 4, 5] and cells.slot_cell.tolist() == [0, 1, 3, 3, 3, 4, 5, 6]
+    assert cells.shard_rows.tolist() == [6, 9, 9, 9, 10, 2] and cells.parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    seen = np.zeros((2, 7), bool)
+    seen[0, 3] = seen[1, 5] = True
+    assert cells.shards_seen(seen).tolist() == [[False, True, True, True, False, False], [False, False, False, False, True, False]]
+
+
+def test_a_query_travels_once_to_a_shard(spark):
+    """Without clusters every cell is looked at; that must not copy a query to each of them."""
+    rng = np.random.default_rng(5)
+    bank = [(i, "a", v) for i, v in enumerate(unit(rng.normal(size=(400, 16))))]
+    queries = list(enumerate(unit(rng.normal(size=(100, 16)))))
+    hits = knn(*frames(spark, queries, bank), broadcast_rows=0, block_rows=4)
+    assert len(hits.collect()) == 500
+    moved = shuffled_rows(hits._jdf.queryExecution().executedPlan())
+    assert 500 < moved <= 2 * (100 + 400) + 500 + 500  # the inputs of frames(), both sides, hits
+
+
+def test_missing_ids_on_the_path_of_many_queries(spark):
+    q, b = frames(spark, [(1, [1.0, 0.0])], [(1, "b", [1.0, 0.0]), (2, "c", [0.0, 1.0])])
+    q, b = (x.union(spark.createDataFrame([t], x.schema)) for x, t in ((q, (None, [0.0, 1.0])), (b, (None, "a", [1.0, 0.0]))))
+    rows = knn(q, b, k=2, broadcast_rows=0).collect()
+    assert {(r.query_id, r.rank, r.row_id, r.species) for r in rows} == {
+        (1, 1, None, "a"), (1, 2, 1, "b"), (None, 1, 2, "c"), (None, 2, None, "a"),
+    }
+
+
 def hits_frame(spark, lists):
     rows = [(q, i, s, x, i + 1) for q, hits in lists.items() for i, (s, x) in enumerate(hits)]
     return spark.createDataFrame(rows, "query_id long, row_id long, species string, sim double, rank int")

@@ -1,10 +1,10 @@
 import numpy as np
 import pytest
-from helpers import brute_learn, unit
+from helpers import brute_learn, shuffled_rows, unit
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from vecbank.operators.learn import learn, pair_batch, reject_near_duplicates
+from vecbank.operators.learn import learn, max_similarity, pair_batch, reject_near_duplicates
 from vecbank.plans.teach import teach
 from vecbank.sources.store import BankStore
 from vecbank.streaming import keyed
@@ -77,6 +77,29 @@ def test_copies_are_collapsed_before_the_rounds(spark):
     assert kept == expected
 
 
+def test_rounds_across_blocks_equal_one_by_one(spark):
+    """Rounds of two, four and more items; both sides in several blocks; two species."""
+    vectors = chain(150, seed=4)
+    rows = [(i * 2, "ab"[i % 2], unit(v).tolist()) for i, v in enumerate(vectors)]
+    items = spark.createDataFrame(rows, "item_id long, species string, vec array<double>")
+    for block_rows in (3, 64):
+        kept = {r.item_id for r in reject_near_duplicates(items, head_rows=2, block_rows=block_rows).collect()}
+        asked = [(i, s, v, False) for i, s, v in rows]
+        far = [("a", [0, 0, 0, 0]), ("b", [0, 0, 0, 0])]
+        assert kept == {seq for seq, status, *_ in brute_learn(far, asked, DIM) if status == "learned"}
+
+
+def test_rows_of_one_label_are_not_copied_for_every_few_thousand(spark):
+    """10,000 items against 10,000 rows of a label meet in one block (9 blocks and 60,000 rows to deal out before)."""
+    vec = F.array(F.cos("id"), F.sin("id"))
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit("a").alias("species"), vec.alias("vec"))
+    rows = spark.range(10_000).select(F.col("id").alias("row_id"), F.lit("a").alias("species"), vec.alias("vec"))
+    best = max_similarity(items, rows)
+    assert best.filter("max_sim > 0.999999999").count() == 10_000
+    best.collect()
+    assert 20_000 < shuffled_rows(best._jdf.queryExecution().executedPlan()) < 35_000
+
+
 def test_new_species_is_not_checked_and_founder_spells_it(spark):
     bank, requests = [("heron", [1, 0, 0, 0])], [(1, "New  One", X, True), (2, "new one!", X, False)]
     results, _ = learn(*frames(spark, bank, requests), DIM)

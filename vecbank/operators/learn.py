@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,21 @@ from vecbank.settings import DUPLICATE_SIM
 
 #: Items of a label that the first round settles in order; every round takes twice as many, up to the larger number.
 HEAD_ROWS, MOST_HEAD_ROWS = 1000, 8000
+#: Rows of either side that meet in a task. Every further block of one side copies the other side, so blocks are as large as memory allows.
+SIDE_ROWS = 8 * BLOCK_ROWS
 
 
-def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _best_similarity(items: np.ndarray, bank: np.ndarray) -> np.ndarray:
+    """The largest dot product of each item with the rows of the bank, some thousand pairs of rows at a time."""
+    out = np.full(len(items), -np.inf)
+    for a in range(0, len(items), BLOCK_ROWS // 4):
+        for b in range(0, len(bank), BLOCK_ROWS):
+            part = slice(a, a + BLOCK_ROWS // 4)
+            np.maximum(out[part], (items[part] @ bank[b : b + BLOCK_ROWS].T).max(axis=1), out=out[part])
+    return out
+
+
+def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = SIDE_ROWS) -> DataFrame:
     """``item_id, max_sim``: the best dot product of an item with the rows of its own species.
 
     items: ``item_id, species, vec``; rows: ``row_id, species, vec`` (or packed bytes). Rows with a value that is not finite
@@ -35,7 +48,7 @@ def max_similarity(items: DataFrame, rows: DataFrame, block_rows: int = BLOCK_RO
         bank = bank[np.isfinite(bank).all(axis=1)]
         if not len(bank):
             return None
-        best = (list_matrix(left.column("item_vec")) @ bank.T).max(axis=1)
+        best = _best_similarity(list_matrix(left.column("item_vec")), bank)
         return pa.RecordBatch.from_arrays(
             [left.column("item_id").combine_chunks(), pa.array(best)], names=["item_id", "max_sim"]
         )
@@ -58,18 +71,41 @@ def accept_in_order(vectors: np.ndarray, dup_sim: float) -> np.ndarray:
 
 
 def _greedy_heads(heads: DataFrame, dup_sim: float) -> DataFrame:
-    """Run the greedy pass over the (bounded) head of every species."""
+    """Run the greedy pass over the (bounded) head of every species. ``last`` is the last id of the head."""
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bounds = group_bounds(table, ["species"])
         vectors = list_matrix(table.column("vec"))
         accepted = np.concatenate([accept_in_order(vectors[a:b], dup_sim) for a, b in zip(bounds[:-1], bounds[1:])])
-        kept = table.append_column("accepted", pa.array(accepted))
-        yield from kept.to_batches()
+        last = table.column("item_id").take(pa.array(np.repeat(bounds[1:] - 1, np.diff(bounds))))
+        yield from table.append_column("accepted", pa.array(accepted)).append_column("last", last).to_batches()
 
     return map_sorted_groups(
         heads.select("item_id", "species", "vec"), ["species"], ["item_id"], run,
-        "item_id long, species string, vec array<double>, accepted boolean",
+        "item_id long, species string, vec array<double>, accepted boolean, last long",
+    )
+
+
+def _undecided(left: DataFrame, fresh: DataFrame, dup_sim: float, most_fresh: int, block_rows: int) -> DataFrame:
+    """Rows of ``left`` that come after the head of their species and are not too close to what was accepted of it (``fresh``).
+
+    All that was accepted of a head is one block, so a task decides on its rows and passes them on: they travel once.
+    """
+
+    def kernel(items: pa.Table, head: pa.Table) -> pa.RecordBatch | None:
+        items = items.select(["item_id", "species", "vec"])
+        items = items.filter(pc.greater(items.column("item_id"), head.column("last")[0]))
+        if not items.num_rows:
+            return None
+        bank = list_matrix(head.column("vec"))
+        bank = bank[np.isfinite(bank).all(axis=1)]
+        if len(bank):
+            items = items.filter(pa.array(_best_similarity(list_matrix(items.column("vec")), bank) < dup_sim))
+        return items.combine_chunks().to_batches()[0] if items.num_rows else None
+
+    return blocked_join(
+        left, fresh.select(F.col("item_id").alias("row_id"), "species", "vec", "last"), "species", "item_id", "row_id",
+        kernel, "item_id long, species string, vec array<double>", block_rows, max(most_fresh, block_rows),
     )
 
 
@@ -77,13 +113,13 @@ def reject_near_duplicates(
     items: DataFrame,
     dup_sim: float = DUPLICATE_SIM,
     head_rows: int = HEAD_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = SIDE_ROWS,
 ) -> DataFrame:
     """Items that one-at-a-time teaching accepts: ``item_id, species`` (ids give the order).
 
     Sequential by nature, but not in one task. The first round settles the earliest ``head_rows`` items
     of each species in order, every later one twice as many; a round then removes, in parallel blocks,
-    the later items that are too close to a newly accepted one. Whatever is left meets the next round with nothing earlier near
+    the later items that are too close to a newly accepted one, and moves what is left only once. Whatever is left meets the next round with nothing earlier near
     it, so the outcome equals the sequential one. Species no longer than a head need one round. Exact
     copies of an earlier item can never be accepted and are dropped before the first round.
     """
@@ -94,17 +130,21 @@ def reject_near_duplicates(
     path = scratch_path(spark, "accepted")
     left = materialize(left.select("item_id", "species", "vec"), "undecided")
     for turn in itertools.count():
-        heads = arrival_rank(left, "species", ["item_id"], min(head_rows << turn, max(head_rows, MOST_HEAD_ROWS)), "_n")
+        most = min(head_rows << turn, max(head_rows, MOST_HEAD_ROWS))
+        # Ranked without the vectors; stored, so that Spark knows how small it is.
+        first = arrival_rank(left.select("item_id", "species"), "species", ["item_id"], most, "_n")
+        ends = materialize(first.groupBy("species").agg(F.max("item_id").alias("_end")), "ends")
+        heads = left.join(ends, "species").filter(F.col("item_id") <= F.col("_end"))
         settled = materialize(_greedy_heads(heads, dup_sim), "settled")
         # Stored per round: neither the plan nor what a lost executor repeats grows with the rounds.
-        settled.filter("accepted").select("item_id", "species", "vec").write.parquet(f"{path}/turn={turn}")
-        rest = left.join(settled.select("item_id"), "item_id", "left_anti")
-        if rest.isEmpty():
+        fresh = settled.filter("accepted")
+        fresh.select("item_id", "species").write.parquet(f"{path}/turn={turn}")
+        if settled.count() < left.count():
+            left = materialize(_undecided(left, fresh.drop("accepted"), dup_sim, most, block_rows), "undecided")
+        else:
+            left = left.limit(0)
+        if left.isEmpty():
             return spark.read.schema("item_id long, species string").parquet(path).select("item_id", "species")
-        fresh = spark.read.schema("item_id long, species string, vec array<double>").parquet(f"{path}/turn={turn}")
-        near = max_similarity(rest, fresh.withColumnRenamed("item_id", "row_id"), block_rows)
-        near = near.filter(F.col("max_sim") >= dup_sim).select("item_id")
-        left = materialize(rest.join(near, "item_id", "left_anti"), "undecided")
     raise AssertionError("rounds end when nothing is left")
 
 
@@ -127,7 +167,7 @@ def learn(
     dim: int,
     dup_sim: float = DUPLICATE_SIM,
     head_rows: int = HEAD_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = SIDE_ROWS,
     with_suggestions: bool = False,
     labels: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:

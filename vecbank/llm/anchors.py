@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecbank.llm.batches import columns, pieces, record, text_bytes
+from vecbank.llm.batches import columns, memory, pieces, record, text_bytes
 from vecbank.session import scratch_path
 
 #: Contents of one anchor that are compared in a task.
 GROUP = 1000
-#: Symbols hashed at once; longer documents are cut into slices that overlap by a window.
-SLICE = 1 << 20
+#: Symbols hashed at once; longer documents are cut into slices that overlap by a window. Hashing holds about a dozen
+#: arrays of 8 bytes a symbol.
+SLICE = 1 << 18
 PLACE_BITS = 24
 MULTIPLIER = 0x9E3779B97F4A7C15
 REMEMBERED_WORDS = 500_000
@@ -165,6 +166,7 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CD
 
 
 def byte_symbols(texts: list[bytes]) -> list[np.ndarray]:
+    memory("bytes")  # they need none
     return [np.frombuffer(t, np.uint8) for t in texts]
 
 
@@ -192,19 +194,16 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-_words: dict[bytes, int] = {}
-
-
 def word_symbols(texts: list[bytes]) -> list[np.ndarray]:
     """64-bit digest of each word of each text; a bounded number of words is remembered in a Python worker."""
-    out = []
+    out, known = [], memory("words")
     for text in texts:
         words = text.split()  # at the same bytes as ``word_bounds``
-        if len(_words) > REMEMBERED_WORDS:
-            _words.clear()
-        for word in {w for w in words if w not in _words}:
-            _words[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        out.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        for word in {w for w in words if w not in known}:
+            known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Small helpers for Arrow batches inside tasks."""
+"""Small helpers for Arrow batches inside tasks, and what a Python worker keeps between them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 
 PIECE_BYTES = 1 << 21
 
+_memories: dict[str, dict] = {}
+
+
+def memory(kind: str) -> dict:
+    """What this Python worker keeps from task to task for one kind of work.
+
+    A worker serves one stage after another. What it kept for another kind goes when it is asked for this one, so that
+    the memories of all stages of a pipeline do not add up.
+    """
+    if kind not in _memories:
+        _memories.clear()
+    return _memories.setdefault(kind, {})
+
 
 def text_bytes(name: str = "text") -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""

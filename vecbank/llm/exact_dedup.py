@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecbank.llm.batches import columns, flushed, text_bytes
+from vecbank.llm.batches import columns, flushed, memory, text_bytes
 
 MAP_BYTES = 24 << 20
 TABLE_BYTES = 48 << 20
@@ -123,6 +123,7 @@ def merged(records: Iterable[tuple], folder: str, depth: int = 0, limit: int = T
 
 def local_records(batches: Iterable[pa.RecordBatch], limit: int = MAP_BYTES) -> Iterator[pa.RecordBatch]:
     """Input: ``doc_id, text`` (binary). One record per distinct content of each bounded table."""
+    memory("contents")  # tables go with their task
 
     def rows() -> Iterator[list]:
         table = ContentTable()

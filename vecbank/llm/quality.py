@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecbank.llm.batches import columns, pieces, text_bytes
+from vecbank.llm.batches import memory, pieces, text_bytes
 from vecbank.session import materialize
 
 CHUNK = 256
@@ -223,12 +223,17 @@ def score(docs: DataFrame, network: Network, score_name: str = "score", predicte
     """
     kept = [c for c in docs.columns if c not in (score_name, predicted_name)]
     schema = T.StructType([*docs.select(*kept).schema, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())])
+    # A text that is carried along is read from its own column, so that it travels once.
+    own_text = "text" in kept and isinstance(docs.schema["text"].dataType, T.StringType)
+    name = "text" if own_text else "__text"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory("classifier")  # weights come with their task
         tables = network.tables()
-        for batch in pieces(batches, "__text"):
-            found = scores(network, columns(batch, "__text")[0], tables)
+        for batch in pieces(batches, name):
+            contents = batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).fill_null(b"")
+            found = scores(network, contents.to_pylist(), tables)
             own = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*kept, score_name, predicted_name])
 
-    return docs.select(*kept, text_bytes().alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if own_text else [text_bytes().alias(name)])).mapInArrow(run, schema)

@@ -10,6 +10,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from vecbank.llm.batches import memory
+
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 REMEMBERED = 300_000
@@ -70,12 +72,10 @@ class Encoder:
         ]
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str | None = None, ranks_path: str | None = None) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     key = path or public_tokenizers.path(BYTE_BPE), ranks_path or public_tokenizers.path(BYTE_RANKS)
-    if key not in _encoders:
-        _encoders[key] = Encoder(*key)
-    return _encoders[key]
+    encoders = memory("encoders")
+    if key not in encoders:
+        encoders[key] = Encoder(*key)
+    return encoders[key]
